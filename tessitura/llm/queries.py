@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.llm import decontamination, rules, sharding, simhash
+from tessitura.llm import decontamination, mixing, quality, rules, sharding, simhash, token_counts, toxicity, warc
 from tessitura.llm._shared import table
 
 
@@ -14,11 +14,47 @@ def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))
 
 
+def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = mixing.mix(table(spark, sf_dir, "documents"), entropy_share=0.95, repetition_limit=2.0, block_tokens=100_000)
+    return done.select("doc_id", "source", "copy", "n_tokens", "block", "slot")
+
+
+def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    done = toxicity.classify(docs, table(spark, sf_dir, "labels"))
+    probabilities = [F.round(F.col(f"toxicity.{c}"), 6).alias(f"p_{c}") for c in (*toxicity.CATEGORIES, "toxic")]
+    return done.select("doc_id", *probabilities, F.col("is_toxic").alias("toxic"))
+
+
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return token_counts.count_tokens(docs, token_counts.load_vocabulary()).select("doc_id", "n_pretokens", "n_tokens")
+
+
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = simhash.near_duplicates(table(spark, sf_dir, "documents"), shingle=3)
     return done.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _remainder(modulus: int):
+    return F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(modulus))
+
+
+def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, table(spark, sf_dir, "labels"), (F.col("quality") == 1) & (_remainder(4) != 2))
+    held_out = F.coalesce(_remainder(4) == 2, F.lit(False)).alias("held_out")
+    return quality.score_documents(docs, model).select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
+
+
+def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    found = warc.read_archives(warc.write_archives(pages, warc.archive_folder(spark)))
+    kind = pages.schema["page_id"].dataType
+    page = lambda c: F.when(F.col(c) != "null", F.col(c)).cast(kind)
+    return found.select(page("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"), F.col("uri").alias("target_uri"))
+
+
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     done = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return done.select(
@@ -35,9 +71,117 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     "op1_sharding": op1_sharding,
+    "op2_mixing": op2_mixing,
+    "op3_toxicity": op3_toxicity,
+    "op4_token_counts": op4_token_counts,
     "op5_simhash": op5_simhash,
+    "op6_quality": op6_quality,
+    "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
 }
 
+
 ORACLE_SQL: dict[str, str] = {}
+
+ORACLE_SQL["op2_mixing"] = r"""
+WITH RECURSIVE counted AS (
+  SELECT doc_id, source, greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS n_tokens FROM documents
+), sources AS (
+  SELECT source, sum(n_tokens)::BIGINT AS all_tokens, sum(n_tokens)::DOUBLE / (SELECT sum(n_tokens) FROM counted) AS p FROM counted GROUP BY source
+), spread(i, low, high) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT i + 1,
+    CASE WHEN (SELECT ln(sum(pow(p, (low + high) / 2))) - (low + high) / 2 * sum(pow(p, (low + high) / 2) * ln(p)) / sum(pow(p, (low + high) / 2)) >= 0.95 * ln(count(*)) - 1e-12 FROM sources) THEN (low + high) / 2 ELSE low END,
+    CASE WHEN (SELECT ln(sum(pow(p, (low + high) / 2))) - (low + high) / 2 * sum(pow(p, (low + high) / 2) * ln(p)) / sum(pow(p, (low + high) / 2)) >= 0.95 * ln(count(*)) - 1e-12 FROM sources) THEN high ELSE (low + high) / 2 END
+  FROM spread WHERE i < 40
+), calm(i, low, high) AS (
+  SELECT 0, 0.0::DOUBLE, 1.0::DOUBLE
+  UNION ALL
+  SELECT i + 1,
+    CASE WHEN (SELECT pow(max(p) / min(p), 1 - (low + high) / 2) <= 2.0 FROM sources) THEN low ELSE (low + high) / 2 END,
+    CASE WHEN (SELECT pow(max(p) / min(p), 1 - (low + high) / 2) <= 2.0 FROM sources) THEN (low + high) / 2 ELSE high END
+  FROM calm WHERE i < 40
+), exponent AS (
+  SELECT greatest(
+    CASE WHEN (SELECT ln(count(*)) - 1e-9 < -sum(p * ln(p)) FROM sources) THEN 1.0 ELSE floor((SELECT low FROM spread WHERE i = 40) * 1e6) / 1e6 END,
+    CASE WHEN (SELECT max(p) / min(p) <= 2.0 FROM sources) THEN 0.0 ELSE ceil((SELECT high FROM calm WHERE i = 40) * 1e6) / 1e6 END) AS a
+), weights AS (
+  SELECT source, all_tokens, greatest(all_tokens, round((SELECT sum(n_tokens) FROM counted)::DOUBLE * pow((SELECT max(p) FROM sources), 1 - (SELECT a FROM exponent)) * pow(p, (SELECT a FROM exponent)))::BIGINT) AS budget FROM sources
+), blocks AS (
+  SELECT greatest(1, (sum(budget) + 99999) // 100000)::BIGINT AS n FROM weights
+), readings AS (
+  SELECT c.doc_id, c.source, c.n_tokens, w.all_tokens, w.budget, unnest(range(1, ceil(w.budget / w.all_tokens::DOUBLE)::INT + 1))::INT AS copy
+  FROM counted c JOIN weights w ON c.source IS NOT DISTINCT FROM w.source
+), hashed AS (
+  SELECT *, md5(concat('mix:', coalesce(doc_id::VARCHAR, ''), ':', copy)) AS h FROM readings
+), placed AS (
+  SELECT *, (copy - 1) * all_tokens + coalesce(sum(n_tokens) OVER (PARTITION BY source, copy ORDER BY h, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM hashed
+), kept AS (
+  SELECT *, ((start * (SELECT n FROM blocks)) // budget)::BIGINT AS block FROM placed WHERE start < budget
+)
+SELECT doc_id, source, copy, n_tokens, block, (row_number() OVER (PARTITION BY block ORDER BY h, source, doc_id, n_tokens) - 1)::BIGINT AS slot FROM kept
+"""
+
+ORACLE_SQL["op8_warc"] = r"""
+WITH p AS (
+  SELECT page_id, url, coalesce(html, '') AS body FROM pages
+), s AS (
+  SELECT page_id, url, octet_length(encode(body))::BIGINT AS payload_bytes, sha1(body) AS payload_digest FROM p
+), r AS (
+  SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS best FROM s
+)
+SELECT page_id, payload_bytes, payload_digest,
+  CASE WHEN payload_bytes >= 1000 AND best IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
+  CASE WHEN payload_bytes >= 1000 AND best IS DISTINCT FROM page_id THEN best END AS refers_to, url AS target_uri
+FROM r
+"""
+
+_WORDS9 = r"regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+')"
+
+ORACLE_SQL["op9_decontamination"] = rf"""
+WITH items AS (
+  SELECT item_id, {_WORDS9} AS w FROM benchmark
+), windows AS (
+  SELECT DISTINCT coalesce(item_id::VARCHAR, 'null') AS item, least(10, len(w)) AS size, array_to_string(w[i:i + least(10, len(w)) - 1], ' ') AS phrase
+  FROM (SELECT item_id, w, unnest(range(1, greatest(2, len(w) - 8))) AS i FROM items WHERE len(w) > 0)
+), docs AS (
+  SELECT row_number() OVER () AS r, doc_id, {_WORDS9} AS w FROM documents
+), starts AS (
+  SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM docs
+), hits AS (
+  SELECT s.r, s.i, x.size, x.item FROM (SELECT r, i, size, array_to_string(w[i:i + size - 1], ' ') AS phrase FROM starts, (SELECT DISTINCT size FROM windows) WHERE i + size - 1 <= len(w)) s
+  JOIN windows x ON s.size = x.size AND s.phrase = x.phrase
+), words AS (
+  SELECT r, count(DISTINCT k) AS n_hit FROM (SELECT r, unnest(range(i, i + size)) AS k FROM hits) GROUP BY r
+), found AS (
+  SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT r, item FROM hits) GROUP BY r
+)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs LEFT JOIN words USING (r) LEFT JOIN found USING (r)
+"""
+
+ORACLE_SQL["op10_quality_rules"] = r"""
+WITH docs AS (
+  SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), windows AS (
+  SELECT r, i, count(*) OVER (PARTITION BY r, phrase) AS n FROM (
+    SELECT r, i, array_to_string(w[i:i + 4], ' ') AS phrase FROM (SELECT r, w, unnest(range(1, len(w) - 3)) AS i FROM docs WHERE len(w) >= 5))
+), repeated AS (
+  SELECT r, count(DISTINCT k) AS n FROM (SELECT r, unnest(range(i, i + 5)) AS k FROM windows WHERE n > 1) GROUP BY r
+), lines AS (
+  SELECT r, count(*) AS n, count(DISTINCT line) AS d FROM (SELECT r, unnest(string_split(t, chr(10))) AS line FROM docs) WHERE regexp_matches(line, '[^\x20\x09-\x0D]') GROUP BY r
+), measured AS (
+  SELECT doc_id, len(w)::BIGINT AS n_words, length(array_to_string(w, ''))::BIGINT AS word_chars,
+    (length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')))::BIGINT AS n_symbols,
+    (coalesce(l.n, 0) - coalesce(l.d, 0))::BIGINT AS n_dup_lines, coalesce(x.n, 0)::BIGINT AS n_repeat_words, coalesce(l.n, 0)::BIGINT AS n_lines,
+    (length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')))::BIGINT AS n_upper, (length(t) - length(replace(t, '!', '')))::BIGINT AS n_exclamations
+  FROM docs LEFT JOIN repeated x USING (r) LEFT JOIN lines l USING (r)
+), marked AS (
+  SELECT *, ((n_words < 10)::INT + 2 * (100 * n_repeat_words > 20 * n_words)::INT + 4 * (10 * n_symbols > n_words)::INT + 8 * (10 * n_dup_lines > 3 * n_lines)::INT
+    + 16 * (word_chars < 2 * n_words OR word_chars > 15 * n_words)::INT + 32 * (10 * n_upper > 3 * word_chars)::INT + 64 * (2 * n_exclamations > n_words)::INT)::BIGINT AS failed
+  FROM measured
+)
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) > 0 AS base_failed, failed = 0 AS kept, failed, n_lines, n_upper, n_exclamations FROM marked
+"""
