@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.llm import decontamination, mixing, quality, rules, sharding, simhash, token_counts, toxicity, warc
+from tessitura.llm import decontamination, lm, mixing, quality, rules, sharding, simhash, token_counts, toxicity, warc
 from tessitura.llm._shared import table
 
 
@@ -47,6 +47,13 @@ def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.score_documents(docs, model).select("doc_id", held_out, "score", (F.col("score") >= 0.7).cast("int").alias("predicted"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = F.coalesce(_remainder(7) == 2, F.lit(False))
+    done = lm.score_documents(docs, ~held_out)
+    return done.select("doc_id", held_out.alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
 def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     found = warc.read_archives(warc.write_archives(pages, warc.archive_folder(spark)))
@@ -76,6 +83,7 @@ QUERIES = {
     "op4_token_counts": op4_token_counts,
     "op5_simhash": op5_simhash,
     "op6_quality": op6_quality,
+    "op7_language_model": op7_language_model,
     "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,

@@ -221,3 +221,209 @@ def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, max_bits: int = M
     stay = found.where(col(id_col) == F.col("component_id")).select(F.col("component_id").alias("__stay")).distinct()
     one = docs.join(stay, col(id_col) == F.col("__stay"), "left_semi").dropDuplicates([id_col])
     return one.unionByName(docs.where(col(id_col).isNull()))
+
+
+# Near copies by similarity. A 64-bit fingerprint of 5-word shingles puts most pairs of similarity 0.8 further than
+# 3 bits apart: a changed word changes five shingles. So candidates come from a 128-bit SimHash of the distinct word
+# pairs, cut into 5 segments of 24 bits and indexed by the same one-wildcard variants, and each is then verified by
+# the exact Jaccard similarity of its word shingles.
+
+SEGMENTS, SEGMENT_BITS = 5, 24
+#: Candidates differ by so many of 128 bits at most: similarity 0.8 is near 12.
+CANDIDATE_BITS = 28
+
+
+def signature(text: bytes | None) -> bytes:
+    """16 bytes: a bit is 1 if set in over half of the distinct word pairs' hashes; no words: zeros."""
+    words = text.lower().split() if text else []
+    if not words:
+        return bytes(16)
+    pairs = {words[0]} if len(words) == 1 else set(map(b" ".join, zip(words, words[1:])))
+    digest = xxhash.xxh3_128_digest
+    octets = np.frombuffer(b"".join([digest(p, SEED) for p in pairs]), np.uint8).reshape(-1, 16)
+    ones = np.zeros(128, np.int64)
+    for i in range(0, len(octets), 1 << 14):
+        ones += np.unpackbits(octets[i : i + (1 << 14)], axis=1).sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > len(octets)).tobytes()
+
+
+def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
+    """Sorted distinct 64-bit hashes of the word shingles; of fewer words, the one of all words; of none, empty."""
+    words = text.lower().split() if text else []
+    if not words:
+        return np.empty(0, np.int64)
+    pieces = [b" ".join(words)] if len(words) <= shingle else map(b" ".join, zip(*(words[i:] for i in range(shingle))))
+    return np.unique(np.fromiter(map(xxhash.xxh64_intdigest, pieces), np.uint64)).view(np.int64)
+
+
+def nearest_forest(hi: np.ndarray, lo: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
+    """Edges of a minimum spanning forest by differing bits (Prim), without edges of more than max_bits."""
+    n = len(hi)
+    best, parent, left, edges, u = np.full(n, 999, np.int64), np.zeros(n, np.int64), np.ones(n, bool), [], 0
+    for _ in range(n):
+        left[u] = False
+        d = np.bitwise_count(hi ^ hi[u]).astype(np.int64) + np.bitwise_count(lo ^ lo[u])
+        closer = left & (d < best)
+        best[closer], parent[closer] = d[closer], u
+        if not left.any():
+            break
+        u = int(np.where(left, best, 1000).argmin())
+        if best[u] <= max_bits:
+            edges.append((int(parent[u]), u))
+        else:
+            best[left] = 999  # a new tree
+    return edges
+
+
+_CANDIDATES = "ahi long, alo long, bhi long, blo long, hot boolean, k1 long, k2 long"
+_CANDIDATE_NAMES = ["ahi", "alo", "bhi", "blo", "hot", "k1", "k2"]
+
+
+def _meet(max_bits: int, group: int, last: bool):
+    """Of rows (k1, k2, hi, lo) sorted in that order: forest edges within each key, or the rows of a key over ``group``.
+
+    At the last level a larger key is worked through in overlapping runs of ``group`` rows instead.
+    """
+
+    def edges_of(rows: np.ndarray) -> np.ndarray:
+        hi, lo = (np.ascontiguousarray(rows[:, i]).view(np.uint64) for i in (2, 3))
+        e = np.array(nearest_forest(hi, lo, max_bits), np.int64).reshape(-1, 2)
+        return np.hstack([rows[e[:, 0], 2:], rows[e[:, 1], 2:]])
+
+    def out(found: np.ndarray, hot: bool, keys: np.ndarray | None = None) -> pa.RecordBatch:
+        keys = np.zeros((len(found), 2), np.int64) if keys is None else keys
+        columns = [*found.T, None, *keys.T]
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), hot)) if c is None else pa.array(np.ascontiguousarray(c)) for c in columns], names=_CANDIDATE_NAMES)
+
+    def closed(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        cut = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
+        starts, sizes = np.r_[0, cut], np.diff(np.r_[0, cut, len(rows)])
+        pair = starts[sizes == 2]
+        both = np.hstack([rows[pair, 2:], rows[pair + 1, 2:]])
+        bits = np.bitwise_count((both[:, 0] ^ both[:, 2]).view(np.uint64)).astype(int) + np.bitwise_count((both[:, 1] ^ both[:, 3]).view(np.uint64))
+        found = [both[bits <= max_bits]] + [edges_of(rows[s : s + n]) for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist())]
+        found = np.concatenate(found)
+        if len(found):
+            yield out(found, False)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry, spilling = np.empty((0, 4), np.int64), None
+        for batch in batches:
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype(np.int64, copy=False)
+            if spilling is not None:
+                same = (rows[:, :2] == spilling).all(axis=1)
+                if same.any():
+                    yield out(np.hstack([rows[same, 2:], rows[same, 2:]]), True, rows[same, :2])
+                rows = rows[~same]
+                spilling = None if len(rows) else spilling
+            rows, carry = np.concatenate([carry, rows]), carry[:0]
+            if not len(rows):
+                continue
+            other = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(axis=1))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                big = np.flatnonzero(np.diff(np.r_[0, np.flatnonzero((rows[1:cut, :2] != rows[: cut - 1, :2]).any(axis=1)) + 1, cut]) > group)
+                if len(big) and not last:
+                    _, at, n = np.unique(rows[:cut, :2], axis=0, return_inverse=True, return_counts=True)
+                    hot = n[at.ravel()] > group
+                    yield out(np.hstack([rows[:cut][hot, 2:], rows[:cut][hot, 2:]]), True, rows[:cut][hot, :2])
+                    yield from closed(rows[:cut][~hot]) if (~hot).any() else ()
+                else:
+                    yield from closed(rows[:cut])
+            carry = rows[cut:]
+            if len(carry) > group and not last:
+                spilling = carry[0, :2].copy()
+                yield out(np.hstack([carry[:, 2:], carry[:, 2:]]), True, carry[:, :2])
+                carry = carry[:0]
+            while last and len(carry) > 2 * group:
+                found = edges_of(carry[: 2 * group])
+                if len(found):
+                    yield out(found, False)
+                carry = carry[group:]
+        if len(carry):
+            yield from closed(carry)
+
+    return run
+
+
+def _segment(v: str) -> str:
+    """SQL of 24 of the 128 bits: two segments of each half, the fifth of what is left of both."""
+    return (
+        f"case {v} when 0 then lo & 16777215L when 1 then shiftrightunsigned(lo, 24) & 16777215L when 2 then hi & 16777215L "
+        f"when 3 then shiftrightunsigned(hi, 24) & 16777215L else shiftrightunsigned(lo, 48) | ((shiftrightunsigned(hi, 48) & 255L) << 16) end"
+    )
+
+
+def candidates(distinct: DataFrame, *, max_bits: int = CANDIDATE_BITS, group: int = GROUP) -> DataFrame:
+    """Return ``ahi, alo, bhi, blo``: candidate pairs of distinct signatures (hi, lo), a forest of each meeting group.
+
+    A group of over ``group`` members is met again under the variants of its other segments, up to twice.
+    """
+    members, found = distinct.select(F.lit(0).cast("long").alias("k1"), "hi", "lo"), None
+    variant = f"(cast(v as bigint) << 24) | (({_segment('v div 24')}) & ~(1L << (v % 24)))"
+    for level in (1, 2, 3):
+        rows = members.select("k1", "hi", "lo", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * SEGMENT_BITS - 1))).alias("v"))
+        if level > 1:  # segments already shared tell nothing more
+            rows = rows.where("(k1 >> 24) % 128 div 24 <> v div 24 and (k1 >> 55 = 0 or (k1 >> 55) div 24 <> v div 24)")
+        rows = rows.selectExpr("k1", f"{variant} as k2", "hi", "lo")
+        dealt = rows.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "hi", "lo")
+        met = materialize(dealt.mapInArrow(_meet(max_bits, group, level == 3), _CANDIDATES), f"near-candidates{level}")
+        near = met.where("not hot").select("ahi", "alo", "bhi", "blo")
+        found = near if found is None else found.unionByName(near)
+        # the next key: this variant, and above it the segment number shared before
+        members = met.where("hot").select(F.expr("k2 | (((k1 >> 24) % 128) << 55)").alias("k1"), F.col("ahi").alias("hi"), F.col("alo").alias("lo")).distinct()
+        if members.isEmpty():
+            break
+    return found.distinct()
+
+
+def similar_documents(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", max_bits: int = CANDIDATE_BITS, group: int = GROUP) -> DataFrame:
+    """Return ``id_col, component_id``, a row for each input row with an id.
+
+    component_id: the smallest id reached over verified links; two texts link if the Jaccard similarity of their
+    distinct word shingles (of all words, where they are fewer) is at least ``similarity``. Candidates are found by
+    SimHash, so a link may be missed, the less likely the more alike the texts are; none is reported in error. Texts
+    of equal signature are one text here: equal texts, and texts with the same word pairs. Null and empty texts are
+    alike. Rows without an id are left out.
+    """
+    spark = docs.sparkSession
+    arrow_limits(spark)
+    source = docs.select(col(id_col).alias("__id"), col(text_col).alias("__text")).where("__id is not null")
+    kind = source.schema["__id"].dataType.simpleString()
+
+    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
+            pair = np.frombuffer(b"".join(map(signature, texts)), ">i8").astype(np.int64).reshape(-1, 2)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], names=["__id", "hi", "lo"])
+
+    signatures = materialize(source.mapInArrow(signed, f"__id {kind}, hi long, lo long"), "near-signatures")
+    reps = materialize(signatures.groupBy("hi", "lo").agg(F.min("__id").alias("rep")), "near-distinct")
+    a = reps.select(F.col("hi").alias("ahi"), F.col("lo").alias("alo"), F.col("rep").alias("arep"))
+    b = reps.select(F.col("hi").alias("bhi"), F.col("lo").alias("blo"), F.col("rep").alias("brep"))
+    pairs = candidates(reps, max_bits=max_bits, group=group).join(a, ["ahi", "alo"]).join(b, ["bhi", "blo"]).select("arep", "brep", F.xxhash64("ahi", "alo").alias("a"), F.xxhash64("bhi", "blo").alias("b"))
+    pairs = materialize(pairs, "near-pairs")
+
+    @F.arrow_udf("array<bigint>")
+    def shingled(texts: pa.Array) -> pa.Array:
+        raw = texts.cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
+        return pa.array([shingle_set(t, shingle) for t in raw], pa.list_(pa.int64()))
+
+    wanted = pairs.select(F.col("arep").alias("rep")).unionByName(pairs.select(F.col("brep").alias("rep"))).distinct()
+    # an id may have rows of several texts: any of them is compared, and the links hold for the id
+    sets = materialize(source.join(wanted, F.col("__id") == F.col("rep"), "left_semi").select("__id", shingled("__text").alias("s")), "near-shingles")
+    left, right = sets.select(F.col("__id").alias("arep"), F.col("s").alias("sa")), sets.select(F.col("__id").alias("brep"), F.col("s").alias("sb"))
+    common = pairs.join(left, "arep").join(right, "brep").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n"))
+    verified = common.where(F.expr(f"n >= {similarity!r}D * (na + nb - n)")).select("a", "b").distinct()
+    roots = components(verified)
+    named = reps.withColumn("node", F.xxhash64("hi", "lo")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    names = named.groupBy("root").agg(F.min("rep").alias("component_id"))
+    by_signature = named.join(names, "root").select("hi", "lo", "component_id")
+    return signatures.join(by_signature, ["hi", "lo"]).select(F.col("__id").alias(id_col), "component_id")
+
+
+def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
+    """Return docs with one row of each component: that of the smallest id. Rows without an id are kept as they are."""
+    stay = similar_documents(docs, id_col=id_col, **options).where(col(id_col) == F.col("component_id")).select(F.col("component_id").alias("__stay")).distinct()
+    one = docs.join(stay, col(id_col) == F.col("__stay"), "left_semi").dropDuplicates([id_col])
+    return one.unionByName(docs.where(col(id_col).isNull()))
