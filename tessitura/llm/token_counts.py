@@ -29,8 +29,7 @@ NODES, WORDS = 300_000, 300_000
 
 
 class Unigram(NamedTuple):
-    score: dict[str, float]
-    longest: int
+    ends: dict[str, float | None]  # log probability of each piece; None for other strings that a piece ends with
     unknown: float
 
 
@@ -47,7 +46,8 @@ def unigram(pieces: list[str]) -> Unigram:
     """The model of pieces given in order of rank."""
     total = math.log(sum(1.0 / (r + 2) for r in range(len(pieces))) or 1.0)
     score = {p: -math.log(r + 2) - total for r, p in enumerate(pieces)}
-    return Unigram(score, max(map(len, pieces), default=1), min(score.values(), default=0.0) - 10.0)
+    ends: dict[str, float | None] = {p[i:]: None for p in pieces for i in range(1, len(p))}
+    return Unigram(ends | score, min(score.values(), default=0.0) - 10.0)
 
 
 class Trie:
@@ -61,7 +61,7 @@ class Trie:
     def count(self, word: str) -> int:
         """Insert a pre-token and return its number of tokens: of the likeliest segmentation, on ties the shortest."""
         edges, score, tokens = self.edges, self.score, self.tokens
-        pieces, longest, unknown = self.model
+        ends, unknown = self.model
         path, node = [0], 0
         for i, c in enumerate(word, 1):
             key = (node << 21) | ord(c)
@@ -70,8 +70,10 @@ class Trie:
                 at = path[-1]
                 n = len(c.encode("utf-8", "surrogatepass"))
                 best, few = score[at] + unknown * n, tokens[at] + n
-                for j in range(max(0, i - longest), i):
-                    p = pieces.get(word[j:i])
+                for j in range(i - 1, -1, -1):
+                    p = ends.get(word[j:i], 0.0)
+                    if p == 0.0:  # no piece ends like this, nor so any longer string
+                        break
                     if p is not None:
                         at = path[j]
                         s = score[at] + p
@@ -93,7 +95,8 @@ class Counter:
 
     def text(self, raw: bytes | None) -> tuple[int, int]:
         words = raw.split() if raw else []
-        for w in sorted(set(words) - self.known.keys()):
+        known = self.known
+        for w in sorted(w for w in set(words) if w not in known):  # a set minus a dict's keys would walk all the keys
             if len(self.trie.score) > NODES:
                 self.trie = Trie(self.model)
             self.known[w] = self.trie.count(BOUNDARY + w.decode())
