@@ -336,19 +336,22 @@ def train(texts: DataFrame, model: Model) -> Model:
             *_, features, classes = scorer.flat(_raw(batch.column(0))) if batch.num_rows else ([], [])
             for i in range(0, len(features), BLOCK):
                 f, y = features[i : i + BLOCK], classes[i : i + BLOCK]
-                z = w[f].sum(axis=1) + bias
+                z = w[f[:, 0]] + bias
+                for k in range(1, FEATURES):
+                    z += w[f[:, k]]
                 z -= z.max(axis=1, keepdims=True)
-                p = np.exp(z)
-                p /= p.sum(axis=1, keepdims=True)
-                p[np.arange(len(y)), y] -= 1
-                for k in range(FEATURES):
-                    order = np.argsort(f[:, k], kind="stable")
-                    sorted_f = f[order, k]
-                    first = np.flatnonzero(np.r_[True, sorted_f[1:] != sorted_f[:-1]])
-                    g = np.add.reduceat(p[order], first, axis=0)
-                    rows = sorted_f[first]
-                    squares[rows] += g * g
-                    w[rows] -= RATE * g / np.sqrt(squares[rows])
+                np.exp(z, out=z)
+                z /= z.sum(axis=1, keepdims=True)
+                z[np.arange(len(y)), y] -= 1
+                # gradients summed by weight row; 16-bit keys, so the sort is by radix
+                keys = f.ravel().astype(np.uint16)
+                order = np.argsort(keys, kind="stable")
+                keys = keys[order]
+                first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
+                rows = keys[first]
+                g = np.add.reduceat(z[order // FEATURES], first, axis=0)
+                squares[rows] += g * g
+                w[rows] -= RATE * g / np.sqrt(squares[rows])
                 seen += len(y)
         yield _pieces(w * seen, _PARTS, seen)
 
