@@ -6,6 +6,7 @@ written as a new version.
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -119,8 +120,6 @@ def bloom_false_positives(n: Column, m: int = 2_000_003, k: int = 7) -> Column:
 
 def bloom_slots(key: Column, m: int = 2_000_003, k: int = 7) -> Column:
     """Slots of a key: FNV-1a 64 of its UTF-8, then (h * p + p * p) mod m for the first k primes."""
-    import pandas as pd
-
     ps = S.primes(30)[:k]
 
     @F.pandas_udf("array<int>")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -74,9 +76,6 @@ def bandit_confidence(arms: DataFrame) -> DataFrame:
 
 def thompson(arms: DataFrame, salt: str = "0") -> DataFrame:
     """A draw from each arm's posterior, the same for the same arm and salt whatever the partitioning."""
-    import numpy as np
-    import pandas as pd
-
     @F.pandas_udf("double")
     def draw(alpha: pd.Series, beta: pd.Series, seed: pd.Series) -> pd.Series:
         return pd.Series([float(np.random.default_rng(s & 0x7FFFFFFFFFFFFFFF).beta(a, b)) for a, b, s in zip(alpha, beta, seed)])

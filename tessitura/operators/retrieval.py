@@ -61,10 +61,13 @@ def top_edges(edges: DataFrame, weight: str, k: int) -> DataFrame:
 
 
 def expand(frame: DataFrame, edges: DataFrame, weight: str, *, recent: int = 20, fan: int | None = 30) -> DataFrame:
-    """Sum of the weights from each user's last items to their neighbours: (user, song, w)."""
+    """Sum of the weights from each user's last items to their neighbours: (user, song, w), to six digits.
+
+    Summed as integers of 1e-9, so the result does not depend on the order of the rows.
+    """
     e = edges if fan is None else top_edges(edges, weight, fan)
     h = last(frame, recent).select("user_id", F.col("song_id").alias("src"))
-    return h.join(e.select("src", "dst", weight), "src").groupBy("user_id", F.col("dst").alias("song_id")).agg(F.round(F.sum(weight), 6).alias("w"))
+    return h.join(e.select("src", "dst", weight), "src").groupBy("user_id", F.col("dst").alias("song_id")).agg(F.expr(f"((sum(cast(round({weight} * 1e9D) as bigint)) + 500) div 1000) / 1e6D").alias("w"))
 
 
 def popular(songs: DataFrame, n: int) -> DataFrame:
@@ -111,7 +114,7 @@ def retriever_score(candidates: DataFrame, co: DataFrame, knn: DataFrame, fresh_
     )
     zero = F.lit(0.0)
     raw = F.log10(1 + F.coalesce("co", zero)) * 0.5 + F.least(F.coalesce("knn", zero), F.lit(2.0)) * 0.25 + F.coalesce("f", zero) + F.coalesce("p", zero)
-    return c.withColumn("raw", F.round(raw, 6)).withColumn("score", F.round(F.least(raw, F.lit(1.0)) * 2 - 1, 6)).select(*candidates.columns, "raw", "score")
+    return c.withColumn("raw", F.round(raw, 6)).withColumn("score", F.round(F.least("raw", F.lit(1.0)) * 2 - 1, 6)).select(*candidates.columns, "raw", "score")
 
 
 def markov(frame: DataFrame) -> DataFrame:

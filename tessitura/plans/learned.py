@@ -1,2 +1,230 @@
-QUERIES = {}
-ORACLES = {}
+"""Learned models, whole recommendations, audio and streams. Where SQL has no form of it, rows only."""
+
+from __future__ import annotations
+
+import uuid
+
+from pyspark.sql import Window
+from pyspark.sql import functions as F
+
+from tessitura.functions import scalars as S
+from tessitura.operators import audio as W
+from tessitura.operators import content as T
+from tessitura.operators import interactions as I
+from tessitura.operators import models as M
+from tessitura.operators import retrieval as R
+from tessitura.operators import serving as V
+from tessitura.plans.frames import FRAME, frame_of, split_of
+from tessitura.plans.retrieval import Retriever
+from tessitura.sources.scratch import folder, materialize
+from tessitura.sources.star import Star, with_views
+from tessitura.streaming import signals as G
+
+_OUT = ["user_id", "rank", "song_id", "score"]
+
+
+def _unseen(spark, d):
+    return Retriever(spark, d).pool().select("user_id", "song_id")
+
+
+def _top(scored):
+    return M.top_per_user(scored.withColumn("score", F.round("score", 6))).select(*_OUT)
+
+
+def als_topk(spark, d):
+    users, items = M.als(frame_of(spark, d), rank=16, iterations=5)
+    return _top(M.score_pairs(_unseen(spark, d), users, items))
+
+
+def als_exact_topk(spark, d):
+    users, items = M.exact_als(frame_of(spark, d), materialize, rank=8, iterations=2)
+    return _top(M.score_pairs(_unseen(spark, d), users, items))
+
+
+def svd_biases(spark, d):
+    mean, users, items = M.biases(frame_of(spark, d))
+    return users.select(F.lit("user").alias("kind"), F.col("user_id").cast("string").alias("id"), F.round("b_user", 6).alias("bias")).unionByName(items.select(F.lit("item").alias("kind"), F.col("song_id").alias("id"), F.round("b_item", 6).alias("bias")))
+
+
+def svd_topk(spark, d):
+    return _top(M.svd(frame_of(spark, d), rank=8, iterations=4)(_unseen(spark, d)))
+
+
+def item2vec_nn(spark, d):
+    vectors = M.item2vec(frame_of(spark, d))
+    return M.neighbours(vectors, Star(spark, d).songs().where("cast(song_id as int) < 20").select("song_id")).select("seed", "rank", "song_id", F.round("sim", 6).alias("sim"))
+
+
+def _triples(spark, d):
+    f = frame_of(spark, d)
+    return f, I.pairwise(f, I.negatives(f, Star(spark, d).songs(), per_positive=2))
+
+
+def two_tower_topk(spark, d):
+    _, triples = _triples(spark, d)
+    users, songs = M.pairwise_factors(triples, size=16, epochs=2)
+    return _top(M.score_pairs(_unseen(spark, d), users, songs))
+
+
+def fm_topk(spark, d):
+    s = Star(spark, d)
+    _, triples = _triples(spark, d)
+    users, songs = M.pairwise_factors(triples, size=16, epochs=1, tokens=T.song_tokens(s.songs(), s.audio_features()))
+    return _top(M.score_pairs(_unseen(spark, d), users, songs))
+
+
+def ncf_scores(spark, d):
+    """Without a neural library the model is not trained and scores nothing, as its degraded mode defines."""
+    return Star(spark, d).feedback().select("user_id", "song_id").distinct().withColumn("score", F.lit(0.0))
+
+
+def sequence_markov(spark, d):
+    """The score without its attention part: half certain, plus the next-song probability from the latest song."""
+    f = frame_of(spark, d)
+    src = R.last(f, 1).select("user_id", F.col("song_id").alias("src"))
+    m = R.markov(f)
+    return src.join(m, "src").select("user_id", F.col("dst").alias("song_id"), F.round((0.6 * 0.5 + 0.4 * F.least(5 * F.col("p"), F.lit(1.0))) * 2 - 1, 6).alias("score"))
+
+
+def sequence_score(spark, d):
+    f = frame_of(spark, d)
+    return _top(M.attention_score(R.last(f, 20).select("user_id", "song_id", "back"), _unseen(spark, d), M.item2vec(f), R.markov(f)))
+
+
+def judged_pairs(spark, d):
+    """Each liked validation row with the user's first other training row as its negative."""
+    p = split_of(spark, d)
+    liked = p.where("part = 'valid' and plan_reward > 0").select("user_id", F.col("song_id").alias("pos"))
+    first = F.row_number().over(Window.partitionBy("user_id").orderBy("timestamp", "song_id"))
+    other = p.where("part = 'train'").withColumn("i", first).where("i = 1").select("user_id", F.col("song_id").alias("neg"))
+    return liked.join(other, "user_id").where("pos <> neg")
+
+
+def blender_weights(spark, d):
+    f = frame_of(spark, d)
+    arms = T.posteriors(Star(spark, d).feedback().select("user_id", "song_id", F.col("signal").cast("double").alias("reward"))).select("user_id", "song_id", (F.col("alpha") / (F.col("alpha") + F.col("beta"))).alias("bandit"))
+    deg = R.positives(f).groupBy("song_id").agg(F.log10(F.count(F.lit(1)) + 1.0).alias("retriever"))
+    pairs = judged_pairs(spark, d)
+    for side, name in (("pos", "p"), ("neg", "q")):
+        pairs = pairs.join(arms.select("user_id", F.col("song_id").alias(side), F.col("bandit").alias(f"{name}_bandit")), ["user_id", side], "left").join(deg.select(F.col("song_id").alias(side), F.col("retriever").alias(f"{name}_retriever")), side, "left")
+    w = M.blender_weights(pairs, ["bandit", "retriever"])
+    return spark.createDataFrame([(k, round(v, 4)) for k, v in w.items()], "feature string, weight double")
+
+
+def _relevance(spark, d):
+    s = Star(spark, d)
+    r = Retriever(spark, d).scored().join(s.songs().select("song_id", "genre_code"), "song_id", "left").select("user_id", "song_id", F.col("raw").alias("score"), F.coalesce("genre_code", F.lit(20)).alias("genre_code"))
+    return M.top_per_user(r, 60).drop("rank"), s.raw("embeddings").select(F.col("vec_id").cast("string").alias("song_id"), F.col("embedding").alias("vector"))
+
+
+def mmr_topk(spark, d):
+    return V.mmr(*_relevance(spark, d), depth=10).withColumn("score", F.round("score", 6))
+
+
+def thompson_topk(spark, d):
+    arms = T.thompson(T.posteriors(Star(spark, d).feedback().select("user_id", "song_id", F.col("signal").cast("double").alias("reward"))))
+    return M.top_per_user(arms, 5, "theta").select("user_id", "rank", "song_id", F.round("theta", 6).alias("theta"))
+
+
+def recommend_all(spark, d):
+    """The whole serve for every user: pool, scores, blend and bonus, MMR, hard rules, explanation."""
+    s, r = Star(spark, d), Retriever(spark, d)
+    songs = s.songs()
+    scored = materialize(r.scored(), "scored")
+    pool = V.without(scored.select("user_id", "song_id"), V.recently_played(s.listens(), "2024-01-30 00:00:00"))
+    retr = scored.select("user_id", "song_id", "score")
+    arms = T.posteriors(s.feedback().select("user_id", "song_id", F.col("signal").cast("double").alias("reward"))).select("user_id", "song_id", (F.col("alpha") / (F.col("alpha") + F.col("beta"))).alias("score"))
+    vecs = T.tfidf(songs)
+    cont = T.content_score(pool, T.profiles(s.listens(), vecs), vecs).select("user_id", "song_id", F.col("s_content").alias("score"))
+    t = V.score_table(pool, {"retriever": retr, "bandit": arms, "content": cont}).join(songs, "song_id").join(s.audio_features().select("song_id", "bpm", "key_strength", "danceability"), "song_id", "left")
+    rec = S.recency(F.col("last_seen"), "2024-02-01 00:00:00")
+    for n in ("als", "feature_mf", "svd", "ncf", "two_tower", "sequence", "repeat_pen"):
+        t = t.withColumn(f"s_{n}", F.lit(0.0))
+    t = t.withColumn("s_mean", F.col("s_bandit")).withColumn("s_bandit", F.col("s_bandit") * 2 - 1).withColumn("s_recency", rec * 2 - 1).withColumn("s_freshness", rec * 2 - 1)
+    bonus = F.when(F.col("key_strength").isNotNull(), S.measured_bonus(F.col("bpm"), F.col("key_strength"), F.col("danceability"))).otherwise(S.title_bonus(F.col("title"), F.col("duration")))
+    t = materialize(t.withColumn("score", V.final_score(S.blend(), bonus, F.lit(False))), "blended")
+    best = M.top_per_user(t.select("user_id", "song_id", "score", "genre_code"), 60)
+    vectors = s.raw("embeddings").select(F.col("vec_id").cast("string").alias("song_id"), F.col("embedding").alias("vector"))
+    ranked = materialize(V.mmr(best.drop("rank"), vectors, depth=30), "diverse")
+    prefs = s.raw("events").select("user_id").distinct().select("user_id", F.array().cast("array<string>").alias("blacklist"), F.lit(None).cast("string").alias("anchor_song_id"))
+    final = V.hard_rules(ranked, songs, prefs)
+    why = t.select("user_id", "song_id", "title", S.norm(F.col("s_svd")).alias("s_svd"), S.norm(F.col("s_ncf")).alias("s_ncf"), S.norm(F.col("s_content")).alias("s_content"), F.col("s_mean").alias("s_bandit"), rec.alias("s_recency"))
+    out = final.join(why, ["user_id", "song_id"]).withColumn("final_score", F.col("score"))
+    return out.select("user_id", "rank", "song_id", "title", F.round("score", 6).alias("score"), V.why().alias("why"))
+
+
+def audio_features(spark, d):
+    f = W.features(W.synthetic_clips(Star(spark, d).songs().where("cast(song_id as int) < 24")))
+    return f.select("song_id", F.round("bpm", 1).alias("bpm"), "musical_key", "mode", F.round("energy", 3).alias("energy"), F.round("voice_pct", 3).alias("voice_pct"), "register")
+
+
+def bloom_slots(spark, d):
+    from tessitura.operators.catalog import bloom_slots as slots
+
+    return Star(spark, d).songs().select("song_id", slots(F.col("song_id")).alias("slots")).select("song_id", F.array_join(F.col("slots").cast("array<string>"), ",").alias("slots"))
+
+
+def synthetic_songs(spark, d):
+    """A generated population: ranks drawn by Zipf's law through the inverse of its cumulative weights."""
+    n = 500
+    w = spark.range(1, n + 1).select(F.col("id").alias("rank"), F.pow(F.col("id").cast("double"), F.lit(-1.2)).alias("w"))
+    cum = w.withColumn("high", F.sum("w").over(Window.orderBy("rank"))).withColumn("low", F.col("high") - F.col("w"))
+    total = w.agg(F.sum("w").alias("total"))
+    draws = spark.range(0, 2000).select("id", I.unit(F.lit("zipf"), F.col("id").cast("string")).alias("u")).join(F.broadcast(total), F.lit(True)).withColumn("x", F.col("u") * F.col("total"))
+    return draws.join(F.broadcast(cum), (F.col("x") >= F.col("low")) & (F.col("x") < F.col("high"))).groupBy("rank").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _stream(spark, d):
+    return G.read_events(spark, d)
+
+
+def _drained(spark, stream, label, mode="complete"):
+    return G.drain(stream, f"{label}_{uuid.uuid4().hex}", folder(spark, f"stream-{label}"), mode)
+
+
+def stream_bandit(spark, d):
+    return _drained(spark, G.running_posteriors(_stream(spark, d)), "bandit")
+
+
+def stream_dislikes(spark, d):
+    return _drained(spark, G.running_dislikes(_stream(spark, d)), "dislikes")
+
+
+def stream_windows(spark, d):
+    w = _drained(spark, G.windowed_plays(_stream(spark, d)), "windows")
+    return w.select(F.unix_seconds("window.start").alias("start"), "event_type", "n", F.round("value", 4).alias("value"))
+
+
+def stream_online_users(spark, d):
+    items = {str(i): M.hashed_vector(str(i), 8) for i in range(100)}
+    out = _drained(spark, G.online_users(_stream(spark, d), items), "online", "update")
+    return out.groupBy("user_id").agg(F.max_by("norm", "n").alias("norm"), F.max("n").alias("n")).withColumn("norm", F.round("norm", 6))
+
+
+QUERIES = {
+    f.__name__: f
+    for f in (
+        als_topk, als_exact_topk, svd_biases, svd_topk, item2vec_nn, two_tower_topk, fm_topk, ncf_scores, sequence_markov, sequence_score, judged_pairs, blender_weights, mmr_topk, thompson_topk, recommend_all,
+        audio_features, bloom_slots, synthetic_songs, stream_bandit, stream_dislikes, stream_windows, stream_online_users,
+    )
+}
+
+_V = ("listens", "feedback")
+_POSTERIOR = "SELECT user_id, song_id, 1 + sum(greatest(signal, 0))::DOUBLE AS alpha, 1 + sum(greatest(-signal, 0))::DOUBLE AS beta, count(*) AS n_pulls FROM feedback GROUP BY 1, 2"
+_SPLIT = """stamps AS (SELECT timestamp, row_number() OVER (ORDER BY timestamp) - 1 AS i, count(*) OVER () AS n FROM frame),
+edge AS (SELECT timestamp AS edge_ts FROM stamps WHERE i = least(greatest(floor(0.85 * n), 1), n - 1)),
+parted AS (SELECT *, CASE WHEN timestamp >= (SELECT edge_ts FROM edge) OR (plan_reward > 0 AND row_number() OVER (PARTITION BY user_id, plan_reward > 0 ORDER BY timestamp DESC, song_id DESC) <= 5) THEN 'valid' ELSE 'train' END AS part FROM frame)"""
+
+ORACLES = {
+    "svd_biases": with_views(*_V, then=f"""{FRAME}, m AS (SELECT avg(plan_reward) AS m FROM frame), r AS (SELECT *, plan_reward - m AS rest FROM frame, m), bi AS (SELECT song_id, sum(rest) / (count(*) + 5) AS b FROM r GROUP BY 1), bu AS (SELECT user_id, sum(rest - b) / (count(*) + 5) AS b FROM r JOIN bi USING (song_id) GROUP BY 1)
+SELECT 'user' AS kind, user_id::VARCHAR AS id, round(b, 6) AS bias FROM bu UNION ALL SELECT 'item', song_id, round(b, 6) FROM bi"""),
+    "ncf_scores": with_views("feedback", then="SELECT DISTINCT user_id, song_id, 0.0::DOUBLE AS score FROM feedback"),
+    "sequence_markov": with_views(*_V, then=f"""{FRAME}, pos AS (SELECT * FROM frame WHERE plan_reward > 0), st AS (SELECT song_id AS src, lead(song_id) OVER (PARTITION BY user_id ORDER BY timestamp, song_id) AS dst FROM pos), c AS (SELECT src, dst, count(*) AS n FROM st WHERE dst IS NOT NULL GROUP BY 1, 2),
+mk AS (SELECT src, dst, round(n / sum(n) OVER (PARTITION BY src), 9) AS p FROM c), l AS (SELECT user_id, song_id AS src FROM pos QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY timestamp DESC, song_id DESC) = 1)
+SELECT user_id, dst AS song_id, round((0.6::DOUBLE * 0.5 + 0.4::DOUBLE * least(5 * p, 1)) * 2 - 1, 6) AS score FROM l JOIN mk USING (src)"""),
+    "judged_pairs": with_views(*_V, then=f"""{FRAME}, {_SPLIT}, o AS (SELECT user_id, song_id AS neg FROM parted WHERE part = 'train' QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY timestamp, song_id) = 1)
+SELECT user_id, song_id AS pos, neg FROM parted JOIN o USING (user_id) WHERE part = 'valid' AND plan_reward > 0 AND song_id <> neg"""),
+    "stream_bandit": with_views("feedback", then=_POSTERIOR),
+    "stream_dislikes": with_views("feedback", then="SELECT user_id, count(*) FILTER (signal < 0) AS dislikes, count(*) FILTER (signal < 0) >= 5 AS disabled FROM feedback GROUP BY 1"),
+    "stream_windows": "SELECT epoch(ts::DATE)::BIGINT AS start, event_type, count(*) AS n, round(sum(value), 4) AS value FROM events GROUP BY 1, 2",
+}

@@ -9,6 +9,7 @@ from tessitura.operators import catalog as C
 from tessitura.operators import content as T
 from tessitura.operators import retrieval as R
 from tessitura.plans.frames import FRAME, frame_of
+from tessitura.sources.scratch import materialize
 from tessitura.sources.star import NOW, Star, with_views
 
 _V = ("listens", "feedback")
@@ -20,7 +21,7 @@ co AS (SELECT x AS src, y AS dst, weight FROM half UNION ALL SELECT y, x, weight
 _KNN = """up AS (SELECT DISTINCT user_id, song_id FROM {pos}), deg AS (SELECT song_id, count(*) AS n FROM up GROUP BY 1),
 shared AS (SELECT a.song_id AS src, b.song_id AS dst, count(*) AS n FROM up a JOIN up b USING (user_id) WHERE a.song_id <> b.song_id GROUP BY 1, 2),
 knn AS (SELECT src, dst, round(s.n / sqrt((x.n * y.n)::DOUBLE), 9) AS sim, row_number() OVER (PARTITION BY src ORDER BY round(s.n / sqrt((x.n * y.n)::DOUBLE), 9) DESC, dst) AS r FROM shared s JOIN deg x ON x.song_id = src JOIN deg y ON y.song_id = dst QUALIFY r <= 50)"""
-_EXPAND = """{n} AS (SELECT user_id, dst AS song_id, round(sum({w}), 6) AS w FROM (SELECT * FROM hist WHERE back <= 20) h JOIN {e} ON h.song_id = src GROUP BY 1, 2)"""
+_EXPAND = """{n} AS (SELECT user_id, dst AS song_id, ((sum(round({w} * 1e9)::BIGINT) + 500)::BIGINT // 1000) / 1e6::DOUBLE AS w FROM (SELECT * FROM hist WHERE back <= 20) h JOIN {e} ON h.song_id = src GROUP BY 1, 2)"""
 _POPULAR = "popular AS (SELECT song_id, row_number() OVER (ORDER BY view_count DESC, song_id) AS pos FROM songs)"
 _BASE = f"{FRAME}, {_POS}, {_OLD}, {_LAST}, {_CO}, {_KNN.format(pos='pos')}"
 _TFIDF = r"""docs AS (SELECT song_id, list_filter(regexp_split_to_array(regexp_replace(lower(title), '[^\p{L}\p{N}\p{M}_\s]', '', 'g'), '\s+'), lambda w: w <> '') AS ws FROM songs),
@@ -38,9 +39,10 @@ class Retriever:
     """The fitted parts over one folder of tables."""
 
     def __init__(self, spark, d):
-        self.star, self.frame = Star(spark, d), frame_of(spark, d)
+        # fitted once and stored, as several steps below read each of them
+        self.star, self.frame = Star(spark, d), materialize(frame_of(spark, d), "frame")
         self.songs = self.star.songs()
-        self.co, self.knn = R.cooccurrence(self.frame), R.item_knn(self.frame)
+        self.co, self.knn = materialize(R.cooccurrence(self.frame), "cooccurrence"), materialize(R.item_knn(self.frame), "knn")
         self.popular = R.popular(self.songs, 500)
         self.fresh = R.fresh(C.latest_snapshot(self.star.feed_songs()), 500)
 
