@@ -95,7 +95,7 @@ class Benchmark:
 def _near(postings: np.ndarray, at: np.ndarray, slop: int) -> np.ndarray:
     """For each position: whether the sorted list has one at most slop away."""
     i = np.searchsorted(postings, at - slop)
-    return postings[np.minimum(i, len(postings) - 1)] - at <= slop if slop == 0 else (i < len(postings)) & (postings[np.minimum(i, len(postings) - 1)] <= at + slop)
+    return (i < len(postings)) & (postings[np.minimum(i, len(postings) - 1)] <= at + slop)
 
 
 def search(lengths: np.ndarray, terms: list[bytes], counts: np.ndarray, postings: np.ndarray, test: Benchmark, slop: int = 0) -> dict[int, list[tuple[int, int, int]]]:

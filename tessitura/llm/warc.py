@@ -17,7 +17,7 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessitura.llm._shared import arrow_limits, col, materialize, partitions, shared_dir
@@ -30,6 +30,8 @@ _BIG = 0xFFFFFFFF
 
 
 def _open(url: str) -> tuple[fs.FileSystem, str]:
+    if url.startswith("file:/") and not url.startswith("file://"):  # as Hadoop writes local URIs
+        url = "file://" + url[5:]
     return fs.FileSystem.from_uri(url)
 
 
@@ -288,5 +290,7 @@ def read_archives(manifest: DataFrame, *, payloads: bool = False) -> DataFrame:
     return manifest.select("path").repartition(partitions(spark)).mapInArrow(run, schema)
 
 
-def archive_folder(spark) -> str:
-    return f"{shared_dir(spark)}/tessitura/warc-{uuid.uuid4().hex}"
+def archive_folder(spark: SparkSession) -> str:
+    """A new folder under the shared one, as a URI with its scheme: outside Spark a bare path would mean a local disk."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessitura/warc-{uuid.uuid4().hex}")
+    return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()
