@@ -91,7 +91,7 @@ def half_life(x: Column, age: Column, half: float) -> Column:
 
 def recency(last_seen: Column, now: str) -> Column:
     hours = F.greatest(age_seconds(last_seen, now) / 3600, F.lit(0.0))
-    return F.coalesce(F.pow(F.lit(0.5), hours / LISTEN_HALFLIFE_HOURS), F.lit(0.3))
+    return F.when(last_seen.isNull(), 0.3).otherwise(F.pow(F.lit(0.5), hours / LISTEN_HALFLIFE_HOURS))
 
 
 def freshness(upload_date: Column, now: str) -> Column:
