@@ -54,11 +54,9 @@ def split(frame: DataFrame, *, quantile: float = 0.85, leave_last: int = 5) -> D
     Guards: if all would be valid, the first half by time is train; if all train, the last fifth is valid.
     """
     at = cutoff(frame, quantile)
-    positive = F.col("plan_reward") > 0
-    # positives first, latest first, so the forced rows are a prefix of each user's window
-    rank = F.row_number().over(Window.partitionBy("user_id", positive).orderBy(F.desc("timestamp"), F.desc("song_id")))
-    forced = positive & (rank <= leave_last)
-    out = frame.withColumn("part", F.when(forced | (F.col("timestamp") >= F.lit(at)), "valid").otherwise("train"))
+    # a top-n window is cut before its shuffle, so a user with very many rows costs n of them
+    forced = leave_last_rows(frame, leave_last).select(*PAIR, F.lit(True).alias("forced"))
+    out = frame.join(forced, PAIR, "left").withColumn("part", F.when(F.col("forced") | (F.col("timestamp") >= F.lit(at)), "valid").otherwise("train")).drop("forced")
     sizes = {r["part"]: r["n"] for r in out.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
     if sizes and len(sizes) == 1:
         (part, n), = sizes.items()
@@ -68,22 +66,22 @@ def split(frame: DataFrame, *, quantile: float = 0.85, leave_last: int = 5) -> D
     return out
 
 
-def leave_last(frame: DataFrame, n: int = 5) -> DataFrame:
+def leave_last_rows(frame: DataFrame, n: int = 5) -> DataFrame:
     """Each user's last n positives."""
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("timestamp"), F.desc("song_id")))
     return frame.where("plan_reward > 0").withColumn("r", rank).where(F.col("r") <= n).drop("r")
 
 
 def fingerprint(frame: DataFrame, value: Column | None = None) -> DataFrame:
-    """16 hex digits over ``user|song|value`` lines in order; the value is the whole second unless given.
+    """16 hex digits that stand for the set of ``user|song|value`` lines; the value is the whole second unless given.
 
-    Lines are hashed by user first, then the users' hashes: no task gathers the table.
+    SHA-256 of the number of lines and of their MD5s, combined by exclusive or: any order gives the same, nothing can
+    overflow, and it combines map-side, so neither a user nor a task has to gather its lines.
     """
     v = F.round(F.unix_micros("timestamp") / 1e6).cast("long").cast("string") if value is None else value
-    line = F.concat_ws("|", F.col("user_id").cast("string"), "song_id", v)
-    by_user = frame.groupBy("user_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(line)), "\n"), 256).alias("h"))
-    digests = by_user.groupBy(F.pmod("user_id", F.lit(256)).alias("b")).agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("user_id", "h"))), lambda x: x.h), "\n"), 256).alias("h"))
-    return digests.agg(F.substring(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("b", "h"))), lambda x: x.h), "\n"), 256), 1, 16).alias("frame_hash"), F.lit(None).cast("long").alias("n")).select("frame_hash")
+    md5 = F.md5(F.concat_ws("|", F.col("user_id").cast("string"), "song_id", v))
+    words = [F.coalesce(F.bit_xor(F.conv(F.substring(md5, at, 8), 16, 10).cast("long")), F.lit(0)) for at in (1, 9, 17, 25)]
+    return frame.agg(F.substring(F.sha2(F.concat_ws("|", F.count(F.lit(1)), *words), 256), 1, 16).alias("frame_hash"))
 
 
 def unit(*parts: Column) -> Column:

@@ -60,7 +60,7 @@ def temporal_split(spark, d):
 
 
 def leave_last_n(spark, d):
-    return I.leave_last(frame_of(spark, d), 5).select("user_id", "song_id", "timestamp")
+    return I.leave_last_rows(frame_of(spark, d), 5).select("user_id", "song_id", "timestamp")
 
 
 def split_fingerprint(spark, d):
@@ -119,9 +119,9 @@ def eval_mixture(spark, d):
 QUERIES = {f.__name__: f for f in (interaction_frame, interaction_frame_legacy_alias, temporal_split, leave_last_n, split_fingerprint, frame_hash, negatives_hash, pairwise_triples, recall_ndcg_hit, coverage_novelty, genre_hitrate, promotion, eval_mixture)}
 
 _V = ("listens", "feedback")
-_PRINT = """lines AS (SELECT user_id, sha256(string_agg(line, chr(10) ORDER BY line)) AS h FROM (SELECT user_id, user_id || '|' || song_id || '|' || {v} AS line FROM {t}) GROUP BY user_id),
-tiers AS (SELECT user_id % 256 AS b, sha256(string_agg(h, chr(10) ORDER BY user_id)) AS h FROM lines GROUP BY 1)
-SELECT substring(sha256(string_agg(h, chr(10) ORDER BY b)), 1, 16) AS frame_hash FROM tiers"""
+_PRINT = """lines AS (SELECT md5(user_id || '|' || song_id || '|' || {v}) AS h FROM {t}),
+sums AS (SELECT count(*) AS n, bit_xor(('0x' || substring(h, 1, 8))::BIGINT) AS a, bit_xor(('0x' || substring(h, 9, 8))::BIGINT) AS b, bit_xor(('0x' || substring(h, 17, 8))::BIGINT) AS c, bit_xor(('0x' || substring(h, 25, 8))::BIGINT) AS d FROM lines)
+SELECT substring(sha256(concat_ws('|', n, a, b, c, d)), 1, 16) AS frame_hash FROM sums"""
 _U = "((('0x' || substring(md5('neg|{k}|' || user_id || '|' || song_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)"
 _NEG = f"""pool AS (SELECT song_id, log10(greatest(view_count, 10)) AS w FROM songs ORDER BY md5('neg' || song_id), song_id LIMIT 200),
 likers AS (SELECT user_id, count(*) FILTER (plan_reward > 0) AS n FROM frame GROUP BY user_id HAVING n > 0),
