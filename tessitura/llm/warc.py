@@ -1,7 +1,7 @@
 """Web archives as ZIP packages: write WARC records as stored members with an index, read them back by range.
 
-An archive holds ``archive/data.warc`` (plain WARC/1.1 records, stored, so a record can be read by its byte range)
-and ``indexes/index.tsv`` (a line a record: key, offset, length). A reader needs the end of the file to find the
+An archive holds ``archive/data.warc.gz`` (WARC/1.1 records, each a gzip member of its own and the file stored, so a
+record can be read by its byte range) and ``indexes/index.tsv`` (a line a record: key, offset, length). A reader needs the end of the file to find the
 central directory (ZIP64 records included), the index member to find records, and then only the ranges it wants;
 nothing is unpacked. Each task writes archives of its own under the shared folder through pyarrow's file systems,
 under names that no other attempt uses, and only a finished task's archives enter the manifest.
@@ -22,7 +22,8 @@ from pyspark.sql import functions as F
 
 from tessitura.llm._shared import arrow_limits, col, materialize, partitions, shared_dir
 
-DATA, INDEX = "archive/data.warc", "indexes/index.tsv"
+DATA, INDEX = "archive/data.warc.gz", "indexes/index.tsv"
+LEVEL = 3  # of gzip
 ARCHIVE_BYTES = 256 << 20
 RANGE_BYTES = 4 << 20  # records are read in runs of about this size
 REVISIT_FROM = 1000
@@ -143,6 +144,12 @@ def record(key: str, uri: str, payload: bytes, digest: str, refers_to: str | Non
     return "\r\n".join(head).encode() + b"\r\n\r\n" + block + b"\r\n\r\n"
 
 
+def pack(data: bytes) -> bytes:
+    """One gzip member, without a time stamp."""
+    z = zlib.compressobj(LEVEL, zlib.DEFLATED, 31)
+    return z.compress(data) + z.flush()
+
+
 def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     """WARC headers, HTTP headers and payload of one record."""
     head, _, rest = data.partition(b"\r\n\r\n")
@@ -206,7 +213,7 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
             for key, uri, body, digest, refers in zip(*(c.to_pylist() for c in batch.columns)):
                 if current is None:
                     current = start()
-                data = record(key, _clean(uri), body, digest, refers)
+                data = pack(record(key, _clean(uri), body, digest, refers))
                 offset = current[2].write(data)
                 current[3].append(f"{key}\t{offset}\t{len(data)}\n".encode())
                 if offset + len(data) >= archive_bytes:
@@ -232,7 +239,7 @@ class _File:
 
 
 def records_of(url: str, range_bytes: int = RANGE_BYTES) -> Iterator[tuple[str, bytes]]:
-    """(index key, record bytes) of an archive, read by ranges that follow its index."""
+    """(index key, record bytes) of an archive, read by ranges that follow its index and unpacked one by one."""
     source = _File(url)
     with source.file:
         zipped = ZipReader(source)
@@ -249,7 +256,7 @@ def records_of(url: str, range_bytes: int = RANGE_BYTES) -> Iterator[tuple[str,
                 raise ValueError(f"index of {url} points past its member")
             run = source.read_at(last - first, base + first)
             for key, offset, length in places[i:j]:
-                yield key, run[offset - first : offset - first + length]
+                yield key, zlib.decompress(run[offset - first : offset - first + length], 31)
             i = j
 
 

@@ -1,5 +1,6 @@
 """Decontamination, WARC packages and token counts."""
 
+import gzip
 import hashlib
 import random
 import struct
@@ -91,7 +92,8 @@ def test_archives_are_zip_files(spark, pages):
     for r in warc.write_archives(pages, warc.archive_folder(spark)).collect():
         with zipfile.ZipFile(r["path"].removeprefix("file:")) as z:
             assert z.testzip() is None and z.namelist() == [warc.DATA, warc.INDEX]
-            assert z.read(warc.DATA).startswith(b"WARC/1.1\r\n")
+            assert all(i.compress_type == zipfile.ZIP_STORED for i in z.infolist())
+            assert gzip.decompress(z.read(warc.DATA)).count(b"WARC/1.1\r\n") == r["n_records"]
 
 
 class Bytes:
