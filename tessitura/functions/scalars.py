@@ -332,3 +332,22 @@ def caption(bpm: Column, key: Column, mode: Column, valence: Column, energy_: Co
 
 def interval_words(seconds: Column) -> Column:
     return F.when(seconds % 3600 == 0, F.concat((seconds / 3600).cast("int").cast("string"), F.lit("h"))).when(seconds % 60 == 0, F.concat((seconds / 60).cast("int").cast("string"), F.lit("m"))).otherwise(F.concat(seconds.cast("string"), F.lit("s")))
+
+
+#: Why music moves people: topic to (claim, mathematics), in our own words.
+CLAIMS: dict[str, tuple[str, str]] = {
+    "consonance": ("Notes whose frequencies form small ratios blend.", "Euler's gradus counts the prime factors of a ratio's least common multiple."),
+    "entrainment": ("Bodies fall in with a pulse near walking pace.", "A Gaussian around 120 beats a minute, 35 wide."),
+    "proportion": ("Climaxes just past the middle feel right.", "The golden section lies at 0.618 of a track."),
+    "replay": ("Few songs get most of the plays.", "Zipf: plays fall with rank to the power -1.2."),
+    "keys": ("Neighbouring keys share most of their notes.", "Steps on the circle of fifths, six at most."),
+}
+
+
+def track_reasons(title: Column, seconds: Column, channel: Column) -> Column:
+    """What speaks for a track by its title, length and artist; never empty."""
+    found = F.array_compact(F.array(
+        F.when(title_consonance(title) > 0.6, F.lit("consonant")), F.when(groove(title, seconds) > 0.65, F.lit("danceable")),
+        F.when(F.lower(title).rlike("anthem|chorus|sing"), F.lit("singable")), F.when(F.trim(F.coalesce(channel, F.lit(""))) != "", F.concat(F.lit("voice of "), channel)),
+    ))
+    return F.when(F.size(found) == 0, F.array(F.lit("melodic"))).otherwise(found)

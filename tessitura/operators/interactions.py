@@ -66,6 +66,17 @@ def split(frame: DataFrame, *, quantile: float = 0.85, leave_last: int = 5) -> D
     return out
 
 
+def running_average(feedback: DataFrame) -> DataFrame:
+    """Signals of a (user, song) by id, each halved into the average so far: the latest weighs half.
+
+    A pair gathers its own signals only.
+    """
+    ordered = F.transform(F.array_sort(F.collect_list(F.struct("id", "signal"))), lambda x: x.signal.cast("double"))
+    pairs = feedback.groupBy(*PAIR).agg(ordered.alias("s"))
+    rest = F.slice("s", F.lit(2), F.greatest(F.size("s") - 1, F.lit(0)))
+    return pairs.select(*PAIR, F.aggregate(rest, F.get("s", F.lit(0)), lambda a, b: (a + b) / 2).alias("average"))
+
+
 def leave_last_rows(frame: DataFrame, n: int = 5) -> DataFrame:
     """Each user's last n positives."""
     rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("timestamp"), F.desc("song_id")))

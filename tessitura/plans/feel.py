@@ -117,10 +117,20 @@ def zipf_prior(spark, d):
     return s.select("song_id", F.round(S.zipf_prior(F.col("song_id").cast("int"), F.lit(200)), 6).alias("prior"), S.interval_words(F.col("duration") * 60).alias("spoken"))
 
 
+def track_reasons(spark, d):
+    t = F.concat("title", F.when(F.length("title") % 2 == 0, F.lit(" chorus choir")).otherwise(F.lit(" dance party")))
+    c = F.when(F.col("genre_code") < 10, F.col("channel"))
+    return Star(spark, d).songs().select("song_id", F.array_join(S.track_reasons(t, F.col("duration"), c), "; ").alias("reasons"))
+
+
+def claims(spark, d):
+    return spark.createDataFrame([(k, *v) for k, v in S.CLAIMS.items()], "topic string, claim string, mathematics string")
+
+
 QUERIES = {
     f.__name__: f
     for f in (
-        taste_nodes, taste_edges, taste_profile, emotion_now, emotion_recent, streaks, weekly_digest, feel_like, feel_like_mood, nearest_vectors, lyric_lines, lyric_sections, captions, agent_brief, heard_library, dossier,
+        track_reasons, claims, taste_nodes, taste_edges, taste_profile, emotion_now, emotion_recent, streaks, weekly_digest, feel_like, feel_like_mood, nearest_vectors, lyric_lines, lyric_sections, captions, agent_brief, heard_library, dossier,
         intervals, fifth_distances, tempo_fit, zipf_prior,
     )
 }
@@ -145,7 +155,12 @@ _FLAT = "CASE {k} WHEN 'G#' THEN 'Ab' WHEN 'D#' THEN 'Eb' WHEN 'A#' THEN 'Bb' EL
 _STEPS = "CASE WHEN {a} = 0 OR {b} = 0 THEN 6 ELSE least(abs({a} - {b}), 12 - abs({a} - {b})) END"
 _PHI = repr(S.GOLDEN) + "::DOUBLE"
 
+_DANCE = "least(1, 0.7::DOUBLE * (0.5 + 0.25::DOUBLE * 1.9) + 0.3::DOUBLE * exp(-0.5::DOUBLE * pow((duration / 60.0::DOUBLE - 3.5) / 2, 2)))"
+
 ORACLES = {
+    "track_reasons": with_views("songs", then=f"""t AS (SELECT *, length(title) % 2 = 0 AS even, len(regexp_extract_all(lower(title), '[a-z]+')) + 2 AS n FROM songs)
+SELECT song_id, coalesce(nullif(array_to_string(list_filter([CASE WHEN even AND 0.5 + 1.7::DOUBLE / n * 0.5 > 0.6 THEN 'consonant' END, CASE WHEN NOT even AND {_DANCE} > 0.65 THEN 'danceable' END, CASE WHEN even THEN 'singable' END, CASE WHEN genre_code < 10 THEN 'voice of ' || channel END], lambda x: x IS NOT NULL), '; '), ''), 'melodic') AS reasons FROM t"""),
+    "claims": "SELECT * FROM (VALUES " + ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in (k, *v)) + ")" for k, v in S.CLAIMS.items()) + ") t(topic, claim, mathematics)",
     "taste_nodes": with_views("audio", then=f"SELECT 't:' || song_id AS id, 'track' AS kind, song_id AS label FROM audio UNION ALL SELECT DISTINCT 'key:' || musical_key || '-' || mode, 'key', musical_key || '-' || mode FROM audio UNION ALL SELECT DISTINCT 'mood:' || {_MOOD}, 'mood', {_MOOD} FROM audio"),
     "taste_edges": with_views(*_V, then=f"""st AS (SELECT song_id AS a, lead(song_id) OVER (PARTITION BY user_id ORDER BY ts, id) AS b FROM ledger), s AS (SELECT a, b, count(*) AS n FROM st WHERE a <> b GROUP BY 1, 2)
 SELECT 't:' || song_id AS a, 'key:' || musical_key || '-' || mode AS b, 'in-key' AS kind, 1.0::DOUBLE AS w FROM audio UNION ALL SELECT 't:' || song_id, 'mood:' || {_MOOD}, 'feels', 1.0 FROM audio

@@ -71,6 +71,10 @@ def frame_hash(spark, d):
     return I.fingerprint(frame_of(spark, d), F.format_string("%.2f", "reward"))
 
 
+def running_average(spark, d):
+    return I.running_average(Star(spark, d).feedback()).withColumn("average", F.round("average", 9))
+
+
 def negatives_hash(spark, d):
     return I.negatives(frame_of(spark, d), Star(spark, d).songs())
 
@@ -116,7 +120,7 @@ def eval_mixture(spark, d):
     return s.select("song_id", F.round(S.weighted(S.EVAL_MIXTURE), 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (interaction_frame, interaction_frame_legacy_alias, temporal_split, leave_last_n, split_fingerprint, frame_hash, negatives_hash, pairwise_triples, recall_ndcg_hit, coverage_novelty, genre_hitrate, promotion, eval_mixture)}
+QUERIES = {f.__name__: f for f in (interaction_frame, interaction_frame_legacy_alias, temporal_split, leave_last_n, split_fingerprint, frame_hash, running_average, negatives_hash, pairwise_triples, recall_ndcg_hit, coverage_novelty, genre_hitrate, promotion, eval_mixture)}
 
 _V = ("listens", "feedback")
 _PRINT = """lines AS (SELECT md5(user_id || '|' || song_id || '|' || {v}) AS h FROM {t}),
@@ -144,6 +148,9 @@ ORACLES = {
     "leave_last_n": with_views(*_V, then=f"{FRAME}\nSELECT user_id, song_id, timestamp FROM frame WHERE plan_reward > 0 QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY timestamp DESC, song_id DESC) <= 5"),
     "split_fingerprint": with_views(*_V, then=f"{FRAME}, {SPLIT}, {_PRINT.format(v='round(epoch_us(timestamp) / 1e6)::BIGINT', t=chr(40) + 'SELECT * FROM parted WHERE part = ' + chr(39) + 'train' + chr(39) + chr(41))}"),
     "frame_hash": with_views(*_V, then=f"{FRAME}, {_PRINT.format(v='printf(' + chr(39) + '%.2f' + chr(39) + ', reward)', t='frame')}"),
+    "running_average": with_views("feedback", then="""s AS (SELECT user_id, song_id, signal::DOUBLE AS x, row_number() OVER (PARTITION BY user_id, song_id ORDER BY id) AS i FROM feedback),
+a AS (SELECT user_id, song_id, i, x FROM s WHERE i = 1 UNION ALL SELECT s.user_id, s.song_id, s.i, (a.x + s.x) / 2 FROM a JOIN s ON s.user_id = a.user_id AND s.song_id = a.song_id AND s.i = a.i + 1)
+SELECT user_id, song_id, round(max_by(x, i), 9) AS average FROM a GROUP BY 1, 2"""),
     "negatives_hash": with_views(*_V, "songs", then=f"{FRAME}, {_NEG}\nSELECT * FROM negs"),
     "pairwise_triples": with_views(*_V, "songs", then=f"""{FRAME}, {_NEG},
 p AS (SELECT user_id, song_id AS pos, row_number() OVER (PARTITION BY user_id ORDER BY timestamp, song_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM frame WHERE plan_reward > 0),
