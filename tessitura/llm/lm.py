@@ -3,10 +3,12 @@
     P(word | history) = P(class of word | history) * P(word | class)
 
 The class softmax is log-linear in hashed features of the history: the last word, the last two, and the words two
-and three back (skips). Classes group frequent words of similar spelling; one class stands for all other words,
+and three back (skips). Classes group frequent words that follow alike words and are spelled alike; one class stands
+for all other words,
 which are spelled byte by byte, so every text has a probability. Word counts cover all training documents; the
 feature weights are trained by gradient updates in every partition at once, each from the same start, and averaged
-by the tokens they saw. Scoring adds weight rows picked by feature number (sparse) in blocks of numpy.
+by the tokens they saw. Scoring adds weight rows picked by feature number (sparse) in blocks of numpy. Texts are cut into words once and stored as word numbers, which
+the passes for classes, training and scoring read.
 
 The base score is add-one unigram. The counts of the ``TOP`` most frequent words go to the tasks; the words of a
 text that are not among these are joined with the full count table, so it is exact at any vocabulary size.
@@ -22,6 +24,7 @@ from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -31,12 +34,13 @@ from tessitura.llm._shared import arrow_limits, col, materialize
 END = b""  # the token after a text's last word; no word is empty
 TOP = 200_000
 VOCABULARY = 20_000  # of the top words, those that have a class of their own kind
+CLUSTERED, ANCHORS, REACH = 8_000, 32, 3  # words whose neighbours are counted: the ANCHORS most frequent words up to REACH before them
 BY_NAME = 2_000  # of these, those that are features by name; others are features by their last 3 bytes
 CLASSES, OTHER, CLOSING = 32, 0, 1
 BUCKETS_LOG2, FEATURES = 13, 4
 BLOCK = 8192  # tokens of a gradient update, and of a scoring step
 RATE = 0.1
-SPELL_LOG2, SYMBOLS, ORDERS = 15, 64, (5, 3, 1)
+SPELL_LOG2, SYMBOLS, ORDERS = 14, 64, (5, 3, 1)
 FLUSH = 200_000
 _PARTS = 8  # a weight table travels in so many pieces
 
@@ -198,11 +202,17 @@ def spell(found: list[bytes], model: Spelling) -> np.ndarray:
     return np.add.reduceat(np.log10(p) + model.share[flat], begins)
 
 
-class Model(NamedTuple):
+class Lexicon(NamedTuple):
     total: int  # N: training tokens
     distinct: int  # V: distinct training tokens
     top: list[bytes]  # END, then the most frequent words
     counts: np.ndarray  # theirs
+
+
+class Model(NamedTuple):
+    total: int
+    distinct: int
+    counts: np.ndarray
     classes: np.ndarray  # class of each top word
     within: np.ndarray  # log10 P(word | class) of each top word
     feature: np.ndarray  # history number of each top word
@@ -213,86 +223,166 @@ class Model(NamedTuple):
     novel: float  # share of class OTHER that is spelled
 
 
-def _group(found: list[bytes], counts: np.ndarray, groups: int) -> np.ndarray:
-    """Spherical k-means of words by hashed byte pairs, from evenly spaced ranks; the same input gives the same groups."""
-    x = np.zeros((len(found), 128), np.float32)
+def lexicon(counts: DataFrame, top: int = TOP) -> Lexicon:
+    """The driver receives the ``top`` most frequent words."""
+    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
+    rows = counts.where("word <> ''").orderBy(F.desc("n"), "word").limit(top).toArrow()
+    end = counts.where("word = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    found = [END] + rows.column("word").cast(pa.binary()).to_pylist()
+    return Lexicon(total, distinct, found, np.r_[float(end), rows.column("n").to_numpy().astype(float)])
+
+
+def encode(docs: DataFrame, words_of: Lexicon, learn_from: Column, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Store and return ``row, __id, learn, ids, rare``, a row a text.
+
+    ids: the numbers of its words in the lexicon as int32 bytes, -1 for others; rare: those others, in order. row: a
+    number of the row, unique in this table.
+    """
+    shipped = docs.sparkSession.sparkContext.broadcast(words_of.top)
+    source = docs.select(col(id_col).alias("__id"), col(text_col).alias("__text"), F.coalesce(learn_from, F.lit(False)).alias("learn"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index, row = {w: i for i, w in enumerate(shipped.value)}, TaskContext.get().partitionId() << 40
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            found, ends = [], [0]
+            for text in _raw(batch.column(1)):
+                found += words(text)
+                ends.append(len(found))
+            ids = np.fromiter(map(index.get, found, repeat(-1)), np.int32, len(found))
+            new = np.flatnonzero(ids < 0)
+            rare = pa.array([found[i] for i in new.tolist()], pa.binary()).cast(pa.string())
+            rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(new, ends).astype(np.int32)), rare)
+            raw = ids.tobytes()
+            pieces = pa.array([raw[4 * a : 4 * b] for a, b in zip(ends, ends[1:])], pa.binary())
+            rows = pa.array(range(row, row + batch.num_rows), pa.int64())
+            row += batch.num_rows
+            yield pa.RecordBatch.from_arrays([rows, batch.column(0), batch.column(2), pieces, rare], names=["row", "__id", "learn", "ids", "rare"])
+
+    kind = source.schema["__id"].dataType.simpleString()
+    return materialize(source.mapInArrow(run, f"row long, __id {kind}, learn boolean, ids binary, rare array<string>"), "lm-tokens")
+
+
+def _flat(pieces: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All word numbers of a column of ids, and the lengths of its texts."""
+    raw = pieces.to_pylist()
+    return np.frombuffer(b"".join(raw), np.int32), np.fromiter(map(len, raw), np.int64, len(raw)) // 4
+
+
+def _before(at: np.ndarray, values: np.ndarray, k: int, none) -> np.ndarray:
+    """The value k places back in the same text."""
+    return np.where(at >= k, np.roll(values, k), none)
+
+
+def _places(lengths: np.ndarray) -> np.ndarray:
+    return np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+
+
+def neighbour_counts(tokens: DataFrame, rows: int) -> np.ndarray:
+    """[word, anchor]: how often each of the first CLUSTERED words has each anchor up to REACH places before it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(CLUSTERED * ANCHORS, np.int64)
+        for batch in batches:
+            ids, lengths = _flat(batch.column(0))
+            at = _places(lengths)
+            for k in range(1, REACH + 1):
+                before = _before(at, ids, k, -1)
+                use = (ids > 0) & (ids <= CLUSTERED) & (before > 0) & (before <= ANCHORS)
+                seen += np.bincount((ids[use] - 1) * ANCHORS + before[use] - 1, minlength=len(seen))
+        filled = np.flatnonzero(seen)
+        yield pa.RecordBatch.from_arrays([pa.array(filled.astype(np.int32)), pa.array(seen[filled])], names=["cell", "n"])
+
+    found = tokens.where("learn").select("ids").mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).toArrow()
+    seen = np.zeros(CLUSTERED * ANCHORS)
+    seen[found.column("cell").to_numpy()] = found.column("n").to_numpy()
+    return seen.reshape(CLUSTERED, ANCHORS)[:rows]
+
+
+def _unit(x: np.ndarray) -> np.ndarray:
+    return x / (np.linalg.norm(x, axis=1, keepdims=True) + 1e-9)
+
+
+def _group(found: list[bytes], counts: np.ndarray, neighbours: np.ndarray, groups: int) -> np.ndarray:
+    """Spherical k-means by neighbours and hashed byte pairs, from evenly spaced ranks; the same input, the same groups.
+
+    Words after the counted ones join the group whose spelling is nearest.
+    """
+    if len(found) <= groups:
+        return np.arange(len(found))
+    spelled = np.zeros((len(found), 128), np.float32)
     for i, w in enumerate(found):
         padded = b"^" + w + b"$"
         for a, b in zip(padded, padded[1:]):
-            x[i, (a * 31 + b * 17) % 128] += 1
-    x /= np.linalg.norm(x, axis=1, keepdims=True) + 1e-9
-    if len(found) <= groups:
-        return np.arange(len(found))
-    centre = x[np.linspace(0, len(found) - 1, groups).astype(int)]
-    weight = np.sqrt(counts)[:, None].astype(np.float32)
-    for _ in range(8):
+            spelled[i, (a * 31 + b * 17) % 128] += 1
+    spelled = _unit(spelled)
+    m = len(neighbours)
+    share = neighbours / np.sqrt(neighbours.sum(axis=0) + 1)
+    x = _unit(np.hstack([0.5 * spelled[:m], _unit(share.astype(np.float32))]))
+    if m <= groups:
+        x, m = spelled, len(found)
+    weight = np.sqrt(counts[:m])[:, None].astype(np.float32)
+    centre = x[np.linspace(0, m - 1, groups).astype(int)]
+    near = None
+    for _ in range(12):
         near = (x @ centre.T).argmax(axis=1)
-        centre = np.stack([(x * weight)[near == g].sum(axis=0) if (near == g).any() else centre[g] for g in range(groups)])
-        centre /= np.linalg.norm(centre, axis=1, keepdims=True) + 1e-9
-    return (x @ centre.T).argmax(axis=1)
+        centre = _unit(np.stack([(x * weight)[near == g].sum(axis=0) if (near == g).any() else centre[g] for g in range(groups)]))
+    near = (x @ centre.T).argmax(axis=1)
+    alike = _unit(np.stack([(spelled[:m] * weight)[near == g].sum(axis=0) for g in range(groups)]))
+    return np.r_[near, (spelled[m:] @ alike.T).argmax(axis=1)]
 
 
 def _history(found: list[bytes], named: bool) -> np.ndarray:
     return np.array([zlib.crc32(w if named else b"~" + w[-3:]) for w in found], np.uint64).reshape(-1)
 
 
-def start_model(counts: DataFrame, *, top: int = TOP, vocabulary: int = VOCABULARY) -> Model:
-    """The untrained model: counts, classes and spelling. The driver receives the ``top`` most frequent words."""
-    total, distinct = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count(F.lit(1))).first()
-    rows = counts.where("word <> ''").orderBy(F.desc("n"), "word").limit(top).collect()
-    end = counts.where("word = ''").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
-    found = [END] + [r["word"].encode() for r in rows]
-    n = np.array([end] + [r["n"] for r in rows], np.float64)
+def start_model(counts: DataFrame, known: Lexicon, tokens: DataFrame, *, vocabulary: int = VOCABULARY) -> Model:
+    """The untrained model: classes, counts within them, and spelling."""
+    found, n = known.top, known.counts
     v = min(vocabulary, len(found))
     classes = np.full(len(found), OTHER)
     classes[0] = CLOSING
     if v > 1:
-        classes[1:v] = 2 + _group(found[1:v], n[1:v], CLASSES - 2)
+        classes[1:v] = 2 + _group(found[1:v], n[1:v], neighbour_counts(tokens, min(CLUSTERED, v - 1)), CLASSES - 2)
     mass = np.bincount(classes[:v], weights=n[:v], minlength=CLASSES)
-    mass[OTHER] = total - n[:v].sum()
+    mass[OTHER] = known.total - n[:v].sum()
     # of class OTHER, the share of words met once is that of words not met before (Good and Turing)
     once = counts.where("n = 1 and word <> ''").count() - int((n[1:v] == 1).sum())
     novel = float(np.clip(once / mass[OTHER], 0.01, 0.99)) if mass[OTHER] > 0 else 1.0
     seen = (1 - novel) / mass[OTHER] if mass[OTHER] > 0 else 0.0
     spelling = train_spelling(counts, set(found[:v]), *alphabet(found))
     within = np.log10(np.maximum(n, 1) / np.maximum(mass[classes], 1))
-    within[v:] = np.log10(seen * n[v:] + novel * 10.0 ** spell(found[v:], spelling))
+    for i in range(v, len(found), 20_000):
+        j = min(i + 20_000, len(found))
+        within[i:j] = np.log10(seen * n[i:j] + novel * 10.0 ** spell(found[i:j], spelling))
     named = min(BY_NAME, v)
     feature = np.r_[_history(found[:named], True), _history(found[named:], False)]
-    bias = np.log((mass + 1) / (total + CLASSES))
-    return Model(total, distinct, found, n, classes, within, feature, bias, np.zeros((1 << BUCKETS_LOG2, CLASSES), np.float32), spelling, seen, novel)
+    bias = np.log((mass + 1) / (known.total + CLASSES))
+    return Model(known.total, known.distinct, n, classes, within, feature, bias, np.zeros((1 << BUCKETS_LOG2, CLASSES), np.float32), spelling, seen, novel)
 
 
 def _features(numbers: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     """Feature buckets of each token's history, FEATURES a token."""
-    at = np.arange(len(numbers)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    one, two, three = (np.where(at >= k, np.roll(numbers, k), np.uint64(0)) for k in (1, 2, 3))
+    at = _places(lengths)
+    one, two, three = (_before(at, numbers, k, np.uint64(0)) for k in (1, 2, 3))
     mixed = (one + np.uint64(1) << np.uint64(34), (one << np.uint64(31)) + two + (np.uint64(1) << np.uint64(63)), two + (np.uint64(5) << np.uint64(40)), three + (np.uint64(9) << np.uint64(40)))
     return np.stack([((m ^ m >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int32) for m in mixed], axis=1)
 
 
 class Scorer:
-    """A model in a task, with the word table it needs."""
+    """A model in a task."""
 
     def __init__(self, model: Model):
         self.model = model
-        self.index = {w: i for i, w in enumerate(model.top)}
         self.log_count = np.log10((model.counts + 1) / (model.total + model.distinct + 1))
-        self.v = int((model.classes != OTHER).sum())
-
-    def flat(self, texts: list[bytes | None]):
-        found, lengths = [], np.empty(len(texts), np.int64)
-        for i, t in enumerate(texts):
-            w = words(t)
-            lengths[i] = len(w)
-            found += w
-        ids = np.fromiter(map(self.index.get, found, repeat(-1)), np.int32, len(found))
-        new = np.flatnonzero(ids < 0)
+
+    def flat(self, pieces: pa.Array, rare: list[bytes]):
+        """Word numbers, text lengths, features and classes of a batch; rare: its words that have no number."""
+        ids, lengths = _flat(pieces)
         numbers = self.model.feature[ids]  # -1 picks some number; mended next
-        if len(new):
-            numbers[new] = _history([found[i] for i in new.tolist()], False)
-        classes = np.where(ids < 0, OTHER, self.model.classes[ids])
-        return found, lengths, ids, new, _features(numbers, lengths), classes
+        numbers[ids < 0] = _history(rare, False)
+        return ids, lengths, _features(numbers, lengths), np.where(ids < 0, OTHER, self.model.classes[ids])
 
     def log_class(self, features: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """Natural log P(class | history) of each token's class."""
@@ -307,24 +397,27 @@ class Scorer:
             out[i : i + BLOCK] = z[np.arange(len(y)), y] - np.log(np.exp(z).sum(axis=1))
         return out
 
-    def score(self, texts: list[bytes | None]):
+    def score(self, pieces: pa.Array, rare: list[bytes]):
         """Per text: tokens, known top tokens, base score of top tokens, model score without P(word | class) of the
-        other tokens; and these others: where each text's begin, the words, their spelling's log10 probability."""
-        found, lengths, ids, new, features, classes = self.flat(texts)
+        rare tokens; and the rare words' log10 probabilities of spelling."""
+        ids, lengths, features, classes = self.flat(pieces, rare)
         begins = np.cumsum(lengths) - lengths
-        inside = np.where(ids < 0, 0.0, self.model.within[ids])
-        scores = np.add.reduceat(self.log_class(features, classes) / np.log(10) + inside, begins)
+        scores = np.add.reduceat(self.log_class(features, classes) / np.log(10) + np.where(ids < 0, 0.0, self.model.within[ids]), begins)
         base = np.where(ids < 0, 0.0, self.log_count[ids])
         known = (ids >= 0) & (self.model.counts[ids] > 0)
-        rare = [found[i] for i in new.tolist()]
         distinct = sorted(set(rare))
         spelled = dict(zip(distinct, spell(distinct, self.model.spelling).tolist()))
-        others = (np.searchsorted(new, np.r_[begins, len(ids)]), rare, [spelled[w] for w in rare])
-        return lengths, np.add.reduceat(known.astype(np.int64), begins), np.add.reduceat(base, begins), scores, others
+        return lengths, np.add.reduceat(known.astype(np.int64), begins), np.add.reduceat(base, begins), scores, [spelled[w] for w in rare]
 
 
-def train(texts: DataFrame, model: Model) -> Model:
-    """One pass of Adagrad over the texts in every partition, from zero weights; returns the token-weighted average."""
+def _rare(column: pa.Array) -> list[bytes]:
+    return column.flatten().cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
+
+
+def train(tokens: DataFrame, model: Model) -> Model:
+    """One pass of Adagrad over the texts to learn from in every partition, from zero weights; returns the
+    token-weighted average."""
+    texts = tokens.where("learn").select("ids", "rare")
     shipped = texts.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -333,7 +426,7 @@ def train(texts: DataFrame, model: Model) -> Model:
         seen, squares = 0, np.full(w.shape, 1e-2, np.float32)
         bias = shipped.value.bias.astype(np.float32)
         for batch in batches:
-            *_, features, classes = scorer.flat(_raw(batch.column(0))) if batch.num_rows else ([], [])
+            *_, features, classes = scorer.flat(batch.column(0), _rare(batch.column(1)))
             for i in range(0, len(features), BLOCK):
                 f, y = features[i : i + BLOCK], classes[i : i + BLOCK]
                 z = w[f[:, 0]] + bias
@@ -371,28 +464,26 @@ def score_documents(docs: DataFrame, learn_from: Column, *, id_col: str = "doc_i
     nothing to learn from, the base score of a text is 0 and the model spells all words evenly.
     """
     spark = docs.sparkSession
-    arrow_limits(spark, rows=1000, mb=4)
-    training = docs.where(learn_from).select(col(text_col).alias("__text"))
-    counts = count_words(training)
-    model = train(training, start_model(counts, top=top, vocabulary=vocabulary))
+    arrow_limits(spark, rows=1000, mb=2)
+    counts = count_words(docs.where(learn_from).select(col(text_col).alias("__text")))
+    known = lexicon(counts, top)
+    tokens = encode(docs, known, learn_from, id_col, text_col)
+    model = train(tokens, start_model(counts, known, tokens, vocabulary=vocabulary))
     shipped = spark.sparkContext.broadcast(model)
-    source = docs.select(col(id_col).alias("__id"), col(text_col).alias("__text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer, row = Scorer(shipped.value), TaskContext.get().partitionId() << 40
+        scorer = Scorer(shipped.value)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            n, known, base, score, others = scorer.score(_raw(batch.column(1)))
-            rows = pa.array(range(row, row + batch.num_rows), pa.int64())
-            row += batch.num_rows
-            cuts, rare, spelled = others
+            rare = _rare(batch.column(3))
+            n, known, base, score, spelled = scorer.score(batch.column(2), rare)
             pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()).cast(pa.string()), pa.array(spelled, pa.float64())], ["word", "spelled"])
-            rare = pa.ListArray.from_arrays(pa.array(cuts, pa.int32()), pairs)
-            yield pa.RecordBatch.from_arrays([rows, batch.column(0), pa.array(n), pa.array(known), pa.array(base), pa.array(score), rare], names=["row", "__id", "n", "known", "base", "score", "rare"])
+            cuts = np.r_[0, np.cumsum(pa.compute.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False))].astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(known), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(cuts), pairs)], names=["row", "__id", "n", "known", "base", "score", "rare"])
 
-    kind = source.schema["__id"].dataType.simpleString()
-    scored = materialize(source.mapInArrow(run, f"row long, __id {kind}, n long, known long, base double, score double, rare array<struct<word:string,spelled:double>>"), "lm-scores")
+    kind = tokens.schema["__id"].dataType.simpleString()
+    scored = materialize(tokens.select("row", "__id", "ids", "rare").mapInArrow(run, f"row long, __id {kind}, n long, known long, base double, score double, rare array<struct<word:string,spelled:double>>"), "lm-scores")
     # the words that the tasks had no count of: joined with all counts, summed by row
     rare = scored.select("row", F.inline("rare"))
     n = F.coalesce("n", F.lit(0))
