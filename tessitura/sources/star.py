@@ -74,7 +74,7 @@ class Star:
         li = self.raw("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_quantity")
         o = self.raw("orders").select("o_orderkey", "o_custkey", "o_orderdate")
         return li.join(o, F.col("l_orderkey") == F.col("o_orderkey")).select(
-            F.col("o_custkey").alias("user_id"), F.col("l_partkey").cast("string").alias("song_id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("quantity")
+            F.col("o_custkey").alias("user_id"), F.col("l_partkey").alias("song_id"), F.col("o_orderdate").cast("timestamp").alias("ts"), F.col("l_orderkey").alias("order_id"), F.col("l_linenumber").alias("line"), F.col("l_quantity").alias("quantity")
         )
 
 
@@ -86,7 +86,7 @@ CTE: dict[str, str] = {
     "audio": "audio AS (SELECT p_partkey::VARCHAR AS song_id, CASE WHEN p_partkey % 11 = 0 THEN 0.0::DOUBLE ELSE 60.0::DOUBLE + p_size * 2.5::DOUBLE END AS bpm, (['C','C#','D','D#','E','F','F#','G','G#','A','A#','B'])[p_partkey % 12 + 1] AS musical_key, CASE WHEN p_partkey % 2 = 0 THEN 'major' ELSE 'minor' END AS mode, (p_partkey * 7 % 100) / 100.0::DOUBLE AS danceability, (p_partkey * 13 % 101) / 101.0::DOUBLE AS valence, p_size / 50.0::DOUBLE AS energy, (p_partkey * 17 % 97) / 97.0::DOUBLE AS brightness, (p_partkey * 5 % 89) / 89.0::DOUBLE AS harmonic_clarity, (p_partkey * 3 % 50) / 50.0::DOUBLE AS key_strength, (p_partkey * 19 % 60) / 60.0::DOUBLE AS lift, (p_partkey * 23 % 100) / 100.0::DOUBLE AS climax_frac, (p_partkey * 29 % 40) / 40.0::DOUBLE AS voice_pct, (p_partkey % 30)::DOUBLE AS voice_enter_s FROM part WHERE p_partkey % 3 <> 0)",
     "ledger": "ledger AS (SELECT l.id, l.started_at AS ts, l.user_id, song_id, bpm, musical_key, mode, greatest(0.0, least(1.0, 0.6::DOUBLE * energy + 0.4::DOUBLE * danceability)) AS arousal, valence FROM listens l JOIN audio USING (song_id))",
     "feed": "feed AS (SELECT ts::DATE AS snapshot_id, json_extract_string(props, '$.k') AS song_id, row_number() OVER (PARTITION BY ts::DATE ORDER BY count(*) DESC, json_extract_string(props, '$.k')) AS rank_in_snapshot, count(*)::DOUBLE AS raw_score FROM events GROUP BY 1, 2)",
-    "purchases": "purchases AS (SELECT o_custkey AS user_id, l_partkey::VARCHAR AS song_id, o_orderdate AS ts, l_orderkey AS order_id, l_linenumber AS line, l_quantity AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
+    "purchases": "purchases AS (SELECT o_custkey AS user_id, l_partkey AS song_id, o_orderdate AS ts, l_orderkey AS order_id, l_linenumber AS line, l_quantity AS quantity FROM lineitem JOIN orders ON l_orderkey = o_orderkey)",
 }
 _NEEDS = {"ledger": ["listens", "audio"]}
 
