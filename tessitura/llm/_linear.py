@@ -21,8 +21,9 @@ def adam(gradient, size: int, steps: int = 300, rate: float = 0.1) -> np.ndarray
 
 def logistic(x: np.ndarray, y: np.ndarray, l2: float = 1e-3, weight: np.ndarray | None = None) -> np.ndarray:
     """Weights of x's columns and, last, the intercept."""
-    x = np.hstack([x, np.ones((len(x), 1))])
+    x = np.hstack([x, np.ones((len(x), 1), x.dtype)])
     s = np.ones(len(y)) if weight is None else weight
     s = s / s.sum()
     keep = np.r_[np.ones(x.shape[1] - 1), 0.0]
-    return adam(lambda w: x.T @ (s * (sigmoid(x @ w) - y)) + l2 * keep * w, x.shape[1])
+    # the vectors take the matrix's type, or every product would copy the matrix to theirs
+    return adam(lambda w: x.T @ (s * (sigmoid(x @ w.astype(x.dtype)) - y)).astype(x.dtype) + l2 * keep * w, x.shape[1])

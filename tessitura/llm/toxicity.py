@@ -90,25 +90,28 @@ def _predict(rows, before, chosen, w):
     return sigmoid(np.hstack([_matrix(rows, chosen), before]) @ w[:-1] + w[-1])
 
 
-def fit(samples: list[tuple[set[bytes], bool]], categories: dict[str, tuple[str, ...]] = CATEGORIES) -> list[Link]:
-    """Fit the chain on (distinct words, toxic) rows. With no toxic row every probability is the lowest."""
-    rows = [_hashes(w) for w, _ in samples]
+def fit(samples: list[tuple[bytes, bool]], categories: dict[str, tuple[str, ...]] = CATEGORIES) -> list[Link]:
+    """Fit the chain on (distinct words with spaces between, toxic) rows. With no toxic row every probability is the lowest.
+
+    Rows are kept as bytes and hashes; sets of their words are made one at a time.
+    """
+    rows = [_hashes(set(w.split())) for w, _ in samples]
     toxic = np.array([t for _, t in samples], bool)
-    links, before = [], np.zeros((len(rows), 0))
+    links, before = [], np.zeros((len(rows), 0), np.float32)
     fold = np.arange(len(rows)) % FOLDS
     for name, listed in [*categories.items(), ("toxic", None)]:
         terms = None if listed is None else {w.encode() for w in listed}
-        y = toxic if terms is None else toxic & np.array([bool(w & terms) for w, _ in samples], bool)
+        y = toxic if terms is None else toxic & np.array([not terms.isdisjoint(w.split()) for w, _ in samples], bool)
         if not len(rows) or not y.any() or y.all():
             links.append(Link(name, {}, [0.0] * before.shape[1], 30.0 if len(rows) and y.all() else -30.0))
-            before = np.hstack([before, np.full((len(rows), 1), float(y.all() if len(rows) else 0))])
+            before = np.hstack([before, np.full((len(rows), 1), float(y.all() if len(rows) else 0), np.float32)])
             continue
         chosen, w = _fit_link(rows, y, before)
         wanted, named = dict(zip(chosen.tolist(), w.tolist())), {}
         import xxhash
 
         for found, _ in samples:
-            for f in features(found):
+            for f in features(set(found.split())):
                 if (h := xxhash.xxh64_intdigest(f)) in wanted:
                     named[f] = wanted[h]
         links.append(Link(name, named, w[len(chosen) : -1].tolist(), float(w[-1])))
@@ -118,7 +121,7 @@ def fit(samples: list[tuple[set[bytes], bool]], categories: dict[str, tuple[str,
             if len(train) and len(test):
                 some, v = _fit_link([rows[i] for i in train], y[train], before[train])
                 held[test] = _predict([rows[i] for i in test], before[test], some, v)
-        before = np.hstack([before, held[:, None]])
+        before = np.hstack([before, held[:, None].astype(np.float32)])
     return links
 
 
@@ -134,8 +137,8 @@ def score(text: bytes | None, links: list[Link], known: set[bytes], marked: list
     return out
 
 
-def sample_labelled(docs: DataFrame, labels: DataFrame, *, rows_per_class: int = ROWS_PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[set[bytes], bool]]:
-    """The bounded labelled sample: distinct words and label, at most rows_per_class rows of either class."""
+def sample_labelled(docs: DataFrame, labels: DataFrame, *, rows_per_class: int = ROWS_PER_CLASS, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> list[tuple[bytes, bool]]:
+    """The bounded labelled sample: distinct words with spaces between, and label, at most rows_per_class rows of either class."""
     arrow_limits(docs.sparkSession)
     out = []
     for value in (1, 0):
@@ -149,7 +152,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, *, rows_per_class: int =
 
         picked = docs.join(F.broadcast(ids), col(id_col) == F.col("__id"), "left_semi").select(order.alias("__order"), distinct(col(text_col)).alias("__words"))
         got = picked.orderBy("__order", F.xxhash64("__words")).limit(rows_per_class).collect()
-        out += [(r["__order"], set(bytes(r["__words"]).split()), bool(value)) for r in got]
+        out += [(r["__order"], bytes(r["__words"]), bool(value)) for r in got]
     out.sort(key=lambda r: r[0])
     return [(w, t) for _, w, t in out]
 

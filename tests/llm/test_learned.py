@@ -24,7 +24,7 @@ def test_toxicity_finds_listed_and_unlisted_words(spark):
 
 
 def test_chain_uses_earlier_links():
-    samples = [({b"idiot", str(i).encode()}, True) for i in range(30)] + [({str(i).encode()}, False) for i in range(60)]
+    samples = [(b"idiot %d" % i, True) for i in range(30)] + [(b"%d" % i, False) for i in range(60)]
     links = toxicity.fit(samples)
     assert [x.name for x in links] == ["insult", "contempt", "toxic"] and len(links[2].weights_before) == 2 and links[2].weights_before[0] > 0
 
@@ -91,25 +91,52 @@ def test_base_score(docs, top):
     assert {r["train_tokens"] for r in got} == {n} and all(math.isfinite(r["score"]) and r["score"] < 0 for r in got)
 
 
+def fitted(docs, **options):
+    counts = lm.count_words(docs.select("text"))
+    known = lm.lexicon(counts, options.pop("top", lm.TOP))
+    tokens = lm.encode(docs, known, F.lit(True))
+    return known, tokens, lm.start_model(counts, known, tokens, **options)
+
+
+def test_encoding_keeps_every_word(docs):
+    known, tokens, _ = fitted(docs, top=5, vocabulary=3)
+    for r in tokens.collect():
+        rare, words = iter(r["rare"]), []
+        for i in np.frombuffer(r["ids"], np.int32).tolist():
+            words.append(known.top[i] if i >= 0 else next(rare).encode())
+        text = next(d["text"] for d in docs.collect() if d["doc_id"] == r["__id"])
+        assert words == lm.words(text.encode() if text else None) or r["__id"] == 2
+    assert tokens.select("row").distinct().count() == docs.count()
+
+
+def test_neighbour_counts(spark):
+    docs = spark.createDataFrame([(1, "b a x a b"), (2, "a a a")], "doc_id long, text string")
+    known, tokens, _ = fitted(docs)
+    at = {w: i - 1 for i, w in enumerate(known.top)}
+    got = lm.neighbour_counts(tokens, len(known.top) - 1)
+    assert got[at[b"a"], at[b"b"]] == 2 and got[at[b"a"], at[b"a"]] == 4 and got[at[b"b"], at[b"x"]] == 1 and got[at[b"x"], at[b"x"]] == 0
+
+
 def test_probabilities_sum_to_one(spark, sf):
-    docs = spark.read.parquet(f"{sf}/documents.parquet").select("text")
-    model = lm.train(docs, lm.start_model(lm.count_words(docs), top=500, vocabulary=50))
+    known, tokens, start = fitted(spark.read.parquet(f"{sf}/documents.parquet"), top=500, vocabulary=50)
+    model = lm.train(tokens, start)
     s = lm.Scorer(model)
-    _, _, _, _, features, _ = s.flat([b"the of and to"])
+    _, _, features, _ = s.flat(tokens.select("ids").limit(1).toArrow().column("ids").combine_chunks(), tokens.limit(1).first()["rare"] and [w.encode() for w in tokens.limit(1).first()["rare"]])
     classes = np.arange(lm.CLASSES)
-    for f in features:
+    for f in features[:50]:
         assert np.exp(s.log_class(np.repeat(f[None], lm.CLASSES, axis=0), classes)).sum() == pytest.approx(1, abs=1e-5)
-    inside = [sum(10 ** model.within[i] for i in range(len(model.top)) if model.classes[i] == c) for c in range(1, lm.CLASSES) if (model.classes == c).any()]
+    inside = [sum(10 ** model.within[i] for i in range(len(known.top)) if model.classes[i] == c) for c in range(1, lm.CLASSES) if (model.classes == c).any()]
     assert all(x == pytest.approx(1, abs=1e-6) for x in inside)
     words = [bytes([a, b]) for a in range(33, 127) for b in range(33, 127)] + [bytes([a]) for a in range(33, 127)]
     assert 0 < (10 ** lm.spell(words, model.spelling)).sum() < 1
 
 
 def test_training_helps(spark, sf):
-    docs = spark.read.parquet(f"{bigger(sf)}/documents.parquet").select("text")
-    start = lm.start_model(lm.count_words(docs), vocabulary=2000)
-    texts = [r["text"].encode() for r in docs.limit(100).collect()]
-    before, after = (lm.Scorer(m).score(texts)[3].sum() for m in (start, lm.train(docs, start)))
+    docs = spark.read.parquet(f"{bigger(sf)}/documents.parquet")
+    _, tokens, start = fitted(docs, vocabulary=2000)
+    some = tokens.limit(100).toArrow()
+    rare = some.column("rare").combine_chunks().flatten().cast("binary").to_pylist()
+    before, after = (lm.Scorer(m).score(some.column("ids").combine_chunks(), rare)[3].sum() for m in (start, lm.train(tokens, start)))
     assert after > before
 
 
