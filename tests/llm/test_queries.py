@@ -1,6 +1,7 @@
 """The registered queries against their SQL, and the pipeline's rules against brute force."""
 
 import pytest
+from pyspark.sql import functions as F
 
 from tessitura.llm.queries import ORACLE_SQL, QUERIES
 from tests.conftest import rows
@@ -54,3 +55,16 @@ def test_pipeline(spark, sf):
     assert {r["doc_id"] for r in kept[4].collect()} == clean
     assert {r["doc_id"] for r in kept[5].collect()} == clean and kept[5].count() == kept[4].count()
     assert p.run(spark, sf).count() == kept[5].count()
+
+
+def test_stages_of_odd_tables(spark, sf, docs, empty):
+    """Nulls, repeats and columns named like the stages' own: kept as they are, and every stage takes an empty table."""
+    import corpus_pipeline as p
+
+    d = docs.withColumn("is_toxic", F.lit("mine")).withColumn("toxicity", F.lit(2))
+    for name, stage in p.STAGES:
+        out = stage(spark, d, sf)
+        if name != "sharding":
+            assert out.columns == d.columns and out.where("is_toxic <> 'mine'").count() == 0
+        assert {r["doc_id"] for r in out.collect()} <= {r["doc_id"] for r in d.collect()} and out.where("doc_id is null").count() == 1
+        assert stage(spark, d.limit(0), sf).count() == 0
