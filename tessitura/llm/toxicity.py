@@ -65,9 +65,10 @@ def _select(rows: list[np.ndarray], y: np.ndarray) -> np.ndarray:
     hot, n_hot = np.unique(np.concatenate([r for r, t in zip(rows, y) if t]), return_counts=True)
     hot, n_hot = hot[n_hot >= LEAST_DF], n_hot[n_hot >= LEAST_DF]
     cold = np.zeros(len(hot))
-    for r, t in zip(rows, y):
-        if not t:
-            cold += np.isin(hot, r, assume_unique=True)
+    if not y.all():
+        other, n_other = np.unique(np.concatenate([r for r, t in zip(rows, y) if not t]), return_counts=True)
+        at = np.minimum(np.searchsorted(other, hot), max(len(other) - 1, 0))
+        cold = np.where(other[at] == hot, n_other[at], 0) if len(other) else cold
     odds = ((n_hot + 0.5) / (y.sum() + 1)) / ((cold + 0.5) / ((~y).sum() + 1))
     best = np.lexsort((hot, -n_hot * np.log(np.maximum(odds, 1e-9))))
     return np.sort(hot[[i for i in best if odds[i] >= ODDS][:FEATURES]])
