@@ -275,73 +275,111 @@ def nearest_forest(hi: np.ndarray, lo: np.ndarray, max_bits: int) -> list[tuple[
     return edges
 
 
-_CANDIDATES = "ahi long, alo long, bhi long, blo long, hot boolean, k1 long, k2 long"
-_CANDIDATE_NAMES = ["ahi", "alo", "bhi", "blo", "hot", "k1", "k2"]
+_CANDIDATES = "linked boolean, a long, b long, hi long, lo long, g long, block long"
+_CANDIDATE_NAMES = ["linked", "a", "b", "hi", "lo", "g", "block"]
+#: A key of up to so many members has each pair tested at once.
+FEW = 4
+#: Members of a block whose shingle sets are held in one task, twice.
+BLOCK = 512
 
 
-def _meet(max_bits: int, group: int, last: bool):
-    """Of rows (k1, k2, hi, lo) sorted in that order: forest edges within each key, or the rows of a key over ``group``.
+def _bits(hi: np.ndarray, lo: np.ndarray, u) -> np.ndarray:
+    return np.bitwise_count(hi ^ hi[u]).astype(np.int64) + np.bitwise_count(lo ^ lo[u])
 
-    At the last level a larger key is worked through in overlapping runs of ``group`` rows instead.
+
+def _middle(hi: np.ndarray, lo: np.ndarray) -> int:
+    """The member nearest to the bitwise majority."""
+    octets = np.stack([hi, lo], axis=1).astype(">u8").view(np.uint8)
+    ones = np.zeros(128, np.int64)
+    for i in range(0, len(octets), 1 << 14):
+        ones += np.unpackbits(octets[i : i + (1 << 14)], axis=1).sum(axis=0, dtype=np.int64)
+    h, l = np.frombuffer(np.packbits(2 * ones > len(hi)).tobytes(), ">u8").astype(np.uint64)
+    return int((np.bitwise_count(hi ^ h).astype(np.int64) + np.bitwise_count(lo ^ l)).argmin())
+
+
+def _segments(hi: np.ndarray, lo: np.ndarray) -> list[np.ndarray]:
+    """The segments of ``_segment``, of uint64."""
+    low, n = np.uint64(0xFFFFFF), np.uint64
+    return [lo & low, (lo >> n(24)) & low, hi & low, (hi >> n(24)) & low, (lo >> n(48)) | (((hi >> n(48)) & n(255)) << n(16))]
+
+
+def _own(hi: np.ndarray, lo: np.ndarray, v: int, max_bits: int) -> np.ndarray:
+    """Which members have a pair within max_bits that meets under variant v and under none before it."""
+    parts, (s, w), n = _segments(hi, lo), divmod(v, SEGMENT_BITS), len(hi)
+    bit = (parts[s] >> np.uint64(w)) & np.uint64(1)
+    own = np.zeros(n, bool)
+    # equal segments meet under every variant, the first is theirs; others under that of the differing bit
+    for u in range(n) if w == 0 else np.flatnonzero(bit == (2 * bit.sum() < n)).tolist():
+        near = _bits(hi, lo, u) <= max_bits
+        if w:
+            near &= bit != bit[u]
+        for before in parts[:s]:
+            near &= np.bitwise_count(before ^ before[u]) > 1
+        near[u] = False
+        if near.any():
+            own |= near
+            own[u] = True
+    return own
+
+
+def _meet(max_bits: int, group: int):
+    """Of rows (g, hi, lo, node) sorted in that order, g a variant: links to test first, and who is to be compared later.
+
+    First come a minimum spanning forest by bits of each run of ``group`` members, and all links to its middle one.
+    The links that fail leave members apart, so members of a pair within max_bits are passed on too, in blocks.
     """
 
-    def edges_of(rows: np.ndarray) -> np.ndarray:
-        hi, lo = (np.ascontiguousarray(rows[:, i]).view(np.uint64) for i in (2, 3))
-        e = np.array(nearest_forest(hi, lo, max_bits), np.int64).reshape(-1, 2)
-        return np.hstack([rows[e[:, 0], 2:], rows[e[:, 1], 2:]])
-
-    def out(found: np.ndarray, hot: bool, keys: np.ndarray | None = None) -> pa.RecordBatch:
-        keys = np.zeros((len(found), 2), np.int64) if keys is None else keys
-        columns = [*found.T, None, *keys.T]
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(found), hot)) if c is None else pa.array(np.ascontiguousarray(c)) for c in columns], names=_CANDIDATE_NAMES)
-
-    def closed(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
-        cut = np.flatnonzero((rows[1:, :2] != rows[:-1, :2]).any(axis=1)) + 1
-        starts, sizes = np.r_[0, cut], np.diff(np.r_[0, cut, len(rows)])
-        pair = starts[sizes == 2]
-        both = np.hstack([rows[pair, 2:], rows[pair + 1, 2:]])
-        bits = np.bitwise_count((both[:, 0] ^ both[:, 2]).view(np.uint64)).astype(int) + np.bitwise_count((both[:, 1] ^ both[:, 3]).view(np.uint64))
-        found = [both[bits <= max_bits]] + [edges_of(rows[s : s + n]) for s, n in zip(starts[sizes > 2].tolist(), sizes[sizes > 2].tolist())]
-        found = np.concatenate(found)
-        if len(found):
-            yield out(found, False)
+    def out(linked: bool, columns: list) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), linked))] + [pa.array(np.ascontiguousarray(c, np.int64)) for c in columns], names=_CANDIDATE_NAMES)
+
+    def links_of(one: np.ndarray, other: np.ndarray) -> Iterator[pa.RecordBatch]:
+        bits = np.bitwise_count((one[:, 1] ^ other[:, 1]).view(np.uint64)).astype(int) + np.bitwise_count((one[:, 2] ^ other[:, 2]).view(np.uint64))
+        a, b = one[bits <= max_bits, 3], other[bits <= max_bits, 3]
+        if len(a):
+            none = np.zeros(len(a))
+            yield out(True, [np.minimum(a, b), np.maximum(a, b), none, none, none, none])
+
+    def run_of(rows: np.ndarray, number: int, whole: bool) -> Iterator[pa.RecordBatch]:
+        n, (hi, lo) = len(rows), (np.ascontiguousarray(rows[:, i]).view(np.uint64) for i in (1, 2))
+        if n <= FEW:
+            i, j = np.triu_indices(n, 1)
+        else:
+            e = np.array(nearest_forest(hi, lo, max_bits), np.int64).reshape(-1, 2)
+            m, rest = _middle(hi, lo), np.arange(n)
+            rest = rest[rest != m]
+            i, j = np.r_[e[:, 0], np.full(n - 1, m)], np.r_[e[:, 1], rest]
+        yield from links_of(rows[i], rows[j])
+        if whole and n <= FEW:
+            return
+        own = _own(hi, lo, int(rows[0, 0]) >> SEGMENT_BITS, max_bits) if whole else np.ones(n, bool)
+        if own.any():
+            r = rows[own]
+            yield out(False, [r[:, 3], r[:, 3], r[:, 1], r[:, 2], r[:, 0], number * -(-group // BLOCK) + np.arange(len(r)) // BLOCK])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry, spilling = np.empty((0, 4), np.int64), None
+        carry, number = np.empty((0, 4), np.int64), 0  # rows of the last key, and how many of its runs are done
         for batch in batches:
             rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype(np.int64, copy=False)
-            if spilling is not None:
-                same = (rows[:, :2] == spilling).all(axis=1)
-                if same.any():
-                    yield out(np.hstack([rows[same, 2:], rows[same, 2:]]), True, rows[same, :2])
-                rows = rows[~same]
-                spilling = None if len(rows) else spilling
-            rows, carry = np.concatenate([carry, rows]), carry[:0]
+            rows = np.concatenate([carry, rows])
             if not len(rows):
                 continue
-            other = np.flatnonzero((rows[:, :2] != rows[-1, :2]).any(axis=1))
-            cut = int(other[-1]) + 1 if len(other) else 0
-            if cut:
-                big = np.flatnonzero(np.diff(np.r_[0, np.flatnonzero((rows[1:cut, :2] != rows[: cut - 1, :2]).any(axis=1)) + 1, cut]) > group)
-                if len(big) and not last:
-                    _, at, n = np.unique(rows[:cut, :2], axis=0, return_inverse=True, return_counts=True)
-                    hot = n[at.ravel()] > group
-                    yield out(np.hstack([rows[:cut][hot, 2:], rows[:cut][hot, 2:]]), True, rows[:cut][hot, :2])
-                    yield from closed(rows[:cut][~hot]) if (~hot).any() else ()
-                else:
-                    yield from closed(rows[:cut])
-            carry = rows[cut:]
-            if len(carry) > group and not last:
-                spilling = carry[0, :2].copy()
-                yield out(np.hstack([carry[:, 2:], carry[:, 2:]]), True, carry[:, :2])
-                carry = carry[:0]
-            while last and len(carry) > 2 * group:
-                found = edges_of(carry[: 2 * group])
-                if len(found):
-                    yield out(found, False)
-                carry = carry[group:]
-        if len(carry):
-            yield from closed(carry)
+            starts = np.r_[0, np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1]
+            sizes = np.diff(np.r_[starts, len(rows)])
+            if number and len(starts) > 1:
+                yield from run_of(rows[: sizes[0]], number, False)
+                number, starts, sizes = 0, starts[1:], sizes[1:]
+            done, last = sizes[:-1], int(starts[-1])
+            pair = starts[:-1][done == 2]
+            yield from links_of(rows[pair], rows[pair + 1])
+            for s, n in zip(starts[:-1][done > 2].tolist(), done[done > 2].tolist()):
+                for k, at in enumerate(range(s, s + n, group)):
+                    yield from run_of(rows[at : min(at + group, s + n)], k, n <= group)
+            carry = rows[last:]
+            while len(carry) > group:
+                yield from run_of(carry[:group], number, False)
+                carry, number = carry[group:], number + 1
+        if len(carry) and (number or len(carry) > 1):
+            yield from run_of(carry, number, not number)
 
     return run
 
@@ -354,37 +392,90 @@ def _segment(v: str) -> str:
     )
 
 
-def candidates(distinct: DataFrame, *, max_bits: int = CANDIDATE_BITS, group: int = GROUP) -> DataFrame:
-    """Return ``ahi, alo, bhi, blo``: candidate pairs of distinct signatures (hi, lo), a forest of each meeting group.
+def candidates(distinct: DataFrame, *, max_bits: int = CANDIDATE_BITS, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
+    """Of distinct texts (node, hi, lo): pairs ``a, b`` to test first; members ``g, block, node, hi, lo`` of meeting groups.
 
-    A group of over ``group`` members is met again under the variants of its other segments, up to twice.
+    Two texts that meet are a pair of the first or members of a group of the second.
     """
-    members, found = distinct.select(F.lit(0).cast("long").alias("k1"), "hi", "lo"), None
-    variant = f"(cast(v as bigint) << 24) | (({_segment('v div 24')}) & ~(1L << (v % 24)))"
-    for level in (1, 2, 3):
-        rows = members.select("k1", "hi", "lo", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * SEGMENT_BITS - 1))).alias("v"))
-        if level > 1:  # segments already shared tell nothing more
-            rows = rows.where("(k1 >> 24) % 128 div 24 <> v div 24 and (k1 >> 55 = 0 or (k1 >> 55) div 24 <> v div 24)")
-        rows = rows.selectExpr("k1", f"{variant} as k2", "hi", "lo")
-        dealt = rows.repartition("k1", "k2").sortWithinPartitions("k1", "k2", "hi", "lo")
-        met = materialize(dealt.mapInArrow(_meet(max_bits, group, level == 3), _CANDIDATES), f"near-candidates{level}")
-        near = met.where("not hot").select("ahi", "alo", "bhi", "blo")
-        found = near if found is None else found.unionByName(near)
-        # the next key: this variant, and above it the segment number shared before
-        members = met.where("hot").select(F.expr("k2 | (((k1 >> 24) % 128) << 55)").alias("k1"), F.col("ahi").alias("hi"), F.col("alo").alias("lo")).distinct()
-        if members.isEmpty():
-            break
-    return found.distinct()
+    rows = distinct.select("node", "hi", "lo", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * SEGMENT_BITS - 1))).alias("v"))
+    rows = rows.selectExpr(f"(cast(v as bigint) << 24) | (({_segment('v div 24')}) & ~(1L << (v % 24))) as g", "hi", "lo", "node")
+    dealt = rows.repartition("g").sortWithinPartitions("g", "hi", "lo", "node")
+    met = materialize(dealt.mapInArrow(_meet(max_bits, group), _CANDIDATES), "near-candidates")
+    return met.where("linked").select("a", "b").distinct(), met.where("not linked").select("g", "block", F.col("a").alias("node"), "hi", "lo")
+
+
+def _compare(max_bits: int, similarity: float):
+    """Of rows (g, x, y, node, label, hi, lo, s) sorted by g, x, y: verified links that join labels, for each (g, x, y)."""
+
+    def links_of(rows: np.ndarray, sets: list[np.ndarray]) -> list[tuple[int, int]]:
+        n, found = len(rows), []
+        label = np.unique(rows[:, 4], return_inverse=True)[1]
+        hi, lo = (np.ascontiguousarray(rows[:, i]).view(np.uint64) for i in (5, 6))
+        sizes = np.array([len(s) for s in sets], np.int64)
+        words, at = np.unique(np.concatenate(sets), return_inverse=True)
+        owner, ends = np.repeat(np.arange(n), sizes), np.cumsum(sizes)
+        for u in range(n - 1):
+            near = (label != label[u]) & (_bits(hi, lo, u) <= max_bits)
+            near[: u + 1] = False
+            if not near.any():
+                continue
+            mark = np.zeros(len(words), bool)
+            mark[at[ends[u] - sizes[u] : ends[u]]] = True
+            both = np.bincount(owner, weights=mark[at], minlength=n)
+            for v in np.flatnonzero(near & (both >= similarity * (sizes[u] + sizes - both))).tolist():
+                if label[v] != label[u]:
+                    found.append((int(rows[u, 3]), int(rows[v, 3])))
+                    label[label == label[v]] = label[u]
+        return found
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, sets = np.empty((0, 7), np.int64), []
+
+        def closed(rows: np.ndarray, those: list[np.ndarray]) -> Iterator[pa.RecordBatch]:
+            cuts = np.r_[0, np.flatnonzero((rows[1:, :3] != rows[:-1, :3]).any(axis=1)) + 1, len(rows)].tolist()
+            e = [pair for i, j in zip(cuts, cuts[1:]) for pair in links_of(rows[i:j], those[i:j])]
+            if e:
+                e = np.array(e, np.int64)
+                yield pa.RecordBatch.from_arrays([pa.array(e.min(axis=1)), pa.array(e.max(axis=1))], names=["a", "b"])
+
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = np.stack([batch.column(i).to_numpy(zero_copy_only=False) for i in range(7)], axis=1).astype(np.int64, copy=False)
+            lists = batch.column(7)
+            flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))
+            # copies, so the batch's buffer can go
+            sets += [x.copy() for x in np.split(flat, ends[:-1])]
+            kept = np.concatenate([kept, rows])
+            other = np.flatnonzero((kept[:, :3] != kept[-1, :3]).any(axis=1))
+            cut = int(other[-1]) + 1 if len(other) else 0
+            if cut:
+                yield from closed(kept[:cut], sets[:cut])
+                kept, sets = kept[cut:], sets[cut:]
+        if len(kept):
+            yield from closed(kept, sets)
+
+    return run
+
+
+def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
+    """Rows (g, x, y, node, label, hi, lo): members of each two blocks x <= y of a group that are not all linked yet."""
+    labelled = materialize(members.join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node")), "near-members")
+    blocks = labelled.groupBy("g", "block").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+    x, y = (blocks.select("g", F.col("block").alias(c), F.col("least").alias(f"least_{c}"), F.col("most").alias(f"most_{c}")) for c in "xy")
+    pairs = x.join(y, "g").where("x = y and least(least_x, least_y) <> greatest(most_x, most_y)").select("g", "x", "y")
+    sides = pairs.withColumn("block", F.explode(F.array_distinct(F.array("x", "y"))))
+    return labelled.join(sides, ["g", "block"]).select("g", "x", "y", "node", "label", "hi", "lo")
 
 
 def similar_documents(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", max_bits: int = CANDIDATE_BITS, group: int = GROUP) -> DataFrame:
     """Return ``id_col, component_id``, a row for each input row with an id.
 
     component_id: the smallest id reached over verified links; two texts link if the Jaccard similarity of their
-    distinct word shingles (of all words, where they are fewer) is at least ``similarity``. Candidates are found by
-    SimHash, so a link may be missed, the less likely the more alike the texts are; none is reported in error. Texts
-    of equal signature are one text here: equal texts, and texts with the same word pairs. Null and empty texts are
-    alike. Rows without an id are left out.
+    distinct word shingles (of all words, where they are fewer) is at least ``similarity``. Pairs are found by SimHash,
+    so one that shares no segment within a bit may be missed, the less likely the more alike the texts are; all that
+    meet are compared until they are linked, and none is reported in error. Texts of equal signature are one text here.
+    Null and empty texts are alike. Rows without an id are left out.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
@@ -395,31 +486,37 @@ def similar_documents(docs: DataFrame, *, shingle: int = 5, similarity: float =
         for batch in batches:
             texts = batch.column(1).cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
             pair = np.frombuffer(b"".join(map(signature, texts)), ">i8").astype(np.int64).reshape(-1, 2)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], names=["__id", "hi", "lo"])
+            words = np.zeros(len(texts), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(words)], names=["__id", "hi", "lo", "words"])
 
-    signatures = materialize(source.mapInArrow(signed, f"__id {kind}, hi long, lo long"), "near-signatures")
-    reps = materialize(signatures.groupBy("hi", "lo").agg(F.min("__id").alias("rep")), "near-distinct")
-    a = reps.select(F.col("hi").alias("ahi"), F.col("lo").alias("alo"), F.col("rep").alias("arep"))
-    b = reps.select(F.col("hi").alias("bhi"), F.col("lo").alias("blo"), F.col("rep").alias("brep"))
-    pairs = candidates(reps, max_bits=max_bits, group=group).join(a, ["ahi", "alo"]).join(b, ["bhi", "blo"]).select("arep", "brep", F.xxhash64("ahi", "alo").alias("a"), F.xxhash64("bhi", "blo").alias("b"))
+    signatures = materialize(source.mapInArrow(signed, f"__id {kind}, hi long, lo long, words long").withColumn("node", F.xxhash64("hi", "lo", "words")), "near-signatures")
+    reps = materialize(signatures.groupBy("node", "hi", "lo", "words").agg(F.min("__id").alias("rep")), "near-distinct")
+    pairs, members = candidates(reps, max_bits=max_bits, group=group)
     pairs = materialize(pairs, "near-pairs")
 
-    @F.arrow_udf("array<bigint>")
-    def shingled(texts: pa.Array) -> pa.Array:
-        raw = texts.cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
-        return pa.array([shingle_set(t, shingle) for t in raw], pa.list_(pa.int64()))
-
-    wanted = pairs.select(F.col("arep").alias("rep")).unionByName(pairs.select(F.col("brep").alias("rep"))).distinct()
-    # an id may have rows of several texts: any of them is compared, and the links hold for the id
-    sets = materialize(source.join(wanted, F.col("__id") == F.col("rep"), "left_semi").select("__id", shingled("__text").alias("s")), "near-shingles")
-    left, right = sets.select(F.col("__id").alias("arep"), F.col("s").alias("sa")), sets.select(F.col("__id").alias("brep"), F.col("s").alias("sb"))
-    common = pairs.join(left, "arep").join(right, "brep").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n"))
-    verified = common.where(F.expr(f"n >= {similarity!r}D * (na + nb - n)")).select("a", "b").distinct()
+    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(1).cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
+            words = np.zeros(len(texts), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), pa.array([shingle_set(t, shingle) for t in texts], pa.list_(pa.int64()))], names=["__id", "words", "s"])
+
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct()
+    wanted = reps.join(nodes, "node", "left_semi").select(F.col("rep").alias("__id"), "words", "node")
+    # an id may have rows of several texts: only the wanted ones stay
+    found = source.join(wanted.select("__id").distinct(), "__id", "left_semi").mapInArrow(shingled, f"__id {kind}, words long, s array<bigint>")
+    sets = materialize(found.join(wanted, ["__id", "words"]).select("node", "s").dropDuplicates(["node"]), "near-shingles")
+    left, right = sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
+    common = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n"))
+    verified = materialize(common.where(F.expr(f"n >= {similarity!r}D * (na + nb - n)")).select("a", "b"), "near-verified")
     roots = components(verified)
-    named = reps.withColumn("node", F.xxhash64("hi", "lo")).join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    apart = materialize(_apart(members, roots), "near-apart")
+    if not apart.isEmpty():
+        dealt = apart.join(sets, "node").select("g", "x", "y", "node", "label", "hi", "lo", "s").repartition("g", "x", "y").sortWithinPartitions("g", "x", "y")
+        roots = components(verified.unionByName(dealt.mapInArrow(_compare(max_bits, similarity), "a long, b long")))
+    named = reps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_signature = named.join(names, "root").select("hi", "lo", "component_id")
-    return signatures.join(by_signature, ["hi", "lo"]).select(F.col("__id").alias(id_col), "component_id")
+    by_node = named.join(names, "root").select("node", "component_id")
+    return signatures.join(by_node, "node").select(F.col("__id").alias(id_col), "component_id")
 
 
 def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:

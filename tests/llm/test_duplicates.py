@@ -118,3 +118,54 @@ def test_similar_odd_tables(docs, empty):
 def test_rejects_wide_thresholds(spark):
     with pytest.raises(ValueError):
         simhash.links(spark.range(3).select(F.col("id").alias("fp")), max_bits=4)
+
+
+def family(n, edits=4, words=200, seed=7):
+    """A base text and n copies of other edits each: near the base, and most not near each other."""
+    rng = random.Random(seed)
+    base = [f"w{rng.randrange(5000)}" for _ in range(words)]
+    texts = [" ".join(base)]
+    for _ in range(n):
+        w = list(base)
+        for i, k in enumerate(rng.sample(range(2, words - 3), edits)):
+            w[k] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    return texts
+
+
+def components_of(spark, texts, **options):
+    d = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(d, **options).collect()}
+
+
+def met_roots(texts, max_bits=simhash.CANDIDATE_BITS):
+    """Components of all verified pairs that share a segment within a bit."""
+    sig = [np.frombuffer(simhash.signature(t.encode()), ">u8").astype(np.uint64) for t in texts]
+    parts = [[int(x[0]) for x in simhash._segments(s[:1], s[1:])] for s in sig]
+    sets = [set(simhash.shingle_set(t.encode(), 5).tolist()) for t in texts]
+
+    def near(i, j):
+        if not any((x ^ y).bit_count() <= 1 for x, y in zip(parts[i], parts[j])) or int(np.bitwise_count(sig[i] ^ sig[j]).sum()) > max_bits:
+            return False
+        n = len(sets[i] & sets[j])
+        return n >= 0.8 * (len(sets[i]) + len(sets[j]) - n)
+
+    return roots_of(range(len(texts)), near)
+
+
+def test_family_of_one_base(spark):
+    """Each copy links to the base alone, though its nearest by bits is another copy."""
+    texts = family(300)
+    assert components_of(spark, texts) == met_roots(texts)
+
+
+def test_chains_are_followed(spark):
+    """Members that the first links leave apart are compared with all others of their group."""
+    rng = random.Random(11)
+    texts = family(1, seed=11)[:1]
+    for _ in range(119):
+        w = rng.choice(texts).split()
+        for k in rng.sample(range(len(w)), 4):
+            w[k] = f"x{rng.randrange(10**6)}"
+        texts.append(" ".join(w))
+    assert components_of(spark, texts) == met_roots(texts)
