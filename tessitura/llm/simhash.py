@@ -463,7 +463,7 @@ def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
     labelled = materialize(members.join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node")), "near-members")
     blocks = labelled.groupBy("g", "block").agg(F.min("label").alias("least"), F.max("label").alias("most"))
     x, y = (blocks.select("g", F.col("block").alias(c), F.col("least").alias(f"least_{c}"), F.col("most").alias(f"most_{c}")) for c in "xy")
-    pairs = x.join(y, "g").where("x = y and least(least_x, least_y) <> greatest(most_x, most_y)").select("g", "x", "y")
+    pairs = x.join(y, "g").where("x <= y and least(least_x, least_y) <> greatest(most_x, most_y)").select("g", "x", "y")
     sides = pairs.withColumn("block", F.explode(F.array_distinct(F.array("x", "y"))))
     return labelled.join(sides, ["g", "block"]).select("g", "x", "y", "node", "label", "hi", "lo")
 

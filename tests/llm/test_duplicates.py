@@ -169,3 +169,9 @@ def test_chains_are_followed(spark):
             w[k] = f"x{rng.randrange(10**6)}"
         texts.append(" ".join(w))
     assert components_of(spark, texts) == met_roots(texts)
+
+
+def test_oversized_groups(spark):
+    """Members of different runs of an oversized group are compared too."""
+    texts = family(60, seed=13)
+    assert components_of(spark, texts, group=8) == met_roots(texts)
