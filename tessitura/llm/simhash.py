@@ -247,6 +247,11 @@ def signature(text: bytes | None) -> bytes:
     return np.packbits(2 * ones > len(octets)).tobytes()
 
 
+def words_hash(text: bytes | None) -> int:
+    """Of all words in their order: texts of equal words are equal for every shingle."""
+    return xxhash.xxh3_64_intdigest(b" ".join(text.lower().split()) if text else b"", SEED)
+
+
 def shingle_set(text: bytes | None, shingle: int) -> np.ndarray:
     """Sorted distinct 64-bit hashes of the word shingles; of fewer words, the one of all words; of none, empty."""
     words = text.lower().split() if text else []
@@ -474,7 +479,7 @@ def similar_documents(docs: DataFrame, *, shingle: int = 5, similarity: float =
     component_id: the smallest id reached over verified links; two texts link if the Jaccard similarity of their
     distinct word shingles (of all words, where they are fewer) is at least ``similarity``. Pairs are found by SimHash,
     so one that shares no segment within a bit may be missed, the less likely the more alike the texts are; all that
-    meet are compared until they are linked, and none is reported in error. Texts of equal signature are one text here.
+    meet are compared until they are linked, and none is reported in error. Texts of equal words are one text here.
     Null and empty texts are alike. Rows without an id are left out.
     """
     spark = docs.sparkSession
@@ -486,7 +491,7 @@ def similar_documents(docs: DataFrame, *, shingle: int = 5, similarity: float =
         for batch in batches:
             texts = batch.column(1).cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
             pair = np.frombuffer(b"".join(map(signature, texts)), ">i8").astype(np.int64).reshape(-1, 2)
-            words = np.zeros(len(texts), np.int64)
+            words = np.fromiter(map(words_hash, texts), np.uint64, len(texts)).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(words)], names=["__id", "hi", "lo", "words"])
 
     signatures = materialize(source.mapInArrow(signed, f"__id {kind}, hi long, lo long, words long").withColumn("node", F.xxhash64("hi", "lo", "words")), "near-signatures")
@@ -497,7 +502,7 @@ def similar_documents(docs: DataFrame, *, shingle: int = 5, similarity: float =
     def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column(1).cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
-            words = np.zeros(len(texts), np.int64)
+            words = np.fromiter(map(words_hash, texts), np.uint64, len(texts)).view(np.int64)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), pa.array([shingle_set(t, shingle) for t in texts], pa.list_(pa.int64()))], names=["__id", "words", "s"])
 
     nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct()

@@ -175,3 +175,11 @@ def test_oversized_groups(spark):
     """Members of different runs of an oversized group are compared too."""
     texts = family(60, seed=13)
     assert components_of(spark, texts, group=8) == met_roots(texts)
+
+
+def test_equal_signatures_are_verified(spark):
+    """Long texts over few words have equal signatures but other shingles."""
+    rng = random.Random(1)
+    texts = [" ".join(f"w{rng.randrange(30)}" for _ in range(20_000)) for _ in range(2)]
+    assert simhash.signature(texts[0].encode()) == simhash.signature(texts[1].encode())
+    assert components_of(spark, [*texts, texts[0].upper().replace(" ", "  ")]) == {0: 0, 1: 1, 2: 0}
