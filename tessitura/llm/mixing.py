@@ -19,7 +19,7 @@ from typing import NamedTuple
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessitura.llm._shared import col, materialize, partitions
+from tessitura.llm._shared import ROW_KEY, col, materialize, partitions, row_key, whole_row
 
 WORD = r"[^\x20\x09-\x0D]+"
 ROUNDS, FAN = 6, 33  # each round narrows the bracket by FAN - 1: 32 ** -6 is below 1e-9
@@ -36,10 +36,16 @@ def _key(column: str):
     return F.when(col(column).isNull(), F.lit("-")).otherwise(F.concat(F.lit("+"), col(column).cast("string")))
 
 
-def tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """Store and return ``__id, skey, source, n_tokens``: words of each text, 1 at least so that every row has a place."""
+def tokens(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source", keyed: bool = False) -> DataFrame:
+    """Store and return ``__id, skey, source, n_tokens``: words of each text, 1 at least so that every row has a place.
+
+    keyed: also what tells rows apart by id and text.
+    """
     counted = F.greatest(F.coalesce(F.regexp_count(col(text_col), F.lit(WORD)), F.lit(0)), F.lit(1)).cast("long")
-    return materialize(docs.select(col(id_col).alias("__id"), _key(source_col).alias("skey"), col(source_col).alias("source"), counted.alias("n_tokens")), "mix-tokens")
+    key = row_key(id_col, text_col) if keyed else []
+    # what a row is dealt by: its id, and without one its text, so that such rows are spread too
+    name = F.coalesce(col(id_col).cast("string"), F.concat(F.lit("-"), F.md5(F.coalesce(col(text_col).cast("binary"), F.lit(b"")))))
+    return materialize(docs.select(col(id_col).alias("__id"), name.alias("__name"), _key(source_col).alias("skey"), col(source_col).alias("source"), counted.alias("n_tokens"), *key), "mix-tokens")
 
 
 def _bisect(shares: DataFrame, wanted: str, falling: bool) -> float:
@@ -94,33 +100,53 @@ def mix(docs: DataFrame, *, entropy_share: float = 0.95, repetition_limit: float
     null source is a source of its own; null and empty texts count one token; repeated rows are mixed as rows of their
     own; an empty table gives an empty result; other columns of docs are ignored.
     """
-    counted = tokens(docs, id_col=id_col, text_col=text_col, source_col=source_col)
+    placed = _place(tokens(docs, id_col=id_col, text_col=text_col, source_col=source_col), [], entropy_share, repetition_limit, block_tokens, seed)
+    return placed.select(F.col("__id").alias(id_col), F.col("source").alias(source_col), "copy", "n_tokens", "block", "slot")
+
+
+def _place(counted: DataFrame, more: list[str], entropy_share: float, repetition_limit: float, block_tokens: int, seed: str) -> DataFrame:
+    """A row for each reading of each row of counted, with ``copy, block, slot, blocks`` and the columns named in more."""
     plan = solve(counted, entropy_share=entropy_share, repetition_limit=repetition_limit, block_tokens=block_tokens)
     sources = plan.weights.select("skey", F.col("n_tokens").alias("__all"), "budget")
     copies = F.explode(F.sequence(F.lit(1), F.ceil(F.col("budget") / F.col("__all")).cast("int")))
+    n = partitions(counted.sparkSession)
     # as many buckets as there are partitions: each holds its share of every source
-    bucket = F.pmod(F.conv(F.substring("__h", 1, 8), 16, 10).cast("long") * partitions(docs.sparkSession) / F.lit(1 << 32), F.lit(partitions(docs.sparkSession)))
+    bucket = F.pmod(F.conv(F.substring("__h", 1, 8), 16, 10).cast("long") * n / F.lit(1 << 32), F.lit(n))
     read = (
-        counted.join(sources, "skey").select("__id", "skey", "source", "n_tokens", "__all", "budget", copies.alias("copy"))
-        .withColumn("__h", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("__id").cast("string"), F.lit("")), F.col("copy").cast("string"))))
+        counted.join(sources, "skey").select("__id", "__name", "skey", "source", "n_tokens", *more, "__all", "budget", copies.alias("copy"))
+        .withColumn("__h", F.md5(F.concat_ws(":", F.lit(seed), "__name", F.col("copy").cast("string"))))
         .withColumn("__bucket", F.floor(bucket).cast("int"))
     )
     group = ["skey", "copy", "__bucket"]
     totals = read.groupBy(*group).agg(F.sum("n_tokens").alias("__sum"))
     earlier = Window.partitionBy("skey", "copy").orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = totals.select(*group, F.coalesce(F.sum("__sum").over(earlier), F.lit(0)).alias("__before"))
-    inside = Window.partitionBy(*group).orderBy("__h", "__id", "n_tokens")
+    inside = Window.partitionBy(*group).orderBy("__h", "__id", "n_tokens", *more)
     start = F.col("__before") + F.coalesce(F.sum("n_tokens").over(inside.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)) + (F.col("copy") - 1) * F.col("__all")
     placed = (
         read.join(totals, group).withColumn("__start", start).where("__start < budget")
-        .withColumn("block", F.expr(f"(__start * {plan.blocks}) div budget"))
+        .withColumn("block", block_of("__start", "budget", plan.blocks))
     )
-    within = Window.partitionBy("block").orderBy("__h", "source", "__id", "n_tokens")
-    return placed.select(F.col("__id").alias(id_col), F.col("source").alias(source_col), "copy", "n_tokens", "block", (F.row_number().over(within) - 1).cast("long").alias("slot"))
+    within = Window.partitionBy("block").orderBy("__h", "source", "__id", "n_tokens", *more)
+    return placed.select("__id", "source", "skey", "copy", "n_tokens", *more, "block", (F.row_number().over(within) - 1).cast("long").alias("slot"), F.lit(plan.blocks).cast("long").alias("blocks"))
 
 
-def apply_mix(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """Return docs, each row as often as the mix reads its id (rows that share an id: as often as the most read one)."""
-    readings = mix(docs, id_col=id_col, **options).groupBy(id_col).agg(F.max("copy").alias("__times")).withColumnRenamed(id_col, "__mixed")
-    joined = docs.join(readings, col(id_col).eqNullSafe(F.col("__mixed")), "left")
-    return joined.withColumn("__n", F.explode(F.sequence(F.lit(1), F.coalesce("__times", F.lit(1))))).select(*[col(c) for c in docs.columns])
+def block_of(start: str, budget: str, blocks: int):
+    """The block of a token offset in a source's budget; the product is a decimal, as it passes 64 bits from 1e12 tokens on."""
+    return F.expr(f"(cast({start} as decimal(20, 0)) * cast({blocks}L as decimal(18, 0))) div cast({budget} as decimal(20, 0))")
+
+
+def apply_mix(docs: DataFrame, *, entropy_share: float = 0.95, repetition_limit: float = 2.0, block_tokens: int = 100_000, seed: str = "mix", id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """Return the rows of docs as ``mix`` reads them, each as often as it is read, in order of block and slot.
+
+    The result is partitioned by runs of blocks and sorted, so files written of it hold the stream in order of their number.
+    Rows that share an id are told apart by their text, and rows equal in id, text and source are read one by one.
+    """
+    placed = _place(tokens(docs, id_col=id_col, text_col=text_col, source_col=source_col, keyed=True), ROW_KEY, entropy_share, repetition_limit, block_tokens, seed)
+    key = [*ROW_KEY, "skey"]
+    # equal rows are numbered on both sides
+    readings = placed.select(*key, "copy", "block", "slot", "blocks").withColumn("__nth", F.row_number().over(Window.partitionBy(*key, "copy").orderBy("block", "slot")))
+    rows = docs.select(*row_key(id_col, text_col), _key(source_col).alias("skey"), whole_row(docs)).withColumn("__nth", F.row_number().over(Window.partitionBy(*key).orderBy(*key)))
+    n = partitions(docs.sparkSession)
+    joined = rows.join(readings, [*key, "__nth"]).select("block", "slot", "blocks", "__row")
+    return joined.repartitionById(n, F.expr(f"cast((block * {n}) div blocks as int)")).sortWithinPartitions("block", "slot").select("__row.*")

@@ -22,7 +22,7 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     done = toxicity.classify(docs, table(spark, sf_dir, "labels"))
-    probabilities = [F.round(F.col(f"toxicity.{c}"), 6).alias(f"p_{c}") for c in (*toxicity.CATEGORIES, "toxic")]
+    probabilities = [F.round(F.col(f"toxicity.{c}"), 6).alias(f"p_{c}") for c in toxicity.LINKS]
     return done.select("doc_id", *probabilities, F.col("is_toxic").alias("toxic"))
 
 
@@ -58,8 +58,7 @@ def op8_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
     found = warc.read_archives(warc.write_archives(pages, warc.archive_folder(spark)))
     kind = pages.schema["page_id"].dataType
-    page = lambda c: F.when(F.col(c) != "null", F.col(c)).cast(kind)
-    return found.select(page("key").alias("page_id"), "payload_bytes", "payload_digest", "record_type", page("refers_to").alias("refers_to"), F.col("uri").alias("target_uri"))
+    return found.select(F.col("id").cast(kind).alias("page_id"), "payload_bytes", "payload_digest", "record_type", F.col("refers_to").cast(kind).alias("refers_to"))
 
 
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -94,7 +93,7 @@ ORACLE_SQL: dict[str, str] = {}
 
 ORACLE_SQL["op2_mixing"] = r"""
 WITH RECURSIVE counted AS (
-  SELECT doc_id, source, greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS n_tokens FROM documents
+  SELECT doc_id, source, md5(coalesce(text, '')) AS text_md5, greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS n_tokens FROM documents
 ), sources AS (
   SELECT source, sum(n_tokens)::BIGINT AS all_tokens, sum(n_tokens)::DOUBLE / (SELECT sum(n_tokens) FROM counted) AS p FROM counted GROUP BY source
 ), spread(i, low, high) AS (
@@ -120,10 +119,10 @@ WITH RECURSIVE counted AS (
 ), blocks AS (
   SELECT greatest(1, (sum(budget) + 99999) // 100000)::BIGINT AS n FROM weights
 ), readings AS (
-  SELECT c.doc_id, c.source, c.n_tokens, w.all_tokens, w.budget, unnest(range(1, ceil(w.budget / w.all_tokens::DOUBLE)::INT + 1))::INT AS copy
+  SELECT c.doc_id, c.source, c.text_md5, c.n_tokens, w.all_tokens, w.budget, unnest(range(1, ceil(w.budget / w.all_tokens::DOUBLE)::INT + 1))::INT AS copy
   FROM counted c JOIN weights w ON c.source IS NOT DISTINCT FROM w.source
 ), hashed AS (
-  SELECT *, md5(concat('mix:', coalesce(doc_id::VARCHAR, ''), ':', copy)) AS h FROM readings
+  SELECT *, md5(concat('mix:', coalesce(doc_id::VARCHAR, '-' || text_md5), ':', copy)) AS h FROM readings
 ), placed AS (
   SELECT *, (copy - 1) * all_tokens + coalesce(sum(n_tokens) OVER (PARTITION BY source, copy ORDER BY h, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::BIGINT AS start FROM hashed
 ), kept AS (
@@ -134,15 +133,15 @@ SELECT doc_id, source, copy, n_tokens, block, (row_number() OVER (PARTITION BY b
 
 ORACLE_SQL["op8_warc"] = r"""
 WITH p AS (
-  SELECT page_id, url, coalesce(html, '') AS body FROM pages
+  SELECT page_id, coalesce(html, '') AS body FROM pages
 ), s AS (
-  SELECT page_id, url, octet_length(encode(body))::BIGINT AS payload_bytes, sha1(body) AS payload_digest FROM p
+  SELECT page_id, octet_length(encode(body))::BIGINT AS payload_bytes, sha1(body) AS payload_digest FROM p
 ), r AS (
   SELECT *, max(page_id) OVER (PARTITION BY payload_digest, payload_bytes) AS best FROM s
 )
 SELECT page_id, payload_bytes, payload_digest,
   CASE WHEN payload_bytes >= 1000 AND best IS DISTINCT FROM page_id THEN 'revisit' ELSE 'response' END AS record_type,
-  CASE WHEN payload_bytes >= 1000 AND best IS DISTINCT FROM page_id THEN best END AS refers_to, url AS target_uri
+  CASE WHEN payload_bytes >= 1000 AND best IS DISTINCT FROM page_id THEN best END AS refers_to
 FROM r
 """
 

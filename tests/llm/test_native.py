@@ -32,12 +32,50 @@ def test_shards_are_even(spark):
     assert max(sizes.values()) - min(sizes.values()) <= 2 * 57
 
 
-def test_shards_keep(docs, empty):
-    kept = sharding.shard_by_bytes(docs, 2, keep=("text", "slot", "lang"))
-    assert kept.columns == ["doc_id", "size", "text_crc32", "shard", "slot", "text", "lang"] and kept.count() == docs.count()
-    assert sharding.shard_by_bytes(empty, 5).count() == 0
-    with pytest.raises(ValueError):
-        sharding.shard_by_bytes(docs, 0)
+def test_shards_of_odd_tables(docs, empty):
+    assert sharding.shard_by_bytes(docs, 2).columns == ["doc_id", "size", "text_crc32", "shard", "slot"]
+    for of in (sharding.shard_by_bytes, sharding.shard_stored):
+        assert of(empty, 5).count() == 0
+        with pytest.raises(ValueError):
+            of(docs, 0)
+
+
+def test_stored_shards_keep_columns(docs):
+    d = docs.withColumn("docs_shard", F.lit("taken"))
+    got = sharding.shard_stored(d, 2)
+    assert got.columns == ["doc_id", "text", "lang", "source", "score", "docs_docs_shard", "docs_slot", "docs_shard", *sharding.ADDED]
+    assert got.where("docs_docs_shard <> 'x' or docs_shard <> 'taken' or docs_slot <> date'2024-01-01'").count() == 0
+    assert Counter(r["doc_id"] for r in got.collect()) == Counter(r["doc_id"] for r in docs.collect())
+
+
+@pytest.mark.parametrize("n", [1, 5, 24])
+@pytest.mark.parametrize("filtered", [False, True])
+def test_stored_shards(spark, tmp_path, n, filtered):
+    """Cuts in order of the files and the rows in them, whether a read holds all their rows or not."""
+    path = str(tmp_path / "rows")
+    order = F.md5(F.col("doc_id").cast("string"))
+    spark.range(500).select(F.col("id").alias("doc_id"), F.repeat(F.lit("é"), (F.col("id") % 50).cast("int")).alias("text")).repartitionByRange(12, order).sortWithinPartitions(order).write.parquet(path)
+    d = spark.read.parquet(path)
+    d = d.where("doc_id % 3 <> 1") if filtered else d
+    got = {r["doc_id"]: r for r in sharding.shard_stored(d, n).collect()}
+    import hashlib
+
+    ids = sorted((r["doc_id"] for r in d.collect()), key=lambda i: hashlib.md5(str(i).encode()).hexdigest())
+    total, at, slots = sum(2 * (i % 50) + 8 for i in ids), 0, Counter()
+    assert len(got) == len(ids)
+    for i in ids:
+        shard = min(n - 1, at * n // total)
+        assert (got[i]["size"], got[i]["shard"], got[i]["slot"]) == (2 * (i % 50) + 8, shard, slots[shard])
+        slots[shard] += 1
+        at += 2 * (i % 50) + 8
+
+
+def test_large_offsets_do_not_overflow(spark):
+    """Bytes and tokens of far over 100 TB."""
+    big = spark.sql("select 99999999999999999L as start, 100000000000000000L as total")
+    assert big.select(sharding.cut("start", "total", 1_000_000).alias("x")).first()["x"] == 999_999
+    tokens = spark.sql("select 9999999999999L as start, 10000000000000L as budget")
+    assert tokens.select(mixing.block_of("start", "budget", 10**8).alias("x")).first()["x"] == 9999999999999 * 10**8 // 10**13
 
 
 def skewed(spark):
@@ -79,6 +117,24 @@ def test_mix_odd_tables(docs, empty):
     assert mixing.apply_mix(docs).columns == docs.columns and mixing.apply_mix(empty).count() == 0
 
 
+def test_rows_are_read_as_mixed(spark, tmp_path):
+    """Rows that share an id, or have none, are read each as often as the mix says, and written in its order."""
+    d = skewed(spark).withColumn("doc_id", F.when(F.col("doc_id") % 5 > 0, F.col("doc_id") % 7)).withColumn("text", F.concat("text", F.monotonically_increasing_id().cast("string"))).withColumn("block", F.lit("mine"))
+    d = d.unionByName(d.limit(3)).unionByName(d.limit(3))
+    d.write.parquet(str(tmp_path / "in"))
+    d = spark.read.parquet(str(tmp_path / "in"))
+    plan = mixing._place(mixing.tokens(d, keyed=True), mixing.ROW_KEY, 0.95, 2.0, 300, "mix")
+    want = Counter((r["__id"], r["__text_hash"]) for r in plan.collect())
+    out = mixing.apply_mix(d, block_tokens=300)
+    out.write.parquet(str(tmp_path / "out"))
+    back = spark.read.parquet(str(tmp_path / "out"))
+    got = back.select("doc_id", F.xxhash64("text").alias("h"), "block").collect()
+    assert out.columns == d.columns and Counter((r["doc_id"], r["h"]) for r in got) == want and {r["block"] for r in got} == {"mine"}
+    # contiguous pieces of the written stream hold the mix
+    shards = sharding.shard_stored(back, 5).groupBy("shard").agg((F.sum(F.when(F.col("source") == "large", F.regexp_count("text", F.lit(mixing.WORD))).otherwise(0)) / F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).alias("share")).collect()
+    assert len(shards) == 5 and max(r["share"] for r in shards) - min(r["share"] for r in shards) < 0.12
+
+
 def brute(text):
     words = (text or "").encode().split()
     windows = Counter(tuple(words[i : i + 5]) for i in range(len(words) - 4))

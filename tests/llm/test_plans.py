@@ -16,6 +16,11 @@ def test_native(name, spark, sf):
     assert not any(x in p for x in ("Python", "Pandas", "Arrow", "text#"))
 
 
+def test_stored_shards_shuffle_no_texts(spark, sf):
+    p = plan(sharding.shard_stored(spark.read.parquet(f"{sf}/documents.parquet"), 24))
+    assert not any(x in p for x in ("Python", "Pandas", "Arrow", "Exchange hashpartitioning(__row", "SortMergeJoin"))
+
+
 def test_what_is_stored_has_no_texts(spark, sf):
     docs = spark.read.parquet(f"{sf}/documents.parquet")
     assert "text" not in mixing.tokens(docs).columns

@@ -64,7 +64,10 @@ def test_stages_of_odd_tables(spark, sf, docs, empty):
     d = docs.withColumn("is_toxic", F.lit("mine")).withColumn("toxicity", F.lit(2))
     for name, stage in p.STAGES:
         out = stage(spark, d, sf)
+        assert out.where("is_toxic <> 'mine' or toxicity <> 2").count() == 0 and out.columns[: 5] == d.columns[: 5]
         if name != "sharding":
-            assert out.columns == d.columns and out.where("is_toxic <> 'mine'").count() == 0
+            assert out.columns == d.columns
+        else:
+            assert {"docs_shard", "docs_slot"} <= set(out.columns) and out.where("docs_shard <> 'x'").count() == 0
         assert {r["doc_id"] for r in out.collect()} <= {r["doc_id"] for r in d.collect()} and out.where("doc_id is null").count() >= 1  # mixing may read it again
         assert stage(spark, d.limit(0), sf).count() == 0
