@@ -3,8 +3,9 @@
 1. toxicity: documents that the classifier chain finds toxic go.
 2. near_duplicates: one document of each group of near copies stays (5-word shingles, similarity 0.8 or more).
 3. decontamination: documents that hold a 10-word window of a benchmark item go.
-4. mixing: smaller sources are read again until each has its weight; no document is left out.
-5. sharding: 24 contiguous shards of near-equal bytes, with the texts.
+4. mixing: smaller sources are read again until each has its weight, and rows are written in the order of the mix,
+   block by block; no document is left out.
+5. sharding: 24 contiguous shards of near-equal bytes, cut in that order, so each holds the mix; with the texts.
 """
 
 from __future__ import annotations
@@ -39,8 +40,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def sharding_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    keep = tuple(c for c in docs.columns if c != "doc_id")
-    return sharding.shard_by_bytes(docs, N_SHARDS, keep=keep)
+    return sharding.shard_stored(docs, N_SHARDS)
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
