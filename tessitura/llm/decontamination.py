@@ -19,12 +19,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm._shared import arrow_limits, col, materialize
+from tessitura.llm._shared import arrow_limits, col, materialize, whole_row
 
 WINDOW = 10
 SEGMENT_WORDS = 1 << 20
 #: Words of benchmark text sent to the tasks at once; a larger benchmark takes more passes over the index.
-CHUNK_WORDS = 1 << 21
+CHUNK_WORDS = 1 << 19
 
 #: A-Z to lower case; every other ASCII character that is no digit or letter to a space; bytes of longer characters stay.
 _FOLD = bytes(c + 32 if 65 <= c <= 90 else c if 48 <= c <= 57 or 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
@@ -105,7 +105,7 @@ def search(lengths: np.ndarray, terms: list[bytes], counts: np.ndarray, postings
     """
     begins = np.r_[0, np.cumsum(lengths)]
     ends = np.r_[0, np.cumsum(counts)]
-    local = np.full(len(test.terms), -1, np.int64)
+    local = np.full(len(test.terms), -1, np.int32)
     for i, t in enumerate(terms):
         if (n := test.terms.get(t)) is not None:
             local[n] = i
@@ -152,9 +152,9 @@ def search(lengths: np.ndarray, terms: list[bytes], counts: np.ndarray, postings
 
 def _chunks(benchmark: DataFrame, item_col: str, text_col: str, window: int, chunk_words: int) -> Iterator[Benchmark]:
     items, size = [], 0
-    rows = benchmark.select(F.coalesce(col(item_col).cast("string"), F.lit("null")), col(text_col))
+    rows = benchmark.select(F.coalesce(col(item_col).cast("string"), F.lit("null")), col(text_col).cast("binary"))
     for item, text in rows.toLocalIterator():
-        found = words(text.encode() if text is not None else None)
+        found = words(None if text is None else bytes(text))
         items.append((item, found))
         size += len(found)
         if size >= chunk_words:
@@ -175,8 +175,12 @@ def find_matches(index: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     """
     spark = index.sparkSession
     kind = index.schema["ids"].dataType.elementType.simpleString()
-    parts = []
+    parts: list = []
     for test in _chunks(benchmark, item_col, text_col, window, chunk_words):
+        if parts and parts[-1][1] is not None:  # not the only chunk: one at a time is held, and its result stored
+            done, held = parts.pop()
+            parts.append((materialize(done, "benchmark-matches"), None))
+            held.destroy()
         shipped = spark.sparkContext.broadcast(test)  # at most chunk_words and one item more
 
         def run(batches: Iterator[pa.RecordBatch], shipped=shipped) -> Iterator[pa.RecordBatch]:
@@ -193,11 +197,11 @@ def find_matches(index: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
                     )
 
         schema = f"segment string, ordinal int, id {kind}, n_words int, matches array<struct<start:int,length:int,item:string>>"
-        parts.append(index.mapInArrow(run, schema))
+        parts.append((index.mapInArrow(run, schema), shipped))
     if len(parts) == 1:
-        return parts[0].select("id", F.col("n_words").cast("long").alias("n_words"), "matches")
-    rows = parts[0]
-    for more in parts[1:]:
+        return parts[0][0].select("id", F.col("n_words").cast("long").alias("n_words"), "matches")
+    rows = parts[0][0]
+    for more, _ in parts[1:]:
         rows = rows.unionByName(more)
     return rows.groupBy("segment", "ordinal").agg(F.first("id").alias("id"), F.first("n_words").cast("long").alias("n_words"), F.flatten(F.collect_list("matches")).alias("matches")).select("id", "n_words", "matches")
 
@@ -219,6 +223,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
 
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Return docs without those ids that have a match. A row without an id cannot be named and is kept."""
-    hit = contamination(docs, benchmark, id_col=id_col, text_col=text_col, **options).where("n_hit > 0").select(col(id_col).alias("__hit")).distinct()
-    return docs.join(hit, col(id_col) == F.col("__hit"), "left_anti")
+    """Return the rows of docs whose own text has no match, whatever their ids: none, or shared with rows that have one."""
+    row = F.concat(F.when(col(id_col).isNull(), "-").otherwise("+"), F.coalesce(col(id_col).cast("string"), F.lit("")), F.lit(":"), F.hex(F.xxhash64(col(text_col)))).alias("__key")
+    found = contamination(docs.select(row, col(text_col).alias("__text")), benchmark, id_col="__key", text_col="__text", **options)
+    hit = found.where("n_hit > 0").select("__key").distinct()
+    return docs.select(row, whole_row(docs)).join(hit, "__key", "left_anti").select("__row.*")
