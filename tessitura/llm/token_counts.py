@@ -28,6 +28,9 @@ BOUNDARY = "▁"
 NODES, WORDS = 300_000, 300_000
 
 
+ABSENT = object()
+
+
 class Unigram(NamedTuple):
     ends: dict[str, float | None]  # log probability of each piece; None for other strings that a piece ends with
     unknown: float
@@ -68,11 +71,11 @@ class Trie:
             node = edges.get(key, -1)
             if node < 0:
                 at = path[-1]
-                n = len(c.encode("utf-8", "surrogatepass"))
+                n = len(c.encode("utf-8", "surrogateescape"))
                 best, few = score[at] + unknown * n, tokens[at] + n
                 for j in range(i - 1, -1, -1):
-                    p = ends.get(word[j:i], 0.0)
-                    if p == 0.0:  # no piece ends like this, nor so any longer string
+                    p = ends.get(word[j:i], ABSENT)
+                    if p is ABSENT:  # no piece ends like this, nor so any longer string
                         break
                     if p is not None:
                         at = path[j]
@@ -99,7 +102,7 @@ class Counter:
         for w in sorted(w for w in set(words) if w not in known):  # a set minus a dict's keys would walk all the keys
             if len(self.trie.score) > NODES:
                 self.trie = Trie(self.model)
-            self.known[w] = self.trie.count(BOUNDARY + w.decode())
+            self.known[w] = self.trie.count(BOUNDARY + w.decode("utf-8", "surrogateescape"))  # bytes that are no UTF-8 count one token each
         total = sum(map(self.known.__getitem__, words))
         if len(self.known) > WORDS:
             self.known = {}

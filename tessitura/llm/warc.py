@@ -1,7 +1,7 @@
 """Web archives as ZIP packages: write WARC records as stored members with an index, read them back by range.
 
 An archive holds ``archive/data.warc.gz`` (WARC/1.1 records, each a gzip member of its own and the file stored, so a
-record can be read by its byte range) and ``indexes/index.tsv`` (a line a record: key, offset, length). A reader needs the end of the file to find the
+record can be read by its byte range) and ``indexes/index.tsv`` (a line a record: encoded id, offset, length). A reader needs the end of the file to find the
 central directory (ZIP64 records included), the index member to find records, and then only the ranges it wants;
 nothing is unpacked. Each task writes archives of its own under the shared folder through pyarrow's file systems,
 under names that no other attempt uses, and only a finished task's archives enter the manifest.
@@ -14,13 +14,14 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from urllib.parse import quote, unquote_to_bytes
 
 import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.llm._shared import arrow_limits, col, materialize, partitions, shared_dir
+from tessitura.llm._shared import HOT_SHARE, arrow_limits, col, materialize, partitions, run_dir
 
 DATA, INDEX = "archive/data.warc.gz", "indexes/index.tsv"
 LEVEL = 3  # of gzip
@@ -161,30 +162,54 @@ def parse(data: bytes) -> tuple[dict[str, str], dict[str, str], bytes]:
     return warc, dict(x.split(": ", 1) for x in http.decode().split("\r\n")[1:]), payload
 
 
-def _clean(uri: str | None) -> str:
-    return "".join(c if c.isprintable() and c != " " else "%%%02X" % ord(c) for c in uri or "unknown:")
+def _clean(uri: bytes | None) -> str:
+    """A URI for a header: what is not visible ASCII is percent-encoded."""
+    return "".join(chr(b) if 33 <= b <= 126 else f"%{b:02X}" for b in uri or b"unknown:")
+
+
+#: The key of a null id; no encoded id has an asterisk.
+NO_ID = "*"
+
+
+def encode_id(value: bytes | None) -> str:
+    """An id for headers and index: letters, digits and -._~ stay, all else is percent-encoded."""
+    return NO_ID if value is None else quote(value, safe="")
+
+
+def decode_id(key: str) -> bytes | None:
+    return None if key == NO_ID else unquote_to_bytes(key)
 
 
 def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", uri_col: str = "url", payload_col: str = "html", revisit_from: int = REVISIT_FROM, archive_bytes: int = ARCHIVE_BYTES) -> DataFrame:
     """Write a record a row into ZIP archives under folder; return the manifest ``path, n_records``.
 
     Of rows with equal payloads of at least revisit_from bytes, that of the largest id is written whole (all rows of
-    that id, if it repeats), the others as revisits of it. A null payload is empty; a null id is called 'null', and
-    is smaller than any other; a null URI is 'unknown:'.
+    that id, if it repeats), the others as revisits of it. A null payload is empty; a null id is kept as such and is
+    smaller than any other; a null or empty URI is 'unknown:'. Ids are percent-encoded, so any text may be one.
     """
     spark = pages.sparkSession
     arrow_limits(spark)
     payload = F.coalesce(col(payload_col).cast("binary"), F.lit(b""))
-    rows = pages.select(col(id_col).alias("__id"), col(uri_col).cast("string").alias("__uri"), payload.alias("__payload"))
+    rows = pages.select(col(id_col).alias("__id"), col(uri_col).cast("string").cast("binary").alias("__uri"), payload.alias("__payload"))
     rows = rows.withColumn("__digest", F.sha1("__payload")).withColumn("__n", F.octet_length("__payload"))
     # one row for each payload that is shared: a narrow aggregation, combined before its shuffle
     shared = (
         rows.where(F.col("__n") >= revisit_from).groupBy("__digest", "__n").agg(F.max("__id").alias("__best"), F.count(F.lit(1)).alias("__times"))
-        .where("__times > 1").drop("__times")
+        .where("__times > 1")
     )
-    planned = rows.join(shared, ["__digest", "__n"], "left").select(
-        F.coalesce(F.col("__id").cast("string"), F.lit("null")).alias("key"), "__uri", "__payload", "__digest",
-        F.when(F.col("__best").isNotNull() & ~F.col("__best").eqNullSafe(F.col("__id")), F.col("__best").cast("string")).alias("refers"),
+    shared = materialize(shared, "warc-shared")
+    # payloads that a large share of the rows have are known by a broadcast of fewer than HOT_SHARE rows; their rows,
+    # and those too small to be revisited, meet nothing in the shuffle and are spread by a number of their own
+    total = shared.agg(F.coalesce(F.sum("__times"), F.lit(0))).first()[0]
+    hot = F.col("__times") * HOT_SHARE > total
+    often = shared.where(hot).select("__digest", "__n", F.col("__best").alias("__hot_best"))
+    seldom = shared.where(~hot).select(F.col("__digest").alias("__meet"), "__n", "__best")
+    rows = rows.join(F.broadcast(often.withColumn("__hot", F.lit(True))), ["__digest", "__n"], "left")
+    alone = F.col("__hot").isNotNull() | (F.col("__n") < revisit_from)
+    rows = rows.withColumn("__meet", F.when(alone, F.concat(F.lit("-"), F.monotonically_increasing_id().cast("string"))).otherwise(F.col("__digest")))
+    best = F.coalesce("__best", "__hot_best")
+    planned = rows.join(seldom, ["__meet", "__n"], "left").select(
+        F.col("__id").cast("string").cast("binary").alias("id"), "__uri", "__payload", "__digest", F.when(best.isNotNull() & ~best.eqNullSafe(F.col("__id")), best.cast("string").cast("binary")).alias("refers"),
     )
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -210,10 +235,11 @@ def write_archives(pages: DataFrame, folder: str, *, id_col: str = "page_id", ur
             made.append((x[0], len(x[3])))
 
         for batch in batches:
-            for key, uri, body, digest, refers in zip(*(c.to_pylist() for c in batch.columns)):
+            for one, uri, body, digest, refers in zip(*(c.to_pylist() for c in batch.columns)):
                 if current is None:
                     current = start()
-                data = pack(record(key, _clean(uri), body, digest, refers))
+                key = encode_id(one)
+                data = pack(record(key, _clean(uri), body, digest, None if refers is None else encode_id(refers)))
                 offset = current[2].write(data)
                 current[3].append(f"{key}\t{offset}\t{len(data)}\n".encode())
                 if offset + len(data) >= archive_bytes:
@@ -244,7 +270,7 @@ def records_of(url: str, range_bytes: int = RANGE_BYTES) -> Iterator[tuple[str,
     with source.file:
         zipped = ZipReader(source)
         base, size = zipped.place(DATA)
-        places = [x.split("\t") for x in zipped.read(INDEX).decode().splitlines()]
+        places = [x.split("\t") for x in zipped.read(INDEX).decode().split("\n") if x]
         places = [(key, int(offset), int(length)) for key, offset, length in places]
         i = 0
         while i < len(places):
@@ -261,13 +287,13 @@ def records_of(url: str, range_bytes: int = RANGE_BYTES) -> Iterator[tuple[str,
 
 
 def read_archives(manifest: DataFrame, *, payloads: bool = False) -> DataFrame:
-    """Return a row a record: ``key, uri, record_type, payload_digest, payload_bytes, refers_to`` (and ``payload``).
+    """Return a row a record: ``id, uri, record_type, payload_digest, payload_bytes, refers_to`` (and ``payload``); ids as text.
 
     Digest and length are of the full payload; a response's are verified against the bytes read, and a mismatch
     raises. refers_to and a revisit's payload: null where there is none.
     """
     spark = manifest.sparkSession
-    fields = [("key", pa.string()), ("uri", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.string())] + [("payload", pa.binary())] * payloads
+    fields = [("id", pa.binary()), ("uri", pa.string()), ("record_type", pa.string()), ("payload_digest", pa.string()), ("payload_bytes", pa.int64()), ("refers_to", pa.binary())] + [("payload", pa.binary())] * payloads
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def out(rows: list[tuple]) -> pa.RecordBatch:
@@ -286,18 +312,19 @@ def read_archives(manifest: DataFrame, *, payloads: bool = False) -> DataFrame:
                     if kind == "response" and (len(payload) != n or hashlib.sha1(payload).hexdigest() != digest):
                         raise ValueError(f"record {key} of {url} is damaged")
                     refers = warc.get("WARC-Refers-To")
-                    rows.append((key, warc["WARC-Target-URI"], kind, digest, n, refers and refers[10:-1], *([payload if kind == "response" else None] * payloads)))
+                    rows.append((decode_id(key), warc["WARC-Target-URI"], kind, digest, n, refers and decode_id(refers[10:-1]), *([payload if kind == "response" else None] * payloads)))
                     held += len(payload) * payloads
                     if len(rows) >= 5000 or held >= RANGE_BYTES:
                         yield out(rows)
                         rows, held = [], 0
                 yield out(rows)
 
-    schema = "key string, uri string, record_type string, payload_digest string, payload_bytes long, refers_to string" + ", payload binary" * payloads
-    return manifest.select("path").repartition(partitions(spark)).mapInArrow(run, schema)
+    schema = "id binary, uri string, record_type string, payload_digest string, payload_bytes long, refers_to binary" + ", payload binary" * payloads
+    found = manifest.select("path").repartition(partitions(spark)).mapInArrow(run, schema)
+    return found.withColumn("id", F.col("id").cast("string")).withColumn("refers_to", F.col("refers_to").cast("string"))
 
 
 def archive_folder(spark: SparkSession) -> str:
     """A new folder under the shared one, as a URI with its scheme: outside Spark a bare path would mean a local disk."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared_dir(spark)}/tessitura/warc-{uuid.uuid4().hex}")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{run_dir(spark)}/warc-{uuid.uuid4().hex}")
     return path.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(path).toString()

@@ -63,6 +63,14 @@ def test_contamination_odd_tables(docs, empty, spark):
     assert kept.columns == docs.columns and {r["doc_id"] for r in kept.collect()} == {3, 4, 5, 6, 7, 8, 9, 10, None}
 
 
+def test_contaminated_rows_go_not_ids(spark):
+    """A row without an id goes if its text matches; a clean row stays though it shares the id of one that goes."""
+    bad = "b c d e f g h i j k l"
+    d = spark.createDataFrame([(None, bad, "a"), (None, "clean", "b"), (1, bad, "c"), (1, "clean too", "d"), (2, None, "e")], "doc_id long, text string, id string")
+    kept = D.drop_contaminated(d, spark.createDataFrame([(0, bad)], "item_id long, text string"))
+    assert kept.columns == d.columns and sorted(r["id"] for r in kept.collect()) == ["b", "d", "e"]
+
+
 BIG = "<html>" + "x" * 2000 + "é</html>"
 
 
@@ -75,19 +83,42 @@ def pages(spark):
 @pytest.mark.parametrize("size", [1, 1 << 20])
 def test_warc_round_trip(spark, pages, size):
     manifest = warc.write_archives(pages, warc.archive_folder(spark), archive_bytes=size)
-    got = sorted(((r["key"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_archives(manifest).collect()), key=str)
+    got = sorted(((r["id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in warc.read_archives(manifest).collect()), key=str)
     best = {BIG: 7}
     want = []
     for r in pages.collect():
         body, i = (r["html"] or ""), r["page_id"]
         b = best.get(body)
         revisit = b is not None and b != i
-        want.append((str(i) if i is not None else "null", len(body.encode()), hashlib.sha1(body.encode()).hexdigest(), "revisit" if revisit else "response", str(b) if revisit else None))
+        want.append((str(i) if i is not None else None, len(body.encode()), hashlib.sha1(body.encode()).hexdigest(), "revisit" if revisit else "response", str(b) if revisit else None))
     assert got == sorted(want, key=str)
     texts = Counter(bytes(r["payload"]).decode() for r in warc.read_archives(manifest, payloads=True).where("payload is not null").collect())
     assert texts == Counter({BIG: 2, "small": 2, "": 2, BIG + "y": 1})
 
 
+def test_any_text_is_an_id(spark):
+    ids = ["null", "", "a\tb", "a\nb", "a\r\nWARC-Type: x", "a\u2028b", "*", "%41", "A", "日 本", None, "<>", "z" * 2000]
+    rows = [(i, BIG if n % 2 else f"own {n}") for n, i in enumerate(ids)]
+    d = spark.createDataFrame(rows, "page_id string, html string").withColumn("url", F.lit("http://ü/ x"))
+    got = warc.read_archives(warc.write_archives(d, warc.archive_folder(spark))).collect()
+    best = max(i.encode() for i, body in rows if body == BIG).decode()
+    assert Counter(r["id"] for r in got) == Counter(ids)
+    assert {r["id"] for r in got if r["record_type"] == "revisit"} == {i for i, body in rows if body == BIG and i != best} and {r["refers_to"] for r in got} == {None, best}
+    assert {r["uri"] for r in got} == {"http://%C3%BC/%20x"}
+
+
+def test_payloads_that_many_pages_have(spark):
+    """Most rows share a payload, many are empty, and few share another."""
+    d = spark.range(3000).select(F.col("id").alias("page_id"), F.lit(None).cast("string").alias("url"), F.when(F.col("id") % 3 == 0, F.repeat(F.lit("x"), 1500)).when(F.col("id") % 3 == 1, F.lit("")).otherwise(F.concat((F.col("id") % 700).cast("string"), F.repeat(F.lit("y"), 1200))).alias("html"))
+    rows = d.collect()
+    best = {}
+    for r in rows:
+        best[r["html"]] = max(best.get(r["html"], -1), r["page_id"])
+    want = {r["page_id"]: best[r["html"]] if len(r["html"]) >= 1000 and best[r["html"]] != r["page_id"] else None for r in rows}
+    got = warc.read_archives(warc.write_archives(d, warc.archive_folder(spark))).collect()
+    assert len(got) == 3000 and {int(r["id"]): r["refers_to"] and int(r["refers_to"]) for r in got} == want
+
+
 def test_archives_are_zip_files(spark, pages):
     for r in warc.write_archives(pages, warc.archive_folder(spark)).collect():
         with zipfile.ZipFile(r["path"].removeprefix("file:")) as z:
@@ -166,6 +197,25 @@ def test_trie_equals_brute_force():
         assert trie.count(w) == best_count(w, pieces, model.unknown)
 
 
+def test_a_certain_piece():
+    """The only piece has probability 1, the logarithm of which is 0."""
+    assert T.Trie(T.unigram(["ab"])).count("ab") == 1 and T.Trie(T.unigram([])).count("ab") == 2
+
+
+def test_bytes_that_are_no_text(spark):
+    """Strings that aren't UTF-8 pass through every reader of texts."""
+    from tessitura.llm import lm, quality, rules, simhash, toxicity
+
+    d = spark.sql("select 1L as doc_id, cast(X'61FF62200A61' as string) as text union all select 2L, 'plain words'")
+    assert {r["doc_id"]: r["n_pretokens"] for r in T.count_tokens(d, T.unigram(["a", "b"])).collect()} == {1: 2, 2: 2}
+    assert {r["n_tokens"] for r in lm.score_documents(d, F.lit(True)).collect()} == {3}
+    assert rules.ledger(d).count() == simhash.similar_documents(d).count() == 2
+    none = spark.createDataFrame([], "doc_id long, toxic int, quality int")
+    assert toxicity.classify(d, none).where("is_toxic").count() == 0
+    assert quality.score_documents(d, quality.train(d, none, F.col("quality") == 1)).count() == 2
+    assert D.contamination(d, d.withColumnRenamed("doc_id", "item_id")).where("n_hit > 0").count() == 2
+
+
 def test_token_counts(docs, empty, monkeypatch):
     model = T.load_vocabulary()
     got = T.count_tokens(docs.withColumn("n_tokens", F.lit("clash")), model).collect()
