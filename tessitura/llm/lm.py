@@ -1,14 +1,18 @@
 """Language-model scoring by a hashed maximum-entropy model with a class-factored softmax.
 
-    P(word | history) = P(class of word | history) * P(word | class)
+    P(word | history) = P(class | history) * P(slot | class, history) * P(word | slot)
 
-The class softmax is log-linear in hashed features of the history: the last word, the last two, and the words two
-and three back (skips). Classes group frequent words that follow alike words and are spelled alike; one class stands
-for all other words,
-which are spelled byte by byte, so every text has a probability. Word counts cover all training documents; the
-feature weights are trained by gradient updates in every partition at once, each from the same start, and averaged
-by the tokens they saw. Scoring adds weight rows picked by feature number (sparse) in blocks of numpy. Texts are cut into words once and stored as word numbers, which
-the passes for classes, training and scoring read.
+Both softmaxes are log-linear in the same hashed features of the history: the last word, the last two, and the words
+two and three back (skips). The first has a weight row a feature; the second a row for each feature and class. Classes
+group frequent words that follow alike words and are spelled alike. A class has SLOTS - 1 slots of one word each, its
+most frequent ones, and one of all its others, which share it by their counts. One class stands for all words outside
+the vocabulary, which are spelled byte by byte, so every text has a probability.
+
+Word counts cover all training documents. The feature weights are trained in synchronous rounds: each round reads
+another part of the texts, every partition of it makes gradient updates from the same start, and the weights are
+averaged by the tokens they saw and start the next round. Scoring adds weight rows picked by feature number (sparse)
+in blocks of numpy. Texts are cut into words once and stored as word numbers, which the passes for classes, training
+and scoring read.
 
 The base score is add-one unigram. The counts of the ``TOP`` most frequent words go to the tasks; the words of a
 text that are not among these are joined with the full count table, so it is exact at any vocabulary size.
@@ -16,6 +20,7 @@ text that are not among these are joined with the full count table, so it is exa
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections import Counter
 from collections.abc import Iterator
@@ -37,9 +42,11 @@ VOCABULARY = 20_000  # of the top words, those that have a class of their own ki
 CLUSTERED, ANCHORS, REACH = 8_000, 32, 3  # words whose neighbours are counted: the ANCHORS most frequent words up to REACH before them
 BY_NAME = 2_000  # of these, those that are features by name; others are features by their last 3 bytes
 CLASSES, OTHER, CLOSING = 32, 0, 1
-BUCKETS_LOG2, FEATURES = 13, 4
+SLOTS = 32
+BUCKETS_LOG2, FEATURES = 13, 4  # of both tables, unless the call says otherwise
 BLOCK = 8192  # tokens of a gradient update, and of a scoring step
-RATE = 0.1
+RATE, ROUNDS, LIMIT = 0.1, 3, 15.0  # LIMIT: of a weight, so that no exponential overflows
+NEVER = -30.0  # log share of a slot that has no word
 SPELL_LOG2, SYMBOLS, ORDERS = 14, 64, (5, 3, 1)
 FLUSH = 200_000
 _PARTS = 8  # a weight table travels in so many pieces
@@ -54,6 +61,11 @@ def _raw(column: pa.Array) -> list[bytes | None]:
     return column.cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
 
 
+def _strings(found: list[bytes]) -> pa.Array:
+    """Words as strings, unchecked: what comes from Spark goes back as it was, be it UTF-8 or not."""
+    return pa.array(found, pa.binary()).view(pa.string())
+
+
 def count_words(texts: DataFrame) -> DataFrame:
     """Store and return ``word, n`` of a one-column table of texts: counted in the tasks, then summed by word."""
 
@@ -63,7 +75,7 @@ def count_words(texts: DataFrame) -> DataFrame:
         def flush() -> Iterator[pa.RecordBatch]:
             found, n = list(counts), list(counts.values())
             for i in range(0, len(found), 50_000):
-                yield pa.RecordBatch.from_arrays([pa.array(found[i : i + 50_000], pa.binary()).cast(pa.string()), pa.array(n[i : i + 50_000], pa.int64())], names=["word", "n"])
+                yield pa.RecordBatch.from_arrays([_strings(found[i : i + 50_000]), pa.array(n[i : i + 50_000], pa.int64())], names=["word", "n"])
             counts.clear()
 
         for batch in batches:
@@ -87,7 +99,8 @@ def _summed(partial: DataFrame, label: str) -> dict[int, np.ndarray]:
                 sums[part] = sums[part] + piece if part in sums else piece
         yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["part", "payload"])
 
-    # two steps: as many lanes as partitions first, so that no task receives a piece from every other
+    # two steps, so that no task receives a piece from every other: with lanes by the root of their number, each
+    # task sums as many as a lane has, and then as many as there are lanes
     laned = partial.repartition("lane", "part").mapInArrow(_narrowed(run), "part int, payload binary")
     rows = materialize(laned, label).repartition("part").mapInArrow(_doubles, "part int, payload binary").collect()
     return {r["part"]: np.frombuffer(r["payload"], np.float64) for r in rows}
@@ -109,10 +122,10 @@ def _doubles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([s.tobytes() for s in sums.values()], pa.binary())], names=["part", "payload"])
 
 
-def _pieces(table: np.ndarray, parts: int, extra: float) -> pa.RecordBatch:
+def _pieces(table: np.ndarray, parts: int, extra: float, lanes: int) -> pa.RecordBatch:
     """A table cut in parts, and one part more that holds a single number; the lane spreads the first sums."""
     cut = [p.astype(np.float32).tobytes() for p in np.array_split(table.ravel(), parts)] + [np.array([extra], np.float32).tobytes()]
-    lane = (TaskContext.get().partitionId() if TaskContext.get() else 0) % 64
+    lane = (TaskContext.get().partitionId() if TaskContext.get() else 0) % lanes
     return pa.RecordBatch.from_arrays([pa.array([lane] * (parts + 1), pa.int32()), pa.array(range(parts + 1), pa.int32()), pa.array(cut, pa.binary())], names=["lane", "part", "payload"])
 
 
@@ -214,10 +227,13 @@ class Model(NamedTuple):
     distinct: int
     counts: np.ndarray
     classes: np.ndarray  # class of each top word
-    within: np.ndarray  # log10 P(word | class) of each top word
+    slots: np.ndarray  # slot of each top word in its class; -1 in the classes that have none
+    within: np.ndarray  # log10 P(word | slot) of each top word; without slots, P(word | class)
     feature: np.ndarray  # history number of each top word
     bias: np.ndarray  # log P(class) before training
     weights: np.ndarray  # buckets x classes
+    slot_bias: np.ndarray  # classes x slots: log P(slot | class) before training
+    slot_weights: np.ndarray  # buckets x slots, a bucket for each feature and class
     spelling: Spelling
     seen: float  # P(a word | class OTHER) of a word counted once, not counting its spelling
     novel: float  # share of class OTHER that is spelled
@@ -252,7 +268,7 @@ def encode(docs: DataFrame, words_of: Lexicon, learn_from: Column, id_col: str =
                 ends.append(len(found))
             ids = np.fromiter(map(index.get, found, repeat(-1)), np.int32, len(found))
             new = np.flatnonzero(ids < 0)
-            rare = pa.array([found[i] for i in new.tolist()], pa.binary()).cast(pa.string())
+            rare = _strings([found[i] for i in new.tolist()])
             rare = pa.ListArray.from_arrays(pa.array(np.searchsorted(new, ends).astype(np.int32)), rare)
             raw = ids.tobytes()
             pieces = pa.array([raw[4 * a : 4 * b] for a, b in zip(ends, ends[1:])], pa.binary())
@@ -337,7 +353,7 @@ def _history(found: list[bytes], named: bool) -> np.ndarray:
     return np.array([zlib.crc32(w if named else b"~" + w[-3:]) for w in found], np.uint64).reshape(-1)
 
 
-def start_model(counts: DataFrame, known: Lexicon, tokens: DataFrame, *, vocabulary: int = VOCABULARY) -> Model:
+def start_model(counts: DataFrame, known: Lexicon, tokens: DataFrame, *, vocabulary: int = VOCABULARY, buckets_log2: int = BUCKETS_LOG2) -> Model:
     """The untrained model: classes, counts within them, and spelling."""
     found, n = known.top, known.counts
     v = min(vocabulary, len(found))
@@ -352,22 +368,72 @@ def start_model(counts: DataFrame, known: Lexicon, tokens: DataFrame, *, vocabul
     novel = float(np.clip(once / mass[OTHER], 0.01, 0.99)) if mass[OTHER] > 0 else 1.0
     seen = (1 - novel) / mass[OTHER] if mass[OTHER] > 0 else 0.0
     spelling = train_spelling(counts, set(found[:v]), *alphabet(found))
-    within = np.log10(np.maximum(n, 1) / np.maximum(mass[classes], 1))
+    slots, within, slot_bias = np.full(len(found), -1), np.zeros(len(found)), np.zeros((CLASSES, SLOTS))
+    for c in range(2, CLASSES):
+        members = np.flatnonzero(classes == c)  # in order of count
+        slots[members] = np.minimum(np.arange(len(members)), SLOTS - 1)
+        sums = np.bincount(slots[members], weights=n[members], minlength=SLOTS)
+        within[members] = np.log10(n[members] / sums[slots[members]])
+        slot_bias[c] = np.where(sums > 0, np.log(np.maximum(sums, 1) / max(sums.sum(), 1)), NEVER)
     for i in range(v, len(found), 20_000):
         j = min(i + 20_000, len(found))
         within[i:j] = np.log10(seen * n[i:j] + novel * 10.0 ** spell(found[i:j], spelling))
     named = min(BY_NAME, v)
     feature = np.r_[_history(found[:named], True), _history(found[named:], False)]
     bias = np.log((mass + 1) / (known.total + CLASSES))
-    return Model(known.total, known.distinct, n, classes, within, feature, bias, np.zeros((1 << BUCKETS_LOG2, CLASSES), np.float32), spelling, seen, novel)
+    empty = lambda width: np.zeros((1 << buckets_log2, width), np.float32)
+    return Model(known.total, known.distinct, n, classes, slots, within, feature, bias, empty(CLASSES), slot_bias.astype(np.float32), empty(SLOTS), spelling, seen, novel)
 
 
-def _features(numbers: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-    """Feature buckets of each token's history, FEATURES a token."""
+def _histories(numbers: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """64-bit numbers of the features of each token's history, FEATURES rows."""
     at = _places(lengths)
     one, two, three = (_before(at, numbers, k, np.uint64(0)) for k in (1, 2, 3))
-    mixed = (one + np.uint64(1) << np.uint64(34), (one << np.uint64(31)) + two + (np.uint64(1) << np.uint64(63)), two + (np.uint64(5) << np.uint64(40)), three + (np.uint64(9) << np.uint64(40)))
-    return np.stack([((m ^ m >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9) >> np.uint64(64 - BUCKETS_LOG2)).astype(np.int32) for m in mixed], axis=1)
+    mixed = np.stack([one + np.uint64(1) << np.uint64(34), (one << np.uint64(31)) + two + (np.uint64(1) << np.uint64(63)), two + (np.uint64(5) << np.uint64(40)), three + (np.uint64(9) << np.uint64(40))])
+    return (mixed ^ mixed >> np.uint64(29)) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+def _buckets(histories: np.ndarray, buckets: int, classes: np.ndarray | None = None) -> np.ndarray:
+    """Weight rows of features, or of features in a class."""
+    if classes is not None:
+        histories = (histories ^ (classes.astype(np.uint64) + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)) * np.uint64(0x94D049BB133111EB)
+    return (histories >> np.uint64(64 - buckets.bit_length() + 1)).astype(np.intp)
+
+
+def _exponentials(w: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
+    """exp of bias plus the weights of each token's features; weights stay within LIMIT, so it can't overflow."""
+    z = w[features[0]]
+    for f in features[1:]:
+        z += w[f]
+    z += bias
+    return np.exp(z, out=z)
+
+
+def log_softmax(w: np.ndarray, bias: np.ndarray, features: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Natural log probability of outcome y of each token; bias is a row for all tokens or one for each."""
+    out = np.empty(len(y))
+    for i in range(0, len(y), BLOCK):
+        j = min(i + BLOCK, len(y))
+        z = _exponentials(w, bias[i:j] if bias.ndim == 2 else bias, features[:, i:j])
+        out[i:j] = np.log(z[np.arange(j - i), y[i:j]] / z.sum(axis=1))
+    return out
+
+
+def gradient_step(w: np.ndarray, squares: np.ndarray, bias: np.ndarray, features: np.ndarray, y: np.ndarray) -> None:
+    """One Adagrad update of w, in place, by the summed gradient of -log P(y) over the tokens."""
+    z = _exponentials(w, bias, features)
+    z /= z.sum(axis=1, keepdims=True)
+    z[np.arange(len(y)), y] -= 1
+    flat, side = features.ravel(), np.ascontiguousarray(z.T).astype(np.float64)
+    rows = np.flatnonzero(np.bincount(flat, minlength=len(w)))
+    g = np.empty((len(side), len(rows)), np.float32)
+    weights = np.empty(features.shape)
+    for k, column in enumerate(side):  # sums by weight row, an outcome at a time
+        weights[:] = column
+        g[k] = np.bincount(flat, weights=weights.ravel(), minlength=len(w))[rows]
+    g = g.T
+    squares[rows] += g * g
+    w[rows] = np.clip(w[rows] - RATE * g / np.sqrt(squares[rows]), -LIMIT, LIMIT)
 
 
 class Scorer:
@@ -378,31 +444,33 @@ class Scorer:
         self.log_count = np.log10((model.counts + 1) / (model.total + model.distinct + 1))
 
     def flat(self, pieces: pa.Array, rare: list[bytes]):
-        """Word numbers, text lengths, features and classes of a batch; rare: its words that have no number."""
+        """Word numbers, text lengths, histories, classes and slots of a batch; rare: its words that have no number."""
         ids, lengths = _flat(pieces)
         numbers = self.model.feature[ids]  # -1 picks some number; mended next
-        numbers[ids < 0] = _history(rare, False)
-        return ids, lengths, _features(numbers, lengths), np.where(ids < 0, OTHER, self.model.classes[ids])
+        new = ids < 0
+        numbers[new] = _history(rare, False)
+        return ids, lengths, _histories(numbers, lengths), np.where(new, OTHER, self.model.classes[ids]), np.where(new, -1, self.model.slots[ids])
 
-    def log_class(self, features: np.ndarray, classes: np.ndarray) -> np.ndarray:
+    def log_class(self, histories: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """Natural log P(class | history) of each token's class."""
-        w, out = self.model.weights, np.empty(len(features))
-        bias = self.model.bias.astype(np.float32)
-        for i in range(0, len(features), BLOCK):
-            f, y = features[i : i + BLOCK], classes[i : i + BLOCK]
-            z = w[f[:, 0]] + bias
-            for k in range(1, FEATURES):
-                z += w[f[:, k]]
-            z -= z.max(axis=1, keepdims=True)
-            out[i : i + BLOCK] = z[np.arange(len(y)), y] - np.log(np.exp(z).sum(axis=1))
+        m = self.model
+        return log_softmax(m.weights, m.bias.astype(np.float32), _buckets(histories, len(m.weights)), classes)
+
+    def log_slot(self, histories: np.ndarray, classes: np.ndarray, slots: np.ndarray) -> np.ndarray:
+        """Natural log P(slot | class, history) of each token's slot; 0 in classes without slots."""
+        m, out = self.model, np.zeros(len(slots))
+        some = np.flatnonzero(slots >= 0)
+        of = classes[some]
+        out[some] = log_softmax(m.slot_weights, m.slot_bias[of], _buckets(histories[:, some], len(m.slot_weights), of), slots[some])
         return out
 
     def score(self, pieces: pa.Array, rare: list[bytes]):
         """Per text: tokens, known top tokens, base score of top tokens, model score without P(word | class) of the
         rare tokens; and the rare words' log10 probabilities of spelling."""
-        ids, lengths, features, classes = self.flat(pieces, rare)
+        ids, lengths, histories, classes, slots = self.flat(pieces, rare)
         begins = np.cumsum(lengths) - lengths
-        scores = np.add.reduceat(self.log_class(features, classes) / np.log(10) + np.where(ids < 0, 0.0, self.model.within[ids]), begins)
+        logs = self.log_class(histories, classes) + self.log_slot(histories, classes, slots)
+        scores = np.add.reduceat(logs / np.log(10) + np.where(ids < 0, 0.0, self.model.within[ids]), begins)
         base = np.where(ids < 0, 0.0, self.log_count[ids])
         known = (ids >= 0) & (self.model.counts[ids] > 0)
         distinct = sorted(set(rare))
@@ -414,48 +482,49 @@ def _rare(column: pa.Array) -> list[bytes]:
     return column.flatten().cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
 
 
-def train(tokens: DataFrame, model: Model) -> Model:
-    """One pass of Adagrad over the texts to learn from in every partition, from zero weights; returns the
-    token-weighted average."""
-    texts = tokens.where("learn").select("ids", "rare")
-    shipped = texts.sparkSession.sparkContext.broadcast(model)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        scorer = Scorer(shipped.value)
-        w = np.zeros_like(shipped.value.weights)
-        seen, squares = 0, np.full(w.shape, 1e-2, np.float32)
-        bias = shipped.value.bias.astype(np.float32)
-        for batch in batches:
-            *_, features, classes = scorer.flat(batch.column(0), _rare(batch.column(1)))
-            for i in range(0, len(features), BLOCK):
-                f, y = features[i : i + BLOCK], classes[i : i + BLOCK]
-                z = w[f[:, 0]] + bias
-                for k in range(1, FEATURES):
-                    z += w[f[:, k]]
-                z -= z.max(axis=1, keepdims=True)
-                np.exp(z, out=z)
-                z /= z.sum(axis=1, keepdims=True)
-                z[np.arange(len(y)), y] -= 1
-                # gradients summed by weight row; 16-bit keys, so the sort is by radix
-                keys = f.ravel().astype(np.uint16)
-                order = np.argsort(keys, kind="stable")
-                keys = keys[order]
-                first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]])
-                rows = keys[first]
-                g = np.add.reduceat(z[order // FEATURES], first, axis=0)
-                squares[rows] += g * g
-                w[rows] -= RATE * g / np.sqrt(squares[rows])
-                seen += len(y)
-        yield _pieces(w * seen, _PARTS, seen)
-
-    sums = _summed(texts.mapInArrow(run, "lane int, part int, payload binary"), "lm-weights")
-    if not sums or sums[_PARTS][0] == 0:
-        return model
-    table = np.concatenate([sums[i] for i in range(_PARTS)]).reshape(model.weights.shape) / sums[_PARTS][0]
-    return model._replace(weights=table.astype(np.float32))
-
-
-def score_documents(docs: DataFrame, learn_from: Column, *, id_col: str = "doc_id", text_col: str = "text", top: int = TOP, vocabulary: int = VOCABULARY) -> DataFrame:
+def learn(model: Model, batches: Iterator[tuple[pa.Array, list[bytes]]]) -> tuple[Model, int]:
+    """Gradient updates over batches of (word numbers, rare words): a model of own weights, and the tokens seen."""
+    own = model._replace(weights=model.weights.copy(), slot_weights=model.slot_weights.copy())
+    scorer, bias, seen = Scorer(own), model.bias.astype(np.float32), 0
+    squares, slot_squares = np.full(own.weights.shape, 1e-2, np.float32), np.full(own.slot_weights.shape, 1e-2, np.float32)
+    for pieces, rare in batches:
+        *_, histories, classes, slots = scorer.flat(pieces, rare)
+        for i in range(0, len(classes), BLOCK):
+            h, c, s = histories[:, i : i + BLOCK], classes[i : i + BLOCK], slots[i : i + BLOCK]
+            gradient_step(own.weights, squares, bias, _buckets(h, len(own.weights)), c)
+            some = np.flatnonzero(s >= 0)
+            of = c[some]
+            if len(some):
+                gradient_step(own.slot_weights, slot_squares, own.slot_bias[of], _buckets(h[:, some], len(own.slot_weights), of), s[some])
+            seen += len(c)
+    return own, seen
+
+
+def train(tokens: DataFrame, model: Model, *, rounds: int = ROUNDS) -> Model:
+    """Rounds of Adagrad in every partition at once, each over other files of the stored tokens and from the average
+    of the round before; together they read every text to learn from once."""
+    spark, files = tokens.sparkSession, sorted(tokens.inputFiles())
+    for k in range(min(rounds, len(files))):
+        texts = spark.read.schema(tokens.schema).parquet(*files[k::rounds]).where("learn").select("ids", "rare")
+        lanes = max(1, math.isqrt(texts.rdd.getNumPartitions()))
+        shipped = spark.sparkContext.broadcast(model)
+
+        def run(batches: Iterator[pa.RecordBatch], shipped=shipped, lanes=lanes) -> Iterator[pa.RecordBatch]:
+            own, seen = learn(shipped.value, ((b.column(0), _rare(b.column(1))) for b in batches))
+            if seen:
+                yield _pieces(np.concatenate([own.weights.ravel(), own.slot_weights.ravel()]) * seen, _PARTS, seen, lanes)
+
+        sums = _summed(texts.mapInArrow(run, "lane int, part int, payload binary"), "lm-weights")
+        shipped.destroy()
+        if not sums or sums[_PARTS][0] == 0:
+            continue
+        both = (np.concatenate([sums[i] for i in range(_PARTS)]) / sums[_PARTS][0]).astype(np.float32)
+        cut = model.weights.size
+        model = model._replace(weights=both[:cut].reshape(model.weights.shape), slot_weights=both[cut:].reshape(model.slot_weights.shape))
+    return model
+
+
+def score_documents(docs: DataFrame, learn_from: Column, *, id_col: str = "doc_id", text_col: str = "text", top: int = TOP, vocabulary: int = VOCABULARY, buckets_log2: int = BUCKETS_LOG2, rounds: int = ROUNDS) -> DataFrame:
     """Return ``id_col, n_tokens, n_known, train_tokens, base_score, score``, a row for each input row.
 
     The model learns from the rows where learn_from holds (a null counts as false). Null and empty texts are the end
@@ -468,7 +537,7 @@ def score_documents(docs: DataFrame, learn_from: Column, *, id_col: str = "doc_i
     counts = count_words(docs.where(learn_from).select(col(text_col).alias("__text")))
     known = lexicon(counts, top)
     tokens = encode(docs, known, learn_from, id_col, text_col)
-    model = train(tokens, start_model(counts, known, tokens, vocabulary=vocabulary))
+    model = train(tokens, start_model(counts, known, tokens, vocabulary=vocabulary, buckets_log2=buckets_log2), rounds=rounds)
     shipped = spark.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -478,7 +547,7 @@ def score_documents(docs: DataFrame, learn_from: Column, *, id_col: str = "doc_i
                 continue
             rare = _rare(batch.column(3))
             n, known, base, score, spelled = scorer.score(batch.column(2), rare)
-            pairs = pa.StructArray.from_arrays([pa.array(rare, pa.binary()).cast(pa.string()), pa.array(spelled, pa.float64())], ["word", "spelled"])
+            pairs = pa.StructArray.from_arrays([_strings(rare), pa.array(spelled, pa.float64())], ["word", "spelled"])
             cuts = np.r_[0, np.cumsum(pa.compute.list_value_length(batch.column(3)).to_numpy(zero_copy_only=False))].astype(np.int32)
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(n), pa.array(known), pa.array(base), pa.array(score), pa.ListArray.from_arrays(pa.array(cuts), pairs)], names=["row", "__id", "n", "known", "base", "score", "rare"])
 

@@ -14,19 +14,64 @@ def bigger(sf):
     return sf.replace("sf0.001", "sf0.01")
 
 
-def test_toxicity_finds_listed_and_unlisted_words(spark):
-    rows = [(i, f"a plain text number {i} about gardens {'you idiot' if i % 5 == 0 else ''} {'grumblewort' + str(i % 4) if i % 5 == 1 else ''}") for i in range(600)]
+def test_toxicity_finds_categories(spark):
+    """Two kinds of toxic words, in no list anywhere, are two links; both count as toxic."""
+    rows = [(i, f"a plain text number {i} about gardens {'vorpal snickersnack' if i % 5 == 0 else ''} {'grumblewort' + str(i % 4) if i % 5 == 1 else ''}") for i in range(600)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("toxicity", F.lit("clash"))
     labels = spark.createDataFrame([(i, int(i % 5 in (0, 1))) for i in range(0, 600, 2)] + [(None, 1), (3, None)], "doc_id long, toxic int")
     got = {r["doc_id"]: r for r in toxicity.classify(docs, labels).collect()}
     assert all(r["is_toxic"] == (i % 5 in (0, 1)) for i, r in got.items())
-    assert got[5]["toxicity"]["insult"] > 0.5 > got[6]["toxicity"]["insult"]
+    kinds = {k: {c for c in toxicity.CATEGORIES if got[k]["toxicity"][c] > 0.5} for k in (5, 6, 7)}
+    assert len(kinds[5]) == 1 and kinds[6] and not kinds[5] & kinds[6] and not kinds[7]
+
+
+def chain_sample(n=240):
+    """Rows of a toxic kind a, a toxic kind b, and others, with noise words."""
+    rng = np.random.default_rng(4)
+    names = [b"a1", b"a2", b"b1", b"b2", b"n1", b"n2"]
+    kind = np.arange(n) % 4
+    has = np.stack([(kind == k) & (rng.random(n) < 0.9) for k in (0, 0, 1, 1)] + [rng.random(n) < 0.5] * 2, axis=1)
+    return toxicity.Sample(names, has, kind < 2)
 
 
 def test_chain_uses_earlier_links():
-    samples = [(b"idiot %d" % i, True) for i in range(30)] + [(b"%d" % i, False) for i in range(60)]
-    links = toxicity.fit(samples)
-    assert [x.name for x in links] == ["insult", "contempt", "toxic"] and len(links[2].weights_before) == 2 and links[2].weights_before[0] > 0
+    links = toxicity.fit(chain_sample())
+    assert tuple(x.name for x in links) == toxicity.LINKS and [len(x.weights_before) for x in links] == [0, 1, 2, 3]
+    assert any(w > 0 for w in links[-1].weights_before)
+    changed = links[-1].intercept + sum(w * p for w, p in zip(links[-1].weights_before, (1, 0, 0)))
+    other = links[-1].intercept + sum(w * p for w, p in zip(links[-1].weights_before, (0, 0, 1)))
+    assert changed != other  # who is fed what matters
+
+
+def test_chain_by_brute_force():
+    """Probabilities of a text are those of plain arithmetic on its features; groups part the kinds."""
+    sample = chain_sample()
+    links = toxicity.fit(sample)
+    known = {w for x in links for w in x.words}
+    for row in sample.has[:40]:
+        text = b" ".join(n for n, h in zip(sample.names, row) if h)
+        p = []
+        for x in links:
+            z = x.intercept + sum(v for w, v in x.words.items() if w in text.split()) + sum(a * b for a, b in zip(x.weights_before, p))
+            p.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+        assert toxicity.score(text, links, known, [set()] * 3) == pytest.approx(p)
+    group = toxicity.groups(sample.has[sample.toxic][:, :4], 2)
+    kind = (np.arange(240) % 4)[sample.toxic]
+    some = group >= 0
+    assert len({(int(g), int(k)) for g, k in zip(group[some], kind[some])}) == 2
+
+
+def test_link_is_at_its_minimum():
+    """The gradient of the regularised loss vanishes at the fitted weights, computed row by row."""
+    sample = chain_sample()
+    chosen, w = toxicity._fit_link(sample.has, sample.toxic, np.zeros((240, 0), np.float32))
+    g = [0.0] * len(w)
+    for row, y in zip(sample.has, sample.toxic):
+        x = [float(row[c]) for c in chosen] + [1.0]
+        e = 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, x)))) - y
+        g = [a + e * b / 240 for a, b in zip(g, x)]
+    g = [a + (1e-3 * b if i < len(w) - 1 else 0) for i, (a, b) in enumerate(zip(g, w))]
+    assert max(map(abs, g)) < 2e-3
 
 
 def test_toxicity_odd_tables(docs, empty, spark):
@@ -68,6 +113,25 @@ def test_risk_is_not_negative():
     assert quality.predict(good, m).mean() > 0.7 > 0.4 > quality.predict(bad, m).mean()
 
 
+def test_risk_by_brute_force():
+    """The fitted weights have a lower non-negative risk, summed row by row, than their neighbours and than zero."""
+    rng = np.random.default_rng(3)
+    good, bad = rng.normal(0, 1, (120, len(quality.STATS))), rng.normal(1.5, 1, (80, len(quality.STATS)))
+    p, u = good[:60], np.vstack([good[60:], bad])
+    m = quality.fit(p, u)
+    xp, xu = (quality._binned(x, m.edges) for x in (p, u))
+
+    def risk(w):
+        loss = lambda row, sign: math.log1p(math.exp(-sign * (sum(row * w[:-1]) + w[-1])))
+        plus, minus = sum(loss(r, 1) for r in xp) / len(xp), sum(loss(r, -1) for r in xp) / len(xp)
+        return m.prior * plus + max(0.0, sum(loss(r, -1) for r in xu) / len(xu) - m.prior * minus) + 0.5e-3 * sum(w[:-1] ** 2)
+
+    best = risk(m.weights)
+    assert best < risk(np.zeros_like(m.weights)) - 0.05
+    for k in range(5):
+        assert best < risk(m.weights + rng.normal(0, 0.3, len(m.weights))) + 1e-6
+
+
 def test_quality_odd_tables(docs, empty, spark):
     none = spark.createDataFrame([], "doc_id long, quality int")
     m = quality.train(docs, none, F.col("quality") == 1)
@@ -121,23 +185,53 @@ def test_probabilities_sum_to_one(spark, sf):
     known, tokens, start = fitted(spark.read.parquet(f"{sf}/documents.parquet"), top=500, vocabulary=50)
     model = lm.train(tokens, start)
     s = lm.Scorer(model)
-    _, _, features, _ = s.flat(tokens.select("ids").limit(1).toArrow().column("ids").combine_chunks(), tokens.limit(1).first()["rare"] and [w.encode() for w in tokens.limit(1).first()["rare"]])
-    classes = np.arange(lm.CLASSES)
-    for f in features[:50]:
-        assert np.exp(s.log_class(np.repeat(f[None], lm.CLASSES, axis=0), classes)).sum() == pytest.approx(1, abs=1e-5)
-    inside = [sum(10 ** model.within[i] for i in range(len(known.top)) if model.classes[i] == c) for c in range(1, lm.CLASSES) if (model.classes == c).any()]
-    assert all(x == pytest.approx(1, abs=1e-6) for x in inside)
+    first = tokens.select("ids", "rare").limit(1).toArrow()
+    _, _, histories, _, _ = s.flat(first.column("ids").combine_chunks(), [w.encode() for w in first.column("rare").to_pylist()[0]])
+    v = 50
+    assert (model.slot_weights != 0).any() and (model.weights != 0).any()
+    for h in histories.T[:30]:
+        # of a history: all vocabulary words, and class OTHER as a whole, which is spelled
+        at = np.repeat(h[:, None], v, axis=1)
+        logs = s.log_class(at, model.classes[:v]) + s.log_slot(at, model.classes[:v], model.slots[:v]) + model.within[:v] * math.log(10)
+        other = s.log_class(h[:, None], np.array([lm.OTHER]))
+        assert np.exp(logs).sum() + np.exp(other).sum() == pytest.approx(1, abs=1e-4)
     words = [bytes([a, b]) for a in range(33, 127) for b in range(33, 127)] + [bytes([a]) for a in range(33, 127)]
     assert 0 < (10 ** lm.spell(words, model.spelling)).sum() < 1
 
 
-def test_training_helps(spark, sf):
+def test_training_helps_on_other_texts(spark, sf):
+    """Above the untrained model, which is a normalised unigram, on texts that were not learned from."""
     docs = spark.read.parquet(f"{bigger(sf)}/documents.parquet")
-    _, tokens, start = fitted(docs, vocabulary=2000)
-    some = tokens.limit(100).toArrow()
+    held = F.expr("crc32(cast(doc_id as string)) % 7 = 2")
+    counts = lm.count_words(docs.where(~held).select("text"))
+    known = lm.lexicon(counts)
+    tokens = lm.encode(docs, known, ~held)
+    start = lm.start_model(counts, known, tokens)
+    model = lm.train(tokens, start)
+    some = tokens.where("not learn").toArrow()
     rare = some.column("rare").combine_chunks().flatten().cast("binary").to_pylist()
-    before, after = (lm.Scorer(m).score(some.column("ids").combine_chunks(), rare)[3].sum() for m in (start, lm.train(tokens, start)))
-    assert after > before
+    before, after = (lm.Scorer(m).score(some.column("ids").combine_chunks(), rare)[3].sum() for m in (start, model))
+    classes_only = lm.Scorer(model._replace(slot_weights=start.slot_weights)).score(some.column("ids").combine_chunks(), rare)[3].sum()
+    assert after > classes_only > before
+
+
+def test_gradient_by_brute_force():
+    """An update equals the one of gradients summed token by token."""
+    rng = np.random.default_rng(6)
+    w, bias = rng.normal(0, 0.3, (16, 5)).astype(np.float32), rng.normal(0, 1, 5).astype(np.float32)
+    features, y = rng.integers(0, 16, (lm.FEATURES, 40)), rng.integers(0, 5, 40)
+    g, total = np.zeros(w.shape), 0.0
+    for t in range(40):
+        z = [math.exp(bias[k] + sum(float(w[f, k]) for f in features[:, t])) for k in range(5)]
+        total += math.log(z[y[t]] / sum(z))
+        for f in features[:, t]:
+            for k in range(5):
+                g[f, k] += z[k] / sum(z) - (k == y[t])
+    assert lm.log_softmax(w, bias, features, y).sum() == pytest.approx(total, rel=1e-5)
+    met = np.isin(np.arange(16), features)
+    want = np.where(met[:, None], w - lm.RATE * g / np.sqrt(1e-2 + g * g), w)
+    lm.gradient_step(w, np.full(w.shape, 1e-2, np.float32), bias, features, y)
+    assert np.allclose(w, want, atol=1e-4)
 
 
 def test_nothing_to_learn_from(docs, empty):
