@@ -31,9 +31,9 @@ def main() -> None:
         return
     if a.command == "train":
         from tessitura.operators import training
-        from tessitura.plans.frames import frame_of
+        from tessitura.plans.learned import train
 
-        df, new = training.run(frame_of(spark, a.tables), spark.createDataFrame([], training.HISTORY), a.name or "light")
+        df, new = train(spark, a.tables, spark.createDataFrame([], training.HISTORY), a.name or "light")
         if a.out:
             new.write.mode("append").parquet(a.out)
     else:

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessitura.functions import scalars as S
+from tessitura.operators.order import numbered
+from tessitura.sources.scratch import materialize
 
 PAIR = ["user_id", "song_id"]
 
@@ -29,40 +33,40 @@ def frame(listens: DataFrame, feedback: DataFrame, now: str, *, alpha: float = S
 def cutoff(frame: DataFrame, quantile: float = 0.85):
     """The timestamp at 0-based place min(max(floor(q * n), 1), n - 1) in order; of one row, its own; of none, None.
 
-    Exact and without a global sort in one task: a range-partitioned sort, counts by partition, then one partition.
+    Exact and without a global sort in one task: rows are counted by timestamp, so one that many share is one row, the
+    counts are range-partitioned and stored, and only the partition that holds the place is sorted.
     """
-    n = frame.count()
+    counts = frame.groupBy("timestamp").agg(F.count(F.lit(1)).alias("n"))
+    dealt = materialize(counts.repartitionByRange("timestamp").withColumn("p", F.spark_partition_id()), "stamps")
+    sizes = sorted(dealt.groupBy("p").agg(F.min("timestamp").alias("low"), F.sum("n").alias("n")).select("low", "p", "n").collect())  # a row a partition
+    n = sum(r["n"] for r in sizes)
     if not n:
         return None
-    k = min(max(int(n * quantile), 1), n - 1) if n > 1 else 0
-    dealt = frame.select("timestamp").repartitionByRange("timestamp").withColumn("p", F.spark_partition_id())
-    sizes = {r["p"]: (r["n"], r["low"], r["high"]) for r in dealt.groupBy("p").agg(F.count(F.lit(1)).alias("n"), F.min("timestamp").alias("low"), F.max("timestamp").alias("high")).collect()}
-    before = 0
-    for p in sorted(sizes, key=lambda p: sizes[p][1]):
-        size, low, high = sizes[p]
-        if before + size > k:
-            rank = F.row_number().over(Window.orderBy("timestamp"))
-            inside = frame.where((F.col("timestamp") >= F.lit(low)) & (F.col("timestamp") <= F.lit(high))).select("timestamp")
-            return inside.withColumn("r", rank).where(F.col("r") == k - before + 1).first()["timestamp"]
-        before += size
+    k, before = min(max(int(n * quantile), 1), n - 1) if n > 1 else 0, 0
+    for r in sizes:
+        if before + r["n"] > k:
+            upto = F.sum("n").over(Window.orderBy("timestamp").rowsBetween(Window.unboundedPreceding, 0))
+            return dealt.where(F.col("p") == r["p"]).withColumn("upto", upto).where(F.col("upto") > k - before).agg(F.min("timestamp")).first()[0]
+        before += r["n"]
     raise AssertionError("unreachable")
 
 
 def split(frame: DataFrame, *, quantile: float = 0.85, leave_last: int = 5) -> DataFrame:
     """Add ``part``: 'valid' for rows from the cutoff on and for each user's last positives, else 'train'.
 
-    Guards: if all would be valid, the first half by time is train; if all train, the last fifth is valid.
+    Guards: if all would be valid, the first half by time is train; if all train, the last fifth is valid. The frame
+    is stored once, as several passes read it.
     """
+    frame = materialize(frame, "split-frame")
     at = cutoff(frame, quantile)
     # a top-n window is cut before its shuffle, so a user with very many rows costs n of them
     forced = leave_last_rows(frame, leave_last).select(*PAIR, F.lit(True).alias("forced"))
     out = frame.join(forced, PAIR, "left").withColumn("part", F.when(F.col("forced") | (F.col("timestamp") >= F.lit(at)), "valid").otherwise("train")).drop("forced")
     sizes = {r["part"]: r["n"] for r in out.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()}
-    if sizes and len(sizes) == 1:
+    if len(sizes) == 1:
         (part, n), = sizes.items()
-        order = F.row_number().over(Window.orderBy("timestamp", "user_id", "song_id"))
         edge = max(1, n // 2) if part == "valid" else n - max(1, n // 5)
-        out = frame.withColumn("part", F.when(order <= edge, "train").otherwise("valid"))
+        out = numbered(frame, ["timestamp", *PAIR], "__i").withColumn("part", F.when(F.col("__i") < edge, "train").otherwise("valid")).drop("__i")
     return out
 
 
@@ -95,37 +99,62 @@ def fingerprint(frame: DataFrame, value: Column | None = None) -> DataFrame:
     return frame.agg(F.substring(F.sha2(F.concat_ws("|", F.count(F.lit(1)), *words), 256), 1, 16).alias("frame_hash"))
 
 
+def ordered_fingerprint(frame: DataFrame, value: Column) -> str:
+    """16 hex digits of the SHA-256 of all ``user|song|value`` texts in order of time, then user and song.
+
+    A running hash has to see the lines one after the other: they stream through the driver, a partition at a time.
+    ``fingerprint`` is the form for large frames.
+    """
+    lines = frame.orderBy("timestamp", *PAIR).select(F.concat_ws("|", F.col("user_id").cast("string"), "song_id", value))
+    digest = hashlib.sha256()
+    for (line,) in lines.toLocalIterator():
+        digest.update(line.encode())
+    return digest.hexdigest()[:16]
+
+
+def _bits(*parts: Column) -> Column:
+    """32 bits of the MD5 of the parts."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("long")
+
+
 def unit(*parts: Column) -> Column:
     """A number in (0, 1) from the MD5 of its parts: the same on every engine and partitioning."""
-    return (F.conv(F.substring(F.md5(F.concat_ws("|", *parts)), 1, 8), 16, 10).cast("double") + 0.5) / float(1 << 32)
+    return (_bits(*parts).cast("double") + 0.5) / float(1 << 32)
 
 
-def negatives(frame: DataFrame, songs: DataFrame, *, per_positive: int = 4, pool: int = 200, seed: str = "neg") -> DataFrame:
-    """per_positive songs a positive pair, half by uniform hash, half by popularity weight, none of the user's pairs.
+def negatives(frame: DataFrame, songs: DataFrame, *, per_positive: int = 4, tries: int = 4, seed: str = "neg") -> DataFrame:
+    """(user_id, pos, neg, kind): per_positive songs for each positive pair, half drawn evenly, half by popularity, none
+    of the user's positives and none twice for a pair.
 
-    Popularity is log10 of the views, drawn without replacement by exponential keys. Each user draws from ``pool``
-    songs of the catalog (the first by hash, a bounded and broadcast list), so no user meets the whole catalog.
+    Draws are from the whole catalog: its songs are numbered once, a draw is a number from a hash, and so an equi-join,
+    however large the catalog. A popular draw is an even one that a second hash accepts by the share of the song's
+    log10 views in the largest (rejection sampling). There are ``tries`` draws for each song wanted, twice as many of
+    the popular kind; a pair gets fewer songs only if all fail, as where a user likes nearly the whole catalog.
     """
-    half = per_positive // 2
-    drawn = songs.select("song_id", F.log10(F.greatest("view_count", F.lit(10)).cast("double")).alias("w")).orderBy(F.md5(F.concat(F.lit(seed), "song_id")), "song_id").limit(pool)
-    drawn = drawn.agg(F.collect_list(F.struct("song_id", "w")).alias("pool"))
-    seen = frame.groupBy("user_id").agg(F.collect_set("song_id").alias("seen"), F.count_if(F.col("plan_reward") > 0).alias("n")).where("n > 0")
-    each = seen.join(F.broadcast(drawn), F.lit(True)).select("user_id", "n", F.explode(F.filter("pool", lambda p: ~F.array_contains(F.col("seen"), p.song_id))).alias("p")).select("user_id", "n", "p.song_id", "p.w")
-    u = lambda kind: unit(F.lit(seed), F.lit(kind), F.col("user_id").cast("string"), F.col("song_id"))
-    even = F.row_number().over(Window.partitionBy("user_id").orderBy(u("u"), "song_id"))
-    ranked = each.withColumn("even", even).withColumn("key", F.when(even <= half * F.col("n"), None).otherwise(F.round(-F.log(u("p")) / F.col("w"), 9)))
-    popular = F.row_number().over(Window.partitionBy("user_id").orderBy(F.col("key").asc_nulls_last(), "song_id"))
-    ranked = ranked.withColumn("popular", popular)
-    return ranked.where((F.col("even") <= half * F.col("n")) | (F.col("key").isNotNull() & (F.col("popular") <= (per_positive - half) * F.col("n")))).select(
-        "user_id", "song_id", F.when(F.col("key").isNull(), "uniform").otherwise("popular").alias("kind")
-    )
-
-
-def pairwise(frame: DataFrame, negs: DataFrame) -> DataFrame:
-    """(user, positive, negative): a user's i-th negative goes to its i-th positive, in rounds."""
-    p = frame.where("plan_reward > 0").withColumn("i", F.row_number().over(Window.partitionBy("user_id").orderBy("timestamp", "song_id")) - 1).withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("user_id")))
-    q = negs.withColumn("j", F.row_number().over(Window.partitionBy("user_id").orderBy("kind", "song_id")) - 1)
-    return p.select("user_id", F.col("song_id").alias("pos"), "i", "n").join(q.select("user_id", F.col("song_id").alias("neg"), "j"), "user_id").where("j % n = i").select("user_id", "pos", "neg")
+    wanted = {"uniform": per_positive // 2, "popular": per_positive - per_positive // 2}
+    weight = F.log10(F.greatest("view_count", F.lit(10)).cast("double"))
+    places = numbered(songs.select("song_id", weight.alias("w")), ["song_id"]).select("i", F.col("song_id").alias("neg"), "w")
+    size = places.agg(F.count(F.lit(1)).alias("size"), F.max("w").alias("top"))  # one row
+    likes = frame.where("plan_reward > 0").select("user_id", "song_id").distinct()
+    draws = [F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("k")) for kind, n in wanted.items() for k in range(1, n * tries * (1 + (kind == "popular")) + 1)]
+    drawn = likes.select("user_id", F.col("song_id").alias("pos"), F.explode(F.array(*draws)).alias("d")).select("user_id", "pos", "d.kind", "d.k")
+    key = [F.lit(seed), F.col("kind"), F.col("user_id").cast("string"), F.col("pos"), F.col("k").cast("string")]
+    drawn = drawn.withColumn("bits", _bits(*key)).join(F.broadcast(size), F.lit(True)).withColumn("i", F.expr("(bits * size) div 4294967296"))
+    accepted = (F.col("kind") == "uniform") | (unit(*key, F.lit("accept")) < F.round(F.col("w") / F.col("top"), 6))
+    fair = drawn.join(places, "i").where(accepted).join(likes.withColumnRenamed("song_id", "neg"), ["user_id", "neg"], "left_anti")
+    # a pair has at most as many rows as draws
+    by_pair = fair.groupBy("user_id", "pos").agg(F.array_sort(F.collect_list(F.struct("k", "kind", "neg"))).alias("d"))
+    of = lambda kind: F.array_distinct(F.transform(F.filter("d", lambda x: x["kind"] == kind), lambda x: x["neg"]))
+    even = by_pair.withColumn("uniform", F.slice(of("uniform"), 1, wanted["uniform"])) if wanted["uniform"] else by_pair.withColumn("uniform", F.array().cast("array<string>"))
+    both = even.withColumn("popular", F.slice(F.array_except(of("popular"), F.col("uniform")), 1, wanted["popular"]))
+    tag = lambda kind: F.transform(kind, lambda x: F.struct(x.alias("neg"), F.lit(kind).alias("kind")))
+    tagged = F.concat(*map(tag, wanted))
+    return both.select("user_id", "pos", F.explode(tagged).alias("n")).select("user_id", "pos", "n.neg", "n.kind")
+
+
+def pairwise(frame: DataFrame, songs: DataFrame, **options) -> DataFrame:
+    """(user, positive, negative) triples."""
+    return negatives(frame, songs, **options).select("user_id", "pos", "neg")
 
 
 def hits(ranked: DataFrame, valid: DataFrame, k: int = 10) -> DataFrame:
@@ -147,6 +176,28 @@ def hits(ranked: DataFrame, valid: DataFrame, k: int = 10) -> DataFrame:
     )
 
 
+def evaluate(scored: DataFrame, test: DataFrame, k: int = 10) -> DataFrame:
+    """One row: rmse of scores against rewards over all of test, and precision, recall and ndcg at k, averaged over users.
+
+    scored: (user, song, score) of the test rows; a user's test songs are ranked by it. Precision is over k, recall over
+    the user's positives, ndcg over the hits found; users without positives count in rmse alone.
+    """
+    j = test.select(*PAIR, "plan_reward").join(scored.select(*PAIR, "score"), PAIR)
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "song_id"))
+    rows = j.withColumn("rank", place).withColumn("hit", ((F.col("plan_reward") > 0) & (F.col("rank") <= k)).cast("int"))
+    users = rows.groupBy("user_id").agg(
+        F.sum("hit").alias("h"), F.sum(F.col("hit") / F.log2(F.col("rank") + 1.0)).alias("dcg"), F.count_if(F.col("plan_reward") > 0).alias("relevant"),
+        F.sum(F.pow(F.col("plan_reward") - F.col("score"), F.lit(2))).alias("squares"), F.count(F.lit(1)).alias("n"),
+    )
+    ideal = F.aggregate(F.sequence(F.lit(1), F.greatest("h", F.lit(1)).cast("int")), F.lit(0.0), lambda s, i: s + 1 / F.log2(i + 1.0))
+    good = F.col("relevant") > 0
+    zero = F.lit(0.0)
+    return users.agg(
+        F.sqrt(F.sum("squares") / F.sum("n")).alias("rmse"), F.coalesce(F.avg(F.when(good, F.col("h") / k)), zero).alias("precision"), F.coalesce(F.avg(F.when(good, F.col("h") / F.col("relevant"))), zero).alias("recall"),
+        F.coalesce(F.avg(F.when(good, F.when(F.col("h") > 0, F.col("dcg") / ideal).otherwise(0.0))), zero).alias("ndcg"), F.count_if(good).alias("users"), F.coalesce(F.sum("n"), F.lit(0)).alias("interactions"),
+    )
+
+
 def catalog_metrics(ranked: DataFrame, valid: DataFrame, k: int = 10) -> DataFrame:
     """coverage, novelty and diversity of what is recommended to users with positives."""
     users = valid.where("plan_reward > 0").select("user_id").distinct()

@@ -1,6 +1,7 @@
 """Candidate retrieval: histories, co-occurrence, item neighbours, Markov steps, pools and the retriever score.
 
-Self-joins on the user are bounded per user by the history caps; neighbours are capped per item after aggregation.
+Self-joins on the user are bounded by the history caps, but for item neighbours, which are of whole histories: there
+a long one is dealt over several tasks. Neighbours are capped per item after aggregation.
 """
 
 from __future__ import annotations
@@ -41,15 +42,23 @@ def cooccurrence(frame: DataFrame, reach: int = REACH) -> DataFrame:
     return n.select(F.col("a").alias("src"), F.col("b").alias("dst"), "weight").unionByName(n.select(F.col("b").alias("src"), F.col("a").alias("dst"), "weight"))
 
 
-def item_knn(frame: DataFrame, k: int = 50, n: int | None = None) -> DataFrame:
+#: Items of a user that are paired in one place.
+LONG = 512
+
+
+def item_knn(frame: DataFrame, k: int = 50, long: int = LONG) -> DataFrame:
     """The k nearest items of each by shared users over the root of both degrees: (src, dst, sim).
 
-    ``n`` bounds the items a user adds pairs of (the latest), and so the self-join on very active users.
+    Every pair of a user's items counts. A user of more than ``long`` items is dealt over several keys: one side of the
+    self-join is cut into pieces, the other goes to each of them; pair counts combine before they are shuffled.
     """
-    p = (positives(frame) if n is None else last(frame, n)).select("user_id", "song_id").distinct()
+    p = positives(frame).select("user_id", "song_id").distinct()
+    many = p.groupBy("user_id").agg(F.ceil(F.count(F.lit(1)) / long).cast("int").alias("pieces")).where("pieces > 1")
+    dealt = p.join(many, "user_id", "left").withColumn("pieces", F.coalesce("pieces", F.lit(1)))
+    a = dealt.select("user_id", F.pmod(F.xxhash64("song_id"), F.col("pieces")).cast("int").alias("piece"), F.col("song_id").alias("src"))
+    b = dealt.select("user_id", F.explode(F.sequence(F.lit(0), F.col("pieces") - 1)).alias("piece"), F.col("song_id").alias("dst"))
     degree = p.groupBy("song_id").agg(F.count(F.lit(1)).alias("n"))
-    a, b = p.withColumnRenamed("song_id", "src"), p.withColumnRenamed("song_id", "dst")
-    shared = a.join(b, "user_id").where("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("both"))
+    shared = a.join(b, ["user_id", "piece"]).where("src < dst").groupBy("src", "dst").agg(F.count(F.lit(1)).alias("both"))
     d = lambda c: degree.select(F.col("song_id").alias(c), F.col("n").alias(f"n_{c}"))
     sim = shared.join(d("src"), "src").join(d("dst"), "dst").select("src", "dst", F.round(F.col("both") / F.sqrt(F.col("n_src") * F.col("n_dst").cast("double")), 9).alias("sim"))
     both = sim.unionByName(sim.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "sim"))
@@ -102,16 +111,24 @@ def pool(frame: DataFrame, ranked_sources: list[DataFrame], floors: list[DataFra
     return once.withColumn("place", place).where(F.col("place") <= limit).select("user_id", "song_id", F.col("x.source").alias("source"), "place")
 
 
-def retriever_score(candidates: DataFrame, co: DataFrame, knn: DataFrame, fresh_top: DataFrame, popular_top: DataFrame) -> DataFrame:
+def all_edges(co: DataFrame, knn: DataFrame) -> DataFrame:
+    """(src, dst, co, knn): both graphs as one, weights in units of 1e-9, so that their sums don't depend on the order."""
+    nano = lambda c: F.round(F.col(c) * 1e9).cast("long")
+    one = co.select("src", "dst", nano("weight").alias("co"), F.lit(0).cast("long").alias("knn")).unionByName(knn.select("src", "dst", F.lit(0).cast("long").alias("co"), nano("sim").alias("knn")))
+    return one.groupBy("src", "dst").agg(F.sum("co").alias("co"), F.sum("knn").alias("knn"))
+
+
+def retriever_score(candidates: DataFrame, frame: DataFrame, edges: DataFrame, fresh_top: DataFrame, popular_top: DataFrame, *, recent: int = 20) -> DataFrame:
     """Score (user, song) candidates: half the log of co-occurrence, a quarter of the neighbours' similarity up to 2,
     and bonuses for fresh and popular songs. raw is unclamped, for ranking; score is clamped at 1 and mapped to [-1, 1].
 
-    co and knn: (user, song, w) sums over all neighbours; fresh_top and popular_top: at most 200 songs each.
+    A candidate meets its user's last ``recent`` items, and each such pair its edge of ``all_edges``: a bounded number
+    of look-ups a candidate, however many neighbours an item has. fresh_top and popular_top: at most 200 songs each.
     """
-    c = (
-        candidates.join(co.withColumnRenamed("w", "co"), ["user_id", "song_id"], "left").join(knn.withColumnRenamed("w", "knn"), ["user_id", "song_id"], "left")
-        .join(F.broadcast(fresh_top.select("song_id", F.lit(0.2).alias("f"))), "song_id", "left").join(F.broadcast(popular_top.select("song_id", F.lit(0.1).alias("p"))), "song_id", "left")
-    )
+    own = last(frame, recent).select("user_id", F.col("song_id").alias("src"))
+    met = candidates.select("user_id", F.col("song_id").alias("dst")).join(own, "user_id").join(edges, ["src", "dst"])
+    sums = met.groupBy("user_id", F.col("dst").alias("song_id")).agg(*[F.expr(f"((sum({c}) + 500) div 1000) / 1e6D").alias(c) for c in ("co", "knn")])
+    c = candidates.join(sums, ["user_id", "song_id"], "left").join(F.broadcast(fresh_top.select("song_id", F.lit(0.2).alias("f"))), "song_id", "left").join(F.broadcast(popular_top.select("song_id", F.lit(0.1).alias("p"))), "song_id", "left")
     zero = F.lit(0.0)
     raw = F.log10(1 + F.coalesce("co", zero)) * 0.5 + F.least(F.coalesce("knn", zero), F.lit(2.0)) * 0.25 + F.coalesce("f", zero) + F.coalesce("p", zero)
     return c.withColumn("raw", F.round(raw, 6)).withColumn("score", F.round(F.least("raw", F.lit(1.0)) * 2 - 1, 6)).select(*candidates.columns, "raw", "score")

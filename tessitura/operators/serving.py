@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -81,33 +81,48 @@ def mmr_lambda(slots: Column) -> Column:
     return F.greatest(F.lit(0.4), 0.70 - 0.04 * F.least(slots, F.lit(5)))
 
 
-def mmr(ranked: DataFrame, vectors: DataFrame, depth: int, lam: float = 0.7) -> DataFrame:
-    """Maximal marginal relevance: (user, song, score, genre_code) to (user, song, score, rank), depth a user.
+def mmr(ranked: DataFrame, vectors: DataFrame | None, depth: int, lam: Column | float = 0.7) -> DataFrame:
+    """Maximal marginal relevance over all rows of a user: (user, song, score, genre_code) to (user, song, score, rank), depth a user.
 
-    Each step takes the highest lam * score - (1 - lam) * similarity to what is taken. Without both vectors, the
-    similarity is 0.3 for each taken song of the genre, up to 0.9. Ties go to the smaller id. A user has at most the
-    candidate pool's 2,020 rows, so a group is bounded.
+    Each step takes the highest lam * score - (1 - lam) * similarity to what is taken: the largest cosine of the songs'
+    vectors, 0 where either has none. Without vectors at all (None), it is 0.3 for each taken song of the genre, up to
+    0.9. Ties go to the higher score, then the smaller id. lam: a number or a column of ranked. A user has at most the
+    candidate pool's 2,020 rows, so a group is bounded; a step is one product of the user's matrix and a vector.
     """
-    rows = ranked.join(vectors, "song_id", "left").select(*PAIR, "score", "genre_code", "vector")
-
-    def one(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["score", "song_id"], ascending=[False, True]).reset_index(drop=True)
-        v = [None if x is None else np.asarray(x, float) / (np.linalg.norm(x) or 1.0) for x in pdf["vector"]]
-        rel, g = pdf["score"].to_numpy(float), pdf["genre_code"].to_numpy()
-        near, same = np.full(len(pdf), -np.inf), np.zeros(len(pdf))
-        taken, left = [], list(range(len(pdf)))
-        while left and len(taken) < depth:
-            sim = np.array([max(near[i], min(0.3 * same[i], 0.9) if v[i] is None else near[i]) if taken else 0.0 for i in left])
-            best = left[int(np.argmax(lam * rel[left] - (1 - lam) * np.where(np.isfinite(sim), sim, 0.0)))]
+    rows = ranked.withColumn("__lam", lam if isinstance(lam, Column) else F.lit(float(lam)))
+    rows = (rows if vectors is None else rows.join(vectors, "song_id", "left")).select(*PAIR, "score", "genre_code", "__lam", *(["vector"] if vectors is not None else []))
+    known = vectors is not None  # the function must not hold the table itself
+    kinds = f"user_id long, song_id {ranked.schema['song_id'].dataType.simpleString()}, score double, rank int"
+
+    def one(key: tuple, group: pa.Table) -> pa.Table:
+        rel, songs = group.column("score").to_numpy(), np.array(group.column("song_id").to_pylist(), object)
+        order = np.lexsort((songs, -rel))
+        rel, songs, genre, share = rel[order], songs[order], group.column("genre_code").to_numpy()[order], group.column("__lam")[0].as_py()
+        n = len(rel)
+        near, seen, same = np.zeros(n), np.zeros(n, bool), np.zeros(n)
+        unit, has = None, np.zeros(n, bool)
+        if known:
+            column = group.column("vector").combine_chunks()
+            has = column.is_valid().to_numpy(zero_copy_only=False)
+            if has.any():
+                flat = column.drop_null().flatten().to_numpy(zero_copy_only=False).reshape(int(has.sum()), -1)
+                unit = np.zeros((n, flat.shape[1]))
+                unit[has] = flat / (np.linalg.norm(flat, axis=1, keepdims=True) + 1e-8)
+                unit, has = unit[order], has[order]
+        left, taken = np.ones(n, bool), []
+        while len(taken) < min(depth, n):
+            sim = near if known else np.minimum(0.3 * same, 0.9)
+            best = int(np.where(left, share * rel - (1 - share) * sim, -np.inf).argmax())
             taken.append(best)
-            left.remove(best)
-            for i in left:
-                same[i] += g[i] == g[best]
-                if v[i] is not None and v[best] is not None:
-                    near[i] = max(near[i], float(v[i] @ v[best]))
-        return pd.DataFrame({"user_id": pdf["user_id"].iloc[taken], "song_id": pdf["song_id"].iloc[taken], "score": rel[taken], "rank": range(1, len(taken) + 1)})
-
-    return rows.groupBy("user_id").applyInPandas(one, "user_id long, song_id string, score double, rank int")
+            left[best] = False
+            same += genre == genre[best]
+            if unit is not None and has[best]:
+                cos = unit @ unit[best]
+                near = np.where(has, np.where(seen, np.maximum(near, cos), cos), 0.0)
+                seen |= has
+        return pa.table({"user_id": pa.array([key[0].as_py()] * len(taken), pa.int64()), "song_id": pa.array(songs[taken].tolist(), group.schema.field("song_id").type), "score": pa.array(rel[taken]), "rank": pa.array(np.arange(1, len(taken) + 1, dtype=np.int32))})
+
+    return rows.groupBy("user_id").applyInArrow(one, kinds)
 
 
 def anchor(ranked: DataFrame, pool: DataFrame, prefs: DataFrame, k: int = 10) -> DataFrame:

@@ -3,6 +3,10 @@
 from __future__ import annotations
 
 import functools
+import json
+import os
+import resource
+import subprocess
 import time
 import uuid
 from collections.abc import Callable
@@ -11,7 +15,9 @@ from typing import Any
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessitura.functions import scalars as S
 from tessitura.operators import catalog as C
+from tessitura.operators import ensemble as E
 from tessitura.operators import interactions as I
 from tessitura.operators import models as M
 from tessitura.operators import retrieval as R
@@ -21,37 +27,48 @@ HISTORY = "id long, key string, run_id string, model_version string, ndcg10 doub
 STALE_LOCK_HOURS = 4
 
 
-def _rank(frame: DataFrame, mode: str) -> Callable[[DataFrame], DataFrame]:
-    """Fit what a mode asks for and return scored(candidates) -> (user, song, score)."""
-    knn = materialize(R.item_knn(frame, n=200), "train-knn")
-    expanded = R.expand(frame, knn, "sim", fan=None).withColumnRenamed("w", "knn")
-    factors = None if mode == "smoke" else M.als(frame, rank=32 if mode == "deep" else 16, iterations=10 if mode == "deep" else 5)
+CONFIG = {"rank": E.RANK, "history": R.HISTORY, "reach": R.REACH, "seen": M.SEEN, "context": M.CONTEXT, "alpha": S.ALPHA, "half_life_days": S.INTERACTION_HALFLIFE_DAYS}
+#: Rows of a smoke run: a check of the wiring.
+SMOKE = (1500, 300)
 
-    def scored(candidates: DataFrame) -> DataFrame:
-        c = candidates.join(expanded, ["user_id", "song_id"], "left").withColumn("knn", F.least(F.coalesce("knn", F.lit(0.0)), F.lit(2.0)) / 2)
-        if factors is None:
-            return c.select("user_id", "song_id", F.col("knn").alias("score"))
-        return M.score_pairs(c, *factors).select("user_id", "song_id", (0.6 * F.col("score") + 0.4 * F.col("knn")).alias("score"))
 
-    return scored
+def commit_id() -> str:
+    """The short id of the code's commit, if git can tell."""
+    try:
+        done = subprocess.run(["git", "rev-parse", "--short", "HEAD"], capture_output=True, text=True, timeout=10, cwd=os.path.dirname(__file__))
+        return done.stdout.strip() or "unknown"
+    except (OSError, subprocess.SubprocessError):
+        return "unknown"
 
 
-def run(frame: DataFrame, history: DataFrame, mode: str = "light", *, distractors: int = 100, now: str | None = None) -> tuple[DataFrame, DataFrame]:
+def peak_memory_mb() -> float:
+    """Of this process."""
+    return resource.getrusage(resource.RUSAGE_SELF).ru_maxrss / 1024
+
+
+def run(frame: DataFrame, history: DataFrame, mode: str = "light", *, songs: DataFrame, audio: DataFrame, fresh: DataFrame, popular: DataFrame, distractors: int = 100, now: str | None = None) -> tuple[DataFrame, DataFrame]:
     """One run over a frame: (report, rows to append to the history).
 
-    Candidates of a user are their validation songs and some others of the validation set, the first by hash. The
-    result always goes to staging, and to prod if it beats prod. A smoke run fits the least and registers nothing.
+    light: factors, towers, attention and retrievers; deep: all scorers and the blender; smoke: light, on a few rows.
+    Rankings are by the fixed mixture. Candidates of a user are their validation songs and some others of the
+    validation set, the first by hash. The result always goes to staging, and to prod if it beats prod; a smoke run
+    registers nothing. The report is the run's manifest too: code, settings, frame and peak memory of the driver.
     """
     if mode not in ("light", "deep", "smoke"):
         raise ValueError(f"unknown mode {mode}")
     spark, began = frame.sparkSession, time.time()
     parted = materialize(I.split(frame), "train-split")
-    train, valid = parted.where("part = 'train'"), parted.where("part = 'valid'")
-    scored = _rank(train, mode)
+    train, valid = parted.where("part = 'train'").drop("part"), parted.where("part = 'valid'").drop("part")
+    if mode == "smoke":
+        first = lambda df, n: materialize(df.orderBy(F.md5(F.concat_ws("|", F.col("user_id").cast("string"), "song_id"))).limit(n), "smoke")
+        train, valid = first(train, SMOKE[0]), first(valid, SMOKE[1])
+    fitted = E.Ensemble(train, songs, audio, E.Retriever(train, fresh, popular), light=mode != "deep")
     pool = valid.select("song_id").distinct().orderBy(F.md5("song_id"), "song_id").limit(distractors)
     users = valid.where("plan_reward > 0").select("user_id").distinct()
     candidates = valid.select("user_id", "song_id").union(users.join(F.broadcast(pool), F.lit(True))).distinct().join(users, "user_id", "left_semi")
-    ranked = materialize(M.top_per_user(scored(candidates), 10), "train-ranked")
+    ranked = materialize(M.top_per_user(fitted.mixture(candidates), 10), "train-ranked")
+    loss = M.als_loss(train, fitted.users.select("user_id", F.col("u_als").alias("vector")).where("vector is not null"), fitted.items.select("song_id", F.col("s_als").alias("vector")).where("vector is not null"), 0.08).first()["loss"]
+    accuracy = fitted.blender(valid).where("user_id = -1").first()["accuracy"] if mode == "deep" else None
     h = I.hits(ranked, valid).agg(F.avg("recall").alias("recall"), F.avg("ndcg").alias("ndcg"), F.avg("hitrate").alias("hitrate"), F.count(F.lit(1)).alias("users"))
     report = h.join(I.catalog_metrics(ranked, valid), F.lit(True))
     row = report.first()
@@ -63,9 +80,34 @@ def run(frame: DataFrame, history: DataFrame, mode: str = "light", *, distractor
     at = F.lit(now).cast("timestamp") if now else F.current_timestamp()
     new = spark.createDataFrame([(last + 1 + i, k, run_id, mode, row["ndcg"], row["coverage"], None) for i, k in enumerate(keys)], HISTORY).withColumn("updated_at", at)
     summary = report.withColumn("run_id", F.lit(run_id)).withColumn("mode", F.lit(mode)).withColumn("promoted", F.lit(bool(better) and mode != "smoke")).withColumn("secs", F.lit(round(time.time() - began, 2)))
+    manifest = {"commit_id": commit_id(), "config": json.dumps(CONFIG), "peak_memory_mb": round(peak_memory_mb(), 1), "loss": M.UNFITTED if loss is None else float(loss), "blender_accuracy": accuracy}
+    for name, value in manifest.items():
+        summary = summary.withColumn(name, F.lit(value).cast("double" if name in ("peak_memory_mb", "loss", "blender_accuracy") else "string"))
     return summary.join(I.fingerprint(train), F.lit(True)), new
 
 
+def missing_files(spark: SparkSession, artifacts: DataFrame, run_id: str) -> list[str]:
+    """Paths of a run's models (a few) that are no longer there: what to know before it becomes current again."""
+    paths = [r["model_path"] for r in artifacts.where(F.col("run_id") == run_id).select("model_path").collect()]
+    of = spark._jvm.org.apache.hadoop.fs.Path
+    return [p for p in paths if not of(p).getFileSystem(spark._jsc.hadoopConfiguration()).exists(of(p))]
+
+
+def acquire_lock(spark: SparkSession, path: str) -> bool:
+    """Create the lock file, or take over one that is stale; False while another run holds it."""
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+    if fs.exists(p) and not lock_is_stale((time.time() - fs.getFileStatus(p).getModificationTime() / 1000) / 3600):
+        return False
+    fs.create(p, True).close()
+    return True
+
+
+def release_lock(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, False)
+
+
 def roll_back(history: DataFrame, key: str = "prod") -> DataFrame:
     """The row to append so that the newest other run is current again; empty if there is none."""
     last = history.agg(F.max("id").alias("__last"))

@@ -61,7 +61,7 @@ def nearest_vectors(spark, d):
 
 def _lyrics(s: Star):
     line = lambda i: F.concat(F.lit(f"[0{i}:1{i}.50] line {i} of "), "title")
-    return s.songs().where("genre_code < 5").select("song_id", F.concat_ws("\n", *[line(i) for i in range(4)], F.lit("no stamp")).alias("plain"))
+    return s.songs().select("song_id", F.concat_ws("\n", *[line(i) for i in range(4)], F.lit("no stamp")).alias("plain"))
 
 
 def _arcs(s: Star):
@@ -142,7 +142,7 @@ m AS (SELECT user_id, sum(arousal * w) / sum(w) AS a, sum(coalesce(nullif(valenc
 SELECT user_id, round(a, 3) AS arousal, round(v, 3) AS valence, CASE WHEN a > 0.7 THEN 'burning ' WHEN a < 0.35 THEN 'quiet ' ELSE '' END || CASE WHEN v < 0.35 THEN 'aching' WHEN v > 0.6 THEN 'warm' ELSE 'wistful' END AS label, n FROM m"""
 _FEEL = "fv AS (SELECT song_id, [least(bpm / 200, 1), coalesce(nullif(danceability, 0), 0.5), coalesce(nullif(valence, 0), 0.5), coalesce(nullif(energy, 0), 0.5), coalesce(nullif(brightness, 0), 0.5), coalesce(nullif(harmonic_clarity, 0), 0.5)]::DOUBLE[] AS v FROM audio)"
 _COS = "round(list_inner_product({a}, {b}) / (sqrt(list_inner_product({a}, {a})) * sqrt(list_inner_product({b}, {b})) + 1e-9), {n})"
-_LINES = "lines AS (SELECT song_id, i * 60.0::DOUBLE + 10 + i + 0.5 AS t, 'line ' || i || ' of ' || title AS line FROM songs, (SELECT unnest(range(0, 4)) AS i) WHERE genre_code < 5)"
+_LINES = "lines AS (SELECT song_id, i * 60.0::DOUBLE + 10 + i + 0.5 AS t, 'line ' || i || ' of ' || title AS line FROM songs, (SELECT unnest(range(0, 4)) AS i))"
 _SECT = f"{_LINES}, sect AS (SELECT l.*, ((least(floor(t / 10)::INT, 9) * 37 + duration) % 100) / 100.0::DOUBLE AS arousal FROM lines l JOIN songs USING (song_id))"
 _SECTION = "CASE WHEN arousal < 0.3 THEN 'verse' WHEN arousal < 0.5 THEN 'lift' ELSE 'chorus' END"
 _CAPTION = """CASE WHEN bpm <= 0 THEN 'Untimed' WHEN bpm < 90 THEN 'Slow' WHEN bpm < 110 THEN 'Relaxed' WHEN bpm < 135 THEN 'Driving' ELSE 'Racing' END || ' ' || CASE WHEN mode = 'minor' THEN CASE WHEN valence < 0.35 THEN 'mournful' WHEN valence < 0.55 THEN 'pensive' ELSE 'gentle' END ELSE CASE WHEN valence > 0.6 THEN 'bright' WHEN valence > 0.4 THEN 'mellow' ELSE 'bittersweet' END END

@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from tessitura.functions import scalars as S
 from tessitura.operators import interactions as I
+from tessitura.operators.order import numbered
+from tessitura.sources.scratch import materialize
 from tessitura.sources.star import NOW, Star, with_views
 
 _FRAME = """
@@ -80,17 +82,43 @@ def negatives_hash(spark, d):
 
 
 def pairwise_triples(spark, d):
+    return I.pairwise(frame_of(spark, d), Star(spark, d).songs())
+
+
+def ordered_frame_hash(spark, d):
+    """The running hash of all rewards in order of time, and of all stamps."""
     f = frame_of(spark, d)
-    return I.pairwise(f, I.negatives(f, Star(spark, d).songs()))
+    rewards, stamps = F.format_string("%.2f", "plan_reward"), F.round(F.unix_micros("timestamp") / 1e6).cast("long").cast("string")
+    return spark.createDataFrame([(I.ordered_fingerprint(f, rewards), I.ordered_fingerprint(f, stamps))], "frame_hash string, split_hash string")
 
 
-def ranked_and_valid(spark, d):
-    parted = split_of(spark, d)
+def ranked_and_valid(spark, d, k: int = 10):
+    """Each validation user's first k songs by likes in training, without those the user has there; and the validation rows.
+
+    A user with m training songs has their first k among the first k + m of all, so only those are met: no user
+    meets the whole list, and none is cut off.
+    """
+    parted = materialize(split_of(spark, d), "parted")
+    train, valid = parted.where("part = 'train'"), parted.where("part = 'valid'")
+    likes = train.where("plan_reward > 0").groupBy("song_id").agg(F.count(F.lit(1)).alias("n"))
+    places = numbered(likes, [F.desc("n"), F.asc("song_id")], "place").select("place", "song_id")
+    has = train.groupBy("user_id").agg(F.count(F.lit(1)).alias("m"))
+    users = valid.select("user_id").distinct().join(has, "user_id", "left")
+    near = users.select("user_id", F.explode(F.sequence(F.lit(0).cast("long"), F.coalesce("m", F.lit(0)) + k - 1)).alias("place")).join(places, "place")
+    new = near.join(train.select("user_id", "song_id"), ["user_id", "song_id"], "left_anti")
+    ranked = new.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy("place"))).where(F.col("rank") <= k)
+    return ranked.select("user_id", "song_id", "rank"), valid
+
+
+def evaluation(spark, d):
+    """Error and ranking of a score by damped song averages, over the validation rows."""
+    parted = materialize(split_of(spark, d), "parted")
     train, valid = parted.where("part = 'train'"), parted.where("part = 'valid'")
-    likes = train.where("plan_reward > 0").groupBy("song_id").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "song_id").limit(1000)
-    users = valid.select("user_id").distinct()
-    new = users.join(F.broadcast(likes), F.lit(True)).join(train.select("user_id", "song_id"), ["user_id", "song_id"], "left_anti")
-    return new.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("n"), "song_id"))), valid
+    mean = train.agg(F.coalesce(F.avg("plan_reward"), F.lit(0.0)).alias("mean"))
+    songs = train.groupBy("song_id").agg(F.sum("plan_reward").alias("s"), F.count(F.lit(1)).alias("n"))
+    score = F.round((F.coalesce("s", F.lit(0.0)) + 5 * F.col("mean")) / (F.coalesce("n", F.lit(0)) + 5), 6)
+    scored = valid.join(songs, "song_id", "left").join(F.broadcast(mean), F.lit(True)).select("user_id", "song_id", score.alias("score"))
+    return I.evaluate(scored, valid).select(*[F.round(c, 6).alias(c) for c in ("rmse", "precision", "recall", "ndcg")], "users", "interactions")
 
 
 def recall_ndcg_hit(spark, d):
@@ -120,20 +148,22 @@ def eval_mixture(spark, d):
     return s.select("song_id", F.round(S.weighted(S.EVAL_MIXTURE), 6).alias("score"))
 
 
-QUERIES = {f.__name__: f for f in (interaction_frame, interaction_frame_legacy_alias, temporal_split, leave_last_n, split_fingerprint, frame_hash, running_average, negatives_hash, pairwise_triples, recall_ndcg_hit, coverage_novelty, genre_hitrate, promotion, eval_mixture)}
+QUERIES = {f.__name__: f for f in (interaction_frame, interaction_frame_legacy_alias, temporal_split, leave_last_n, split_fingerprint, frame_hash, ordered_frame_hash, running_average, negatives_hash, pairwise_triples, recall_ndcg_hit, coverage_novelty, genre_hitrate, evaluation, promotion, eval_mixture)}
 
 _V = ("listens", "feedback")
 _PRINT = """lines AS (SELECT md5(user_id || '|' || song_id || '|' || {v}) AS h FROM {t}),
 sums AS (SELECT count(*) AS n, bit_xor(('0x' || substring(h, 1, 8))::BIGINT) AS a, bit_xor(('0x' || substring(h, 9, 8))::BIGINT) AS b, bit_xor(('0x' || substring(h, 17, 8))::BIGINT) AS c, bit_xor(('0x' || substring(h, 25, 8))::BIGINT) AS d FROM lines)
 SELECT substring(sha256(concat_ws('|', n, a, b, c, d)), 1, 16) AS frame_hash FROM sums"""
-_U = "((('0x' || substring(md5('neg|{k}|' || user_id || '|' || song_id), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)"
-_NEG = f"""pool AS (SELECT song_id, log10(greatest(view_count, 10)) AS w FROM songs ORDER BY md5('neg' || song_id), song_id LIMIT 200),
-likers AS (SELECT user_id, count(*) FILTER (plan_reward > 0) AS n FROM frame GROUP BY user_id HAVING n > 0),
-each AS (SELECT user_id, n, song_id, w FROM likers CROSS JOIN pool ANTI JOIN frame USING (user_id, song_id)),
-evened AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY {_U.format(k='u')}, song_id) AS even, round(-ln({_U.format(k='p')}) / w, 9) AS key FROM each),
-keyed AS (SELECT *, CASE WHEN even <= 2 * n THEN NULL ELSE key END AS k FROM evened),
-placed AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY k ASC NULLS LAST, song_id) AS popular FROM keyed),
-negs AS (SELECT user_id, song_id, CASE WHEN k IS NULL THEN 'uniform' ELSE 'popular' END AS kind FROM placed WHERE k IS NULL OR popular <= 2 * n)"""
+_B = "('0x' || substring(md5('neg|' || kind || '|' || user_id || '|' || pos || '|' || k{more}), 1, 8))::BIGINT"
+_NEG = f"""places AS (SELECT song_id AS neg, log10(greatest(view_count, 10)) AS w, row_number() OVER (ORDER BY song_id) - 1 AS i FROM songs),
+likes AS (SELECT DISTINCT user_id, song_id FROM frame WHERE plan_reward > 0),
+draws AS (SELECT user_id, song_id AS pos, kind, k FROM likes, (SELECT 'uniform' AS kind, unnest(range(1, 9)) AS k UNION ALL SELECT 'popular', unnest(range(1, 17))) t),
+drawn AS (SELECT *, ({_B.format(more='')} * (SELECT count(*) FROM places)) // 4294967296 AS i FROM draws),
+fair AS (SELECT user_id, pos, neg, kind, min(k) AS k FROM drawn JOIN places USING (i) WHERE (kind = 'uniform' OR ({_B.format(more=" || '|accept'")} + 0.5::DOUBLE) / 4294967296 < round(w / (SELECT max(w) FROM places), 6))
+  AND (user_id, neg) NOT IN (SELECT (user_id, song_id) FROM likes) GROUP BY 1, 2, 3, 4),
+uni AS (SELECT * FROM fair WHERE kind = 'uniform' QUALIFY row_number() OVER (PARTITION BY user_id, pos ORDER BY k) <= 2),
+pops AS (SELECT f.* FROM fair f ANTI JOIN uni u ON f.user_id = u.user_id AND f.pos = u.pos AND f.neg = u.neg WHERE f.kind = 'popular' QUALIFY row_number() OVER (PARTITION BY f.user_id, f.pos ORDER BY f.k) <= 2),
+negs AS (SELECT user_id, pos, neg, kind FROM uni UNION ALL SELECT user_id, pos, neg, kind FROM pops)"""
 _HITS = """good AS (SELECT DISTINCT user_id, song_id FROM valid WHERE plan_reward > 0),
 met AS (SELECT r.user_id, sum((g.song_id IS NOT NULL)::INT) AS h, sum((g.song_id IS NOT NULL)::INT / log2(rank + 1)) AS dcg FROM ranked r LEFT JOIN good g USING (user_id, song_id) WHERE rank <= 10 GROUP BY r.user_id),
 users AS (SELECT user_id, count(*) AS relevant FROM good GROUP BY user_id),
@@ -152,10 +182,15 @@ ORACLES = {
 a AS (SELECT user_id, song_id, i, x FROM s WHERE i = 1 UNION ALL SELECT s.user_id, s.song_id, s.i, (a.x + s.x) / 2 FROM a JOIN s ON s.user_id = a.user_id AND s.song_id = a.song_id AND s.i = a.i + 1)
 SELECT user_id, song_id, round(max_by(x, i), 9) AS average FROM a GROUP BY 1, 2"""),
     "negatives_hash": with_views(*_V, "songs", then=f"{FRAME}, {_NEG}\nSELECT * FROM negs"),
-    "pairwise_triples": with_views(*_V, "songs", then=f"""{FRAME}, {_NEG},
-p AS (SELECT user_id, song_id AS pos, row_number() OVER (PARTITION BY user_id ORDER BY timestamp, song_id) - 1 AS i, count(*) OVER (PARTITION BY user_id) AS n FROM frame WHERE plan_reward > 0),
-q AS (SELECT user_id, song_id AS neg, row_number() OVER (PARTITION BY user_id ORDER BY kind, song_id) - 1 AS j FROM negs)
-SELECT user_id, pos, neg FROM p JOIN q USING (user_id) WHERE j % n = i"""),
+    "pairwise_triples": with_views(*_V, "songs", then=f"{FRAME}, {_NEG}\nSELECT user_id, pos, neg FROM negs"),
+    "ordered_frame_hash": with_views(*_V, then=f"""{FRAME}
+SELECT substring(sha256(string_agg(user_id || '|' || song_id || '|' || printf('%.2f', plan_reward), '' ORDER BY timestamp, user_id, song_id)), 1, 16) AS frame_hash, substring(sha256(string_agg(user_id || '|' || song_id || '|' || round(epoch_us(timestamp) / 1e6)::BIGINT, '' ORDER BY timestamp, user_id, song_id)), 1, 16) AS split_hash FROM frame"""),
+    "evaluation": with_views(*_V, then=f"""{FRAME}, {SPLIT}, tr AS (SELECT * FROM parted WHERE part = 'train'), m AS (SELECT coalesce(avg(plan_reward), 0) AS mean FROM tr), g AS (SELECT song_id, sum(plan_reward) AS s, count(*) AS n FROM tr GROUP BY 1),
+sc AS (SELECT v.user_id, v.song_id, plan_reward, round((coalesce(s, 0) + 5 * mean) / (coalesce(n, 0) + 5), 6) AS score FROM (SELECT * FROM parted WHERE part = 'valid') v LEFT JOIN g USING (song_id), m),
+rk AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY score DESC, song_id) AS rank FROM sc),
+u AS (SELECT user_id, count(*) FILTER (plan_reward > 0 AND rank <= 10) AS h, coalesce(sum(1 / log2(rank + 1)) FILTER (plan_reward > 0 AND rank <= 10), 0) AS dcg, count(*) FILTER (plan_reward > 0) AS rel, sum(pow(plan_reward - score, 2)) AS sq, count(*) AS n FROM rk GROUP BY 1),
+ideals AS (SELECT h AS n, sum(1 / log2(i + 1)) AS ideal FROM (SELECT unnest(range(1, 11)) AS h) a, (SELECT unnest(range(1, 11)) AS i) b WHERE i <= h GROUP BY 1)
+SELECT round(sqrt(sum(sq) / sum(u.n)), 6) AS rmse, round(avg(h / 10) FILTER (rel > 0), 6) AS precision, round(avg(h / rel) FILTER (rel > 0), 6) AS recall, round(avg(CASE WHEN h > 0 THEN dcg / ideal ELSE 0 END) FILTER (rel > 0), 6) AS ndcg, count(*) FILTER (rel > 0) AS users, sum(u.n)::BIGINT AS interactions FROM u LEFT JOIN ideals ON ideals.n = h"""),
     "recall_ndcg_hit": with_views(*_V, then=f"{FRAME}, {SPLIT}, {RANKED}, {_HITS}"),
     "coverage_novelty": with_views(*_V, then=f"""{FRAME}, {SPLIT}, {RANKED},
 shown AS (SELECT song_id, count(*) AS n FROM ranked WHERE rank <= 10 AND user_id IN (SELECT user_id FROM valid WHERE plan_reward > 0) GROUP BY song_id)

@@ -4,27 +4,52 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessitura.functions import scalars as S
 from tessitura.operators import audio as W
 from tessitura.operators import content as T
+from tessitura.operators import ensemble as E
 from tessitura.operators import interactions as I
 from tessitura.operators import models as M
 from tessitura.operators import retrieval as R
 from tessitura.operators import serving as V
 from tessitura.plans.frames import FRAME, frame_of, split_of
 from tessitura.plans.retrieval import Retriever
+from tessitura.plans.serving import NIGHT, _prefs
 from tessitura.sources.scratch import folder, materialize
-from tessitura.sources.star import Star, with_views
+from tessitura.sources.star import NOW, Star, with_views
 from tessitura.streaming import signals as G
 
 _OUT = ["user_id", "rank", "song_id", "score"]
+_FITTED: dict[tuple, object] = {}
 
 
-def _unseen(spark, d):
-    return Retriever(spark, d).pool().select("user_id", "song_id")
+def _stamps(spark, d) -> tuple:
+    """When the tables that models are fitted on were last written."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    of = lambda t: path(f"{d}/{t}.parquet")
+    return tuple(of(t).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(of(t)).getModificationTime() for t in ("events", "part"))
+
+
+def fitted(spark, d, name: str, fit):
+    """What ``fit`` returns: fitted and stored once for an application and a state of the tables, then read from there.
+
+    Serving reads stored models, as training is a job of its own.
+    """
+    key = (spark.sparkContext.applicationId, str(d), _stamps(spark, d), name)
+    if key not in _FITTED:
+        _FITTED[key] = fit()
+    return _FITTED[key]
+
+
+def _retriever(spark, d) -> Retriever:
+    return fitted(spark, d, "retriever", lambda: Retriever(spark, d))
+
+
+def _unseen(spark, d) -> DataFrame:
+    return fitted(spark, d, "pool", lambda: materialize(_retriever(spark, d).pool(), "pool")).select("user_id", "song_id")
 
 
 def _top(scored):
@@ -47,115 +72,142 @@ def svd_biases(spark, d):
 
 
 def svd_topk(spark, d):
-    return _top(M.svd(frame_of(spark, d), rank=8, iterations=4)(_unseen(spark, d)))
+    return _top(M.svd_predict(M.svd(frame_of(spark, d), rank=8), _unseen(spark, d), rank=8))
 
 
 def item2vec_nn(spark, d):
-    vectors = M.item2vec(frame_of(spark, d))
-    return M.neighbours(vectors, Star(spark, d).songs().where("cast(song_id as int) < 20").select("song_id")).select("seed", "rank", "song_id", F.round("sim", 6).alias("sim"))
+    """The songs nearest to every song whose id is divisible by 20."""
+    vectors = materialize(M.item2vec(frame_of(spark, d)), "item2vec")
+    return M.neighbours(vectors, Star(spark, d).songs().where("cast(song_id as int) % 20 = 0").select("song_id")).select("seed", "rank", "song_id", F.round("sim", 6).alias("sim"))
 
 
 def _triples(spark, d):
-    f = frame_of(spark, d)
-    return f, I.pairwise(f, I.negatives(f, Star(spark, d).songs(), per_positive=2))
+    return I.pairwise(frame_of(spark, d), Star(spark, d).songs(), per_positive=2)
 
 
 def two_tower_topk(spark, d):
-    _, triples = _triples(spark, d)
-    users, songs = M.pairwise_factors(triples, size=16, epochs=2)
-    return _top(M.score_pairs(_unseen(spark, d), users, songs))
+    users, songs = M.pairwise_factors(_triples(spark, d), size=16, epochs=3, unit=True)
+    pool = _unseen(spark, d)
+    return _top(M.score_pairs(pool, users, M.with_hashed(songs, pool, 16)))
 
 
 def fm_topk(spark, d):
     s = Star(spark, d)
-    _, triples = _triples(spark, d)
-    users, songs = M.pairwise_factors(triples, size=16, epochs=1, tokens=T.song_tokens(s.songs(), s.audio_features()))
+    users, songs = M.pairwise_factors(_triples(spark, d), size=16, epochs=2, tokens=T.song_tokens(s.songs(), s.audio_features()))
     return _top(M.score_pairs(_unseen(spark, d), users, songs))
 
 
-def ncf_scores(spark, d):
-    """Without a neural library the model is not trained and scores nothing, as its degraded mode defines."""
-    return Star(spark, d).feedback().select("user_id", "song_id").distinct().withColumn("score", F.lit(0.0))
+def ncf_topk(spark, d):
+    meta = T.metadata_vector(Star(spark, d).songs())
+    users, songs, weights = M.neural(frame_of(spark, d), meta)
+    j = _unseen(spark, d).join(users.withColumnRenamed("vector", "x"), "user_id", "left").join(songs.withColumnRenamed("vector", "y"), "song_id", "left").join(meta, "song_id", "left")
+    return _top(j.select("user_id", "song_id", M.neural_score(weights)("x", "y", "features").alias("score")))
 
 
 def sequence_markov(spark, d):
     """The score without its attention part: half certain, plus the next-song probability from the latest song."""
-    f = frame_of(spark, d)
-    src = R.last(f, 1).select("user_id", F.col("song_id").alias("src"))
-    m = R.markov(f)
-    return src.join(m, "src").select("user_id", F.col("dst").alias("song_id"), F.round((0.6 * 0.5 + 0.4 * F.least(5 * F.col("p"), F.lit(1.0))) * 2 - 1, 6).alias("score"))
+    n = M.next_songs(frame_of(spark, d))
+    return n.select("user_id", "song_id", F.round((0.6 * 0.5 + 0.4 * F.least(5 * F.col("p"), F.lit(1.0))) * 2 - 1, 6).alias("score"))
 
 
 def sequence_score(spark, d):
     f = frame_of(spark, d)
-    return _top(M.attention_score(R.last(f, 20).select("user_id", "song_id", "back"), _unseen(spark, d), M.item2vec(f), R.markov(f)))
+    return _top(M.attention_score(f, _unseen(spark, d), M.attention(f, size=16), 16))
 
 
 def judged_pairs(spark, d):
-    """Each liked validation row with the user's first other training row as its negative."""
     p = split_of(spark, d)
-    liked = p.where("part = 'valid' and plan_reward > 0").select("user_id", F.col("song_id").alias("pos"))
-    first = F.row_number().over(Window.partitionBy("user_id").orderBy("timestamp", "song_id"))
-    other = p.where("part = 'train'").withColumn("i", first).where("i = 1").select("user_id", F.col("song_id").alias("neg"))
-    return liked.join(other, "user_id").where("pos <> neg")
+    return E.judged(p.where("part = 'train'"), p.where("part = 'valid'"))
+
+
+def _ensemble(spark, d):
+    """(ensemble fitted on the training part, blender weights from the validation part, candidate pool)."""
+
+    def fit():
+        s, parted = Star(spark, d), materialize(split_of(spark, d), "parted")
+        train, valid = (parted.where(f"part = '{p}'").drop("part") for p in ("train", "valid"))
+        train = materialize(train, "train")
+        own = E.Ensemble(train, s.songs(), s.audio_features(), Retriever(spark, d, train))
+        return own, materialize(own.blender(valid), "weights"), materialize(own.retriever.pool(), "train-pool")
+
+    return fitted(spark, d, "ensemble", fit)
 
 
 def blender_weights(spark, d):
-    f = frame_of(spark, d)
-    arms = T.posteriors(Star(spark, d).feedback().select("user_id", "song_id", F.col("signal").cast("double").alias("reward"))).select("user_id", "song_id", (F.col("alpha") / (F.col("alpha") + F.col("beta"))).alias("bandit"))
-    deg = R.positives(f).groupBy("song_id").agg(F.log10(F.count(F.lit(1)) + 1.0).alias("retriever"))
-    pairs = judged_pairs(spark, d)
-    for side, name in (("pos", "p"), ("neg", "q")):
-        pairs = pairs.join(arms.select("user_id", F.col("song_id").alias(side), F.col("bandit").alias(f"{name}_bandit")), ["user_id", side], "left").join(deg.select(F.col("song_id").alias(side), F.col("retriever").alias(f"{name}_retriever")), side, "left")
-    w = M.blender_weights(pairs, ["bandit", "retriever"])
-    return spark.createDataFrame([(k, round(v, 4)) for k, v in w.items()], "feature string, weight double")
+    """Weights and pairwise accuracy of all users (-1) and of each with five judged pairs or more."""
+    w = _ensemble(spark, d)[1]
+    return w.select("user_id", "mood", "n_pairs", F.round("accuracy", 6).alias("accuracy"), F.array_join(F.transform("weights", lambda x: F.format_string("%.4f", x)), ",").alias("weights"))
 
 
-def _relevance(spark, d):
-    s = Star(spark, d)
-    r = Retriever(spark, d).scored().join(s.songs().select("song_id", "genre_code"), "song_id", "left").select("user_id", "song_id", F.col("raw").alias("score"), F.coalesce("genre_code", F.lit(20)).alias("genre_code"))
-    return M.top_per_user(r, 60).drop("rank"), s.raw("embeddings").select(F.col("vec_id").cast("string").alias("song_id"), F.col("embedding").alias("vector"))
+def _vectors(s: Star):
+    return s.raw("embeddings").select(F.col("vec_id").cast("string").alias("song_id"), F.col("embedding").alias("vector"))
 
 
 def mmr_topk(spark, d):
-    return V.mmr(*_relevance(spark, d), depth=10).withColumn("score", F.round("score", 6))
+    r = _retriever(spark, d)
+    scored = r.score(_unseen(spark, d)).join(r.songs.select("song_id", "genre_code"), "song_id", "left").select("user_id", "song_id", F.col("raw").alias("score"), F.coalesce("genre_code", F.lit(20)).alias("genre_code"))
+    return V.mmr(scored, _vectors(r.star), depth=10).withColumn("score", F.round("score", 6))
+
+
+def _arms(s: Star):
+    return T.posteriors(s.feedback().select("user_id", "song_id", F.col("signal").cast("double").alias("reward")))
 
 
 def thompson_topk(spark, d):
-    arms = T.thompson(T.posteriors(Star(spark, d).feedback().select("user_id", "song_id", F.col("signal").cast("double").alias("reward"))))
-    return M.top_per_user(arms, 5, "theta").select("user_id", "rank", "song_id", F.round("theta", 6).alias("theta"))
+    return M.top_per_user(T.thompson(_arms(Star(spark, d))), 5, "theta").select("user_id", "rank", "song_id", F.round("theta", 6).alias("theta"))
 
 
-def recommend_all(spark, d):
-    """The whole serve for every user: pool, scores, blend and bonus, MMR, hard rules, explanation."""
-    s, r = Star(spark, d), Retriever(spark, d)
+def train(spark, d, history, mode: str = "light", **options):
+    """A training run over the tables; see ``operators.training``."""
+    from tessitura.operators import catalog as C
+    from tessitura.operators import training
+
+    s = Star(spark, d)
     songs = s.songs()
-    scored = materialize(r.scored(), "scored")
-    pool = V.without(scored.select("user_id", "song_id"), V.recently_played(s.listens(), "2024-01-30 00:00:00"))
-    retr = scored.select("user_id", "song_id", "score")
-    arms = T.posteriors(s.feedback().select("user_id", "song_id", F.col("signal").cast("double").alias("reward"))).select("user_id", "song_id", (F.col("alpha") / (F.col("alpha") + F.col("beta"))).alias("score"))
+    return training.run(frame_of(spark, d), history, mode, songs=songs, audio=s.audio_features(), fresh=R.fresh(C.latest_snapshot(s.feed_songs()), 500), popular=R.popular(songs, 500), **options)
+
+
+def features_of(spark, d, *, users: list[int] | None = None, mood: str = "", cached: DataFrame | None = None) -> DataFrame:
+    """Candidates of all users, or of some, with all their scores."""
+    s, (own, _, pool) = Star(spark, d), _ensemble(spark, d)
+    if users is not None:
+        pool, cached = pool.where(F.col("user_id").isin(users)), cached if cached is None else cached.where(F.col("user_id").isin(users))
+    songs = s.songs()
+    heard = s.ledger().groupBy("song_id").agg(F.max("ts").alias("heard_at")).where((F.col("heard_at") >= F.expr(f"timestamp'{NIGHT}' - interval 7 day")))
+    some = materialize(E.candidates(pool, _prefs(s), heard, V.recently_played(s.listens(), NIGHT), songs, cached=cached), "candidates")
     vecs = T.tfidf(songs)
-    cont = T.content_score(pool, T.profiles(s.listens(), vecs), vecs).select("user_id", "song_id", F.col("s_content").alias("score"))
-    t = V.score_table(pool, {"retriever": retr, "bandit": arms, "content": cont}).join(songs, "song_id").join(s.audio_features().select("song_id", "bpm", "key_strength", "danceability"), "song_id", "left")
-    rec = S.recency(F.col("last_seen"), "2024-02-01 00:00:00")
-    for n in ("als", "feature_mf", "svd", "ncf", "two_tower", "sequence", "repeat_pen"):
-        t = t.withColumn(f"s_{n}", F.lit(0.0))
-    t = t.withColumn("s_mean", F.col("s_bandit")).withColumn("s_bandit", F.col("s_bandit") * 2 - 1).withColumn("s_recency", rec * 2 - 1).withColumn("s_freshness", rec * 2 - 1)
-    bonus = F.when(F.col("key_strength").isNotNull(), S.measured_bonus(F.col("bpm"), F.col("key_strength"), F.col("danceability"))).otherwise(S.title_bonus(F.col("title"), F.col("duration")))
-    t = materialize(t.withColumn("score", V.final_score(S.blend(), bonus, F.lit(False))), "blended")
-    best = M.top_per_user(t.select("user_id", "song_id", "score", "genre_code"), 60)
-    vectors = s.raw("embeddings").select(F.col("vec_id").cast("string").alias("song_id"), F.col("embedding").alias("vector"))
-    ranked = materialize(V.mmr(best.drop("rank"), vectors, depth=30), "diverse")
-    prefs = s.raw("events").select("user_id").distinct().select("user_id", F.array().cast("array<string>").alias("blacklist"), F.lit(None).cast("string").alias("anchor_song_id"))
-    final = V.hard_rules(ranked, songs, prefs)
-    why = t.select("user_id", "song_id", "title", S.norm(F.col("s_svd")).alias("s_svd"), S.norm(F.col("s_ncf")).alias("s_ncf"), S.norm(F.col("s_content")).alias("s_content"), F.col("s_mean").alias("s_bandit"), rec.alias("s_recency"))
-    out = final.join(why, ["user_id", "song_id"]).withColumn("final_score", F.col("score"))
-    return out.select("user_id", "rank", "song_id", "title", F.round("score", 6).alias("score"), V.why().alias("why"))
+    content = T.content_score(some.select("user_id", "song_id"), T.profiles(s.listens(), vecs), vecs)
+    return E.features(own, some, _arms(s), content, songs, NOW, mood=mood)
+
+
+def recommend(spark, d, *, users: list[int] | None = None, top_k: int = 10, slots: int | None = None, mood: str = "", cached: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
+    """(served rows, cache rows) of all users, or of some: pool, scores of all models, blend, re-ranking, rules, reasons."""
+    s = Star(spark, d)
+    scored = features_of(spark, d, users=users, mood=mood, cached=cached)
+    return E.serve(scored, _ensemble(spark, d)[1], s.audio_features(), _vectors(s), s.songs(), _prefs(s), top_k=top_k, slots=slots, mood=mood)
+
+
+def recommend_all(spark, d):
+    """The whole serve for every user."""
+    return recommend(spark, d)[0].withColumn("score", F.round("score", 6))
+
+
+def rec_items(spark, d):
+    """What a serve writes: its items, with the sub-scores."""
+    sessions, items = E.written(recommend(spark, d, mood="gym")[0], NIGHT, "v1")
+    return items.join(sessions.select("session_id", "user_id", "status"), "session_id").select("user_id", "song_id", "rank", F.round("final_score", 6).alias("final_score"), "svd_score", "ncf_score", "content_score", "bandit_score", "recency_score", "status")
 
 
 def audio_features(spark, d):
-    f = W.features(W.synthetic_clips(Star(spark, d).songs().where("cast(song_id as int) < 24")))
-    return f.select("song_id", F.round("bpm", 1).alias("bpm"), "musical_key", "mode", F.round("energy", 3).alias("energy"), F.round("voice_pct", 3).alias("voice_pct"), "register")
+    f = W.features(W.synthetic_clips(Star(spark, d).songs()))
+    return f.select("song_id", F.round("bpm", 1).alias("bpm"), "musical_key", "mode", "key_alt", "energy", "danceability", "valence", "harmonic_clarity", "brightness", "voice_pct", "median_f0", "register", "lift")
+
+
+def audio_composites(spark, d):
+    """Energy, danceability, valence and clarity of measured values."""
+    a = Star(spark, d).audio_features()
+    raw = a.select("song_id", "bpm", "mode", "brightness", "key_strength", (F.col("energy") * 0.4).alias("rms"), F.col("lift").alias("tempo_strength"), F.array(*[F.abs(F.sin(F.col("bpm") * i + F.col("lift"))) / 4 for i in range(1, 13)]).alias("chroma"))
+    return W.composites(raw).select("song_id", "energy", "danceability", "valence", "harmonic_clarity")
 
 
 def bloom_slots(spark, d):
@@ -196,16 +248,15 @@ def stream_windows(spark, d):
 
 
 def stream_online_users(spark, d):
-    items = {str(i): M.hashed_vector(str(i), 8) for i in range(100)}
-    out = _drained(spark, G.online_users(_stream(spark, d), items), "online", "update")
+    out = _drained(spark, G.online_users(_stream(spark, d)), "online", "update")
     return out.groupBy("user_id").agg(F.max_by("norm", "n").alias("norm"), F.max("n").alias("n")).withColumn("norm", F.round("norm", 6))
 
 
 QUERIES = {
     f.__name__: f
     for f in (
-        als_topk, als_exact_topk, svd_biases, svd_topk, item2vec_nn, two_tower_topk, fm_topk, ncf_scores, sequence_markov, sequence_score, judged_pairs, blender_weights, mmr_topk, thompson_topk, recommend_all,
-        audio_features, bloom_slots, synthetic_songs, stream_bandit, stream_dislikes, stream_windows, stream_online_users,
+        als_topk, als_exact_topk, svd_biases, svd_topk, item2vec_nn, two_tower_topk, fm_topk, ncf_topk, sequence_markov, sequence_score, judged_pairs, blender_weights, mmr_topk, thompson_topk, recommend_all, rec_items,
+        audio_features, audio_composites, bloom_slots, synthetic_songs, stream_bandit, stream_dislikes, stream_windows, stream_online_users,
     )
 }
 
@@ -218,7 +269,9 @@ parted AS (SELECT *, CASE WHEN timestamp >= (SELECT edge_ts FROM edge) OR (plan_
 ORACLES = {
     "svd_biases": with_views(*_V, then=f"""{FRAME}, m AS (SELECT avg(plan_reward) AS m FROM frame), r AS (SELECT *, plan_reward - m AS rest FROM frame, m), bi AS (SELECT song_id, sum(rest) / (count(*) + 5) AS b FROM r GROUP BY 1), bu AS (SELECT user_id, sum(rest - b) / (count(*) + 5) AS b FROM r JOIN bi USING (song_id) GROUP BY 1)
 SELECT 'user' AS kind, user_id::VARCHAR AS id, round(b, 6) AS bias FROM bu UNION ALL SELECT 'item', song_id, round(b, 6) FROM bi"""),
-    "ncf_scores": with_views("feedback", then="SELECT DISTINCT user_id, song_id, 0.0::DOUBLE AS score FROM feedback"),
+    "audio_composites": with_views("audio", then="""r AS (SELECT *, 1 - exp(-4 * energy * 0.4::DOUBLE) AS e, CASE WHEN bpm = 0 THEN 0.5 ELSE exp(-0.5::DOUBLE * pow((bpm - 120) / 40, 2)) END AS sweet, list_sort(list_transform(range(1, 13), lambda i: abs(sin(bpm * i + lift)) / 4), 'DESC') AS c FROM audio)
+SELECT song_id, round(e, 3) AS energy, round(greatest(0, least(1, 0.5::DOUBLE * lift + 0.3::DOUBLE * e + 0.2::DOUBLE * sweet)), 3) AS danceability,
+ round(greatest(0, least(1, 0.45::DOUBLE + CASE mode WHEN 'major' THEN 0.15::DOUBLE ELSE -0.15::DOUBLE END + 0.25::DOUBLE * (brightness - 0.5) + 0.15::DOUBLE * (e - 0.5))), 3) AS valence, round(greatest(0, least(1, 0.5::DOUBLE * key_strength + 0.5::DOUBLE * (c[1] + c[2] + c[3]))), 3) AS harmonic_clarity FROM r"""),
     "sequence_markov": with_views(*_V, then=f"""{FRAME}, pos AS (SELECT * FROM frame WHERE plan_reward > 0), st AS (SELECT song_id AS src, lead(song_id) OVER (PARTITION BY user_id ORDER BY timestamp, song_id) AS dst FROM pos), c AS (SELECT src, dst, count(*) AS n FROM st WHERE dst IS NOT NULL GROUP BY 1, 2),
 mk AS (SELECT src, dst, round(n / sum(n) OVER (PARTITION BY src), 9) AS p FROM c), l AS (SELECT user_id, song_id AS src FROM pos QUALIFY row_number() OVER (PARTITION BY user_id ORDER BY timestamp DESC, song_id DESC) = 1)
 SELECT user_id, dst AS song_id, round((0.6::DOUBLE * 0.5 + 0.4::DOUBLE * least(5 * p, 1)) * 2 - 1, 6) AS score FROM l JOIN mk USING (src)"""),

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tessitura.operators import catalog as C
 from tessitura.operators import content as T
+from tessitura.operators import ensemble
 from tessitura.operators import retrieval as R
 from tessitura.plans.frames import FRAME, frame_of
 from tessitura.sources.scratch import materialize
@@ -35,30 +36,17 @@ mean AS (SELECT user_id, term, sum(w * weight) / any_value(total) AS x FROM hl J
 prof AS (SELECT user_id, term, round(x / sqrt(sum(x * x) OVER (PARTITION BY user_id)), 9) AS weight FROM mean)"""
 
 
-class Retriever:
-    """The fitted parts over one folder of tables."""
+class Retriever(ensemble.Retriever):
+    """The candidate sources over one folder of tables; of all its positives, unless a frame is given."""
 
-    def __init__(self, spark, d):
-        # fitted once and stored, as several steps below read each of them
-        self.star, self.frame = Star(spark, d), materialize(frame_of(spark, d), "frame")
+    def __init__(self, spark, d, frame=None):
+        self.star = Star(spark, d)
         self.songs = self.star.songs()
-        self.co, self.knn = materialize(R.cooccurrence(self.frame), "cooccurrence"), materialize(R.item_knn(self.frame), "knn")
-        self.popular = R.popular(self.songs, 500)
-        self.fresh = R.fresh(C.latest_snapshot(self.star.feed_songs()), 500)
-
-    def co_all(self):
-        return R.expand(self.frame, self.co, "weight", fan=None)
-
-    def knn_all(self):
-        return R.expand(self.frame, self.knn, "sim", fan=None)
-
-    def pool(self):
-        co, knn = R.expand(self.frame, self.co, "weight"), R.expand(self.frame, self.knn, "sim")
-        return R.pool(self.frame, [co, knn], [self.fresh, self.popular])
+        frame = materialize(frame_of(spark, d), "frame") if frame is None else frame
+        super().__init__(frame, R.fresh(C.latest_snapshot(self.star.feed_songs()), 500), R.popular(self.songs, 500))
 
     def scored(self):
-        top = lambda f: f.where("pos <= 200")
-        return R.retriever_score(self.pool(), self.co_all(), self.knn_all(), top(self.fresh), top(self.popular))
+        return self.score(self.pool())
 
 
 def flagship_topk(spark, d):
@@ -78,7 +66,7 @@ def sparse_frame(spark, d):
 def flagship_topk_sparse(spark, d):
     """Item neighbours over the large purchase log: ten new parts for every customer."""
     f = sparse_frame(spark, d)
-    knn = R.item_knn(f, n=100)
+    knn = R.item_knn(f)
     seen = R.positives(f).select("user_id", "song_id")
     scored = R.expand(f, knn, "sim", fan=None).join(seen, ["user_id", "song_id"], "left_anti")
     return scored.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("w"), "song_id"))).where("rank <= 10").select("user_id", "rank", "song_id", F.col("w").alias("score"))
@@ -192,7 +180,7 @@ ORACLES = {
 ranked AS (SELECT s.*, coalesce(genre_code, 20) AS genre_code, row_number() OVER (PARTITION BY user_id ORDER BY raw DESC, song_id) AS r0 FROM scored s LEFT JOIN songs USING (song_id)),
 capped AS (SELECT *, row_number() OVER (PARTITION BY user_id, genre_code ORDER BY r0) AS g FROM ranked QUALIFY g <= 3)
 SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY r0) AS rank, song_id, genre_code, raw, round(least(raw, 1.0) * 2 - 1, 6) AS score FROM capped QUALIFY rank <= 10"""),
-    "flagship_topk_sparse": with_views("purchases", then=f"""{_SPARSE}, {_LAST}, recent AS (SELECT * FROM hist WHERE back <= 100), {_KNN.format(pos='recent')}, {_EXPAND.format(n='ex', w='sim', e='knn')}
+    "flagship_topk_sparse": with_views("purchases", then=f"""{_SPARSE}, {_LAST}, {_KNN.format(pos='pos')}, {_EXPAND.format(n='ex', w='sim', e='knn')}
 SELECT user_id, row_number() OVER (PARTITION BY user_id ORDER BY w DESC, song_id) AS rank, song_id, w AS score FROM ex ANTI JOIN pos USING (user_id, song_id) QUALIFY rank <= 10"""),
     "cooccurrence": with_views(*_V, then=f"{FRAME}, {_POS}, {_OLD}, {_CO}\nSELECT * FROM co"),
     "item_knn": with_views(*_V, then=f"{FRAME}, {_POS}, {_KNN.format(pos='pos')}\nSELECT src, dst, sim FROM knn"),

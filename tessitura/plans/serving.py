@@ -184,17 +184,26 @@ def mood_boosts(spark, d):
     return s.join(F.broadcast(moods.select("mood", "boost", F.explode("genres").alias("genre_code"))), "genre_code").select("song_id", "mood", "boost")
 
 
+def _by_token(titles, name):
+    return titles.select("*", F.explode(F.array_distinct(S.title_tokens(F.col(name)))).alias("token"))
+
+
 def title_match(spark, d):
-    s = Star(spark, d).songs().where("song_id < '3'").select("song_id", "title")
-    o = s.select(F.col("title").alias("other")).distinct()
-    return s.select("title").distinct().join(F.broadcast(o), F.lit(True)).select("title", "other", S.title_ok(F.concat("title", F.lit(" (Official Video)")), F.concat(F.lit("the "), "other")).alias("ok"))
+    """Titles of songs whose id is divisible by 20 against all that share a word with them."""
+    s = Star(spark, d).songs()
+    wanted = s.where("cast(song_id as int) % 20 = 0").select("title").distinct()
+    other = s.select(F.col("title").alias("other")).distinct()
+    pairs = _by_token(wanted, "title").join(_by_token(other, "other"), "token").select("title", "other").distinct()
+    return pairs.select("title", "other", S.title_ok(F.concat("title", F.lit(" (Official Video)")), F.concat(F.lit("the "), "other")).alias("ok"))
 
 
 def best_titles(spark, d):
+    """The three best candidates for each song whose id is divisible by 20: songs that share a word of the title."""
     s = Star(spark, d).songs()
-    wanted = s.where("cast(song_id as int) < 20").select(F.col("song_id").alias("key"), F.col("title").alias("wanted_title"), F.col("channel").alias("wanted_artist"))
-    got = s.where("cast(song_id as int) between 20 and 60").select("title", F.col("channel").alias("artist")).distinct()
-    return V.best_titles(wanted.join(F.broadcast(got), F.lit(True)), ["key"]).where("place <= 3").select("key", "place", "ok", "artist_ok", "overlap")
+    wanted = s.where("cast(song_id as int) % 20 = 0").select(F.col("song_id").alias("key"), F.col("title").alias("wanted_title"), F.col("channel").alias("wanted_artist"))
+    got = s.where("cast(song_id as int) % 20 <> 0").select("title", F.col("channel").alias("artist")).distinct()
+    pairs = _by_token(wanted, "wanted_title").join(_by_token(got, "title"), "token").select("key", "wanted_title", "wanted_artist", "title", "artist").distinct()
+    return V.best_titles(pairs, ["key"]).where("place <= 3").select("key", "place", "ok", "artist_ok", "overlap")
 
 
 def sessions_written(spark, d):
@@ -275,10 +284,11 @@ SELECT user_id, song_id, title || ': ' || CASE WHEN len(drivers) = 0 THEN 'it fi
     "mmr_lambda": f"WITH {_PREFS} SELECT user_id, round(greatest(0.4::DOUBLE, 0.7::DOUBLE - 0.04::DOUBLE * least(round_even(round(adventurous) * 10 / 10 * 5, 0), 5)), 6) AS lam FROM prefs",
     "mood_boosts": with_views("songs", then="""m AS (SELECT mood, unnest(genres) AS genre_code, boost FROM (VALUES ('morning', [6, 3, 9], 0.05::DOUBLE), ('gym', [4, 2, 16], 0.1), ('4am', [0, 6, 18], 0.0), ('chill', [0, 6, 9], 0.0), ('sad', [6, 18, 5], 0.0), ('party', [3, 4, 12], 0.0), ('focus', [0, 10, 9], 0.0)) t(mood, genres, boost))
 SELECT song_id, mood, boost FROM songs JOIN m USING (genre_code)"""),
-    "title_match": with_views("songs", then=f"""t AS (SELECT DISTINCT title FROM songs WHERE song_id < '3'), p AS (SELECT a.title, b.title AS other, list_distinct({_TOKENS.format(t='a.title')}) AS w, list_distinct({_TOKENS.format(t='b.title')}) AS g FROM t a, t b)
+    "title_match": with_views("songs", then=f"""t AS (SELECT title, max(song_id::INT % 20 = 0) AS wanted, list_distinct({_TOKENS.format(t='title')}) AS w FROM songs GROUP BY title),
+a AS (SELECT title, w, unnest(w) AS token FROM t WHERE wanted), b AS (SELECT title AS other, w AS g, unnest(w) AS token FROM t), p AS (SELECT DISTINCT title, other, w, g FROM a JOIN b USING (token))
 SELECT title, other, len(w) = 0 OR len(list_intersect(w, g)) >= greatest(1, len(w) // 2) AS ok FROM p"""),
-    "best_titles": with_views("songs", then=f"""w AS (SELECT song_id AS key, title AS wt, channel AS wa FROM songs WHERE song_id::INT < 20), c AS (SELECT DISTINCT title, channel AS artist FROM songs WHERE song_id::INT BETWEEN 20 AND 60),
-p AS (SELECT *, list_distinct({_TOKENS.format(t='wt')}) AS a, list_distinct({_TOKENS.format(t='title')}) AS b FROM w, c),
+    "best_titles": with_views("songs", then=f"""w AS (SELECT song_id AS key, title AS wt, channel AS wa, list_distinct({_TOKENS.format(t='title')}) AS a FROM songs WHERE song_id::INT % 20 = 0), c AS (SELECT DISTINCT title, channel AS artist, list_distinct({_TOKENS.format(t='title')}) AS b FROM songs WHERE song_id::INT % 20 <> 0),
+p AS (SELECT DISTINCT key, wt, wa, title, artist, a, b FROM (SELECT *, unnest(a) AS token FROM w) JOIN (SELECT *, unnest(b) AS token FROM c) USING (token)),
 q AS (SELECT key, title, artist, len(list_intersect(a, b)) AS overlap, len(a) = 0 OR len(list_intersect(a, b)) >= greatest(1, len(a) // 2) AS ok, contains(lower(wa), lower(artist)) OR contains(lower(artist), lower(wa)) AS artist_ok FROM p)
 SELECT key, row_number() OVER (PARTITION BY key ORDER BY ok DESC, artist_ok DESC, overlap DESC, length(title), title) AS place, ok, artist_ok, overlap FROM q QUALIFY place <= 3"""),
     "sessions_written": with_views("feedback", "songs", then=f"{_RANK}\nSELECT user_id, count(*) AS items, max(score) AS best, CASE WHEN count(*) >= 5 THEN 'sent' ELSE 'pending' END AS status FROM ranked WHERE rank <= 10 GROUP BY 1"),

@@ -27,7 +27,7 @@ DDL: dict[str, str] = {
     "model_registry": "key string, run_id string, model_version string, ndcg10 double, updated_at timestamp",
     "registry_history": "id long, key string, run_id string, model_version string, ndcg10 double, updated_at timestamp",
     "model_artifacts": "run_id string, model_name string, model_path string, metrics string",
-    "audio_features": "song_id string, bpm double, musical_key string, mode string, key_alt string, danceability double, valence double, energy double, brightness double, harmonic_clarity double, tempo_strength double, key_strength double, climax_frac double, lift double, voice_pct double, voice_enter_s double, register string, peak_f0 double, analyzed_at timestamp",
+    "audio_features": "song_id string, bpm double, musical_key string, mode string, key_alt string, danceability double, valence double, energy double, brightness double, harmonic_clarity double, tempo_strength double, key_strength double, climax_frac double, lift double, chroma array<double>, voice_pct double, vibrato_pct double, median_f0 double, f0_lo double, f0_hi double, voice_enter_s double, register string, peak_f0 double, analyzed_at timestamp",
     "audio_arcs": "song_id string, n_windows int, arousal array<double>, valence array<double>, climax_frac double, lift double, melody_10s array<double>, presence_10s array<double>",
     "track_lyrics": "song_id string, plain string, synced array<struct<t:double,line:string>>, source string",
     "audio_fetch_state": "song_id string, attempts long, last_error string",

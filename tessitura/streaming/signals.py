@@ -51,26 +51,55 @@ def refreshed_terms(titles: DataFrame, vocabulary: DataFrame) -> DataFrame:
     return w.join(vocabulary, "term").select("song_id", "term", (F.col("idf") / F.col("len")).alias("weight"))
 
 
-def online_users(events: DataFrame, items: dict[str, np.ndarray], size: int = 8, rate: float = 0.05) -> DataFrame:
-    """User vectors that follow each signal: one gradient step towards or from the song's vector, kept as state by user.
+def online_users(events: DataFrame, items: dict[str, np.ndarray] | None = None, size: int = 8, rate: float = 0.05, reg: float = 0.02) -> DataFrame:
+    """User vectors and biases that follow each signal: one gradient step towards or from the song's vector, kept as
+    state by user; a new user starts at zero.
 
-    items: song vectors, the same for every batch; bounded by the catalog slice that is served online.
+    items: vectors of the songs served online; any other song has the hashed vector of its id, so no signal is lost.
     """
+    from tessitura.operators.models import hashed_vectors
 
     def step(key, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        v = np.array(state.get[0]) if state.exists else np.zeros(size)
-        n = state.get[1] if state.exists else 0
+        v, n, bias = (np.array(state.get[0]), state.get[1], state.get[2]) if state.exists else (np.zeros(size), 0, 0.0)
         for pdf in batches:
-            for song, r in zip(*(pdf.sort_values("event_id")[c] for c in ("song_id", "reward"))):
-                y = items.get(song)
-                if y is not None:
-                    v = v + rate * (r - float(v @ y)) * y
-                    n += 1
-        state.update((v.tolist(), n))
-        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "norm": [float(np.linalg.norm(v))]})
+            pdf = pdf.sort_values("event_id")
+            vectors = hashed_vectors([f"song:{s}" for s in pdf["song_id"]], size) if len(pdf) else []
+            for song, r, y in zip(pdf["song_id"], pdf["reward"], vectors):
+                y = y if items is None or song not in items else items[song]
+                e = r - bias - float(v @ y)
+                bias += rate * (e - reg * bias)
+                v = v + rate * (e * y - reg * v)
+                n += 1
+        state.update((v.tolist(), n, bias))
+        yield pd.DataFrame({"user_id": [key[0]], "n": [n], "norm": [float(np.linalg.norm(v))], "bias": [bias]})
 
     s = signals(events).select("user_id", "event_id", "song_id", "reward")
-    return s.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, norm double", "v array<double>, n long", "update", "NoTimeout")
+    return s.groupBy("user_id").applyInPandasWithState(step, "user_id long, n long, norm double, bias double", "v array<double>, n long, bias double", "update", "NoTimeout")
+
+
+def online_factors(events: DataFrame, users: DataFrame, songs: DataFrame, mean: float, *, rate: float = 0.01, reg: float = 0.02) -> tuple[DataFrame, DataFrame]:
+    """One step of both sides on a batch of signals (user_id, song_id, reward): new (user_id, vector), (song_id, vector).
+
+    Vectors hold the bias first. Ids that are not known yet start at zero, so both tables grow; ids without a signal
+    stay. Every signal is judged by the factors before the batch, and an id moves by the sum of its steps, which
+    combine before they are shuffled. For ``foreachBatch``: the two results become the tables of the next batch.
+    """
+    from tessitura.operators.models import dot
+
+    size = len(users.first()["vector"])
+    zero = F.array(*[F.lit(0.0)] * size)
+    vector = lambda c: F.coalesce(F.col(c), zero)
+    j = events.join(users.withColumnRenamed("vector", "p"), "user_id", "left").join(songs.withColumnRenamed("vector", "q"), "song_id", "left").select("user_id", "song_id", "reward", vector("p").alias("p"), vector("q").alias("q"))
+    rest = lambda c: F.slice(c, 2, size - 1)
+    j = j.withColumn("e", F.col("reward") - (mean + F.col("p")[0] + F.col("q")[0] + (dot(rest("p"), rest("q"), size - 1) if size > 1 else F.lit(0.0))))
+
+    def moved(old: DataFrame, key: str, own: str, other: str) -> DataFrame:
+        step = [F.col("e") - reg * F.col(own)[0]] + [F.col("e") * F.col(other)[i] - reg * F.col(own)[i] for i in range(1, size)]
+        sums = j.groupBy(key).agg(F.array(*[F.sum(s) for s in step]).alias("step"))
+        both = old.join(sums, key, "full_outer")
+        return both.select(key, F.zip_with(vector("vector"), F.coalesce("step", zero), lambda v, s: v + 2 * rate * s).alias("vector"))
+
+    return moved(users, "user_id", "p", "q"), moved(songs, "song_id", "q", "p")
 
 
 def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:

@@ -7,20 +7,32 @@ import sys
 from collections.abc import Callable, Iterable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 VERSION = "2024-11-05"
-#: Tool name to (description, registered query).
-TOOLS: dict[str, tuple[str, str]] = {
-    "recommend": ("Top ten for every user, with reasons", "recommend_all"),
-    "status": ("Counts of songs, listens, feedback and heard tracks", "status_counts"),
-    "heard_library": ("Every heard track with its measures", "heard_library"),
-    "emotion_now": ("Mood of the latest hearings by user", "emotion_now"),
-    "taste_profile": ("Home key, tempo and feel of what was heard", "taste_profile"),
-    "feel_like": ("Songs that feel like one", "feel_like"),
-    "dossier": ("All that is known of one song", "dossier"),
+#: Tool name to (description, registered query, arguments). An argument called like a column of the answer chooses its
+#: rows; ``top_k`` and ``limit`` bound them by rank and number.
+TOOLS: dict[str, tuple[str, str, dict[str, str]]] = {
+    "recommend": ("Top ten for every user, with reasons", "recommend_all", {"user_id": "integer", "top_k": "integer"}),
+    "status": ("Counts of songs, listens, feedback and heard tracks", "status_counts", {}),
+    "heard_library": ("Every heard track with its measures", "heard_library", {"song_id": "string", "limit": "integer"}),
+    "emotion_now": ("Mood of the latest hearings by user", "emotion_now", {"user_id": "integer"}),
+    "taste_profile": ("Home key, tempo and feel of what was heard", "taste_profile", {"user_id": "integer"}),
+    "feel_like": ("Songs that feel like one", "feel_like", {"limit": "integer"}),
+    "dossier": ("All that is known of one song", "dossier", {"song_id": "string"}),
 }
 
 
+def chosen(rows: DataFrame, arguments: dict, limit: int) -> DataFrame:
+    """The rows of an answer that a call's arguments ask for."""
+    for name, value in arguments.items():
+        if name in rows.columns and not isinstance(value, (dict, list)):
+            rows = rows.where(F.col(name) == F.lit(value))
+    if "rank" in rows.columns:
+        rows = rows.where(F.col("rank") <= int(arguments.get("top_k", limit))).orderBy("rank")
+    return rows.limit(min(limit, int(arguments.get("limit", limit))))
+
+
 def answer(message: dict, call: Callable[[str], DataFrame], limit: int = 50) -> dict | None:
     """The reply to one message; notifications have none. Rows of a tool's answer are limited for the wire only."""
     method, out = message.get("method"), {"jsonrpc": "2.0", "id": message.get("id")}
@@ -31,11 +43,12 @@ def answer(message: dict, call: Callable[[str], DataFrame], limit: int = 50) ->
     if method == "ping":
         return out | {"result": {}}
     if method == "tools/list":
-        return out | {"result": {"tools": [{"name": n, "description": d, "inputSchema": {"type": "object"}} for n, (d, _) in TOOLS.items()]}}
+        return out | {"result": {"tools": [{"name": n, "description": d, "inputSchema": {"type": "object", "properties": {k: {"type": v} for k, v in a.items()}}} for n, (d, _, a) in TOOLS.items()]}}
     if method == "tools/call":
-        name = (message.get("params") or {}).get("name")
+        params = message.get("params") or {}
+        name = params.get("name")
         if name in TOOLS:
-            rows = [json.loads(r) for r in call(TOOLS[name][1]).limit(limit).toJSON().collect()]
+            rows = [json.loads(r) for r in chosen(call(TOOLS[name][1]), params.get("arguments") or {}, limit).toJSON().collect()]
             return out | {"result": {"content": [{"type": "text", "text": json.dumps(rows, ensure_ascii=False)}]}}
         return out | {"error": {"code": -32602, "message": f"unknown tool {name}"}}
     return out | {"error": {"code": -32601, "message": f"unknown method {method}"}}

@@ -159,6 +159,31 @@ def test_mmr_spreads(spark):
     assert got == ["a", "c", "b"]
 
 
+@pytest.mark.parametrize("with_vectors", [True, False])
+def test_mmr_by_brute_force(spark, with_vectors):
+    """Every row of a user takes part, also those far down the list."""
+    import random
+
+    rng = random.Random(5)
+    rows = [(u, f"s{i}", round(rng.random(), 3), i % 4) for u in (1, 2) for i in range(90)]
+    vectors = {f"s{i}": [rng.gauss(0, 1) for _ in range(5)] for i in range(90) if i % 7}
+    v = spark.createDataFrame(list(vectors.items()), "song_id string, vector array<double>") if with_vectors else None
+    got = {(r["user_id"], r["rank"]): r["song_id"] for r in serving.mmr(spark.createDataFrame(rows, "user_id long, song_id string, score double, genre_code int"), v, 12, 0.5).collect()}
+    cos = lambda a, b: sum(x * y for x, y in zip(a, b)) / math.sqrt(sum(x * x for x in a) * sum(y * y for y in b))
+    for u in (1, 2):
+        left, taken = sorted([r[1:] for r in rows if r[0] == u], key=lambda r: (-r[1], r[0])), []
+        for rank in range(1, 13):
+            def value(r):
+                if with_vectors:
+                    sims = [cos(vectors[r[0]], vectors[t[0]]) for t in taken if r[0] in vectors and t[0] in vectors]
+                    return 0.5 * r[1] - 0.5 * (max(sims) if sims else 0.0)
+                return 0.5 * r[1] - 0.5 * min(0.3 * sum(t[2] == r[2] for t in taken), 0.9)
+            best = max(left, key=value)
+            left.remove(best)
+            taken.append(best)
+            assert got[(u, rank)] == best[0]
+
+
 def test_why(spark):
     d = spark.createDataFrame([(1, 0.5, 0.9, 0.1, 0.2, 0.7, 0.1)], "rank int, final_score double, s_svd double, s_ncf double, s_content double, s_bandit double, s_recency double")
     assert json.loads(d.select(serving.why().alias("w")).first()["w"])["drivers"] == ["collaborative fit", "exploration pick"]
@@ -180,6 +205,192 @@ def test_exact_als_lowers_loss(spark, tmp_path):
 
     loss = [models.als_loss(f, *models.exact_als(f, materialize, rank=4, iterations=n)).first()["loss"] for n in (1, 3)]
     assert loss[1] <= loss[0] + 1e-9
+    assert models.als_loss(f.limit(5), *models.exact_als(f, materialize, rank=4, iterations=1)).first()["loss"] == models.UNFITTED
+
+
+def test_exact_als_by_brute_force(spark):
+    """One iteration equals the normal equations solved id by id."""
+    import numpy as np
+    from tessitura.sources.scratch import materialize
+
+    rows = [(u, f"s{(u * 3 + i) % 7}", 1, u * 10 + i) for u in range(9) for i in range(4)]
+    f = frame_of(spark, rows).withColumn("confidence", 1 + F.col("user_id") / 2)
+    users, items = models.exact_als(f, materialize, rank=3, iterations=1)
+    y = {s: models.hashed_vector(s, 3) * 0.1 for s in {r[1] for r in rows}}
+
+    def solve(own, other, k):
+        gram, out = sum(np.outer(v, v) for v in other.values()) + 0.08 * np.eye(3), {}
+        for key in {r[k] for r in rows}:
+            a, b = gram.copy(), np.zeros(3)
+            for r in rows:
+                if r[k] == key:
+                    v, c = other[r[1 - k]], 1 + r[0] / 2
+                    a, b = a + (c - 1) * np.outer(v, v), b + c * v
+            out[key] = np.linalg.solve(a, b)
+        return out
+
+    x = solve(None, y, 0)
+    z = solve(None, x, 1)
+    for df, key, want in ((users, "user_id", x), (items, "song_id", z)):
+        got = {r[key]: r["vector"] for r in df.collect()}
+        assert got.keys() == want.keys() and all(got[k] == pytest.approx(list(want[k]), abs=1e-9) for k in want)
+
+
+def test_numbers_are_gapless(spark):
+    """Three million ids in many partitions: every number once, in order."""
+    d = spark.range(3_000_000).select(F.xxhash64("id").alias("user_id")).repartition(20)
+    got = models.index(d, "user_id")
+    r = got.agg(F.count(F.lit(1)).alias("n"), F.count_distinct("i").alias("d"), F.min("i").alias("a"), F.max("i").alias("b")).first()
+    assert (r["n"], r["d"], r["a"], r["b"]) == (3_000_000, 3_000_000, 0, 2_999_999)
+    assert [x["user_id"] for x in got.where("i < 5").orderBy("i").collect()] == [x["user_id"] for x in d.orderBy("user_id").limit(5).collect()]
+
+
+def test_negatives_are_from_the_whole_catalog(spark):
+    songs = spark.range(5000).select(F.col("id").cast("string").alias("song_id"), (F.col("id") * 1000).alias("view_count"))
+    f = frame_of(spark, [(u, str(i * 7), 1, i) for u in range(6) for i in range(150)])
+    n = interactions.negatives(f, songs).cache()
+    assert n.count() == 6 * 150 * 4 and n.select("user_id", "pos", "neg").distinct().count() == 6 * 150 * 4
+    assert n.join(f.select("user_id", F.col("song_id").alias("neg")), ["user_id", "neg"]).count() == 0
+    assert n.select("neg").distinct().count() > 2000
+    mean = {r["kind"]: r["m"] for r in n.groupBy("kind").agg(F.avg(F.log10(F.greatest(F.col("neg").cast("double") * 1000, F.lit(10.0)))).alias("m")).collect()}
+    assert mean["popular"] > mean["uniform"]
+
+
+def test_knn_of_long_histories(spark):
+    f = frame_of(spark, [(u, f"s{(u * 5 + i) % 60}", 1, i) for u in range(5) for i in range(40)])
+    rows = lambda df: sorted(map(tuple, df.select("src", "dst", "sim").collect()))
+    assert rows(retrieval.item_knn(f, long=7)) == rows(retrieval.item_knn(f))
+
+
+def test_evaluate(spark):
+    test = frame_of(spark, [(1, "a", 3, 0), (1, "b", -2, 1), (1, "c", 1, 2), (2, "a", -2, 0)])
+    scored = spark.createDataFrame([(1, "a", 2.0), (1, "b", 3.0), (1, "c", 1.0), (2, "a", 0.0)], "user_id long, song_id string, score double")
+    r = interactions.evaluate(scored, test, 2).first()
+    assert r["rmse"] == pytest.approx(math.sqrt((1 + 25 + 0 + 4) / 4)) and (r["precision"], r["recall"], r["users"], r["interactions"]) == (0.5, 0.5, 1, 4)
+    assert r["ndcg"] == pytest.approx(1 / math.log2(3))
+
+
+def taste(spark, users=40, songs=24):
+    """Users like songs of their own half and dislike those of the other."""
+    import random
+
+    rng = random.Random(8)
+    rows = [(u, n, i) for u in range(users) for i, n in enumerate(rng.sample(range(songs), 12))]
+    return frame_of(spark, [(u, f"s{n}", 3 if n % 2 == u % 2 else -2, i) for u, n, i in rows]).withColumn("confidence", F.lit(3.0))
+
+
+def halves(spark, users=40, songs=24):
+    return spark.range(users).select(F.col("id").alias("user_id")).crossJoin(spark.range(songs).select(F.col("id").alias("n"))).select("user_id", F.concat(F.lit("s"), F.col("n").cast("string")).alias("song_id"), (F.col("n") % 2 == F.col("user_id") % 2).alias("good"))
+
+
+def gap(scored, truth):
+    m = {r["good"]: r["m"] for r in truth.join(scored, ["user_id", "song_id"]).groupBy("good").agg(F.avg("score").alias("m")).collect()}
+    return m[True] - m[False]
+
+
+def test_learners_tell_tastes_apart(spark):
+    """Scores of pairs that were never seen are higher in a user's own half than in the other, as they aren't before training."""
+    f, truth = taste(spark), halves(spark)
+    new = truth.join(f.select("user_id", "song_id"), ["user_id", "song_id"], "left_anti").select("user_id", "song_id")
+    model = models.svd(f, rank=4, epochs=40)
+    assert gap(models.svd_predict(model, new, 4), truth) > 0.5 and abs(gap(models.svd_predict(models.svd(f, rank=4, epochs=0), new, 4), truth)) < 0.3
+    meta = content.metadata_vector(f.select("song_id").distinct().select("song_id", F.col("song_id").alias("title"), F.lit(10).alias("view_count"), F.lit(1).alias("like_count"), F.lit(200).alias("duration"), F.lit(0).alias("language_code"), F.lit(1).alias("genre_code"), F.lit(0.5).alias("energy_score")))
+    scores = []
+    for epochs in (0, 60):
+        users, songs, weights = models.neural(f, meta, epochs=epochs)
+        j = new.join(users.withColumnRenamed("vector", "x"), "user_id", "left").join(songs.withColumnRenamed("vector", "y"), "song_id", "left").join(meta, "song_id", "left")
+        scores.append(gap(j.select("user_id", "song_id", models.neural_score(weights)("x", "y", "features").alias("score")), truth))
+    assert scores[1] > 0.3 > abs(scores[0])
+
+
+def test_cold_starts(spark):
+    f = taste(spark)
+    new = spark.createDataFrame([(0, "new"), (999, "s0"), (999, "new")], "user_id long, song_id string")
+    mean, users, songs = models.svd(f, rank=4, epochs=2)
+    got = {(r["user_id"], r["song_id"]): r["score"] for r in models.svd_predict((mean, users, songs), new, 4).collect()}
+    bias = songs.where("song_id = 's0'").first()["vector"][0]
+    assert got == {(0, "new"): pytest.approx(mean), (999, "s0"): pytest.approx(mean + bias), (999, "new"): pytest.approx(mean)}
+    t = interactions.pairwise(f, f.select("song_id").distinct().withColumn("view_count", F.lit(10)))
+    users, songs = models.pairwise_factors(t, size=8, epochs=2, unit=True)
+    assert users.select(models.dot("vector", "vector", 8).alias("x")).where("abs(x - 1) > 1e-6").count() == 0
+    scores = {(r["user_id"], r["song_id"]): r["score"] for r in models.score_pairs(new, users, models.with_hashed(songs, new, 8)).collect()}
+    assert scores[(999, "s0")] == scores[(999, "new")] == 0 and 0 < abs(scores[(0, "new")]) <= 0.5
+
+
+def test_attention_learns_what_follows(spark):
+    """In every history b follows a and d follows c: after a, the state is nearer to b than to d."""
+    rows = [(u, s, 1, i) for u in range(60) for i, s in enumerate(("c", "d", "x", "a", "b") if u % 2 else ("a", "b", "x", "c", "d"))]
+    f = frame_of(spark, rows).unionByName(frame_of(spark, [(1000, "x", 1, 0), (1000, "a", 1, 1), (1001, "x", 1, 0), (1001, "c", 1, 1)]))
+    model = models.attention(f, size=8, epochs=60)
+    c = spark.createDataFrame([(u, s) for u in (1000, 1001) for s in "bd"], "user_id long, song_id string")
+    state = models.session_vectors(f, model)
+    j = c.join(state.withColumnRenamed("vector", "x"), "user_id").join(model[0].withColumnRenamed("vector", "y"), "song_id")
+    got = {(r["user_id"], r["song_id"]): r["z"] for r in j.select("user_id", "song_id", models.dot("x", "y", 8).alias("z")).collect()}
+    assert got[(1000, "b")] > got[(1000, "d")] and got[(1001, "d")] > got[(1001, "b")]
+
+
+def test_attention_by_brute_force():
+    import numpy as np
+
+    rng = np.random.default_rng(0)
+    x, w = rng.normal(size=(2, 4, 3)), [rng.normal(size=(3, 3)) for _ in range(3)]
+    state = models.attention_state(x, *w)[0]
+    for n in range(2):
+        z = [sum((x[n, -1] @ w[0]) * (x[n, i] @ w[1])) / math.sqrt(3) for i in range(4)]
+        a = [math.exp(v) / sum(map(math.exp, z)) for v in z]
+        assert state[n] == pytest.approx(sum(a[i] * (x[n, i] @ w[2]) for i in range(4)))
+
+
+def test_blender_by_user(spark):
+    """Users that like by one feature or the other get weights of their own; thin ones have none."""
+    rows = [(u, *((1.0, 0.0, -1.0, 0.0) if u % 2 else (0.0, 1.0, 0.0, -1.0))) for u in range(4) for _ in range(8)] + [(9, 1.0, 0.0, 0.0, 0.0)] * 2
+    pairs = spark.createDataFrame(rows, "user_id long, p_a double, p_b double, q_a double, q_b double")
+    got = {r["user_id"]: r for r in models.blender(pairs, {"a": 0.1, "b": 0.1}).collect()}
+    assert set(got) == {-1, 0, 1, 2, 3} and got[-1]["n_pairs"] == 34
+    assert got[1]["weights"][0] > got[1]["weights"][1] and got[0]["weights"][1] > got[0]["weights"][0] and got[1]["accuracy"] == 1.0
+    assert models.pairwise_accuracy(pairs, {"a": 1.0, "b": -1.0}).first()["accuracy"] == pytest.approx(18 / 34)
+
+
+def test_models_are_saved(spark, tmp_path):
+    f = taste(spark)
+    _, users, songs = models.svd(f, rank=4, epochs=1)
+    models.save({"users": users, "songs": songs}, str(tmp_path / "svd"))
+    back = models.load(spark, str(tmp_path / "svd"), ["users", "songs"])
+    assert back["users"].exceptAll(users).count() == 0 and back["songs"].count() == songs.count()
+
+
+def test_neighbours_by_brute_force(spark, monkeypatch):
+    import numpy as np
+
+    monkeypatch.setattr(models, "SEEDS", 3)
+    v = {f"s{i}": models.hashed_vector(f"x{i % 11}", 4) for i in range(40)}
+    d = spark.createDataFrame([(k, x.tolist()) for k, x in v.items()], "song_id string, vector array<double>").repartition(5)
+    got = {}
+    for r in models.neighbours(d, d.where("cast(substring(song_id, 2) as int) < 8").select("song_id"), 4).collect():
+        got.setdefault(r["seed"], {})[r["rank"]] = r["song_id"]
+    for seed in got:
+        want = sorted((s for s in v if s != seed), key=lambda s: (-round(float(v[seed] @ v[s]), 9), s))[:4]
+        assert [got[seed][i] for i in range(1, 5)] == want
+    assert len(got) == 8
+
+
+def test_online_factors_by_brute_force(spark):
+    users = spark.createDataFrame([(1, [0.1, 0.2, 0.3])], "user_id long, vector array<double>")
+    songs = spark.createDataFrame([("a", [0.0, 0.5, -0.5])], "song_id string, vector array<double>")
+    events = spark.createDataFrame([(1, "a", 1.0), (1, "a", -1.0), (2, "a", 1.0), (1, "new", 1.0)], "user_id long, song_id string, reward double")
+    from tessitura.streaming.signals import online_factors
+
+    p, q = {1: [0.1, 0.2, 0.3], 2: [0.0] * 3}, {"a": [0.0, 0.5, -0.5], "new": [0.0] * 3}
+    np_, nq = {k: list(v) for k, v in p.items()}, {k: list(v) for k, v in q.items()}
+    for u, s, r in [(1, "a", 1.0), (1, "a", -1.0), (2, "a", 1.0), (1, "new", 1.0)]:
+        e = r - (0.2 + p[u][0] + q[s][0] + sum(p[u][i] * q[s][i] for i in (1, 2)))
+        for new, own, other in ((np_[u], p[u], q[s]), (nq[s], q[s], p[u])):
+            new[0] += 0.02 * (e - 0.02 * own[0])
+            for i in (1, 2):
+                new[i] += 0.02 * (e * other[i] - 0.02 * own[i])
+    got = online_factors(events, users, songs, 0.2)
+    assert {r["user_id"]: r["vector"] for r in got[0].collect()} == {k: pytest.approx(v) for k, v in np_.items()}
+    assert {r["song_id"]: r["vector"] for r in got[1].collect()} == {k: pytest.approx(v) for k, v in nq.items()}
 
 
 def test_pairwise_factors_order_pairs(spark):

@@ -5,21 +5,39 @@ from pyspark.sql import functions as F
 
 from tessitura import tools
 from tessitura.operators import catalog, training
-from tessitura.plans.frames import frame_of
 from tessitura.streaming import signals
 
 
-def test_runs_and_registry(spark, sf):
-    frame = frame_of(spark, sf)
-    report, rows = training.run(frame, spark.createDataFrame([], training.HISTORY), "light", now="2024-02-01")
+def test_runs_and_registry(spark, sf, tmp_path):
+    from tessitura.plans.learned import train
+
+    empty = spark.createDataFrame([], training.HISTORY)
+    report, rows = train(spark, sf, empty, "light", now="2024-02-01")
     r = report.first()
     assert 0 <= r["ndcg"] <= 1 and 0 < r["coverage"] <= 1 and r["promoted"] and len(r["frame_hash"]) == 16
+    assert r["peak_memory_mb"] > 0 and "history" in r["config"] and r["commit_id"] and 0 < r["loss"] < training.M.UNFITTED and r["blender_accuracy"] is None
     assert [x["key"] for x in rows.orderBy("id").collect()] == ["staging", "prod"]
-    again, more = training.run(frame, rows, "light")
-    assert not again.first()["promoted"] and [x["key"] for x in more.collect()] == ["staging"]  # no better than itself
-    assert training.run(frame, rows, "smoke")[1].count() == 0
+    again, more = train(spark, sf, rows, "deep")
+    a = again.first()
+    assert a["ndcg"] == pytest.approx(r["ndcg"], abs=1e-6) and not a["promoted"] and [x["key"] for x in more.collect()] == ["staging"]  # no better than itself
+    assert 0.4 <= a["blender_accuracy"] <= 1
+    assert train(spark, sf, rows, "smoke")[1].count() == 0
     with pytest.raises(ValueError):
-        training.run(frame, rows, "other")
+        train(spark, sf, rows, "other")
+
+
+def test_lock_and_missing_files(spark, tmp_path):
+    import os
+    import time
+
+    lock = f"file://{tmp_path}/train.lock"
+    assert training.acquire_lock(spark, lock) and not training.acquire_lock(spark, lock)
+    os.utime(tmp_path / "train.lock", (time.time() - 5 * 3600,) * 2)
+    assert training.acquire_lock(spark, lock)
+    training.release_lock(spark, lock)
+    assert training.acquire_lock(spark, lock)
+    a = spark.createDataFrame([("r", "als", lock), ("r", "svd", f"file://{tmp_path}/gone"), ("s", "svd", "x")], "run_id string, model_name string, model_path string")
+    assert training.missing_files(spark, a, "r") == [f"file://{tmp_path}/gone"]
 
 
 def test_roll_back_flips(spark):
@@ -65,6 +83,9 @@ def test_tool_server(spark):
     assert tools.answer({"id": 1, "method": "initialize"}, call)["result"]["protocolVersion"] == tools.VERSION
     assert len(tools.answer({"id": 2, "method": "tools/list"}, call)["result"]["tools"]) == 7
     assert "emotion_now" in tools.answer({"id": 3, "method": "tools/call", "params": {"name": "emotion_now"}}, call)["result"]["content"][0]["text"]
+    rows = lambda name: spark.createDataFrame([(u, r) for u in (1, 2) for r in range(1, 6)], "user_id long, rank int")
+    some = tools.answer({"id": 7, "method": "tools/call", "params": {"name": "recommend", "arguments": {"user_id": 2, "top_k": 3}}}, rows)["result"]["content"][0]["text"]
+    assert some.count('"user_id": 2') == 3 and '"user_id": 1' not in some
     assert tools.answer({"id": 4, "method": "tools/call", "params": {"name": "no"}}, call)["error"]["code"] == -32602
     assert tools.answer({"id": 5, "method": "other"}, call)["error"]["code"] == -32601
     assert tools.answer({"method": "notifications/initialized"}, call) is None and tools.answer({"id": 6, "method": "ping"}, call)["result"] == {}
