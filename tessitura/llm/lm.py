@@ -48,7 +48,7 @@ BLOCK = 8192  # tokens of a gradient update, and of a scoring step
 RATE, ROUNDS, LIMIT = 0.1, 3, 15.0  # LIMIT: of a weight, so that no exponential overflows
 NEVER = -30.0  # log share of a slot that has no word
 SPELL_LOG2, SYMBOLS, ORDERS = 14, 64, (5, 3, 1)
-FLUSH = 200_000
+FLUSH = 400_000
 _PARTS = 8  # a weight table travels in so many pieces
 
 
@@ -402,9 +402,9 @@ def _buckets(histories: np.ndarray, buckets: int, classes: np.ndarray | None = N
 
 def _exponentials(w: np.ndarray, bias: np.ndarray, features: np.ndarray) -> np.ndarray:
     """exp of bias plus the weights of each token's features; weights stay within LIMIT, so it can't overflow."""
-    z = w[features[0]]
+    z = w.take(features[0], axis=0)
     for f in features[1:]:
-        z += w[f]
+        z += w.take(f, axis=0)
     z += bias
     return np.exp(z, out=z)
 
@@ -424,16 +424,15 @@ def gradient_step(w: np.ndarray, squares: np.ndarray, bias: np.ndarray, features
     z = _exponentials(w, bias, features)
     z /= z.sum(axis=1, keepdims=True)
     z[np.arange(len(y)), y] -= 1
-    flat, side = features.ravel(), np.ascontiguousarray(z.T).astype(np.float64)
-    rows = np.flatnonzero(np.bincount(flat, minlength=len(w)))
-    g = np.empty((len(side), len(rows)), np.float32)
-    weights = np.empty(features.shape)
-    for k, column in enumerate(side):  # sums by weight row, an outcome at a time
-        weights[:] = column
-        g[k] = np.bincount(flat, weights=weights.ravel(), minlength=len(w))[rows]
-    g = g.T
-    squares[rows] += g * g
-    w[rows] = np.clip(w[rows] - RATE * g / np.sqrt(squares[rows]), -LIMIT, LIMIT)
+    sums = np.empty((w.shape[1], len(w)))
+    for k, column in enumerate(z.T.astype(np.float64, order="C")):  # by weight row, an outcome at a time
+        sums[k] = np.bincount(features[0], weights=column, minlength=len(w))
+        for f in features[1:]:
+            sums[k] += np.bincount(f, weights=column, minlength=len(w))
+    g = sums.T.astype(np.float32, order="C")
+    squares += g * g
+    w -= RATE * g / np.sqrt(squares)
+    np.clip(w, -LIMIT, LIMIT, out=w)
 
 
 class Scorer:
@@ -446,10 +445,10 @@ class Scorer:
     def flat(self, pieces: pa.Array, rare: list[bytes]):
         """Word numbers, text lengths, histories, classes and slots of a batch; rare: its words that have no number."""
         ids, lengths = _flat(pieces)
-        numbers = self.model.feature[ids]  # -1 picks some number; mended next
+        numbers = self.model.feature.take(ids, mode="wrap")  # -1 picks some number; mended next
         new = ids < 0
         numbers[new] = _history(rare, False)
-        return ids, lengths, _histories(numbers, lengths), np.where(new, OTHER, self.model.classes[ids]), np.where(new, -1, self.model.slots[ids])
+        return ids, lengths, _histories(numbers, lengths), np.where(new, OTHER, self.model.classes.take(ids, mode="wrap")), np.where(new, -1, self.model.slots.take(ids, mode="wrap"))
 
     def log_class(self, histories: np.ndarray, classes: np.ndarray) -> np.ndarray:
         """Natural log P(class | history) of each token's class."""
@@ -461,7 +460,7 @@ class Scorer:
         m, out = self.model, np.zeros(len(slots))
         some = np.flatnonzero(slots >= 0)
         of = classes[some]
-        out[some] = log_softmax(m.slot_weights, m.slot_bias[of], _buckets(histories[:, some], len(m.slot_weights), of), slots[some])
+        out[some] = log_softmax(m.slot_weights, m.slot_bias.take(of, axis=0), _buckets(histories[:, some], len(m.slot_weights), of), slots[some])
         return out
 
     def score(self, pieces: pa.Array, rare: list[bytes]):
@@ -495,7 +494,7 @@ def learn(model: Model, batches: Iterator[tuple[pa.Array, list[bytes]]]) -> tupl
             some = np.flatnonzero(s >= 0)
             of = c[some]
             if len(some):
-                gradient_step(own.slot_weights, slot_squares, own.slot_bias[of], _buckets(h[:, some], len(own.slot_weights), of), s[some])
+                gradient_step(own.slot_weights, slot_squares, own.slot_bias.take(of, axis=0), _buckets(h[:, some], len(own.slot_weights), of), s[some])
             seen += len(c)
     return own, seen
 

@@ -228,7 +228,7 @@ def test_gradient_by_brute_force():
             for k in range(5):
                 g[f, k] += z[k] / sum(z) - (k == y[t])
     assert lm.log_softmax(w, bias, features, y).sum() == pytest.approx(total, rel=1e-5)
-    met = np.isin(np.arange(16), features)
+    met = np.isin(np.arange(16), features)  # rows without a feature stay
     want = np.where(met[:, None], w - lm.RATE * g / np.sqrt(1e-2 + g * g), w)
     lm.gradient_step(w, np.full(w.shape, 1e-2, np.float32), bias, features, y)
     assert np.allclose(w, want, atol=1e-4)
