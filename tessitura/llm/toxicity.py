@@ -163,7 +163,7 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, *, rows_per_class: int =
     def found(texts: pa.Array) -> pa.Array:
         return pa.array([sorted(features(set(words(t)))) for t in _raw(texts)], pa.list_(pa.binary()))
 
-    rows = materialize(texts.select("__id", "__label", found("__text").alias("__features")).dropDuplicates(["__id", "__label"]), "toxicity-features")
+    rows = materialize(texts.dropDuplicates(["__id", "__label"]).select("__id", "__label", found("__text").alias("__features")), "toxicity-features")
     sizes = {r["__label"]: r["n"] for r in rows.groupBy("__label").agg(F.count(F.lit(1)).alias("n")).collect()}
     hot, cold = F.sum("__label"), F.sum(1 - F.col("__label"))
     counts = rows.select("__label", F.explode("__features").alias("f")).groupBy("f").agg(hot.alias("hot"), cold.alias("cold"))
@@ -175,11 +175,11 @@ def sample_labelled(docs: DataFrame, labels: DataFrame, *, rows_per_class: int =
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of = number.value
         for batch in batches:
-            listed = [[of[f] for f in row if f in of] for row in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(listed, pa.list_(pa.int32()))], names=["label", "has"])
+            listed = [[of[f] for f in row if f in of] for row in batch.column(2).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(listed, pa.list_(pa.int32()))], names=["order", "label", "has"])
 
-    got = rows.select("__label", "__features", F.xxhash64("__id").alias("__order"), F.col("__id").cast("string").alias("__text_id"))
-    got = got.orderBy("__order", "__text_id", "__label").select("__label", "__features").mapInArrow(numbered, "label int, has array<int>").collect()
+    got = rows.select(F.xxhash64("__id", "__label"), "__label", "__features").mapInArrow(numbered, "order long, label int, has array<int>").collect()
+    got.sort(key=lambda r: (r["order"], r["has"]))
     for stored in (picked, rows):
         discard(stored)
     has = np.zeros((len(got), len(names)), bool)
