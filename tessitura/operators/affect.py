@@ -117,3 +117,19 @@ def agent_brief(features: DataFrame, n: int = 12) -> DataFrame:
     """One row of text: the first captions by id."""
     first = captions(features).orderBy("song_id").limit(n)
     return first.agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("song_id", "caption"))), lambda x: F.concat(x.song_id, F.lit(": "), x.caption)), "\n").alias("brief"))
+
+
+def brief(features: DataFrame, mood: DataFrame, taste: DataFrame, n: int = 12) -> DataFrame:
+    """One row of text: the mood now (label, arousal, valence, n), the home of the taste (home_key, bpm_mean,
+    valence_mean), how many tracks were heard, and the first captions. mood and taste have one row, or none."""
+    heard = features.agg(F.count(F.lit(1)).alias("heard"))
+    m = mood.limit(1).select(F.concat_ws(" ", F.lit("Mood now:"), "label", F.concat(F.lit("(arousal "), F.round("arousal", 3).cast("string"), F.lit(", valence "), F.round("valence", 3).cast("string"), F.lit(", n="), F.col("n").cast("string"), F.lit(")"))).alias("mood"))
+    t = taste.limit(1).select(F.concat_ws(" ", F.lit("Taste home:"), "home_key", F.concat(F.lit("about "), F.round("bpm_mean", 1).cast("string"), F.lit(" BPM, valence ")), F.round("valence_mean", 3).cast("string")).alias("taste"))
+    rows = heard.join(m, F.lit(True), "left").join(t, F.lit(True), "left").join(agent_brief(features, n), F.lit(True), "left")
+    return rows.select(F.concat_ws("\n", F.coalesce("mood", F.lit("Mood now: unheard")), "taste", F.concat(F.lit("Heard: "), F.col("heard").cast("string")), "brief").alias("brief"))
+
+
+def announcements(features: DataFrame, titles: DataFrame, n: int = 20) -> DataFrame:
+    """(song_id, text): what is said of each newly heard track, its title and caption; at most n a batch, by id."""
+    c = captions(features).join(titles.select("song_id", "title"), "song_id", "left").orderBy("song_id").limit(n)
+    return c.select("song_id", F.concat(F.coalesce("title", "song_id"), F.lit(": "), "caption").alias("text"))

@@ -6,7 +6,6 @@ written as a new version.
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -78,7 +77,7 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], rules: dict[str, str
 
 SONG_RULES = {
     "title": "old", "channel": "old", "duration": "old", "view_count": "max", "like_count": "max", "upload_date": "old", "genre_code": "old", "language_code": "old",
-    "energy_score": "old", "description": "new", "first_seen": "old", "last_seen": "new", "times_fetched": "count",
+    "energy_score": "old", "mood_tags": "old", "description": "new", "first_seen": "old", "last_seen": "new", "times_fetched": "count",
 }
 
 
@@ -111,6 +110,43 @@ def deep_queries(spark: SparkSession, artists: list[str], moods: list[str], char
     return rows.groupBy("query").agg(F.min("pos").alias("pos"))
 
 
+def deep_feed(info: DataFrame, known: DataFrame, now: str, n: int = 2500) -> DataFrame:
+    """The nightly feed of recorded metadata (with ``pos``, the order of arrival): what passes the quality filter, each id
+    once, none that is known already, the first n by raw score with their rank."""
+    found = parse(info, now).join(info.groupBy(F.col("id").alias("song_id")).agg(F.min("pos").alias("pos")), "song_id")
+    return feed(unseen(first_by(found, ["song_id"], ["pos", "title"]), known), n)
+
+
+def refresh(info: DataFrame, songs: DataFrame, feed_songs: DataFrame, now: str, n: int = 100) -> tuple[DataFrame, DataFrame]:
+    """The hourly refresh: (catalog with the new songs merged in, feed rows with a new snapshot and without old ones)."""
+    found = parse(info, now).join(info.groupBy(F.col("id").alias("song_id")).agg(F.min("pos").alias("pos")), "song_id")
+    top = feed(first_by(found, ["song_id"], ["pos", "title"]), n)
+    stamp = F.lit(now).cast("timestamp")
+    new = top.withColumn("first_seen", stamp).withColumn("last_seen", stamp).withColumn("times_fetched", F.lit(1)).withColumn("seq", F.col("rank_in_snapshot").cast("long"))
+    merged = upsert(songs, new.select("song_id", "seq", *[c for c in SONG_RULES if c in new.columns]), ["song_id"], {c: r for c, r in SONG_RULES.items() if c in songs.columns})
+    snapshot = top.select(F.to_date(stamp).alias("snapshot_id"), "song_id", "rank_in_snapshot", "raw_score")
+    return merged, retain(feed_songs.select(*snapshot.columns).where(F.col("snapshot_id") != F.to_date(stamp)).unionByName(snapshot), now)
+
+
+def apply_commands(prefs: DataFrame, commands: DataFrame, *, keep: int = 200) -> DataFrame:
+    """Preferences after commands (user_id, seq, command, argument): ``never`` blocks a song (in order, once, the last
+    ``keep`` stay), ``anchor`` sets the anchor song, ``adventurous`` a level from 0 to 10. Users without preferences get some.
+
+    A user's commands of one batch meet in one row.
+    """
+    c = commands.groupBy("user_id").agg(
+        F.transform(F.array_sort(F.collect_list(F.when(F.col("command") == "never", F.struct("seq", "argument")))), lambda x: x["argument"]).alias("never"),
+        F.max_by(F.when(F.col("command") == "anchor", F.col("argument")), F.when(F.col("command") == "anchor", F.col("seq"))).alias("to"),
+        F.max_by(F.when(F.col("command") == "adventurous", F.col("argument")), F.when(F.col("command") == "adventurous", F.col("seq"))).alias("level"),
+    )
+    none = F.array().cast("array<string>")
+    both = prefs.join(c, "user_id", "full_outer").withColumn("__all", F.array_distinct(F.concat(F.coalesce("blacklist", none), F.coalesce("never", none))))
+    level = F.when(F.col("level").isNotNull(), F.greatest(F.lit(0), F.least(F.lit(10), F.col("level").cast("int"))) / 10.0)
+    return both.select(
+        "user_id", F.slice("__all", F.greatest(F.size("__all") - keep + 1, F.lit(1)), keep).alias("blacklist"), F.coalesce("to", "anchor_song_id").alias("anchor_song_id"), F.coalesce(level, "adventurous", F.lit(0.3)).alias("adventurous"),
+    )
+
+
 # Bloom filter: what the exact anti-join replaces, for those who want the bits.
 
 
@@ -118,21 +154,36 @@ def bloom_false_positives(n: Column, m: int = 2_000_003, k: int = 7) -> Column:
     return F.pow(1 - F.exp(F.lit(-float(k)) * n / float(m)), F.lit(float(k)))
 
 
+def fnv(key: Column) -> Column:
+    """FNV-1a, 64 bits, of the UTF-8 of a string, as decimal(20, 0): decimals, as products pass 64 bits."""
+    raw = F.coalesce(key, F.lit("")).cast("binary")
+    places = F.when(F.octet_length(raw) > 0, F.sequence(F.lit(1), F.octet_length(raw))).otherwise(F.array().cast("array<int>"))
+    octets = F.transform(places, lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int"))
+    wide = lambda c: c.cast("decimal(20,0)")
+
+    def step(h: Column, b: Column) -> Column:
+        low = (h % wide(F.lit(256))).cast("int")
+        return wide((wide(h - low + low.bitwiseXOR(b)) * F.lit(0x100000001B3).cast("decimal(13,0)")) % F.expr("cast(18446744073709551616BD as decimal(20,0))"))
+
+    return F.aggregate(octets, F.expr("cast(14695981039346656037BD as decimal(20,0))"), step)
+
+
 def bloom_slots(key: Column, m: int = 2_000_003, k: int = 7) -> Column:
-    """Slots of a key: FNV-1a 64 of its UTF-8, then (h * p + p * p) mod m for the first k primes."""
-    ps = S.primes(30)[:k]
+    """Slots of a key: (h * p + p * p) mod m for the first k primes p, h its FNV-1a."""
+    h = fnv(key)
+    return F.transform(F.array(*[F.lit(p) for p in S.primes(30)[:k]]), lambda p: ((h * p.cast("decimal(5,0)") + (p * p).cast("decimal(8,0)")) % F.lit(m).cast("decimal(10,0)")).cast("int"))
+
 
-    @F.pandas_udf("array<int>")
-    def slots(keys: pd.Series) -> pd.Series:
-        def one(text: str):
-            h = 0xCBF29CE484222325
-            for b in text.encode():
-                h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
-            return [(h * p + p * p) % m for p in ps]
+def bloom_filter(keys: DataFrame, column: str = "song_id") -> DataFrame:
+    """(slot): the bits that are set, at most m rows."""
+    return keys.select(F.explode(bloom_slots(F.col(column))).alias("slot")).distinct()
 
-        return keys.map(one)
 
-    return slots(key)
+def bloom_unseen(rows: DataFrame, bits: DataFrame, column: str = "song_id") -> DataFrame:
+    """Rows whose key has a slot that isn't set: surely new. What the filter takes for known by mistake is left out too."""
+    slots = rows.select(column).distinct().select(column, F.explode(F.array_distinct(bloom_slots(F.col(column)))).alias("slot"))
+    new = slots.join(bits, "slot", "left_anti").select(column).distinct()
+    return rows.join(new, column, "left_semi")
 
 
 # Registry and jobs.

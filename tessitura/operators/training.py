@@ -155,16 +155,44 @@ def read_cache(spark: SparkSession, path: str, now: str, max_age_hours: int = 26
     return spark.read.parquet(path).where(F.col("cached_at") >= F.expr(f"timestamp'{now}' - interval {max_age_hours} hour"))
 
 
+GENRES = 20
+#: Rewards of a generated listen, and how often each falls to songs of a preferred genre and to others.
+OUTCOMES = [("like", 1.0, 0.35, 0.10), ("full", 0.8, 0.40, 0.20), ("partial", 0.2, 0.20, 0.35), ("dislike", -1.0, 0.05, 0.35)]
+
+
+def synthetic_catalog(spark: SparkSession, songs: int, seed: str = "synthetic") -> DataFrame:
+    """A generated catalog, from hashes: song n has genre n mod GENRES, log-normal views (12, 2) of at least 1,000, and
+    likes of 1 to 15% of them."""
+    u = lambda k: I.unit(F.lit(seed), F.lit(k), F.col("id").cast("string"))
+    normal = F.sqrt(-2 * F.log(u("views"))) * F.cos(u("angle") * 6.283185307179586)
+    views = F.greatest(F.floor(F.exp(12 + 2 * normal)), F.lit(1000)).cast("long")
+    genre = (F.col("id") % GENRES).cast("int")
+    return spark.range(songs).select(
+        F.col("id").cast("string").alias("song_id"), F.concat(F.lit("Synthetic Track "), F.col("id").cast("string")).alias("title"), F.concat(F.lit("Artist_"), F.floor(u("artist") * 500).cast("string")).alias("channel"),
+        F.floor(90 + u("duration") * 390).cast("int").alias("duration"), views.alias("view_count"), F.floor(views * (0.01 + 0.14 * u("likes"))).cast("long").alias("like_count"), genre.alias("genre_code"), F.lit(0).alias("language_code"),
+        F.round(u("energy"), 3).alias("energy_score"), F.floor(1 + u("fetched") * 10).cast("int").alias("times_fetched"),
+    )
+
+
 def synthetic_interactions(spark: SparkSession, users: int, songs: int, per_user: int, seed: str = "synthetic") -> DataFrame:
-    """A population: Zipf(1.2) popularity, each user with one preferred genre of twenty that takes 70% of the picks.
+    """(user_id, song_id, reward) of a generated population: each user prefers three genres, which take 70% of the picks,
+    evenly; the others follow Zipf's law (1.2) over all songs, by the inverse of the continuous law. Rewards by OUTCOMES.
 
-    (user_id, song_id, reward), from hashes: the same whatever the partitioning. Inverse of the continuous Zipf law.
+    From hashes: the same whatever the partitioning. A song picked twice counts once.
     """
     u = lambda k: I.unit(F.lit(seed), F.lit(k), F.col("user_id").cast("string"), F.col("n").cast("string"))
     d = spark.range(users).select(F.col("id").alias("user_id"), F.explode(F.sequence(F.lit(1), F.lit(per_user))).alias("n"))
     high = 1 - float(songs) ** -0.2
-    rank = F.least(F.floor(F.pow(1 - u("r") * high, F.lit(-5.0))), F.lit(songs)).cast("long")
-    favourite = F.pmod(F.xxhash64("user_id", F.lit(seed)), F.lit(20))
-    in_genre = F.least((F.floor(rank / 20) * 20 + favourite).cast("long"), F.lit(songs - 1).cast("long"))
-    liked = u("g") < 0.7
-    return d.select("user_id", F.when(liked, in_genre).otherwise(rank - 1).cast("string").alias("song_id"), F.when(liked, 1.0).otherwise(-0.5).alias("reward")).groupBy("user_id", "song_id").agg(F.max("reward").alias("reward"))
+    zipf = F.least(F.floor(F.pow(1 - u("r") * high, F.lit(-5.0))), F.lit(songs)).cast("long") - 1
+    start = F.pmod(F.xxhash64("user_id", F.lit(seed)), F.lit(GENRES))
+    favourite = F.pmod(start + F.floor(u("which") * 3) * 7, F.lit(GENRES))  # of start, start + 7, start + 14
+    in_genre = F.least(favourite + GENRES * F.floor(u("song") * F.ceil(F.lit(songs) / GENRES)), F.lit(songs - 1)).cast("long")
+    picked = d.withColumn("pick", F.when(u("g") < 0.7, in_genre).otherwise(zipf)).withColumn("liked", F.pmod(F.col("pick") - start, F.lit(GENRES)).isin(0, 7, 14)).withColumn("o", u("o"))
+    reward, upto = F.lit(OUTCOMES[-1][1]), [0.0, 0.0]
+    cases = []
+    for _, value, own, other in OUTCOMES[:-1]:
+        upto = [upto[0] + own, upto[1] + other]
+        cases.append((F.col("o") < F.when(F.col("liked"), upto[0]).otherwise(upto[1]), value))
+    for condition, value in cases[::-1]:
+        reward = F.when(condition, value).otherwise(reward)
+    return picked.withColumn("reward", reward).groupBy("user_id", F.col("pick").cast("string").alias("song_id")).agg(F.min_by("reward", "n").alias("reward"))

@@ -36,7 +36,7 @@ def _stamps(spark, d) -> tuple:
 def fitted(spark, d, name: str, fit):
     """What ``fit`` returns: fitted and stored once for an application and a state of the tables, then read from there.
 
-    Serving reads stored models, as training is a job of its own.
+    Serving reads stored models, as training is a job of its own. After ``cleanup`` of the stored tables, ``forget``.
     """
     key = (spark.sparkContext.applicationId, str(d), _stamps(spark, d), name)
     if key not in _FITTED:
@@ -44,6 +44,10 @@ def fitted(spark, d, name: str, fit):
     return _FITTED[key]
 
 
+def forget() -> None:
+    _FITTED.clear()
+
+
 def _retriever(spark, d) -> Retriever:
     return fitted(spark, d, "retriever", lambda: Retriever(spark, d))
 
@@ -216,6 +220,14 @@ def bloom_slots(spark, d):
     return Star(spark, d).songs().select("song_id", slots(F.col("song_id")).alias("slots")).select("song_id", F.array_join(F.col("slots").cast("array<string>"), ",").alias("slots"))
 
 
+def bloom_dedup(spark, d):
+    """Songs that a filter over the songs of every third id takes for new."""
+    from tessitura.operators import catalog as C
+
+    songs = Star(spark, d).songs().select("song_id")
+    return C.bloom_unseen(songs, C.bloom_filter(songs.where("cast(song_id as int) % 3 = 0")))
+
+
 def synthetic_songs(spark, d):
     """A generated population: ranks drawn by Zipf's law through the inverse of its cumulative weights."""
     n = 500
@@ -256,7 +268,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         als_topk, als_exact_topk, svd_biases, svd_topk, item2vec_nn, two_tower_topk, fm_topk, ncf_topk, sequence_markov, sequence_score, judged_pairs, blender_weights, mmr_topk, thompson_topk, recommend_all, rec_items,
-        audio_features, audio_composites, bloom_slots, synthetic_songs, stream_bandit, stream_dislikes, stream_windows, stream_online_users,
+        audio_features, audio_composites, bloom_slots, bloom_dedup, synthetic_songs, stream_bandit, stream_dislikes, stream_windows, stream_online_users,
     )
 }
 
@@ -266,9 +278,14 @@ _SPLIT = """stamps AS (SELECT timestamp, row_number() OVER (ORDER BY timestamp)
 edge AS (SELECT timestamp AS edge_ts FROM stamps WHERE i = least(greatest(floor(0.85 * n), 1), n - 1)),
 parted AS (SELECT *, CASE WHEN timestamp >= (SELECT edge_ts FROM edge) OR (plan_reward > 0 AND row_number() OVER (PARTITION BY user_id, plan_reward > 0 ORDER BY timestamp DESC, song_id DESC) <= 5) THEN 'valid' ELSE 'train' END AS part FROM frame)"""
 
+_BLOOM = """hashed AS (SELECT song_id, list_reduce(list_prepend(14695981039346656037::UHUGEINT, list_transform(regexp_extract_all(song_id, '.'), lambda c: ascii(c)::UHUGEINT)), lambda h, b: (xor(h::UBIGINT, b::UBIGINT)::UHUGEINT * 1099511628211::UHUGEINT) % 18446744073709551616::UHUGEINT) AS h FROM songs),
+bloom AS (SELECT song_id, list_transform([2, 3, 5, 7, 11, 13, 17], lambda p: ((h * p::UHUGEINT + (p * p)::UHUGEINT) % 2000003::UHUGEINT)::INT) AS slots FROM hashed)"""
+
 ORACLES = {
     "svd_biases": with_views(*_V, then=f"""{FRAME}, m AS (SELECT avg(plan_reward) AS m FROM frame), r AS (SELECT *, plan_reward - m AS rest FROM frame, m), bi AS (SELECT song_id, sum(rest) / (count(*) + 5) AS b FROM r GROUP BY 1), bu AS (SELECT user_id, sum(rest - b) / (count(*) + 5) AS b FROM r JOIN bi USING (song_id) GROUP BY 1)
 SELECT 'user' AS kind, user_id::VARCHAR AS id, round(b, 6) AS bias FROM bu UNION ALL SELECT 'item', song_id, round(b, 6) FROM bi"""),
+    "bloom_slots": with_views("songs", then=f"{_BLOOM}\nSELECT song_id, array_to_string(slots, ',') AS slots FROM bloom"),
+    "bloom_dedup": with_views("songs", then=f"{_BLOOM}, bits AS (SELECT DISTINCT unnest(slots) AS slot FROM bloom WHERE song_id::INT % 3 = 0), each AS (SELECT song_id, unnest(slots) AS slot FROM bloom)\nSELECT DISTINCT song_id FROM each ANTI JOIN bits USING (slot)"),
     "audio_composites": with_views("audio", then="""r AS (SELECT *, 1 - exp(-4 * energy * 0.4::DOUBLE) AS e, CASE WHEN bpm = 0 THEN 0.5 ELSE exp(-0.5::DOUBLE * pow((bpm - 120) / 40, 2)) END AS sweet, list_sort(list_transform(range(1, 13), lambda i: abs(sin(bpm * i + lift)) / 4), 'DESC') AS c FROM audio)
 SELECT song_id, round(e, 3) AS energy, round(greatest(0, least(1, 0.5::DOUBLE * lift + 0.3::DOUBLE * e + 0.2::DOUBLE * sweet)), 3) AS danceability,
  round(greatest(0, least(1, 0.45::DOUBLE + CASE mode WHEN 'major' THEN 0.15::DOUBLE ELSE -0.15::DOUBLE END + 0.25::DOUBLE * (brightness - 0.5) + 0.15::DOUBLE * (e - 0.5))), 3) AS valence, round(greatest(0, least(1, 0.5::DOUBLE * key_strength + 0.5::DOUBLE * (c[1] + c[2] + c[3]))), 3) AS harmonic_clarity FROM r"""),

@@ -133,6 +133,58 @@ def test_deep_queries(spark):
     assert q.orderBy("pos").first()["query"] == "A discography full songs" and q.count() == 2 + 1 + 1 + 3
 
 
+def metadata(spark, rows):
+    base = {"title": "Fire remix", "uploader": "u", "duration": 200.0, "view_count": 50_000, "like_count": 900, "upload_date": "20240131", "description": "edm", "channel": None, "channel_id": None, "thumbnail": None}
+    return spark.createDataFrame([base | r for r in rows], catalog.METADATA + ", pos int")
+
+
+def test_deep_feed_and_refresh(spark):
+    info = metadata(spark, [{"id": "a", "pos": 0}, {"id": "b", "pos": 1, "view_count": 900_000}, {"id": "a", "pos": 2, "view_count": 80_000}, {"id": "low", "pos": 3, "view_count": 5}, {"id": "old", "pos": 4}])
+    known = spark.createDataFrame([("old", "was", 10, 1, "sad", "2024-01-01")], "song_id string, title string, view_count long, times_fetched int, mood_tags string, last_seen string").withColumn("last_seen", F.col("last_seen").cast("timestamp"))
+    got = catalog.deep_feed(info, known, NOW).orderBy("rank_in_snapshot").collect()
+    assert [(r["song_id"], r["view_count"], r["rank_in_snapshot"]) for r in got] == [("b", 900_000, 1), ("a", 50_000, 2)]
+    old = spark.createDataFrame([("2024-01-20", "x", 1, 1.0), ("2024-01-30", "y", 1, 1.0)], "d string, song_id string, rank_in_snapshot int, raw_score double").select(F.col("d").cast("date").alias("snapshot_id"), "song_id", "rank_in_snapshot", "raw_score")
+    songs, feeds = catalog.refresh(info, known, old, NOW)
+    merged = {r["song_id"]: (r["title"], r["view_count"], r["times_fetched"], r["mood_tags"]) for r in songs.collect()}
+    assert merged == {"old": ("was", 50_000, 2, "sad"), "a": ("Fire remix", 50_000, 1, ""), "b": ("Fire remix", 900_000, 1, "")}
+    assert {(str(r["snapshot_id"]), r["song_id"]) for r in feeds.collect()} == {("2024-01-30", "y"), ("2024-02-01", "a"), ("2024-02-01", "b"), ("2024-02-01", "old")}
+
+
+def test_preference_commands(spark):
+    prefs = spark.createDataFrame([(1, ["a"], None, 0.3), (2, [], "z", 0.5)], "user_id long, blacklist array<string>, anchor_song_id string, adventurous double")
+    cmds = spark.createDataFrame([(1, 2, "never", "c"), (1, 1, "never", "b"), (1, 3, "never", "a"), (1, 4, "adventurous", "99"), (3, 1, "anchor", "x"), (3, 2, "anchor", "y")], "user_id long, seq int, command string, argument string")
+    got = {r["user_id"]: (r["blacklist"], r["anchor_song_id"], r["adventurous"]) for r in catalog.apply_commands(prefs, cmds).collect()}
+    assert got == {1: (["a", "b", "c"], None, 1.0), 2: ([], "z", 0.5), 3: ([], "y", 0.3)}
+    assert catalog.apply_commands(prefs, cmds, keep=2).where("user_id = 1").first()["blacklist"] == ["b", "c"]
+
+
+def test_bloom(spark):
+    def slots(text):
+        h = 0xCBF29CE484222325
+        for b in text.encode():
+            h = (h ^ b) * 0x100000001B3 & 0xFFFFFFFFFFFFFFFF
+        return [(h * p + p * p) % 2_000_003 for p in (2, 3, 5, 7, 11, 13, 17)]
+
+    keys = ["", "a", "日本", "x" * 300, "dQw4w9WgXcQ"]
+    d = spark.createDataFrame([(k,) for k in keys], "song_id string")
+    assert {r["song_id"]: r["s"] for r in d.select("song_id", catalog.bloom_slots(F.col("song_id")).alias("s")).collect()} == {k: slots(k) for k in keys}
+    bits = catalog.bloom_filter(d.limit(3))
+    assert {r["song_id"] for r in catalog.bloom_unseen(d, bits).collect()} == set(keys[3:])
+
+
+def test_brief_and_announcements(spark, sf):
+    from tessitura.sources.star import Star
+
+    f = Star(spark, sf).audio_features()
+    mood = spark.createDataFrame([("quiet warm", 0.25, 0.5, 3)], "label string, arousal double, valence double, n int")
+    taste = spark.createDataFrame([("C", 120.04, 0.5)], "home_key string, bpm_mean double, valence_mean double")
+    text = affect.brief(f, mood, taste, 2).first()["brief"].split("\n")
+    assert text[:3] == ["Mood now: quiet warm (arousal 0.25, valence 0.5, n=3)", "Taste home: C about 120.0 BPM, valence  0.5", f"Heard: {f.count()}"] and len(text) == 5
+    assert affect.brief(f, mood.limit(0), taste.limit(0), 2).first()["brief"].startswith("Mood now: unheard")
+    said = affect.announcements(f, Star(spark, sf).songs(), 3).collect()
+    assert len(said) == 3 and all(": " in r["text"] for r in said)
+
+
 def test_conform(spark):
     got = schemas.conform(spark.createDataFrame([("a", 1)], "song_id string, extra int"), "songs")
     assert [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in schemas.schema("songs")] and got.first()["genre_code"] == 20

@@ -33,7 +33,7 @@ def test_no_cross_joins(name, spark, sf):
     assert "CartesianProduct" not in p and "BroadcastNestedLoopJoin" not in p
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"als_topk", "als_exact_topk", "svd_topk", "ncf_topk", "rec_items", "item2vec_nn", "two_tower_topk", "fm_topk", "sequence_score", "blender_weights", "mmr_topk", "thompson_topk", "recommend_all", "audio_features", "bloom_slots", "stream_online_users", "stream_bandit", "stream_dislikes", "stream_windows"}))
+@pytest.mark.parametrize("name", sorted(set(QUERIES) - {"als_topk", "als_exact_topk", "svd_topk", "ncf_topk", "rec_items", "item2vec_nn", "two_tower_topk", "fm_topk", "sequence_score", "blender_weights", "mmr_topk", "thompson_topk", "recommend_all", "audio_features", "stream_online_users", "stream_bandit", "stream_dislikes", "stream_windows"}))
 def test_stays_in_the_jvm(name, spark, sf):
     p = plan(QUERIES[name](spark, sf))
     assert not any(x in p for x in ("Python", "Pandas", "InArrow"))

@@ -1,6 +1,7 @@
 """Training runs, the registry, caches, jobs, the tool server and streams in several batches."""
 
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from tessitura import tools
@@ -73,9 +74,18 @@ def test_jobs_are_logged():
 
 
 def test_synthetic_population(spark):
-    d = training.synthetic_interactions(spark, 50, 1000, 40)
-    n = d.groupBy("song_id").count().orderBy(F.desc("count")).limit(50).agg(F.sum("count")).first()[0]
-    assert n > 0.2 * d.count() and d.count() == training.synthetic_interactions(spark, 50, 1000, 40).repartition(3).count()
+    d = training.synthetic_interactions(spark, 300, 1000, 40).cache()
+    n = d.count()
+    assert d.exceptAll(training.synthetic_interactions(spark, 300, 1000, 40).repartition(3)).count() == 0 and d.select("user_id", "song_id").distinct().count() == n
+    top = d.groupBy("song_id").count().orderBy(F.desc("count")).limit(50).agg(F.sum("count")).first()[0]
+    assert top > 0.15 * n  # the head of Zipf's law
+    by_genre = d.withColumn("g", F.col("song_id").cast("int") % 20).groupBy("user_id", "g").agg(F.count(F.lit(1)).alias("c"), F.avg("reward").alias("r"))
+    three = by_genre.withColumn("p", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("c")))).groupBy((F.col("p") <= 3).alias("best")).agg(F.sum("c").alias("c"), F.avg("r").alias("r")).collect()
+    best, rest = sorted(three, key=lambda r: not r["best"])
+    assert 0.6 < best["c"] / n < 0.9 and best["r"] > rest["r"] + 0.3
+    songs = training.synthetic_catalog(spark, 4000)
+    m = songs.agg(F.avg(F.log("view_count")).alias("mean"), F.stddev(F.log("view_count")).alias("spread"), F.min("view_count").alias("least"), F.max(F.col("like_count") / F.col("view_count")).alias("share")).first()
+    assert abs(m["mean"] - 12) < 0.2 and abs(m["spread"] - 2) < 0.2 and m["least"] >= 1000 and m["share"] <= 0.15
 
 
 def test_tool_server(spark):
