@@ -1,4 +1,4 @@
-"""python -m tessitura: list the queries, run one, show its plan, train, or serve tools."""
+"""python -m tessitura: list the queries, run one, show its plan, train, recommend, or serve tools."""
 
 from __future__ import annotations
 
@@ -7,11 +7,15 @@ import argparse
 
 def main() -> None:
     p = argparse.ArgumentParser(prog="tessitura", description=__doc__)
-    p.add_argument("command", choices=["list", "run", "explain", "train", "serve"])
+    p.add_argument("command", choices=["list", "run", "explain", "train", "recommend", "serve"])
     p.add_argument("name", nargs="?", help="a query's name, or the training mode")
     p.add_argument("--tables", default="/root/testdata/sf0.001", help="folder of parquet tables")
     p.add_argument("--out", help="write the result as parquet here instead of showing it")
     p.add_argument("--rows", type=int, default=20)
+    p.add_argument("--users", type=int, nargs="*", help="whom to recommend for; all without it")
+    p.add_argument("--top-k", type=int, default=10)
+    p.add_argument("--slots", type=int, help="exploration slots; without it those of the users' preferences")
+    p.add_argument("--mood", default="")
     a = p.parse_args()
 
     from tessitura.plans import registry
@@ -29,7 +33,14 @@ def main() -> None:
 
         serve(spark, a.tables)
         return
-    if a.command == "train":
+    if a.command == "recommend":
+        from tessitura.plans.learned import recommend
+
+        df, _ = recommend(spark, a.tables, users=a.users, top_k=a.top_k, slots=a.slots, mood=a.mood)
+        if a.out:
+            df.write.mode("overwrite").parquet(a.out)
+            return
+    elif a.command == "train":
         from tessitura.operators import training
         from tessitura.plans.learned import train
 

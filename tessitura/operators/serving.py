@@ -182,6 +182,29 @@ def best_titles(pairs: DataFrame, key: list[str]) -> DataFrame:
     return scored.withColumn("place", F.row_number().over(order))
 
 
+def record_feedback(history: DataFrame, batch: DataFrame, version: str, *, limit: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Take in a batch of signals (id, user_id, song_id, rec_session_id, signal, created_at): (rows to append to feedback,
+    a status for each signal, the arms' new posteriors).
+
+    A status tells the user's dislikes up to that signal, in order of id, and whether they reach the limit, which
+    switches recommendations off. History is read as one number a user.
+    """
+    from tessitura.operators.content import posteriors
+    from tessitura.sources.schemas import conform
+
+    rows = conform(batch.withColumn("model_version", F.lit(version)), "feedback")
+    before = history.where("signal < 0").groupBy("user_id").agg(F.count(F.lit(1)).alias("before"))
+    upto = F.sum(F.when(F.col("signal") < 0, 1).otherwise(0)).over(Window.partitionBy("user_id").orderBy("id").rowsBetween(Window.unboundedPreceding, 0))
+    n = F.coalesce("before", F.lit(0)) + F.col("upto")
+    status = rows.withColumn("upto", upto).join(before, "user_id", "left").select(
+        "id", "user_id", "song_id", F.lit("ok").alias("status"), "signal", n.alias("dislike_count"), (n >= limit).alias("auto_disabled"),
+        F.when(n >= limit, "Recommendations are off: too many dislikes.").otherwise("Feedback recorded.").alias("message"),
+    )
+    touched = rows.select(*PAIR).distinct()
+    both = history.select(*PAIR, "signal").join(touched, PAIR, "left_semi").unionByName(rows.select(*PAIR, "signal"))
+    return rows, status, posteriors(both.select(*PAIR, F.col("signal").cast("double").alias("reward")))
+
+
 def chunks(text: Iterator[str], size: int = 4000) -> Iterator[str]:
     """Pieces of lines joined up to a message's size; a longer line is cut."""
     held = ""

@@ -185,6 +185,16 @@ def test_brief_and_announcements(spark, sf):
     assert len(said) == 3 and all(": " in r["text"] for r in said)
 
 
+def test_feedback_is_taken_in(spark):
+    schema = "id long, user_id long, song_id string, rec_session_id string, signal int, created_at timestamp"
+    history = spark.createDataFrame([(i, 1, "a", None, -1, None) for i in range(3)] + [(9, 2, "b", None, 1, None)], schema)
+    batch = spark.createDataFrame([(10, 1, "a", "s", -1, None), (11, 1, "c", "s", 1, None), (12, 1, "c", "s", -1, None), (13, 3, "a", "s", 1, None)], schema)
+    rows, status, arms = serving.record_feedback(history, batch, "v2")
+    assert rows.count() == 4 and {r["model_version"] for r in rows.collect()} == {"v2"}
+    assert [(r["id"], r["dislike_count"], r["auto_disabled"]) for r in status.orderBy("id").collect()] == [(10, 4, False), (11, 4, False), (12, 5, True), (13, 0, False)]
+    assert {(r["user_id"], r["song_id"]): (r["alpha"], r["beta"]) for r in arms.collect()} == {(1, "a"): (1.0, 5.0), (1, "c"): (2.0, 2.0), (3, "a"): (2.0, 1.0)}
+
+
 def test_conform(spark):
     got = schemas.conform(spark.createDataFrame([("a", 1)], "song_id string, extra int"), "songs")
     assert [(f.name, f.dataType) for f in got.schema] == [(f.name, f.dataType) for f in schemas.schema("songs")] and got.first()["genre_code"] == 20
