@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm._shared import arrow_limits, col, materialize, whole_row
+from tessitura.llm._shared import arrow_limits, col, discard, materialize, whole_row
 
 WINDOW = 10
 SEGMENT_WORDS = 1 << 20
@@ -214,6 +214,10 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     columns are ignored.
     """
     index = build_index(docs, id_col=id_col, text_col=text_col, segment_words=segment_words)
+    return _judged(index, benchmark, window, id_col, item_col, item_text_col, chunk_words)
+
+
+def _judged(index: DataFrame, benchmark: DataFrame, window: int, id_col: str, item_col: str, item_text_col: str, chunk_words: int) -> DataFrame:
     found = find_matches(index, benchmark, window=window, item_col=item_col, text_col=item_text_col, chunk_words=chunk_words)
     covered = (
         "aggregate(array_sort(matches), named_struct('n', 0L, 'e', 0), (a, m) -> named_struct("
@@ -222,9 +226,14 @@ def contamination(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW
     return found.select(F.col("id").alias(id_col), "n_words", "matches", F.expr(covered).alias("n_hit"), F.expr("array_sort(array_distinct(matches.item))").alias("items"))
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """Return the rows of docs whose own text has no match, whatever their ids: none, or shared with rows that have one."""
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, *, window: int = WINDOW, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text", segment_words: int = SEGMENT_WORDS, chunk_words: int = CHUNK_WORDS) -> DataFrame:
+    """Return the rows of docs whose own text has no match, whatever their ids: none, or shared with rows that have one.
+
+    The index is deleted once the rows that match are known.
+    """
     row = F.concat(F.when(col(id_col).isNull(), "-").otherwise("+"), F.coalesce(col(id_col).cast("string"), F.lit("")), F.lit(":"), F.hex(F.xxhash64(col(text_col)))).alias("__key")
-    found = contamination(docs.select(row, col(text_col).alias("__text")), benchmark, id_col="__key", text_col="__text", **options)
-    hit = found.where("n_hit > 0").select("__key").distinct()
+    index = build_index(docs.select(row, col(text_col).alias("__text")), id_col="__key", text_col="__text", segment_words=segment_words)
+    found = _judged(index, benchmark, window, "__key", item_col, item_text_col, chunk_words)
+    hit = materialize(found.where("n_hit > 0").select("__key").distinct(), "contaminated")
+    discard(index)
     return docs.select(row, whole_row(docs)).join(hit, "__key", "left_anti").select("__row.*")

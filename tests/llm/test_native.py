@@ -123,13 +123,13 @@ def test_rows_are_read_as_mixed(spark, tmp_path):
     d = d.unionByName(d.limit(3)).unionByName(d.limit(3))
     d.write.parquet(str(tmp_path / "in"))
     d = spark.read.parquet(str(tmp_path / "in"))
-    plan = mixing._place(mixing.tokens(d, keyed=True), mixing.ROW_KEY, 0.95, 2.0, 300, "mix")
-    want = Counter((r["__id"], r["__text_hash"]) for r in plan.collect())
+    plan = mixing._place(mixing.tokens(d, keyed=True), "__row", 0.95, 2.0, 300, "mix")
+    want = Counter(r["__row"] for r in plan.collect())
     out = mixing.apply_mix(d, block_tokens=300)
     out.write.parquet(str(tmp_path / "out"))
     back = spark.read.parquet(str(tmp_path / "out"))
-    got = back.select("doc_id", F.xxhash64("text").alias("h"), "block").collect()
-    assert out.columns == d.columns and Counter((r["doc_id"], r["h"]) for r in got) == want and {r["block"] for r in got} == {"mine"}
+    got = back.select(mixing._row("doc_id", "text", "source").alias("row"), "block").collect()
+    assert out.columns == d.columns and Counter(r["row"] for r in got) == want and {r["block"] for r in got} == {"mine"}
     # contiguous pieces of the written stream hold the mix
     shards = sharding.shard_stored(back, 5).groupBy("shard").agg((F.sum(F.when(F.col("source") == "large", F.regexp_count("text", F.lit(mixing.WORD))).otherwise(0)) / F.sum(F.regexp_count("text", F.lit(mixing.WORD)))).alias("share")).collect()
     assert len(shards) == 5 and max(r["share"] for r in shards) - min(r["share"] for r in shards) < 0.12
