@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessitura.llm._shared import arrow_limits, col, materialize
+from tessitura.llm._shared import ROW_KEY, arrow_limits, col, discard, join_hot, materialize, row_key, whole_row
 
 MAX_BITS = 3
 SEED = 42
@@ -48,19 +48,44 @@ def fingerprint(text: bytes | None, shingle: int) -> int:
     return int.from_bytes(np.packbits(2 * ones > n).tobytes(), "big")
 
 
+def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """What tells rows apart, then the id and the text."""
+    return docs.select(*row_key(id_col, text_col), col(id_col).alias("__id"), col(text_col).alias("__text"))
+
+
+def _texts(column: pa.Array) -> list[bytes | None]:
+    return column.cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
+
+
+def _with(source: DataFrame, of, schema: str) -> DataFrame:
+    """The columns of source but its last, the text, and those that of(texts) returns."""
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in source.schema.fields[:-1]]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            more = of(_texts(batch.column(batch.num_columns - 1)))
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *more.values()], names=[*batch.schema.names[:-1], *more])
+
+    return source.mapInArrow(run, ", ".join([*fields, schema]))
+
+
+def _fingerprinted(source: DataFrame, shingle: int) -> DataFrame:
+    return _with(source, lambda texts: {"fp": pa.array(np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64))}, "fp long")
+
+
 def fingerprints(docs: DataFrame, *, shingle: int = 5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return ``id_col, fp`` (long, the 64 bits), a row for each input row; a null text has fp 0, like one of no words."""
     arrow_limits(docs.sparkSession)
-    source = docs.select(col(id_col).alias("__id"), col(text_col).alias("__text"))
+    return _fingerprinted(docs.select(col(id_col).alias("__id"), col(text_col).alias("__text")), shingle).select(F.col("__id").alias(id_col), "fp")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
-            found = np.array([fingerprint(t, shingle) for t in texts], np.uint64).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found)], names=["__id", "fp"])
 
-    schema = f"__id {source.schema['__id'].dataType.simpleString()}, fp long"
-    return source.mapInArrow(run, schema).select(F.col("__id").alias(id_col), "fp")
+def _keep_first(docs: DataFrame, named: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """Of docs, one row for each root of named (``root``, and ``rep``: the first row of a node): the first in its order."""
+    first = named.groupBy("root").agg(F.min("rep").alias("rep")).select(*[F.col(f"rep.{c}").alias(c) for c in ROW_KEY])
+    keyed = docs.select(*row_key(id_col, text_col), whole_row(docs))
+    # rows equal in id and text: the one whose other columns hash lowest, so a repeated task picks the same
+    order = F.xxhash64(*[F.col("__row").getField(f.name) for f in docs.schema.fields if "map<" not in f.dataType.simpleString()])
+    return keyed.join(first, ROW_KEY, "left_semi").groupBy(*ROW_KEY).agg(F.min_by("__row", order).alias("__row")).select("__row.*")
 
 
 def forest(values: np.ndarray, max_bits: int) -> list[tuple[int, int]]:
@@ -188,7 +213,8 @@ def components(edges: DataFrame, *, rounds: int = 50) -> DataFrame:
         large = both.where("v > u").join(least, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()
         down = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(down, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).unionByName(down.select("u", F.col("m").alias("v")))
-        e = materialize(small.where("u <> v").distinct(), "components")
+        e, older = materialize(small.where("u <> v").distinct(), "components"), e
+        discard(older)
         now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1000003)).first()
         if now == before:
             break
@@ -198,6 +224,24 @@ def components(edges: DataFrame, *, rounds: int = 50) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("root")).unionByName(e.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
 
 
+_REP = ["__no_id", "__id", "__id_text", "__text_hash"]  # in order: ids before nulls, then by id
+
+
+def _grouped(docs: DataFrame, shingle: int, max_bits: int, group: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
+    """Stored: rows with their ``fp``; and each distinct fp with its first row ``rep``, its number of rows and its ``root``."""
+    arrow_limits(docs.sparkSession)
+    fps = materialize(_fingerprinted(_rows(docs, id_col, text_col), shingle), "simhash")
+    reps = materialize(fps.groupBy("fp").agg(F.min(F.struct(*_REP)).alias("rep"), F.count(F.lit(1)).alias("n")), "simhash-distinct")
+    roots = components(links(reps, max_bits=max_bits, group=group))
+    return fps, reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
+def _named(named: DataFrame, node: str) -> DataFrame:
+    """Stored: node, its number of rows, and the least id of its root's nodes."""
+    names = named.groupBy("root").agg(F.min("rep").alias("first")).select("root", F.col("first.__id").alias("component_id"))
+    return materialize(named.select(node, "root", "n").join(names, "root").select(node, "n", "component_id"), "component-names")
+
+
 def near_duplicates(docs: DataFrame, *, shingle: int = 5, max_bits: int = MAX_BITS, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Return ``id_col, fp, component_id``, a row for each input row.
 
@@ -206,21 +250,17 @@ def near_duplicates(docs: DataFrame, *, shingle: int = 5, max_bits: int = MAX_BI
     each. Null and empty texts share fingerprint 0 and link like any other; an empty table gives an empty result;
     other columns of docs are ignored.
     """
-    fps = materialize(fingerprints(docs, shingle=shingle, id_col=id_col, text_col=text_col).select(col(id_col).alias("__id"), "fp"), "simhash")
-    reps = materialize(fps.groupBy("fp").agg(F.min("__id").alias("__least")), "simhash-distinct")
-    roots = components(links(reps, max_bits=max_bits, group=group))
-    named = reps.join(roots.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    names = named.groupBy("root").agg(F.min("__least").alias("component_id"))
-    by_fp = named.join(names, "root").select("fp", "component_id")
-    return fps.join(by_fp, "fp").select(F.col("__id").alias(id_col), "fp", "component_id")
+    fps, named = _grouped(docs, shingle, max_bits, group, id_col, text_col)
+    return join_hot(fps.select("__id", "fp"), _named(named, "fp"), "fp", "n").select(F.col("__id").alias(id_col), "fp", "component_id")
+
 
+def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, max_bits: int = MAX_BITS, group: int = GROUP, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Return docs with one row of each component: that of the smallest id; rows without an id come after all others.
 
-def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, max_bits: int = MAX_BITS, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Return docs with one row of each component: that of the smallest id. Rows without an id are kept as they are."""
-    found = near_duplicates(docs, shingle=shingle, max_bits=max_bits, id_col=id_col, text_col=text_col)
-    stay = found.where(col(id_col) == F.col("component_id")).select(F.col("component_id").alias("__stay")).distinct()
-    one = docs.join(stay, col(id_col) == F.col("__stay"), "left_semi").dropDuplicates([id_col])
-    return one.unionByName(docs.where(col(id_col).isNull()))
+    Of rows with that id, the one of the component's text stays; of rows equal in both, one.
+    """
+    _, named = _grouped(docs, shingle, max_bits, group, id_col, text_col)
+    return _keep_first(docs, named, id_col, text_col)
 
 
 # Near copies by similarity. A 64-bit fingerprint of 5-word shingles puts most pairs of similarity 0.8 further than
@@ -280,9 +320,7 @@ def nearest_forest(hi: np.ndarray, lo: np.ndarray, max_bits: int) -> list[tuple[
     return edges
 
 
-_CANDIDATES = "linked boolean, a long, b long, hi long, lo long, g long, block long"
-_CANDIDATE_NAMES = ["linked", "a", "b", "hi", "lo", "g", "block"]
-#: A key of up to so many members has each pair tested at once.
+#: Of a key of up to so many members, each pair is tested at once.
 FEW = 4
 #: Members of a block whose shingle sets are held in one task, twice.
 BLOCK = 512
@@ -308,19 +346,27 @@ def _segments(hi: np.ndarray, lo: np.ndarray) -> list[np.ndarray]:
     return [lo & low, (lo >> n(24)) & low, hi & low, (hi >> n(24)) & low, (lo >> n(48)) | (((hi >> n(48)) & n(255)) << n(16))]
 
 
-def _own(hi: np.ndarray, lo: np.ndarray, v: int, max_bits: int) -> np.ndarray:
-    """Which members have a pair within max_bits that meets under variant v and under none before it."""
-    parts, (s, w), n = _segments(hi, lo), divmod(v, SEGMENT_BITS), len(hi)
-    bit = (parts[s] >> np.uint64(w)) & np.uint64(1)
+def _bit(rows: np.ndarray) -> np.ndarray:
+    """The wiped bit of each of rows (g, hi, lo, ...)."""
+    hi, lo = rows[:, 1].view(np.uint64), rows[:, 2].view(np.uint64)
+    s, w = np.divmod(rows[:, 0] >> SEGMENT_BITS, SEGMENT_BITS)
+    parts = np.choose(s, _segments(hi, lo))
+    return (parts >> w.astype(np.uint64)) & np.uint64(1)
+
+
+def _own(rows: np.ndarray, label: np.ndarray, max_bits: int) -> np.ndarray:
+    """Which members of a key have a pair of unlike labels within max_bits that meets here and under no key before."""
+    hi, lo = (np.ascontiguousarray(rows[:, i]).view(np.uint64) for i in (1, 2))
+    parts, (s, w), n = _segments(hi, lo), divmod(int(rows[0, 0]) >> SEGMENT_BITS, SEGMENT_BITS), len(rows)
+    bit = _bit(rows)
     own = np.zeros(n, bool)
     # equal segments meet under every variant, the first is theirs; others under that of the differing bit
     for u in range(n) if w == 0 else np.flatnonzero(bit == (2 * bit.sum() < n)).tolist():
-        near = _bits(hi, lo, u) <= max_bits
+        near = (label != label[u]) & (_bits(hi, lo, u) <= max_bits)
         if w:
             near &= bit != bit[u]
         for before in parts[:s]:
             near &= np.bitwise_count(before ^ before[u]) > 1
-        near[u] = False
         if near.any():
             own |= near
             own[u] = True
@@ -328,41 +374,56 @@ def _own(hi: np.ndarray, lo: np.ndarray, v: int, max_bits: int) -> np.ndarray:
 
 
 def _meet(max_bits: int, group: int):
-    """Of rows (g, hi, lo, node) sorted in that order, g a variant: links to test first, and who is to be compared later.
+    """Of rows (g, hi, lo, node) sorted in that order, g a variant: links to test, and nodes of keys where more may meet.
 
-    First come a minimum spanning forest by bits of each run of ``group`` members, and all links to its middle one.
-    The links that fail leave members apart, so members of a pair within max_bits are passed on too, in blocks.
+    Members with the wiped bit alike have the whole segment in common and so meet under all its variants; their links
+    are made under the first: a minimum spanning forest by bits of each run of ``group`` of them, and all links to the
+    middle one. Under every variant, members with that bit unlike are linked, each of the fewer to its nearest other.
     """
 
-    def out(linked: bool, columns: list) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(columns[0]), linked))] + [pa.array(np.ascontiguousarray(c, np.int64)) for c in columns], names=_CANDIDATE_NAMES)
+    def out(linked: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(a), linked)), pa.array(np.ascontiguousarray(a)), pa.array(np.ascontiguousarray(b))], names=["linked", "a", "b"])
 
     def links_of(one: np.ndarray, other: np.ndarray) -> Iterator[pa.RecordBatch]:
         bits = np.bitwise_count((one[:, 1] ^ other[:, 1]).view(np.uint64)).astype(int) + np.bitwise_count((one[:, 2] ^ other[:, 2]).view(np.uint64))
         a, b = one[bits <= max_bits, 3], other[bits <= max_bits, 3]
         if len(a):
-            none = np.zeros(len(a))
-            yield out(True, [np.minimum(a, b), np.maximum(a, b), none, none, none, none])
+            yield out(True, np.minimum(a, b), np.maximum(a, b))
 
-    def run_of(rows: np.ndarray, number: int, whole: bool) -> Iterator[pa.RecordBatch]:
-        n, (hi, lo) = len(rows), (np.ascontiguousarray(rows[:, i]).view(np.uint64) for i in (1, 2))
+    def alike(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        n = len(rows)
         if n <= FEW:
             i, j = np.triu_indices(n, 1)
         else:
+            hi, lo = (np.ascontiguousarray(rows[:, i]).view(np.uint64) for i in (1, 2))
             e = np.array(nearest_forest(hi, lo, max_bits), np.int64).reshape(-1, 2)
             m, rest = _middle(hi, lo), np.arange(n)
             rest = rest[rest != m]
             i, j = np.r_[e[:, 0], np.full(n - 1, m)], np.r_[e[:, 1], rest]
         yield from links_of(rows[i], rows[j])
-        if whole and n <= FEW:
-            return
-        own = _own(hi, lo, int(rows[0, 0]) >> SEGMENT_BITS, max_bits) if whole else np.ones(n, bool)
-        if own.any():
-            r = rows[own]
-            yield out(False, [r[:, 3], r[:, 3], r[:, 1], r[:, 2], r[:, 0], number * -(-group // BLOCK) + np.arange(len(r)) // BLOCK])
+
+    def run_of(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+        first, bit = (int(rows[0, 0]) >> SEGMENT_BITS) % SEGMENT_BITS == 0, _bit(rows)
+        sides = [rows[bit == 0], rows[bit == 1]]
+        fewer, more = sorted(sides, key=len)
+        if first:
+            for side in sides:
+                if len(side) > 1:
+                    yield from alike(side)
+        if len(fewer):
+            if len(rows) <= FEW:
+                i, j = np.repeat(np.arange(len(fewer)), len(more)), np.tile(np.arange(len(more)), len(fewer))
+            else:
+                i, hi, lo = np.arange(len(fewer)), more[:, 1].view(np.uint64), more[:, 2].view(np.uint64)
+                j = np.array([(np.bitwise_count(hi ^ h).astype(np.int64) + np.bitwise_count(lo ^ l)).argmin() for h, l in zip(fewer[:, 1].view(np.uint64), fewer[:, 2].view(np.uint64))])
+            yield from links_of(fewer[i], more[j])
+        # of a key with over FEW members the more are three at least, and met under the first variant of their segment
+        seen = rows if first else fewer if len(rows) > FEW else rows[:0]
+        if len(rows) > 2 and len(seen):
+            yield out(False, seen[:, 3], seen[:, 3])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry, number = np.empty((0, 4), np.int64), 0  # rows of the last key, and how many of its runs are done
+        carry = np.empty((0, 4), np.int64)
         for batch in batches:
             rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype(np.int64, copy=False)
             rows = np.concatenate([carry, rows])
@@ -370,21 +431,68 @@ def _meet(max_bits: int, group: int):
                 continue
             starts = np.r_[0, np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1]
             sizes = np.diff(np.r_[starts, len(rows)])
-            if number and len(starts) > 1:
-                yield from run_of(rows[: sizes[0]], number, False)
-                number, starts, sizes = 0, starts[1:], sizes[1:]
             done, last = sizes[:-1], int(starts[-1])
+            bit, first = _bit(rows[:last]), (rows[:last, 0] >> SEGMENT_BITS) % SEGMENT_BITS == 0
             pair = starts[:-1][done == 2]
+            pair = pair[first[pair] | (bit[pair] != bit[pair + 1])]
             yield from links_of(rows[pair], rows[pair + 1])
-            for s, n in zip(starts[:-1][done > 2].tolist(), done[done > 2].tolist()):
-                for k, at in enumerate(range(s, s + n, group)):
-                    yield from run_of(rows[at : min(at + group, s + n)], k, n <= group)
+            # a key whose members have its bit alike has nothing to link, unless it is the first of its segment
+            ones = np.add.reduceat(bit.astype(np.int64), starts[:-1]) if last else np.empty(0, np.int64)
+            use = (done > 2) & (first[starts[:-1]] | (ones > 0) & (ones < done))
+            for s, n in zip(starts[:-1][use].tolist(), done[use].tolist()):
+                for at in range(s, s + n, group):
+                    yield from run_of(rows[at : min(at + group, s + n)])
             carry = rows[last:]
-            while len(carry) > group:
-                yield from run_of(carry[:group], number, False)
-                carry, number = carry[group:], number + 1
-        if len(carry) and (number or len(carry) > 1):
-            yield from run_of(carry, number, not number)
+            while len(carry) > 2 * group:  # a key of any size is worked in runs
+                yield from run_of(carry[:group])
+                carry = carry[group:]
+        if len(carry) > 1:
+            for at in range(0, len(carry), group):
+                yield from run_of(carry[at : at + group])
+
+    return run
+
+
+def _unlinked(max_bits: int, group: int):
+    """Of rows (g, hi, lo, node, label) sorted in that order: members (g, block, node, label, hi, lo) to be compared.
+
+    Of a key of up to ``group`` members those of ``_own``; of a larger one all.
+    """
+    names = ["g", "block", "node", "label", "hi", "lo"]
+
+    def out(rows: np.ndarray, begin: int) -> pa.RecordBatch:
+        columns = [rows[:, 0], (begin + np.arange(len(rows))) // BLOCK, rows[:, 3], rows[:, 4], rows[:, 1], rows[:, 2]]
+        return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c, np.int64)) for c in columns], names=names)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        carry, hot, passed = np.empty((0, 5), np.int64), None, 0  # rows of the last key, or a key that is passed on
+
+        def whole(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+            if len(rows) > group:
+                yield out(rows, 0)
+            elif len(rows) > 1 and (own := _own(rows, rows[:, 4], max_bits)).any():
+                yield out(rows[own], 0)
+
+        for batch in batches:
+            rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype(np.int64, copy=False)
+            if hot is not None and len(rows):
+                n = int((rows[:, 0] == hot).sum())
+                yield out(rows[:n], passed)
+                passed, rows = passed + n, rows[n:]
+                if len(rows):
+                    hot = None
+            rows = np.concatenate([carry, rows])
+            if not len(rows):
+                continue
+            cuts = [0, *(np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1).tolist()]
+            for i, j in zip(cuts, cuts[1:]):
+                yield from whole(rows[i:j])
+            carry = rows[cuts[-1] :]
+            if len(carry) > group:
+                yield out(carry, 0)
+                hot, passed, carry = int(carry[0, 0]), len(carry), carry[:0]
+        if len(carry):
+            yield from whole(carry)
 
     return run
 
@@ -397,16 +505,37 @@ def _segment(v: str) -> str:
     )
 
 
-def candidates(distinct: DataFrame, *, max_bits: int = CANDIDATE_BITS, group: int = GROUP) -> tuple[DataFrame, DataFrame]:
-    """Of distinct texts (node, hi, lo): pairs ``a, b`` to test first; members ``g, block, node, hi, lo`` of meeting groups.
+def _keys(nodes: DataFrame, more: list[str]) -> DataFrame:
+    """Rows (g, hi, lo, node, bit, ...): a row for each one-wildcard variant of each node's segments, and the bit it wipes."""
+    rows = nodes.select("node", "hi", "lo", *more, F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * SEGMENT_BITS - 1))).alias("v"))
+    segment = f"({_segment('v div 24')})"
+    return rows.selectExpr(f"(cast(v as bigint) << 24) | ({segment} & ~(1L << (v % 24))) as g", "hi", "lo", "node", f"cast(shiftright({segment}, v % 24) & 1L as int) as bit", *more)
+
 
-    Two texts that meet are a pair of the first or members of a group of the second.
+def meetings(distinct: DataFrame, *, max_bits: int = CANDIDATE_BITS, group: int = GROUP) -> DataFrame:
+    """Of distinct texts (node, hi, lo), stored: pairs ``a, b`` to test first (linked), and nodes ``a`` that may meet others too."""
+    dealt = _keys(distinct, []).drop("bit").repartition("g").sortWithinPartitions("g", "hi", "lo", "node")
+    return materialize(dealt.mapInArrow(_meet(max_bits, group), "linked boolean, a long, b long"), "near-candidates")
+
+
+def unlinked(nodes: DataFrame, *, max_bits: int = CANDIDATE_BITS, group: int = GROUP) -> DataFrame:
+    """Of nodes (node, hi, lo, label): members (g, block, node, label, hi, lo) of keys where unlike labels meet.
+
+    A key's members are taken if they have an unlike label across the wiped bit or, under the first variant of a
+    segment, on their own side: members with the whole segment in common need no other variant.
     """
-    rows = distinct.select("node", "hi", "lo", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * SEGMENT_BITS - 1))).alias("v"))
-    rows = rows.selectExpr(f"(cast(v as bigint) << 24) | (({_segment('v div 24')}) & ~(1L << (v % 24))) as g", "hi", "lo", "node")
-    dealt = rows.repartition("g").sortWithinPartitions("g", "hi", "lo", "node")
-    met = materialize(dealt.mapInArrow(_meet(max_bits, group), _CANDIDATES), "near-candidates")
-    return met.where("linked").select("a", "b").distinct(), met.where("not linked").select("g", "block", F.col("a").alias("node"), "hi", "lo")
+    keys = _keys(nodes, ["label"])
+    of = lambda f, bit: f(F.when(F.col("bit") == bit, F.col("label")))
+    sides = keys.groupBy(F.col("g").alias("__g")).agg(of(F.min, 0).alias("low0"), of(F.max, 0).alias("high0"), of(F.min, 1).alias("low1"), of(F.max, 1).alias("high1"))
+    sides = sides.where("least(low0, low1) < greatest(high0, high1)")
+    label, zero = F.col("label"), F.col("bit") == 0
+    differs = lambda low, high: F.coalesce((F.col(low) != label) | (F.col(high) != label), F.lit(False))
+    across, along = F.when(zero, differs("low1", "high1")).otherwise(differs("low0", "high0")), F.when(zero, differs("low0", "high0")).otherwise(differs("low1", "high1"))
+    first = F.shiftright("g", SEGMENT_BITS) % SEGMENT_BITS == 0
+    met = keys.join(sides, (F.col("g") == F.col("__g")) & (across | (first & along)), "left_semi")
+    # dealt after the join: what a join leaves together is the planner's choice, and a key must be in one place
+    dealt = met.select("g", "hi", "lo", "node", "label").repartition("g").sortWithinPartitions("g", "hi", "lo", "node")
+    return dealt.mapInArrow(_unlinked(max_bits, group), "g long, block long, node long, label long, hi long, lo long")
 
 
 def _compare(max_bits: int, similarity: float):
@@ -463,69 +592,71 @@ def _compare(max_bits: int, similarity: float):
     return run
 
 
-def _apart(members: DataFrame, roots: DataFrame) -> DataFrame:
-    """Rows (g, x, y, node, label, hi, lo): members of each two blocks x <= y of a group that are not all linked yet."""
-    labelled = materialize(members.join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node")), "near-members")
-    blocks = labelled.groupBy("g", "block").agg(F.min("label").alias("least"), F.max("label").alias("most"))
+def _apart(members: DataFrame) -> DataFrame:
+    """Rows (g, x, y, node, label, hi, lo): members of each two blocks x <= y of a key that are not all linked yet."""
+    blocks = members.groupBy("g", "block").agg(F.min("label").alias("least"), F.max("label").alias("most"))
     x, y = (blocks.select("g", F.col("block").alias(c), F.col("least").alias(f"least_{c}"), F.col("most").alias(f"most_{c}")) for c in "xy")
     pairs = x.join(y, "g").where("x <= y and least(least_x, least_y) <> greatest(most_x, most_y)").select("g", "x", "y")
     sides = pairs.withColumn("block", F.explode(F.array_distinct(F.array("x", "y"))))
-    return labelled.join(sides, ["g", "block"]).select("g", "x", "y", "node", "label", "hi", "lo")
+    return members.join(sides, ["g", "block"]).select("g", "x", "y", "node", "label", "hi", "lo")
 
 
-def similar_documents(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", max_bits: int = CANDIDATE_BITS, group: int = GROUP) -> DataFrame:
-    """Return ``id_col, component_id``, a row for each input row with an id.
+def _similar(docs: DataFrame, shingle: int, similarity: float, id_col: str, text_col: str, max_bits: int, group: int) -> tuple[DataFrame, DataFrame]:
+    """Stored: rows with their ``node``, texts of equal words; and each node with its first row, number of rows and root.
 
-    component_id: the smallest id reached over verified links; two texts link if the Jaccard similarity of their
-    distinct word shingles (of all words, where they are fewer) is at least ``similarity``. Pairs are found by SimHash,
-    so one that shares no segment within a bit may be missed, the less likely the more alike the texts are; all that
-    meet are compared until they are linked, and none is reported in error. Texts of equal words are one text here.
-    Null and empty texts are alike. Rows without an id are left out.
+    What is stored on the way, shingle sets above all, is deleted when the roots are known.
     """
     spark = docs.sparkSession
     arrow_limits(spark)
-    source = docs.select(col(id_col).alias("__id"), col(text_col).alias("__text")).where("__id is not null")
-    kind = source.schema["__id"].dataType.simpleString()
-
-    def signed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
-            pair = np.frombuffer(b"".join(map(signature, texts)), ">i8").astype(np.int64).reshape(-1, 2)
-            words = np.fromiter(map(words_hash, texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy()), pa.array(words)], names=["__id", "hi", "lo", "words"])
-
-    signatures = materialize(source.mapInArrow(signed, f"__id {kind}, hi long, lo long, words long").withColumn("node", F.xxhash64("hi", "lo", "words")), "near-signatures")
-    reps = materialize(signatures.groupBy("node", "hi", "lo", "words").agg(F.min("__id").alias("rep")), "near-distinct")
-    pairs, members = candidates(reps, max_bits=max_bits, group=group)
-    pairs = materialize(pairs, "near-pairs")
-
-    def shingled(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = batch.column(1).cast(pa.large_string()).cast(pa.large_binary()).to_pylist()
-            words = np.fromiter(map(words_hash, texts), np.uint64, len(texts)).view(np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(words), pa.array([shingle_set(t, shingle) for t in texts], pa.list_(pa.int64()))], names=["__id", "words", "s"])
-
-    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(members.select("node")).distinct()
-    wanted = reps.join(nodes, "node", "left_semi").select(F.col("rep").alias("__id"), "words", "node")
-    # an id may have rows of several texts: only the wanted ones stay
-    found = source.join(wanted.select("__id").distinct(), "__id", "left_semi").mapInArrow(shingled, f"__id {kind}, words long, s array<bigint>")
-    sets = materialize(found.join(wanted, ["__id", "words"]).select("node", "s").dropDuplicates(["node"]), "near-shingles")
+    source = _rows(docs, id_col, text_col)
+
+    def signed(texts: list[bytes | None]) -> dict[str, pa.Array]:
+        pair = np.frombuffer(b"".join(map(signature, texts)), ">i8").astype(np.int64).reshape(-1, 2)
+        words = np.fromiter(map(words_hash, texts), np.uint64, len(texts)).view(np.int64)
+        return {"hi": pa.array(pair[:, 0].copy()), "lo": pa.array(pair[:, 1].copy()), "words": pa.array(words)}
+
+    signatures = materialize(_with(source, signed, "hi long, lo long, words long").withColumn("node", F.xxhash64("hi", "lo", "words")), "near-signatures")
+    reps = materialize(signatures.groupBy("node", "hi", "lo").agg(F.min(F.struct(*_REP)).alias("rep"), F.count(F.lit(1)).alias("n")), "near-distinct")
+    met = meetings(reps, max_bits=max_bits, group=group)
+    pairs, active = materialize(met.where("linked").select("a", "b").distinct(), "near-pairs"), materialize(met.where("not linked").select(F.col("a").alias("node")).distinct(), "near-active")
+    discard(met)
+
+    nodes = pairs.select(F.col("a").alias("node")).unionByName(pairs.select(F.col("b").alias("node"))).unionByName(active).distinct()
+    wanted = reps.join(nodes, "node", "left_semi").select("node", *[F.col(f"rep.{c}").alias(c) for c in ROW_KEY])
+    found = source.join(wanted, ROW_KEY).select("node", "__text")
+    shingled = _with(found, lambda texts: {"s": pa.array([shingle_set(t, shingle) for t in texts], pa.list_(pa.int64()))}, "s array<bigint>")
+    sets = materialize(shingled.dropDuplicates(["node"]), "near-shingles")
     left, right = sets.select(F.col("node").alias("a"), F.col("s").alias("sa")), sets.select(F.col("node").alias("b"), F.col("s").alias("sb"))
     common = pairs.join(left, "a").join(right, "b").select("a", "b", F.size("sa").alias("na"), F.size("sb").alias("nb"), F.size(F.array_intersect("sa", "sb")).alias("n"))
     verified = materialize(common.where(F.expr(f"n >= {similarity!r}D * (na + nb - n)")).select("a", "b"), "near-verified")
     roots = components(verified)
-    apart = materialize(_apart(members, roots), "near-apart")
-    if not apart.isEmpty():
-        dealt = apart.join(sets, "node").select("g", "x", "y", "node", "label", "hi", "lo", "s").repartition("g", "x", "y").sortWithinPartitions("g", "x", "y")
+    labelled = reps.select("node", "hi", "lo").join(active, "node").join(roots.withColumnRenamed("root", "label"), "node", "left").withColumn("label", F.coalesce("label", "node"))
+    members = materialize(unlinked(labelled, max_bits=max_bits, group=group), "near-unlinked")
+    if not members.isEmpty():
+        dealt = _apart(members).join(sets, "node").select("g", "x", "y", "node", "label", "hi", "lo", "s").repartition("g", "x", "y").sortWithinPartitions("g", "x", "y")
         roots = components(verified.unionByName(dealt.mapInArrow(_compare(max_bits, similarity), "a long, b long")))
-    named = reps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    names = named.groupBy("root").agg(F.min("rep").alias("component_id"))
-    by_node = named.join(names, "root").select("node", "component_id")
-    return signatures.join(by_node, "node").select(F.col("__id").alias(id_col), "component_id")
+    for done in (pairs, active, sets, verified, members):
+        discard(done)
+    return signatures, reps.select("node", "rep", "n").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+
+
+def similar_documents(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", max_bits: int = CANDIDATE_BITS, group: int = GROUP) -> DataFrame:
+    """Return ``id_col, component_id``, a row for each input row.
+
+    component_id: the smallest id reached over verified links, null only if none of them has an id; two texts link if
+    the Jaccard similarity of their distinct word shingles (of all words, where they are fewer) is at least
+    ``similarity``. Pairs are found by SimHash, so one that shares no segment within a bit may be missed, the less
+    likely the more alike the texts are; all that meet are compared until they are linked, and none is reported in
+    error. Texts of equal words are one text here. Null and empty texts are alike.
+    """
+    signatures, named = _similar(docs, shingle, similarity, id_col, text_col, max_bits, group)
+    return join_hot(signatures.select("__id", "node"), _named(named, "node"), "node", "n").select(F.col("__id").alias(id_col), "component_id")
 
 
-def drop_similar(docs: DataFrame, *, id_col: str = "doc_id", **options) -> DataFrame:
-    """Return docs with one row of each component: that of the smallest id. Rows without an id are kept as they are."""
-    stay = similar_documents(docs, id_col=id_col, **options).where(col(id_col) == F.col("component_id")).select(F.col("component_id").alias("__stay")).distinct()
-    one = docs.join(stay, col(id_col) == F.col("__stay"), "left_semi").dropDuplicates([id_col])
-    return one.unionByName(docs.where(col(id_col).isNull()))
+def drop_similar(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, id_col: str = "doc_id", text_col: str = "text", max_bits: int = CANDIDATE_BITS, group: int = GROUP) -> DataFrame:
+    """Return docs with one row of each component: that of the smallest id; rows without an id come after all others.
+
+    Of rows with that id, the one of the component's text stays; of rows equal in both, one.
+    """
+    _, named = _similar(docs, shingle, similarity, id_col, text_col, max_bits, group)
+    return _keep_first(docs, named, id_col, text_col)

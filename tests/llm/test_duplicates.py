@@ -85,6 +85,35 @@ def test_near_duplicates(docs, empty):
     assert [r["doc_id"] for r in simhash.drop_near_duplicates(docs, shingle=3).where("doc_id <= 6 or doc_id is null").orderBy("doc_id").collect()] == [None, 1, 3, 6]
 
 
+@pytest.mark.parametrize("drop", [simhash.drop_similar, simhash.drop_near_duplicates])
+def test_rows_are_dropped_not_ids(spark, drop):
+    """Unlike texts under one id stay; of copies without an id one stays; an id goes before none."""
+    long = " ".join(f"w{i}" for i in range(60))
+    other = " ".join(f"v{i}" for i in range(60))
+    rows = [(1, long, "a"), (1, other, "b"), (None, "x y z " + other[:50], "c"), (None, "x y z " + other[:50], "c"), (None, long, "d"), (4, other, "e"), (1, other, "b")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, root string")
+    got = drop(d)
+    assert got.columns == d.columns
+    assert sorted((r["doc_id"] or 0, r["root"]) for r in got.collect()) == [(0, "c"), (1, "a"), (1, "b")]
+
+
+def test_recall_by_similarity(spark):
+    """Pairs of a text and one copy: found the more surely the more alike, and nothing below the threshold."""
+    rng = random.Random(17)
+    rows, bands = [], {}
+    for n in range(900):
+        w = [f"w{rng.randrange(4000)}" for _ in range(250)]
+        other = list(w)
+        for k in rng.sample(range(250), 1 + n % 9):
+            other[k] = f"x{rng.randrange(10**6)}"
+        a, b = (set(simhash.shingle_set(" ".join(x).encode(), 5).tolist()) for x in (w, other))
+        bands[n] = len(a & b) / len(a | b)
+        rows += [(2 * n, " ".join(w)), (2 * n + 1, " ".join(other))]
+    got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    found = lambda low, high: np.mean([got[2 * n + 1] == 2 * n for n, s in bands.items() if low <= s < high])
+    assert found(0.9, 1.0) >= 0.97 and found(0.8, 0.85) >= 0.85 and found(0.0, 0.8) == 0
+
+
 def copies(spark, n=30, edits=4, words=400):
     rng = random.Random(3)
     base = [[f"w{rng.randrange(5000)}" for _ in range(words)] for _ in range(10)]
@@ -109,7 +138,7 @@ def test_similar_documents(spark, group):
 
 def test_similar_odd_tables(docs, empty):
     got = {r["doc_id"]: r["component_id"] for r in simhash.similar_documents(docs).collect()}
-    assert got[1] == got[2] == 1 and got[3] == got[4] == got[5] == 3 and got[8] == got[9] == 8 and None not in got
+    assert got[1] == got[2] == 1 and got[3] == got[4] == got[5] == 3 and got[8] == got[9] == 8 and got[None] is None
     assert simhash.similar_documents(empty).count() == 0
     kept = [r["doc_id"] for r in simhash.drop_similar(docs).orderBy("doc_id").collect()]
     assert kept == [None, 1, 3, 6, 7, 8, 10] and simhash.drop_similar(docs).columns == docs.columns
@@ -159,6 +188,43 @@ def test_family_of_one_base(spark):
     assert components_of(spark, texts) == met_roots(texts)
 
 
+@pytest.mark.parametrize("group", [6, 2048])
+@pytest.mark.parametrize("broadcast", ["-1", "10485760"])
+def test_unlinked_members_by_brute_force(spark, group, broadcast):
+    """Whatever join the planner takes, all members of unlike labels that meet within the bits are passed on, and together."""
+    rng = random.Random(19)
+    rows = []
+    for f in range(4):
+        base = rng.getrandbits(128)
+        for i in range(40):
+            v = base
+            for b in rng.sample(range(128), rng.randrange(9)):
+                v ^= 1 << b
+            rows.append((v, f if i % 3 else 100 + len(rows)))
+    signed = lambda x: x - 2**64 if x >= 2**63 else x
+    table = spark.createDataFrame([(n, signed(v >> 64), signed(v & (2**64 - 1)), label) for n, (v, label) in enumerate(rows)], "node long, hi long, lo long, label long")
+    hi, lo = (np.array([v >> 64 if k else v & (2**64 - 1) for v, _ in rows], np.uint64) for k in (1, 0))
+    parts = [list(map(int, p)) for p in simhash._segments(hi, lo)]
+    want = set()
+    for i, (v, a) in enumerate(rows):
+        for j, (w, b) in enumerate(rows[:i]):
+            if a != b and (v ^ w).bit_count() <= 12 and any((p[i] ^ p[j]).bit_count() <= 1 for p in parts):
+                want.add((j, i))
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", broadcast)
+    try:
+        got = simhash.unlinked(table, max_bits=12, group=group).collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    keys = {}
+    for r in got:
+        keys.setdefault(r["g"], set()).add(r["node"])
+    together = {(min(i, j), max(i, j)) for nodes in keys.values() for i in nodes for j in nodes if i != j}
+    assert want and want <= together
+    if group > 1000:
+        assert {r["node"] for r in got} == {n for pair in want for n in pair}
+
+
 def test_chains_are_followed(spark):
     """Members that the first links leave apart are compared with all others of their group."""
     rng = random.Random(11)
