@@ -91,6 +91,30 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {}
 
+def _crc32_sql(octets: str) -> str:
+    """DuckDB SQL of the CRC-32 of a list of octets (UBIGINT): the polynomial's division, four bits at a time."""
+    table = []
+    for n in range(16):
+        for _ in range(4):
+            n = n >> 1 ^ (0xEDB88320 if n & 1 else 0)
+        table.append(f"{n}::UBIGINT")
+    step = lambda c, b: f"xor([{', '.join(table)}][(xor({c}, {b}) & 15)::INT + 1], ({c}) >> 4)"
+    return f"xor(list_reduce(list_prepend(4294967295::UBIGINT, {octets}), lambda c, b: {step(step('c', 'b'), '(b >> 4)')}), 4294967295::UBIGINT)::BIGINT"
+
+
+ORACLE_SQL["op1_sharding"] = f"""
+WITH docs AS (
+  SELECT doc_id, list_transform(regexp_extract_all(hex(encode(coalesce(text, ''))), '..'), lambda h: ('0x' || h)::UBIGINT) AS octets FROM documents
+), sized AS (
+  SELECT doc_id, len(octets)::BIGINT + 8 AS size, {_crc32_sql('octets')} AS text_crc32 FROM docs
+), placed AS (
+  SELECT *, coalesce(sum(size) OVER (ORDER BY doc_id NULLS FIRST, text_crc32, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS start, sum(size) OVER () AS total FROM sized
+), cut AS (
+  SELECT *, least(23, start * 24 // total)::INT AS shard FROM placed
+)
+SELECT doc_id, size, text_crc32, 'bytes' AS law, shard, (row_number() OVER (PARTITION BY shard ORDER BY doc_id NULLS FIRST, text_crc32, size) - 1)::BIGINT AS slot, NULL::INT AS grown_shard FROM cut
+"""
+
 ORACLE_SQL["op2_mixing"] = r"""
 WITH RECURSIVE counted AS (
   SELECT doc_id, source, md5(coalesce(text, '')) AS text_md5, greatest(1, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')))::BIGINT AS n_tokens FROM documents
