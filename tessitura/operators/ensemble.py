@@ -42,7 +42,7 @@ def _wide(parts: dict[str, DataFrame], key: str) -> DataFrame:
     """One row an id, a vector column a model, null where the model doesn't know the id; stored."""
     stack = None
     for name, df in parts.items():
-        one = df.select(key, F.lit(name).alias("m"), F.col("vector").cast("array<double>").alias("v"))
+        one = df.select(key, F.lit(name).alias("m"), F.col("vector").cast("array<float>").alias("v"))
         stack = one if stack is None else stack.unionByName(one)
     return materialize(stack.groupBy(key).agg(*[F.first(F.when(F.col("m") == n, F.col("v")), ignorenulls=True).alias(f"{key[0]}_{n}") for n in parts]), f"vectors-{key}")
 

@@ -286,6 +286,9 @@ ORACLES = {
 SELECT 'user' AS kind, user_id::VARCHAR AS id, round(b, 6) AS bias FROM bu UNION ALL SELECT 'item', song_id, round(b, 6) FROM bi"""),
     "bloom_slots": with_views("songs", then=f"{_BLOOM}\nSELECT song_id, array_to_string(slots, ',') AS slots FROM bloom"),
     "bloom_dedup": with_views("songs", then=f"{_BLOOM}, bits AS (SELECT DISTINCT unnest(slots) AS slot FROM bloom WHERE song_id::INT % 3 = 0), each AS (SELECT song_id, unnest(slots) AS slot FROM bloom)\nSELECT DISTINCT song_id FROM each ANTI JOIN bits USING (slot)"),
+    "synthetic_songs": """WITH w AS (SELECT r AS rank, pow(r, -1.2::DOUBLE) AS w FROM (SELECT unnest(range(1, 501)) AS r)), c AS (SELECT rank, w, sum(w) OVER (ORDER BY rank) AS high FROM w),
+d AS (SELECT ((('0x' || substring(md5('zipf|' || i), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296) * (SELECT sum(w) FROM w) AS x FROM (SELECT unnest(range(0, 2000)) AS i))
+SELECT rank, count(*) AS n FROM d JOIN c ON x >= high - w AND x < high GROUP BY 1""",
     "audio_composites": with_views("audio", then="""r AS (SELECT *, 1 - exp(-4 * energy * 0.4::DOUBLE) AS e, CASE WHEN bpm = 0 THEN 0.5 ELSE exp(-0.5::DOUBLE * pow((bpm - 120) / 40, 2)) END AS sweet, list_sort(list_transform(range(1, 13), lambda i: abs(sin(bpm * i + lift)) / 4), 'DESC') AS c FROM audio)
 SELECT song_id, round(e, 3) AS energy, round(greatest(0, least(1, 0.5::DOUBLE * lift + 0.3::DOUBLE * e + 0.2::DOUBLE * sweet)), 3) AS danceability,
  round(greatest(0, least(1, 0.45::DOUBLE + CASE mode WHEN 'major' THEN 0.15::DOUBLE ELSE -0.15::DOUBLE END + 0.25::DOUBLE * (brightness - 0.5) + 0.15::DOUBLE * (e - 0.5))), 3) AS valence, round(greatest(0, least(1, 0.5::DOUBLE * key_strength + 0.5::DOUBLE * (c[1] + c[2] + c[3]))), 3) AS harmonic_clarity FROM r"""),
