@@ -126,7 +126,9 @@ def retriever_score(candidates: DataFrame, frame: DataFrame, edges: DataFrame, f
     of look-ups a candidate, however many neighbours an item has. fresh_top and popular_top: at most 200 songs each.
     """
     own = last(frame, recent).select("user_id", F.col("song_id").alias("src"))
-    met = candidates.select("user_id", F.col("song_id").alias("dst")).join(own, "user_id").join(edges, ["src", "dst"])
+    # songs without an edge, as most of the popularity floor, are not looked up
+    linked = candidates.select("user_id", F.col("song_id").alias("dst")).join(edges.select("dst").distinct(), "dst", "left_semi")
+    met = linked.join(own, "user_id").join(edges, ["src", "dst"])
     sums = met.groupBy("user_id", F.col("dst").alias("song_id")).agg(*[F.expr(f"((sum({c}) + 500) div 1000) / 1e6D").alias(c) for c in ("co", "knn")])
     c = candidates.join(sums, ["user_id", "song_id"], "left").join(F.broadcast(fresh_top.select("song_id", F.lit(0.2).alias("f"))), "song_id", "left").join(F.broadcast(popular_top.select("song_id", F.lit(0.1).alias("p"))), "song_id", "left")
     zero = F.lit(0.0)
