@@ -43,10 +43,15 @@ def cleanup(spark: SparkSession) -> None:
     _delete(spark, run_dir(spark))
 
 
+def new_folder(spark: SparkSession, label: str) -> str:
+    """A path under the run's folder that nothing has yet."""
+    return f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+
+
 def materialize(df: DataFrame, label: str) -> DataFrame:
     """Write df under the shared folder and read it back: cuts lineage, survives lost executors."""
     spark = df.sparkSession
-    path = f"{run_dir(spark)}/{label}-{uuid.uuid4().hex}"
+    path = new_folder(spark, label)
     df.write.parquet(path)
     stored = spark.read.schema(df.schema).parquet(path)
     stored._stored_at = path

@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.llm import decontamination, lm, mixing, quality, rules, sharding, simhash, token_counts, toxicity, warc
-from tessitura.llm._shared import table
+from tessitura.llm import decontamination, lm, mixing, quality, rules, sharding, simhash, token_counts, token_files, toxicity, warc
+from tessitura.llm._shared import new_folder, table
 
 
 def op1_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -75,6 +75,11 @@ def op10_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return book.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "failed", "n_lines", "n_upper", "n_exclamations")
 
 
+def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = token_files.write_tokens(table(spark, sf_dir, "documents"), new_folder(spark, "token-files"), token_files.default_tokenizer(), end_id=0, keep=["lang", "source"])
+    return token_files.with_checksums(spark, folder)
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
@@ -86,6 +91,7 @@ QUERIES = {
     "op8_warc": op8_warc,
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
+    "op11_token_files": op11_token_files,
 }
 
 
