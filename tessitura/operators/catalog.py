@@ -27,13 +27,14 @@ def quality(df: DataFrame, min_views: int = MIN_VIEWS, max_seconds: int = MAX_SE
 
 
 def parse(info: DataFrame, now: str) -> DataFrame:
-    """Recorded metadata to typed, tagged and scored songs that pass the quality filter."""
+    """Recorded metadata to typed, tagged and scored songs that pass the quality filter. A row's place of arrival, ``pos``, stays with it."""
     title, text = F.coalesce("title", F.lit("")), F.coalesce("description", F.lit(""))
     typed = info.select(
         F.col("id").alias("song_id"), "title", F.coalesce("uploader", "channel", F.lit("")).alias("channel"), "channel_id", F.coalesce(F.col("duration").cast("int"), F.lit(0)).alias("duration"),
         F.coalesce("view_count", F.lit(0)).alias("view_count"), F.coalesce("like_count", F.lit(0)).alias("like_count"), "upload_date", text.alias("description"),
         S.genre(title, text).alias("genre_code"), S.language(title).alias("language_code"), S.energy(title).alias("energy_score"), S.mood_tags(title, text).alias("mood_tags"),
         S.tag_flag(title, "official").alias("has_official"), S.tag_flag(title, "lyrics", "lyric video").alias("has_lyric"), S.tag_flag(title, "remix", "mashup", "bootleg").alias("has_remix"),
+        *(c for c in info.columns if c == "pos"),
     )
     return quality(typed).withColumn("raw_score", S.raw_score(F.col("view_count"), F.col("like_count"), S.freshness(F.col("upload_date"), now), F.col("energy_score")))
 
@@ -110,17 +111,19 @@ def deep_queries(spark: SparkSession, artists: list[str], moods: list[str], char
     return rows.groupBy("query").agg(F.min("pos").alias("pos"))
 
 
+#: A row's own place, then what makes the choice repeatable where places are equal.
+FIRST_COME = ["pos", "title", "view_count", "like_count", "description"]
+
+
 def deep_feed(info: DataFrame, known: DataFrame, now: str, n: int = 2500) -> DataFrame:
     """The nightly feed of recorded metadata (with ``pos``, the order of arrival): what passes the quality filter, each id
     once, none that is known already, the first n by raw score with their rank."""
-    found = parse(info, now).join(info.groupBy(F.col("id").alias("song_id")).agg(F.min("pos").alias("pos")), "song_id")
-    return feed(unseen(first_by(found, ["song_id"], ["pos", "title"]), known), n)
+    return feed(unseen(first_by(parse(info, now), ["song_id"], FIRST_COME), known), n)
 
 
 def refresh(info: DataFrame, songs: DataFrame, feed_songs: DataFrame, now: str, n: int = 100) -> tuple[DataFrame, DataFrame]:
     """The hourly refresh: (catalog with the new songs merged in, feed rows with a new snapshot and without old ones)."""
-    found = parse(info, now).join(info.groupBy(F.col("id").alias("song_id")).agg(F.min("pos").alias("pos")), "song_id")
-    top = feed(first_by(found, ["song_id"], ["pos", "title"]), n)
+    top = feed(first_by(parse(info, now), ["song_id"], FIRST_COME), n)
     stamp = F.lit(now).cast("timestamp")
     new = top.withColumn("first_seen", stamp).withColumn("last_seen", stamp).withColumn("times_fetched", F.lit(1)).withColumn("seq", F.col("rank_in_snapshot").cast("long"))
     merged = upsert(songs, new.select("song_id", "seq", *[c for c in SONG_RULES if c in new.columns]), ["song_id"], {c: r for c, r in SONG_RULES.items() if c in songs.columns})

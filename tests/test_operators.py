@@ -150,6 +150,16 @@ def test_deep_feed_and_refresh(spark):
     assert {(str(r["snapshot_id"]), r["song_id"]) for r in feeds.collect()} == {("2024-01-30", "y"), ("2024-02-01", "a"), ("2024-02-01", "b"), ("2024-02-01", "old")}
 
 
+def test_first_come_is_the_rows_own_place(spark):
+    """Whatever the order of rows and the number of partitions."""
+    given = [{"id": "a", "pos": 0}, {"id": "a", "pos": 2, "view_count": 80_000}, {"id": "b", "pos": 1, "view_count": 70_000}, {"id": "b", "pos": 4}, {"id": "a", "pos": 3, "view_count": 90_000}]
+    known = spark.createDataFrame([], "song_id string")
+    for rows in (given, given[::-1], given[2:] + given[:2]):
+        for n in (1, 64):
+            got = catalog.deep_feed(metadata(spark, rows).repartition(n), known, NOW).collect()
+            assert {(r["song_id"], r["view_count"]) for r in got} == {("a", 50_000), ("b", 70_000)}
+
+
 def test_preference_commands(spark):
     prefs = spark.createDataFrame([(1, ["a"], None, 0.3), (2, [], "z", 0.5)], "user_id long, blacklist array<string>, anchor_song_id string, adventurous double")
     cmds = spark.createDataFrame([(1, 2, "never", "c"), (1, 1, "never", "b"), (1, 3, "never", "a"), (1, 4, "adventurous", "99"), (3, 1, "anchor", "x"), (3, 2, "anchor", "y")], "user_id long, seq int, command string, argument string")
