@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessitura.llm import decontamination, lm, mixing, quality, rules, sharding, simhash, token_counts, token_files, toxicity, warc
+from tessitura.llm import clustering, decontamination, lm, mixing, prefix_trie, quality, rules, sharding, simhash, token_counts, token_files, toxicity, warc
 from tessitura.llm._shared import new_folder, table
 
 
@@ -80,6 +80,21 @@ def op11_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.with_checksums(spark, folder)
 
 
+#: The parameters of op12: components, factor before rounding, centroids, rounds.
+DIM, SCALE, CENTROIDS, ROUNDS = 64, 256, 40, 5
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = clustering.integer_vectors(table(spark, sf_dir, "embeddings"), DIM, SCALE)
+    done = clustering.yinyang(vectors, clustering.first_centroids(vectors, CENTROIDS, "2:"), ROUNDS)
+    return clustering.summarised(done).select(F.col("__id").alias("vec_id"), "cluster", "distance", "cluster_inertia", "inertia", "centroid_sha256")
+
+
+def op13_conversation_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns, members = prefix_trie.rebased(prefix_trie.ordered_turns(table(spark, sf_dir, "conversations")), group=5, heads=9)
+    return prefix_trie.build(turns, members).drop("n_ends").withColumnRenamed("saved_bytes", "saved_tokens")
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_mixing": op2_mixing,
@@ -92,6 +107,8 @@ QUERIES = {
     "op9_decontamination": op9_decontamination,
     "op10_quality_rules": op10_quality_rules,
     "op11_token_files": op11_token_files,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_conversation_trie": op13_conversation_trie,
 }
 
 
@@ -222,3 +239,55 @@ WITH docs AS (
 )
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, (failed & 3) > 0 AS base_failed, failed = 0 AS kept, failed, n_lines, n_upper, n_exclamations FROM marked
 """
+
+
+def _clusters_sql() -> str:
+    """Every round by all distances."""
+    parts = [
+        f"""v AS MATERIALIZED (
+  SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor({SCALE} * x::DOUBLE)::BIGINT) AS x FROM embeddings
+  WHERE len(embedding) = {DIM} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {DIM}
+)""",
+        f"c0 AS MATERIALIZED (SELECT (row_number() OVER (ORDER BY h, x) - 1)::INT AS j, x AS c FROM (SELECT x, sha256('2:' || vec_id) AS h FROM v ORDER BY h NULLS LAST, x LIMIT {CENTROIDS}))",
+    ]
+    for i in range(ROUNDS + 1):
+        parts.append(f"""a{i} AS MATERIALIZED (
+  SELECT r, min(d * 100000 + j) % 100000 AS j, min(d * 100000 + j) // 100000 AS d
+  FROM (SELECT r, j, list_sum(list_transform(list_zip(x, c), lambda z: (z[1] - z[2]) * (z[1] - z[2])))::BIGINT AS d FROM v, c{i}) GROUP BY r
+)""")
+        if i < ROUNDS:
+            parts.append(f"""m{i} AS (
+  SELECT j, list(((s - ((s % n) + n) % n) // n)::BIGINT ORDER BY p) AS c
+  FROM (SELECT j, p, sum(x[p]) AS s, count(*)::HUGEINT AS n FROM (SELECT a.j, v.x, unnest(range(1, {DIM + 1})) AS p FROM v JOIN a{i} a USING (r)) GROUP BY j, p) GROUP BY j
+), c{i + 1} AS MATERIALIZED (SELECT c.j, coalesce(m.c, c.c) AS c FROM c{i} c LEFT JOIN m{i} m ON c.j = m.j)""")
+    return "WITH " + ", ".join(parts) + f"""
+SELECT v.vec_id, a.j::INT AS cluster, a.d::BIGINT AS distance, (sum(a.d) OVER (PARTITION BY a.j))::BIGINT AS cluster_inertia, (sum(a.d) OVER ())::BIGINT AS inertia, sha256(array_to_string(c.c, ',')) AS centroid_sha256
+FROM v JOIN a{ROUNDS} a USING (r) JOIN c{ROUNDS} c ON a.j = c.j
+"""
+
+
+ORACLE_SQL["op12_centroid_clusters"] = _clusters_sql()
+
+ORACLE_SQL["op13_conversation_trie"] = f"""
+WITH t AS (
+  SELECT conv_id, {{'r': coalesce(role, ''), 'x': coalesce(text, '')}} AS turn, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, coalesce(role, ''), coalesce(text, '')) AS p FROM conversations WHERE conv_id IS NOT NULL
+), c AS (
+  SELECT conv_id, list(turn ORDER BY p) AS own, conv_id - conv_id % 5 AS base, {_crc32_sql("list_transform(regexp_extract_all(conv_id::VARCHAR, '.'), lambda d: ascii(d)::UBIGINT)")} % 9 AS h FROM t GROUP BY conv_id
+), rebuilt AS (
+  SELECT c.conv_id, list_concat(coalesce(b.own[1:c.h], []), c.own[c.h + 1:len(c.own)]) AS s FROM c LEFT JOIN c b ON b.conv_id = c.base
+), prefixes AS (
+  SELECT conv_id, len(s) AS n, d, s[1:d] AS prefix FROM (SELECT conv_id, s, unnest(range(0, len(s) + 1)) AS d FROM rebuilt)
+), nodes AS (
+  SELECT d, prefix, min(conv_id) AS id, count(*) AS n_convs, max(n) = d AS leaf, coalesce(strlen(any_value(prefix[d].x)), 0) AS bytes,
+    sha256(coalesce(string_agg(conv_id::VARCHAR, ',' ORDER BY conv_id) FILTER (WHERE n = d), '')) AS ends
+  FROM prefixes GROUP BY d, prefix
+), named AS (
+  SELECT p.conv_id, p.d, n.id FROM prefixes p JOIN nodes n ON p.d = n.d AND p.prefix = n.prefix
+), up AS (
+  SELECT n.id, n.d, a.d AS top_d, a.id AS top, n.leaf, (n.n_convs - 1) * n.bytes AS saved FROM nodes n JOIN named a ON a.conv_id = n.id AND a.d <= n.d
+), rolled AS (
+  SELECT top, top_d, count(*) FILTER (WHERE d = top_d + 1) AS n_children, count(*) FILTER (WHERE leaf) AS n_leaves, sum(saved)::BIGINT AS saved_tokens FROM up GROUP BY top, top_d
+)
+SELECT n.id AS conv_id, n.d AS depth, a.id AS parent_conv_id, n.n_convs, r.n_children, r.n_leaves, r.saved_tokens, n.ends AS ends_sha256
+FROM nodes n JOIN rolled r ON r.top = n.id AND r.top_d = n.d LEFT JOIN named a ON a.conv_id = n.id AND a.d = n.d - 1
+"""
