@@ -65,7 +65,7 @@ def first_centroids(vectors: DataFrame, k: int, prefix: str) -> np.ndarray:
     """
     key = F.sha2(F.concat(F.lit(prefix), F.col("__id").cast("string")), 256)
     rows = vectors.select("x", key.alias("key")).orderBy(F.col("key").asc_nulls_last(), "x").limit(k).collect()  # k rows
-    return np.array([r["x"] for r in rows], np.int64).reshape(len(rows), -1)
+    return np.array([r["x"] for r in rows], np.int64).reshape(len(rows), len(rows[0]["x"]) if rows else 0)
 
 
 def grouped(centroids: np.ndarray, n_groups: int, rounds: int = 5) -> np.ndarray:

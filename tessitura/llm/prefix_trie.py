@@ -21,6 +21,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessitura.llm._shared import arrow_limits, col, discard, join_hot, materialize, partitions
 
@@ -62,7 +63,7 @@ def ordered_turns(conversations: DataFrame, *, conv_col: str = "conv_id", turn_c
     )
     order = ["conv_id", "turn", "role", "head", "digest"]
     narrow = rows.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).select("conv_id", "digest", "bytes", F.spark_partition_id().alias("part"))
-    placed = materialize(narrow.mapInArrow(_positions, narrow.schema.add("at", "long")), "trie-order")
+    placed = materialize(narrow.mapInArrow(_positions, T.StructType([*narrow.schema, T.StructField("at", T.LongType())])), "trie-order")
     # a conversation that lies in several partitions goes on in the next: there are fewer of those than partitions
     runs = placed.groupBy("conv_id", "part").agg(F.max("at").alias("n"))
     several = runs.groupBy("conv_id").agg(F.count(F.lit(1)).alias("parts"), F.array_sort(F.collect_list(F.struct("part", "n"))).alias("runs")).where("parts > 1").drop("parts")
@@ -119,7 +120,7 @@ def build(turns: DataFrame, members: DataFrame) -> DataFrame:
     if not head[1]:
         return _result(members.limit(0).select(*[F.lit(0).cast("long").alias(c) for c in ("conv_id", "depth", "parent_conv_id", "n_convs", "n_children", "n_leaves", "saved_bytes", "n_ends")], F.lit("").alias("ends_sha256")))
     root = head[0]
-    level = F.lit(root).alias("node")
+    level = F.lit(root).cast("long").alias("node")
     live, ends, groups, depth = members.where("n > 0").select("conv_id", level, "n"), [members.where("n = 0").select(F.lit(0).alias("depth"), level, "conv_id")], [], 0
     held = None
     while True:
@@ -145,10 +146,10 @@ def build(turns: DataFrame, members: DataFrame) -> DataFrame:
     below = groups[-1].select("parent", F.lit(1).cast("long").alias("n_leaves"), F.lit(0).cast("long").alias("saved_bytes"))
     for d in range(depth - 1, -1, -1):
         kids = below.groupBy("parent").agg(F.count(F.lit(1)).alias("n_children"), F.sum("n_leaves").alias("leaves"), F.sum("saved_bytes").alias("saved")).withColumnRenamed("parent", "conv_id")
-        own = groups[d - 1].where("n_convs > 1").drop("n") if d else members.sparkSession.range(1).select(F.lit(root).alias("conv_id"), F.lit(None).cast("long").alias("parent"), F.lit(head[1]).alias("n_convs"), F.lit(0).cast("long").alias("bytes"), F.lit(None).cast("long").alias("n_ends"))
-        n_children = F.coalesce("n_children", F.lit(0))
+        own = groups[d - 1].where("n_convs > 1").drop("n") if d else members.sparkSession.range(1).select(F.lit(root).cast("long").alias("conv_id"), F.lit(None).cast("long").alias("parent"), F.lit(head[1]).cast("long").alias("n_convs"), F.lit(0).cast("long").alias("bytes"), F.lit(None).cast("long").alias("n_ends"))
+        n_children = F.coalesce("n_children", F.lit(0).cast("long"))
         rolled[d] = materialize(own.join(kids, "conv_id", "left").select(
-            "conv_id", F.lit(d).cast("long").alias("depth"), "parent", "n_convs", n_children.alias("n_children"), F.when(n_children == 0, 1).otherwise(F.col("leaves")).cast("long").alias("n_leaves"),
+            "conv_id", F.lit(d).cast("long").alias("depth"), "parent", "n_convs", n_children.cast("long").alias("n_children"), F.when(n_children == 0, 1).otherwise(F.col("leaves")).cast("long").alias("n_leaves"),
             ((F.col("n_convs") - 1) * F.col("bytes") + F.coalesce("saved", F.lit(0))).alias("saved_bytes"),
         ), f"trie-rolled-{d}")
         alone = groups[d - 1].where("n_convs = 1").select("parent", F.lit(1).cast("long").alias("n_leaves"), F.lit(0).cast("long").alias("saved_bytes")) if d else None
@@ -230,6 +231,6 @@ def _digests(ends: DataFrame) -> DataFrame:
     """``depth, conv_id, ends, ends_sha256`` of ``depth, node, conv_id``. A digest is of a sequence, so a node's strings meet in one task, which reads them one by one; ids are sorted and joined before, on all."""
     spark = ends.sparkSession
     order = ["depth", "node", "conv_id"]
-    ends = ends.select(F.col("depth").cast("long"), "node", "conv_id")
+    ends = ends.select(F.col("depth").cast("long"), F.col("node").cast("long"), F.col("conv_id").cast("long"))
     strings = ends.repartitionByRange(partitions(spark), *order).sortWithinPartitions(*order).mapInArrow(_joined, "depth long, node long, start long, ends long, ids string")
     return strings.repartition(partitions(spark), "depth", "node").sortWithinPartitions("depth", "node", "start").mapInArrow(_hashed, "depth long, conv_id long, ends long, ends_sha256 string")
