@@ -379,6 +379,7 @@ def _meet(max_bits: int, group: int):
     Members with the wiped bit alike have the whole segment in common and so meet under all its variants; their links
     are made under the first: a minimum spanning forest by bits of each run of ``group`` of them, and all links to the
     middle one. Under every variant, members with that bit unlike are linked, each of the fewer to its nearest other.
+    All members of a key over ``group`` may meet more, whatever run they are in.
     """
 
     def out(linked: bool, a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
@@ -402,7 +403,8 @@ def _meet(max_bits: int, group: int):
             i, j = np.r_[e[:, 0], np.full(n - 1, m)], np.r_[e[:, 1], rest]
         yield from links_of(rows[i], rows[j])
 
-    def run_of(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
+    def run_of(rows: np.ndarray, over: bool = False) -> Iterator[pa.RecordBatch]:
+        """over: of a key of more members than ``group``; each may meet others in another run."""
         first, bit = (int(rows[0, 0]) >> SEGMENT_BITS) % SEGMENT_BITS == 0, _bit(rows)
         sides = [rows[bit == 0], rows[bit == 1]]
         fewer, more = sorted(sides, key=len)
@@ -418,37 +420,45 @@ def _meet(max_bits: int, group: int):
                 j = np.array([(np.bitwise_count(hi ^ h).astype(np.int64) + np.bitwise_count(lo ^ l)).argmin() for h, l in zip(fewer[:, 1].view(np.uint64), fewer[:, 2].view(np.uint64))])
             yield from links_of(fewer[i], more[j])
         # of a key with over FEW members the more are three at least, and met under the first variant of their segment
-        seen = rows if first else fewer if len(rows) > FEW else rows[:0]
-        if len(rows) > 2 and len(seen):
+        seen = rows if first or over else fewer if len(rows) > FEW else rows[:0]
+        if (over or len(rows) > 2) and len(seen):
             yield out(False, seen[:, 3], seen[:, 3])
 
+    def runs_of(rows: np.ndarray, over: bool) -> Iterator[pa.RecordBatch]:
+        for at in range(0, len(rows), group):
+            yield from run_of(rows[at : at + group], over)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry = np.empty((0, 4), np.int64)
+        carry, hot = np.empty((0, 4), np.int64), None  # rows of the last key; that key, once runs of it have been worked
         for batch in batches:
             rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype(np.int64, copy=False)
             rows = np.concatenate([carry, rows])
             if not len(rows):
                 continue
-            starts = np.r_[0, np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1]
-            sizes = np.diff(np.r_[starts, len(rows)])
-            done, last = sizes[:-1], int(starts[-1])
-            bit, first = _bit(rows[:last]), (rows[:last, 0] >> SEGMENT_BITS) % SEGMENT_BITS == 0
-            pair = starts[:-1][done == 2]
-            pair = pair[first[pair] | (bit[pair] != bit[pair + 1])]
-            yield from links_of(rows[pair], rows[pair + 1])
-            # a key whose members have its bit alike has nothing to link, unless it is the first of its segment
-            ones = np.add.reduceat(bit.astype(np.int64), starts[:-1]) if last else np.empty(0, np.int64)
-            use = (done > 2) & (first[starts[:-1]] | (ones > 0) & (ones < done))
-            for s, n in zip(starts[:-1][use].tolist(), done[use].tolist()):
-                for at in range(s, s + n, group):
-                    yield from run_of(rows[at : min(at + group, s + n)])
+            if hot is not None and (n := int((rows[:, 0] == hot).sum())) < len(rows):
+                yield from runs_of(rows[:n], True)
+                rows, hot = rows[n:], None
+            last = 0
+            if hot is None:
+                starts = np.r_[0, np.flatnonzero(rows[1:, 0] != rows[:-1, 0]) + 1]
+                sizes = np.diff(np.r_[starts, len(rows)])
+                done, last = sizes[:-1], int(starts[-1])
+                bit, first = _bit(rows[:last]), (rows[:last, 0] >> SEGMENT_BITS) % SEGMENT_BITS == 0
+                pair = starts[:-1][(done == 2) & (done <= group)]
+                pair = pair[first[pair] | (bit[pair] != bit[pair + 1])]
+                yield from links_of(rows[pair], rows[pair + 1])
+                # a key whose members have its bit alike has nothing to link, unless it is the first of its segment
+                ones = np.add.reduceat(bit.astype(np.int64), starts[:-1]) if last else np.empty(0, np.int64)
+                use = ((done > 2) | (done > group)) & (first[starts[:-1]] | (ones > 0) & (ones < done))
+                for s, n in zip(starts[:-1][use].tolist(), done[use].tolist()):
+                    yield from runs_of(rows[s : s + n], n > group)
             carry = rows[last:]
-            while len(carry) > 2 * group:  # a key of any size is worked in runs
-                yield from run_of(carry[:group])
+            while len(carry) > group:  # a key of any size is worked in runs
+                hot = int(carry[0, 0])
+                yield from run_of(carry[:group], True)
                 carry = carry[group:]
-        if len(carry) > 1:
-            for at in range(0, len(carry), group):
-                yield from run_of(carry[at : at + group])
+        if len(carry) > 1 or hot is not None:
+            yield from runs_of(carry, hot is not None)
 
     return run
 

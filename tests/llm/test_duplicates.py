@@ -249,3 +249,26 @@ def test_equal_signatures_are_verified(spark):
     texts = [" ".join(f"w{rng.randrange(30)}" for _ in range(20_000)) for _ in range(2)]
     assert simhash.signature(texts[0].encode()) == simhash.signature(texts[1].encode())
     assert components_of(spark, [*texts, texts[0].upper().replace(" ", "  ")]) == {0: 0, 1: 1, 2: 0}
+
+
+@pytest.mark.parametrize("group,batch", [(8, 5), (8, 1000), (4, 3)])
+def test_all_of_an_oversized_key_are_compared(spark, group, batch):
+    """Whatever is left for a key's last run: members that share one segment and nothing else are all reported."""
+    rng = np.random.default_rng(group)
+    held = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        for n in (group, group + 1, group + 2, group + 4, 2 * group, 2 * group + 1, 2 * group + 2, 3 * group):
+            rows = [(i, int(hi), int(lo) & ~0xFFFFFF | i % 2) for i, (hi, lo) in enumerate(rng.integers(-(2**63), 2**63, (n, 2)))]  # segment 0: one bit
+            table = spark.createDataFrame(rows, "node long, hi long, lo long")
+            met = simhash.meetings(table, max_bits=0, group=group)
+            assert {r["a"] for r in met.where("not linked").collect()} == set(range(n))
+    finally:
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", held)
+
+
+@pytest.mark.parametrize("extra", [0, 1, 2, 4, 9])
+def test_groups_just_over_the_limit(spark, extra):
+    """Near copies in groups of the limit and a little more, against all pairs that meet."""
+    texts = family(7 + extra, edits=3, seed=extra) + family(3, seed=90)
+    assert components_of(spark, texts, group=8) == met_roots(texts)
