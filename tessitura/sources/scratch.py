@@ -33,7 +33,16 @@ def folder(spark: SparkSession, label: str) -> str:
 def materialize(df: DataFrame, label: str) -> DataFrame:
     path = folder(df.sparkSession, label)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    stored = df.sparkSession.read.schema(df.schema).parquet(path)
+    stored._stored_at = path
+    return stored
+
+
+def discard(df: DataFrame) -> None:
+    """Delete a table that ``materialize`` returned and that nothing reads any more."""
+    if at := getattr(df, "_stored_at", None):
+        path = df.sparkSession._jvm.org.apache.hadoop.fs.Path(at)
+        path.getFileSystem(df.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def cleanup(spark: SparkSession) -> None:
