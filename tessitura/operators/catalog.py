@@ -177,16 +177,27 @@ def bloom_slots(key: Column, m: int = 2_000_003, k: int = 7) -> Column:
     return F.transform(F.array(*[F.lit(p) for p in S.primes(30)[:k]]), lambda p: ((h * p.cast("decimal(5,0)") + (p * p).cast("decimal(8,0)")) % F.lit(m).cast("decimal(10,0)")).cast("int"))
 
 
-def bloom_filter(keys: DataFrame, column: str = "song_id") -> DataFrame:
-    """(slot): the bits that are set, at most m rows."""
-    return keys.select(F.explode(bloom_slots(F.col(column))).alias("slot")).distinct()
+def bloom_filter(keys: DataFrame, column: str = "song_id", m: int = 2_000_003) -> DataFrame:
+    """(bits): one row, the m bits as 64-bit words (250 KB by default), whatever the number of keys.
+
+    Words are combined by bitwise or before they are shuffled, so a task sends at most m / 64 rows.
+    """
+    n = -(-m // 64)
+    word, bit = F.expr("slot div 64"), F.expr("shiftleft(1L, slot % 64)")
+    some = keys.select(F.explode(bloom_slots(F.col(column), m)).alias("slot")).groupBy(word.alias("word")).agg(F.bit_or(bit).alias("bits"))
+    every = some.unionByName(keys.sparkSession.range(n).select(F.col("id").alias("word"), F.lit(0).cast("long").alias("bits"))).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+    # n words
+    return every.agg(F.transform(F.array_sort(F.collect_list(F.struct("word", "bits"))), lambda w: w["bits"]).alias("bits"))
 
 
-def bloom_unseen(rows: DataFrame, bits: DataFrame, column: str = "song_id") -> DataFrame:
-    """Rows whose key has a slot that isn't set: surely new. What the filter takes for known by mistake is left out too."""
-    slots = rows.select(column).distinct().select(column, F.explode(F.array_distinct(bloom_slots(F.col(column)))).alias("slot"))
-    new = slots.join(bits, "slot", "left_anti").select(column).distinct()
-    return rows.join(new, column, "left_semi")
+def bloom_unseen(rows: DataFrame, bits: DataFrame, column: str = "song_id", m: int = 2_000_003) -> DataFrame:
+    """Rows whose key has a slot that isn't set: surely new. What the filter takes for known by mistake is left out too.
+
+    bits: of ``bloom_filter`` with the same m. Its one row, of a size that m fixes, is broadcast; rows stay where they are.
+    """
+    is_unset = lambda slot: F.call_function("shiftrightunsigned", F.element_at("__bits", (F.floor(slot / 64) + 1).cast("int")), slot % 64).bitwiseAND(F.lit(1)) == 0
+    one = bits.select(F.col("bits").alias("__bits"))
+    return rows.join(F.broadcast(one), F.exists(bloom_slots(F.col(column), m), is_unset), "left_semi")
 
 
 # Registry and jobs.

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,6 +20,7 @@ RANK = 16
 #: What a mood adds to recency.
 MOOD_BOOST = {"gym": 0.1, "morning": 0.05}
 DEFAULT_SLOTS = 3
+RETRIEVER_TABLES = ["frame", "fresh", "popular", "co", "knn"]
 
 
 class Retriever:
@@ -29,6 +31,16 @@ class Retriever:
         self.frame, self.fresh, self.popular = frame, fresh, popular
         self.co, self.knn = materialize(R.cooccurrence(frame), "cooccurrence"), materialize(R.item_knn(frame), "knn")
 
+    @classmethod
+    def restored(cls, tables: dict[str, DataFrame]) -> Retriever:
+        """One whose parts have been stored: frame, fresh, popular, co, knn."""
+        own = cls.__new__(cls)
+        own.frame, own.fresh, own.popular, own.co, own.knn = (tables[t] for t in RETRIEVER_TABLES)
+        return own
+
+    def tables(self) -> dict[str, DataFrame]:
+        return {t: getattr(self, t) for t in RETRIEVER_TABLES}
+
     def pool(self) -> DataFrame:
         co, knn = R.expand(self.frame, self.co, "weight"), R.expand(self.frame, self.knn, "sim")
         return R.pool(self.frame, [co, knn], [self.fresh, self.popular])
@@ -66,6 +78,23 @@ class Ensemble:
         self.users, self.items = _wide(users, "user_id"), _wide(items, "song_id")
         self.next = materialize(M.next_songs(frame), "next-songs")
 
+    def tables(self) -> dict[str, DataFrame]:
+        """All that is fitted, to be stored; the rest is in ``values``."""
+        return {"users": self.users, "items": self.items, "next": self.next, **self.retriever.tables()}
+
+    def values(self) -> dict:
+        return {"light": self.light} | ({} if self.light else {"mean": float(self.mean), "weights": [float(w) for w in self.weights]})
+
+    @classmethod
+    def restored(cls, tables: dict[str, DataFrame], values: dict, songs: DataFrame) -> Ensemble:
+        """One that was stored as ``tables`` and ``values``, for the songs of now."""
+        own = cls.__new__(cls)
+        own.users, own.items, own.next, own.frame = (tables[t] for t in ("users", "items", "next", "frame"))
+        own.songs, own.retriever, own.light = songs, Retriever.restored(tables), values["light"]
+        if not own.light:
+            own.mean, own.weights = values["mean"], np.array(values["weights"])
+        return own
+
     def score(self, candidates: DataFrame) -> DataFrame:
         """(user, song, s_als, s_two_tower, s_sequence, s_retriever and, unless light, s_feature_mf, s_svd, s_ncf).
 

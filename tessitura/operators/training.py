@@ -21,6 +21,7 @@ from tessitura.operators import ensemble as E
 from tessitura.operators import interactions as I
 from tessitura.operators import models as M
 from tessitura.operators import retrieval as R
+from tessitura.sources import files
 from tessitura.sources.scratch import materialize
 
 HISTORY = "id long, key string, run_id string, model_version string, ndcg10 double, coverage double, updated_at timestamp"
@@ -94,13 +95,27 @@ def missing_files(spark: SparkSession, artifacts: DataFrame, run_id: str) -> lis
 
 
 def acquire_lock(spark: SparkSession, path: str) -> bool:
-    """Create the lock file, or take over one that is stale; False while another run holds it."""
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    if fs.exists(p) and not lock_is_stale((time.time() - fs.getFileStatus(p).getModificationTime() / 1000) / 3600):
+    """Create the lock file, or take over one that is stale; False while another run holds it. Of any number that ask at
+    once, one gets it.
+
+    A stale lock goes under a second file, which one run creates and which says who may look again and delete it.
+    """
+    if files.create(spark, path, ""):
+        return True
+    stale = lambda p: (at := files.modified(spark, p)) is not None and lock_is_stale((time.time() - at) / 3600)
+    taking = f"{path}.takeover"
+    if not stale(path):
         return False
-    fs.create(p, True).close()
-    return True
+    if not files.create(spark, taking, ""):
+        if stale(taking):  # of a run that died while it took over: the next one may
+            files.delete(spark, taking)
+        return False
+    try:
+        if stale(path):
+            files.delete(spark, path)
+        return files.create(spark, path, "")
+    finally:
+        files.delete(spark, taking)
 
 
 def release_lock(spark: SparkSession, path: str) -> None:

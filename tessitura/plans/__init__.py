@@ -8,11 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def registry() -> tuple[dict[str, Callable[[SparkSession, str], DataFrame]], dict[str, str]]:
-    from tessitura.plans import catalog, feel, frames, learned, retrieval, serving
+    from tessitura.plans import catalog, feel, frames, learned, retrieval, serving, stateful
 
     queries: dict[str, Callable] = {}
     oracles: dict[str, str] = {}
-    for part in (retrieval, frames, catalog, serving, feel, learned):
+    for part in (retrieval, frames, catalog, serving, feel, learned, stateful):
         queries |= part.QUERIES
         oracles |= part.ORACLES
     return queries, oracles

@@ -86,13 +86,19 @@ def bloom_fp(spark, d):
     return n.select("n", F.round(C.bloom_false_positives(F.col("n").cast("double")), 12).alias("fp"), F.round(C.bloom_false_positives(F.lit(1e6)), 6).alias("fp_million"))
 
 
-def catalog_upsert(spark, d):
-    """Each day's metadata of the songs heard that day, merged into the catalog."""
+def upserted(spark, d):
+    """(catalog, each day's metadata of the songs heard that day)."""
     s = Star(spark, d)
     old = s.songs()
     seen = s.listens().groupBy("song_id", F.to_date("started_at").alias("day")).agg(F.max("started_at").alias("last_seen"), F.count(F.lit(1)).alias("n"))
     new = seen.join(old.drop("last_seen", "times_fetched"), "song_id").withColumn("seq", F.datediff("day", F.lit("2024-01-01"))).withColumn("view_count", F.col("view_count") + F.col("n") * 100)
     new = new.withColumn("description", F.concat(F.lit("seen "), F.col("day").cast("string"))).withColumn("first_seen", F.col("last_seen")).withColumn("times_fetched", F.lit(1)).drop("day", "n")
+    return old, new
+
+
+def catalog_upsert(spark, d):
+    """Each day's metadata of the songs heard that day, merged into the catalog."""
+    old, new = upserted(spark, d)
     return C.upsert(old, new, ["song_id"], {c: r for c, r in C.SONG_RULES.items() if c != "mood_tags"}).select("song_id", "title", "view_count", "description", "first_seen", "last_seen", "times_fetched")
 
 

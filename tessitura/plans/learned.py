@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import uuid
 
 from pyspark.sql import DataFrame, Window
@@ -16,44 +17,54 @@ from tessitura.operators import models as M
 from tessitura.operators import retrieval as R
 from tessitura.operators import serving as V
 from tessitura.plans.frames import FRAME, frame_of, split_of
+from tessitura.operators.model_store import ModelStore, input_versions
 from tessitura.plans.retrieval import Retriever
 from tessitura.plans.serving import NIGHT, _prefs
-from tessitura.sources.scratch import folder, materialize
+from tessitura.sources.scratch import folder, materialize, run_folder
 from tessitura.sources.star import NOW, Star, with_views
 from tessitura.streaming import signals as G
 
 _OUT = ["user_id", "rank", "song_id", "score"]
-_FITTED: dict[tuple, object] = {}
+#: What fits are kept under: part of the key of every stored model. Change it with the code of a fit.
+SETTINGS = {"retriever": {"fresh": 500, "popular": 500}, "ensemble": {"rank": E.RANK, "light": False}}
 
 
-def _stamps(spark, d) -> tuple:
-    """When the tables that models are fitted on were last written."""
-    path = spark._jvm.org.apache.hadoop.fs.Path
-    of = lambda t: path(f"{d}/{t}.parquet")
-    return tuple(of(t).getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(of(t)).getModificationTime() for t in ("events", "part"))
+def models(spark) -> ModelStore:
+    """Where models are stored: the folder in ``tessitura.models.dir``, or else one of the application's own."""
+    return ModelStore(spark, spark.conf.get("tessitura.models.dir", None) or f"{run_folder(spark)}/models")
 
 
-def fitted(spark, d, name: str, fit):
-    """What ``fit`` returns: fitted and stored once for an application and a state of the tables, then read from there.
+def _name(d, kind: str) -> str:
+    """Models of each folder of tables have names of their own."""
+    return f"{kind}-{hashlib.sha256(str(d).encode()).hexdigest()[:12]}"
 
-    Serving reads stored models, as training is a job of its own. After ``cleanup`` of the stored tables, ``forget``.
-    """
-    key = (spark.sparkContext.applicationId, str(d), _stamps(spark, d), name)
-    if key not in _FITTED:
-        _FITTED[key] = fit()
-    return _FITTED[key]
 
+def _inputs(spark, d) -> dict[str, str]:
+    return input_versions(spark, [f"{d}/{t}.parquet" for t in ("events", "part")])
 
-def forget() -> None:
-    _FITTED.clear()
+
+def forget(spark, d) -> None:
+    """Delete the stored models of a folder of tables: what is asked for next is fitted."""
+    for kind in SETTINGS:
+        models(spark).forget(_name(d, kind))
 
 
 def _retriever(spark, d) -> Retriever:
-    return fitted(spark, d, "retriever", lambda: Retriever(spark, d))
+    """Candidate sources fitted on all positives, and the pool, as stored."""
+
+    def fit():
+        own = Retriever(spark, d)
+        return {**own.tables(), "pool": own.pool()}, {}
+
+    m = models(spark).get(_name(d, "retriever"), fit, settings=SETTINGS["retriever"], inputs=_inputs(spark, d))
+    own = Retriever.restored(m.tables)
+    own.star, own.stored_pool = Star(spark, d), m.tables["pool"]
+    own.songs = own.star.songs()
+    return own
 
 
 def _unseen(spark, d) -> DataFrame:
-    return fitted(spark, d, "pool", lambda: materialize(_retriever(spark, d).pool(), "pool")).select("user_id", "song_id")
+    return _retriever(spark, d).stored_pool.select("user_id", "song_id")
 
 
 def _top(scored):
@@ -132,9 +143,11 @@ def _ensemble(spark, d):
         train, valid = (parted.where(f"part = '{p}'").drop("part") for p in ("train", "valid"))
         train = materialize(train, "train")
         own = E.Ensemble(train, s.songs(), s.audio_features(), Retriever(spark, d, train))
-        return own, materialize(own.blender(valid), "weights"), materialize(own.retriever.pool(), "train-pool")
+        return {**own.tables(), "blender": own.blender(valid), "pool": own.retriever.pool()}, own.values()
 
-    return fitted(spark, d, "ensemble", fit)
+    # one version is opened once: its tables and values belong together, whatever becomes current meanwhile
+    m = models(spark).get(_name(d, "ensemble"), fit, settings=SETTINGS["ensemble"], inputs=_inputs(spark, d))
+    return E.Ensemble.restored(m.tables, m.values, Star(spark, d).songs()), m.tables["blender"], m.tables["pool"]
 
 
 def blender_weights(spark, d):
@@ -173,7 +186,11 @@ def train(spark, d, history, mode: str = "light", **options):
 
 def features_of(spark, d, *, users: list[int] | None = None, mood: str = "", cached: DataFrame | None = None) -> DataFrame:
     """Candidates of all users, or of some, with all their scores."""
-    s, (own, _, pool) = Star(spark, d), _ensemble(spark, d)
+    return _features(spark, d, _ensemble(spark, d), users, mood, cached)
+
+
+def _features(spark, d, fitted, users, mood, cached) -> DataFrame:
+    s, (own, _, pool) = Star(spark, d), fitted
     if users is not None:
         pool, cached = pool.where(F.col("user_id").isin(users)), cached if cached is None else cached.where(F.col("user_id").isin(users))
     songs = s.songs()
@@ -186,9 +203,9 @@ def features_of(spark, d, *, users: list[int] | None = None, mood: str = "", cac
 
 def recommend(spark, d, *, users: list[int] | None = None, top_k: int = 10, slots: int | None = None, mood: str = "", cached: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(served rows, cache rows) of all users, or of some: pool, scores of all models, blend, re-ranking, rules, reasons."""
-    s = Star(spark, d)
-    scored = features_of(spark, d, users=users, mood=mood, cached=cached)
-    return E.serve(scored, _ensemble(spark, d)[1], s.audio_features(), _vectors(s), s.songs(), _prefs(s), top_k=top_k, slots=slots, mood=mood)
+    s, fitted = Star(spark, d), _ensemble(spark, d)
+    scored = _features(spark, d, fitted, users, mood, cached)
+    return E.serve(scored, fitted[1], s.audio_features(), _vectors(s), s.songs(), _prefs(s), top_k=top_k, slots=slots, mood=mood)
 
 
 def recommend_all(spark, d):

@@ -6,6 +6,7 @@ import os
 import urllib.parse
 import uuid
 
+from py4j.protocol import Py4JJavaError
 from pyspark.sql import SparkSession
 
 
@@ -36,10 +37,15 @@ def names(spark: SparkSession, folder: str) -> list[str]:
     return sorted(s.getPath().getName() for s in fs.listStatus(p)) if fs.exists(p) else []
 
 
-def modified(spark: SparkSession, path: str) -> float:
-    """Seconds since the epoch."""
+def modified(spark: SparkSession, path: str) -> float | None:
+    """Seconds since the epoch; None if there is no such file (any more)."""
     p, fs = _hadoop(spark, path)
-    return fs.getFileStatus(p).getModificationTime() / 1000
+    try:
+        return fs.getFileStatus(p).getModificationTime() / 1000
+    except Py4JJavaError as e:
+        if "FileNotFoundException" in str(e.java_exception):
+            return None
+        raise
 
 
 def read_text(spark: SparkSession, path: str) -> str | None:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessitura.sources import files
+
 EVENTS = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
 
 
@@ -103,7 +105,13 @@ def online_factors(events: DataFrame, users: DataFrame, songs: DataFrame, mean:
 
 
 def drain(stream: DataFrame, name: str, checkpoint: str, mode: str = "complete") -> DataFrame:
-    """Run a stream over all there is now, into a table in memory, and return that. For tests and small results."""
-    q = stream.writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return stream.sparkSession.table(name)
+    """Run a stream over all there is now, into Parquet beside its checkpoint, and return what it says.
+
+    A batch overwrites its own folder, so one that is delivered again changes nothing. complete: the last batch, which is
+    the whole result; else the rows of all batches.
+    """
+    spark, rows = stream.sparkSession, f"{checkpoint.rstrip('/')}-rows"
+    q = stream.writeStream.outputMode(mode).queryName(name).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    q.foreachBatch(lambda batch, number: batch.write.mode("overwrite").parquet(f"{rows}/{number:012d}")).start().awaitTermination()
+    found = files.names(spark, rows)
+    return spark.read.schema(stream.schema).parquet(*[f"{rows}/{n}" for n in (found[-1:] if mode == "complete" else found)]) if found else spark.createDataFrame([], stream.schema)

@@ -37,3 +37,18 @@ def test_no_cross_joins(name, spark, sf):
 def test_stays_in_the_jvm(name, spark, sf):
     p = plan(QUERIES[name](spark, sf))
     assert not any(x in p for x in ("Python", "Pandas", "InArrow"))
+
+
+def test_bloom_test_does_not_shuffle_rows(spark, sf):
+    """The filter's one row is broadcast; words combine before they are shuffled."""
+    from tessitura.operators import catalog as C
+    from tessitura.sources.star import Star
+
+    rows = Star(spark, sf).raw("part").selectExpr("cast(p_partkey as string) as song_id")
+    bits = C.bloom_filter(rows)
+    assert "BroadcastNestedLoopJoin" in (p := plan(C.bloom_unseen(rows, bits))) and "LeftSemi" in p
+    # with the filter stored, nothing of the tested side moves
+    from tessitura.sources.scratch import materialize
+
+    stored = materialize(bits, "bloom")
+    assert "Exchange hashpartitioning" not in plan(C.bloom_unseen(rows, stored)) and "partial_bit_or" in plan(bits) and len(stored.first()["bits"]) == -(-2_000_003 // 64)
