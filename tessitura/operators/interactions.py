@@ -122,34 +122,87 @@ def unit(*parts: Column) -> Column:
     return (_bits(*parts).cast("double") + 0.5) / float(1 << 32)
 
 
-def negatives(frame: DataFrame, songs: DataFrame, *, per_positive: int = 4, tries: int = 4, seed: str = "neg") -> DataFrame:
+#: Times that missing songs are drawn again, each with twice as many draws, before what is left is enumerated.
+ROUNDS = 6
+
+
+def negatives(frame: DataFrame, songs: DataFrame, *, per_positive: int = 4, tries: int = 4, seed: str = "neg", rounds: int = ROUNDS) -> DataFrame:
     """(user_id, pos, neg, kind): per_positive songs for each positive pair, half drawn evenly, half by popularity, none
-    of the user's positives and none twice for a pair.
+    of the user's positives and none twice for a pair. A pair has fewer only where the catalog has no more such songs.
 
     Draws are from the whole catalog: its songs are numbered once, a draw is a number from a hash, and so an equi-join,
     however large the catalog. A popular draw is an even one that a second hash accepts by the share of the song's
     log10 views in the largest (rejection sampling). There are ``tries`` draws for each song wanted, twice as many of
-    the popular kind; a pair gets fewer songs only if all fail, as where a user likes nearly the whole catalog.
+    the popular kind; pairs that come out short, and they alone, get twice as many again, ``rounds`` times at most. Each
+    kind takes its first songs in the order of draws. Users still short then like all but a small part of the catalog
+    (for others every draw succeeds in one of two, popular ones in one of forty at worst): for these the rest of the
+    catalog is enumerated, hardly more rows than they have likes, and taken in the order of a hash.
     """
     wanted = {"uniform": per_positive // 2, "popular": per_positive - per_positive // 2}
     weight = F.log10(F.greatest("view_count", F.lit(10)).cast("double"))
-    places = numbered(songs.select("song_id", weight.alias("w")), ["song_id"]).select("i", F.col("song_id").alias("neg"), "w")
+    places = materialize(numbered(songs.groupBy("song_id").agg(F.max(weight).alias("w")), ["song_id"]).select("i", F.col("song_id").alias("neg"), "w"), "places")
     size = places.agg(F.count(F.lit(1)).alias("size"), F.max("w").alias("top"))  # one row
-    likes = frame.where("plan_reward > 0").select("user_id", "song_id").distinct()
-    draws = [F.struct(F.lit(kind).alias("kind"), F.lit(k).alias("k")) for kind, n in wanted.items() for k in range(1, n * tries * (1 + (kind == "popular")) + 1)]
-    drawn = likes.select("user_id", F.col("song_id").alias("pos"), F.explode(F.array(*draws)).alias("d")).select("user_id", "pos", "d.kind", "d.k")
-    key = [F.lit(seed), F.col("kind"), F.col("user_id").cast("string"), F.col("pos"), F.col("k").cast("string")]
-    drawn = drawn.withColumn("bits", _bits(*key)).join(F.broadcast(size), F.lit(True)).withColumn("i", F.expr("(bits * size) div 4294967296"))
-    accepted = (F.col("kind") == "uniform") | (unit(*key, F.lit("accept")) < F.round(F.col("w") / F.col("top"), 6))
-    fair = drawn.join(places, "i").where(accepted).join(likes.withColumnRenamed("song_id", "neg"), ["user_id", "neg"], "left_anti")
-    # a pair has at most as many rows as draws
-    by_pair = fair.groupBy("user_id", "pos").agg(F.array_sort(F.collect_list(F.struct("k", "kind", "neg"))).alias("d"))
+    likes = materialize(frame.where("plan_reward > 0").select("user_id", "song_id").distinct(), "likes")
+    liked = likes.withColumnRenamed("song_id", "neg")
+    none = F.array().cast("array<struct<k:int,kind:string,neg:string>>")
     of = lambda kind: F.array_distinct(F.transform(F.filter("d", lambda x: x["kind"] == kind), lambda x: x["neg"]))
-    even = by_pair.withColumn("uniform", F.slice(of("uniform"), 1, wanted["uniform"])) if wanted["uniform"] else by_pair.withColumn("uniform", F.array().cast("array<string>"))
-    both = even.withColumn("popular", F.slice(F.array_except(of("popular"), F.col("uniform")), 1, wanted["popular"]))
+
+    def chosen(by_pair: DataFrame) -> DataFrame:
+        """by_pair (user, pos, d) with the songs of each kind."""
+        even = by_pair.withColumn("uniform", F.slice(of("uniform"), 1, wanted["uniform"]) if wanted["uniform"] else F.array().cast("array<string>"))
+        return even.withColumn("popular", F.slice(F.array_except(of("popular"), F.col("uniform")), 1, wanted["popular"]))
+
+    full = (F.size("uniform") == wanted["uniform"]) & (F.size("popular") == wanted["popular"])
+    left, done, first, many = likes.select("user_id", F.col("song_id").alias("pos"), none.alias("d")), [], 1, tries
+    for _ in range(rounds):
+        spans = [(kind, n * (first - 1) * (1 + (kind == "popular")) + 1, n * (first - 1 + many) * (1 + (kind == "popular"))) for kind, n in wanted.items() if n]
+        draws = F.concat(*[_numbers(kind, a, z) for kind, a, z in spans])
+        drawn = left.select("user_id", "pos", F.explode(draws).alias("x")).select("user_id", "pos", "x.kind", "x.k")
+        key = [F.lit(seed), F.col("kind"), F.col("user_id").cast("string"), F.col("pos"), F.col("k").cast("string")]
+        drawn = drawn.withColumn("bits", _bits(*key)).join(F.broadcast(size), F.lit(True)).withColumn("i", F.expr("(bits * size) div 4294967296"))
+        accepted = (F.col("kind") == "uniform") | (unit(*key, F.lit("accept")) < F.round(F.col("w") / F.col("top"), 6))
+        fair = drawn.join(places, "i").where(accepted).join(liked, ["user_id", "neg"], "left_anti")
+        # a pair has at most as many rows as draws
+        found = fair.groupBy("user_id", "pos").agg(F.array_sort(F.collect_list(F.struct("k", "kind", "neg"))).alias("more"))
+        both = left.join(found, ["user_id", "pos"], "left").select("user_id", "pos", F.concat("d", F.coalesce("more", none)).alias("d"))
+        step = materialize(chosen(both), "negatives")
+        done.append(step.where(full).drop("d"))
+        left = step.where(~full).select("user_id", "pos", "d")
+        first, many = first + many, 2 * many
+        if left.isEmpty():
+            break
+    else:
+        done.append(_enumerated(chosen(left), places, liked, wanted, seed))
+    picked = done[0]
+    for more in done[1:]:
+        picked = picked.unionByName(more)
     tag = lambda kind: F.transform(kind, lambda x: F.struct(x.alias("neg"), F.lit(kind).alias("kind")))
     tagged = F.concat(*map(tag, wanted))
-    return both.select("user_id", "pos", F.explode(tagged).alias("n")).select("user_id", "pos", "n.neg", "n.kind")
+    return picked.select("user_id", "pos", F.explode(tagged).alias("n")).select("user_id", "pos", "n.neg", "n.kind")
+
+
+def _numbers(kind: str, first: int, last: int) -> Column:
+    """An array of (kind, k)."""
+    return F.transform(F.sequence(F.lit(first), F.lit(last)), lambda k: F.struct(F.lit(kind).alias("kind"), k.alias("k")))
+
+
+def _enumerated(short: DataFrame, places: DataFrame, liked: DataFrame, wanted: dict[str, int], seed: str) -> DataFrame:
+    """Pairs (user_id, pos, uniform, popular) that are short, filled from all songs that their users don't like."""
+    users = short.select("user_id").distinct()
+    last = places.agg(F.max("i").alias("last"))  # one row
+    block = 4096
+    blocks = users.join(F.broadcast(last), F.lit(True)).withColumn("b", F.explode(F.expr(f"sequence(0L, last div {block})"))).repartition("user_id", "b")
+    every = blocks.withColumn("i", F.explode(F.expr(f"sequence(b * {block}, least(b * {block} + {block - 1}, last))"))).select("user_id", "i")
+    rest = every.join(places.select("i", "neg"), "i").join(liked, ["user_id", "neg"], "left_anti")
+    n = sum(wanted.values())
+    # songs that a pair has already are among them, so 2 n of the smallest hashes are enough
+    order = F.md5(F.concat_ws("|", F.lit(seed), F.lit("rest"), F.col("user_id").cast("string"), F.col("neg")))
+    place = F.row_number().over(Window.partitionBy("user_id").orderBy("h", "neg"))
+    few = rest.withColumn("h", order).withColumn("r", place).where(F.col("r") <= 2 * n).groupBy("user_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("r", "neg"))), lambda x: x["neg"]).alias("rest"))
+    filled = short.drop("d").join(few, "user_id", "left").withColumn("rest", F.coalesce("rest", F.array().cast("array<string>")))
+    left = lambda: F.array_except(F.array_except(F.col("rest"), F.col("uniform")), F.col("popular"))
+    filled = filled.withColumn("uniform", F.concat("uniform", F.slice(left(), F.lit(1), F.lit(wanted["uniform"]) - F.size("uniform"))))
+    return filled.withColumn("popular", F.concat("popular", F.slice(left(), F.lit(1), F.lit(wanted["popular"]) - F.size("popular")))).drop("rest")
 
 
 def pairwise(frame: DataFrame, songs: DataFrame, **options) -> DataFrame:

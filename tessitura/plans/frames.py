@@ -157,7 +157,7 @@ SELECT substring(sha256(concat_ws('|', n, a, b, c, d)), 1, 16) AS frame_hash FRO
 _B = "('0x' || substring(md5('neg|' || kind || '|' || user_id || '|' || pos || '|' || k{more}), 1, 8))::BIGINT"
 _NEG = f"""places AS (SELECT song_id AS neg, log10(greatest(view_count, 10)) AS w, row_number() OVER (ORDER BY song_id) - 1 AS i FROM songs),
 likes AS (SELECT DISTINCT user_id, song_id FROM frame WHERE plan_reward > 0),
-draws AS (SELECT user_id, song_id AS pos, kind, k FROM likes, (SELECT 'uniform' AS kind, unnest(range(1, 9)) AS k UNION ALL SELECT 'popular', unnest(range(1, 17))) t),
+draws AS (SELECT user_id, song_id AS pos, kind, k FROM likes, (SELECT 'uniform' AS kind, unnest(range(1, 57)) AS k UNION ALL SELECT 'popular', unnest(range(1, 113))) t),
 drawn AS (SELECT *, ({_B.format(more='')} * (SELECT count(*) FROM places)) // 4294967296 AS i FROM draws),
 fair AS (SELECT user_id, pos, neg, kind, min(k) AS k FROM drawn JOIN places USING (i) WHERE (kind = 'uniform' OR ({_B.format(more=" || '|accept'")} + 0.5::DOUBLE) / 4294967296 < round(w / (SELECT max(w) FROM places), 6))
   AND (user_id, neg) NOT IN (SELECT (user_id, song_id) FROM likes) GROUP BY 1, 2, 3, 4),

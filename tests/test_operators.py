@@ -328,6 +328,23 @@ def test_negatives_are_from_the_whole_catalog(spark):
     assert mean["popular"] > mean["uniform"]
 
 
+@pytest.mark.parametrize("rounds,tries", [(6, 4), (1, 1), (0, 1)])
+def test_negatives_are_complete(spark, rounds, tries):
+    """Pairs get all they ask for, or all that their users leave of the catalog, however few draws succeed."""
+    songs = spark.range(60).select(F.col("id").cast("string").alias("song_id"), (F.col("id") % 3 * 10**6).alias("view_count"))
+    likes = {1: 60, 2: 59, 3: 57, 4: 56, 5: 55, 6: 30, 7: 2}
+    f = frame_of(spark, [(u, str(i), 1, i) for u, n in likes.items() for i in range(n)])
+    got = {}
+    for r in interactions.negatives(f, songs, rounds=rounds, tries=tries).collect():
+        got.setdefault((r["user_id"], r["pos"]), []).append((r["kind"], r["neg"]))
+    for u, n in likes.items():
+        for i in range(n):
+            own = got.get((u, str(i)), [])
+            assert len({neg for _, neg in own}) == len(own) == min(4, 60 - n) and all(int(neg) >= n for _, neg in own)
+            assert sum(k == "uniform" for k, _ in own) <= 2 and sum(k == "popular" for k, _ in own) <= 2
+    assert interactions.negatives(f.limit(0), songs).count() == 0 == interactions.negatives(f, songs.limit(0)).count()
+
+
 def test_knn_of_long_histories(spark):
     f = frame_of(spark, [(u, f"s{(u * 5 + i) % 60}", 1, i) for u in range(5) for i in range(40)])
     rows = lambda df: sorted(map(tuple, df.select("src", "dst", "sim").collect()))
