@@ -238,3 +238,56 @@ def test_nothing_to_learn_from(docs, empty):
     got = lm.score_documents(docs, F.lit(False)).collect()
     assert all(r["base_score"] == 0 and r["n_known"] == 0 and r["train_tokens"] == 0 and math.isfinite(r["score"]) for r in got)
     assert lm.score_documents(empty, F.lit(True)).count() == 0
+
+
+def test_sums_over_stored_rows(spark, sf):
+    """What is summed on executors is what the same rows give at hand, whatever their partitions."""
+    rng = np.random.default_rng(4)
+    x = np.abs(rng.normal(0, 1, (500, len(quality.STATS)))).astype(np.float32)
+    half = np.arange(500) % 2
+    table = spark.createDataFrame([(int(h), r.tolist()) for h, r in zip(half, x)], "half int, x array<float>").repartition(7)
+    stored, rows = quality.Stored(table), quality.Rows(x)
+    shares = np.linspace(0, 1, 9)
+    assert (stored.quantiles(shares) == rows.quantiles(shares)).all()
+    assert np.abs(rows.quantiles(shares) - np.quantile(x, shares, axis=0, method="lower").T).max() < 0.02
+    edges = np.sort(rng.random((len(quality.STATS), quality.BINS - 1)) * 2, axis=1)
+    for s in (stored, rows):
+        s.bin(edges)
+    models = [(k, rng.normal(0, 0.3, len(quality.STATS) * quality.BINS + 1)) for k in (0, 1, None)]
+    a, b = stored.sums(models), rows.sums(models)
+    assert np.allclose(a, b, rtol=1e-5, atol=1e-4) and a[:, 0].tolist() == [250, 250, 500]
+    above = [(k, models[k][1], np.linspace(-2, 2, 5)) for k in (0, 1)]
+    assert (stored.above(above) == rows.above(above)).all()
+    z = [sum(models[2][1][i * quality.BINS + sum(e < v for e in edges[i])] for i, v in enumerate(r)) + models[2][1][-1] for r in x]
+    assert a[2, 1] == pytest.approx(sum(math.log1p(math.exp(v)) for v in z), rel=1e-5)
+
+
+def test_grid_keeps_the_order():
+    x = np.sort(np.r_[np.random.default_rng(0).normal(0, 10, 300), 0.0, -0.0, 1e-30, 1e30, -1e30])
+    g = quality._grid(x)
+    assert (np.diff(g) >= 0).all() and (quality._value(g) <= x.astype(np.float32) + 1e-30).all() and (quality._grid(quality._value(g)) == g).all()
+
+
+def test_quality_scores_by_plain_loops(spark, sf):
+    """Every document's score in the query's result, from the model's cuts and weights, one statistic after another."""
+    from tessitura.llm.queries import _remainder, op6_quality
+
+    docs = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text")
+    m = quality.train(docs, spark.read.parquet(f"{sf}/labels.parquet"), (F.col("quality") == 1) & (_remainder(4) != 2))
+    texts = {r["doc_id"]: r["text"] or "" for r in docs.collect()}
+    for r in op6_quality(spark, sf).collect():
+        t = texts[r["doc_id"]].encode()
+        w = t.split()
+        x = [0.0] * len(quality.STATS)
+        if w:
+            lines, inside = [line for line in t.split(b"\n") if line.strip()], sum(len(v) for v in w)
+            count = lambda chars: sum(b in chars for b in t)
+            x = [
+                math.log(len(w)), math.log(len(set(w))) / math.log(len(w)) if len(w) > 1 else 1.0, inside / len(w), count(b"#*$%&<>@^~=_{}[]") / len(w), count(bytes(range(65, 91))) / inside, count(b"0123456789") / inside,
+                count(b".,;:!?") / len(w), 1 - len(set(lines)) / len(lines), max(w.count(v) for v in set(w)) / len(w), sum(a == b for a, b in zip(w, w[1:])) / len(w), t.count(b"!") / len(w), t.count(b"|") / len(w),
+                len(w) / len(lines), 1 - sum(b < 128 and not chr(b).isalpha() for b in t) / len(t),
+            ]
+        z = m.weights[-1]
+        for i, v in enumerate(x):
+            z += m.weights[i * quality.BINS + sum(e < v for e in m.edges[i])]
+        assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6), r["doc_id"]
