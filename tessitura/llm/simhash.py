@@ -265,10 +265,12 @@ def drop_near_duplicates(docs: DataFrame, *, shingle: int = 5, max_bits: int = M
 
 # Near copies by similarity. A 64-bit fingerprint of 5-word shingles puts most pairs of similarity 0.8 further than
 # 3 bits apart: a changed word changes five shingles. So candidates come from a 128-bit SimHash of the distinct word
-# pairs, cut into 5 segments of 24 bits and indexed by the same one-wildcard variants, and each is then verified by
-# the exact Jaccard similarity of its word shingles.
+# pairs, cut into 5 segments of 24 bits and, its even and odd bits dealt anew, into 5 others, indexed by the same
+# one-wildcard variants, and each is then verified by the exact Jaccard similarity of its word shingles.
 
-SEGMENTS, SEGMENT_BITS = 5, 24
+SEGMENTS, SEGMENT_BITS = 10, 24
+#: Every second bit: the second deal puts those of both halves in one half, and the others in the other.
+EVEN = 0x5555555555555555
 #: Candidates differ by so many of 128 bits at most: similarity 0.8 is near 12.
 CANDIDATE_BITS = 28
 
@@ -342,8 +344,11 @@ def _middle(hi: np.ndarray, lo: np.ndarray) -> int:
 
 def _segments(hi: np.ndarray, lo: np.ndarray) -> list[np.ndarray]:
     """The segments of ``_segment``, of uint64."""
-    low, n = np.uint64(0xFFFFFF), np.uint64
-    return [lo & low, (lo >> n(24)) & low, hi & low, (hi >> n(24)) & low, (lo >> n(48)) | (((hi >> n(48)) & n(255)) << n(16))]
+    low, n, even = np.uint64(0xFFFFFF), np.uint64, np.uint64(EVEN)
+    out = []
+    for h, l in ((hi, lo), ((hi & ~even) | ((lo >> n(1)) & even), (lo & even) | ((hi & even) << n(1)))):
+        out += [l & low, (l >> n(24)) & low, h & low, (h >> n(24)) & low, (l >> n(48)) | (((h >> n(48)) & n(255)) << n(16))]
+    return out
 
 
 def _bit(rows: np.ndarray) -> np.ndarray:
@@ -508,18 +513,19 @@ def _unlinked(max_bits: int, group: int):
 
 
 def _segment(v: str) -> str:
-    """SQL of 24 of the 128 bits: two segments of each half, the fifth of what is left of both."""
-    return (
-        f"case {v} when 0 then lo & 16777215L when 1 then shiftrightunsigned(lo, 24) & 16777215L when 2 then hi & 16777215L "
-        f"when 3 then shiftrightunsigned(hi, 24) & 16777215L else shiftrightunsigned(lo, 48) | ((shiftrightunsigned(hi, 48) & 255L) << 16) end"
+    """SQL of 24 of the 128 bits: of each deal two segments of each half, the fifth of what is left of both."""
+    five = lambda n, h, l: (
+        f"when {n} then {l} & 16777215L when {n + 1} then shiftrightunsigned({l}, 24) & 16777215L when {n + 2} then {h} & 16777215L "
+        f"when {n + 3} then shiftrightunsigned({h}, 24) & 16777215L when {n + 4} then shiftrightunsigned({l}, 48) | ((shiftrightunsigned({h}, 48) & 255L) << 16)"
     )
+    return f"case {v} {five(0, 'hi', 'lo')} {five(5, 'hi2', 'lo2')} end"
 
 
 def _keys(nodes: DataFrame, more: list[str]) -> DataFrame:
     """Rows (g, hi, lo, node, bit, ...): a row for each one-wildcard variant of each node's segments, and the bit it wipes."""
-    rows = nodes.select("node", "hi", "lo", *more, F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * SEGMENT_BITS - 1))).alias("v"))
-    segment = f"({_segment('v div 24')})"
-    return rows.selectExpr(f"(cast(v as bigint) << 24) | ({segment} & ~(1L << (v % 24))) as g", "hi", "lo", "node", f"cast(shiftright({segment}, v % 24) & 1L as int) as bit", *more)
+    dealt = nodes.selectExpr("node", "hi", "lo", f"(hi & {~EVEN}L) | (shiftrightunsigned(lo, 1) & {EVEN}L) as hi2", f"(lo & {EVEN}L) | ((hi & {EVEN}L) << 1) as lo2", *more)
+    rows = dealt.select("*", F.explode(F.sequence(F.lit(0), F.lit(SEGMENTS * SEGMENT_BITS - 1))).alias("v")).selectExpr("node", "hi", "lo", *more, "v", f"{_segment('v div 24')} as segment")
+    return rows.selectExpr("(cast(v as bigint) << 24) | (segment & ~(1L << (v % 24))) as g", "hi", "lo", "node", "cast(shiftright(segment, v % 24) & 1L as int) as bit", *more)
 
 
 def meetings(distinct: DataFrame, *, max_bits: int = CANDIDATE_BITS, group: int = GROUP) -> DataFrame:
