@@ -90,13 +90,14 @@ def heard_library(spark, d):
     return f.join(A.captions(f), "song_id").select("song_id", "bpm", "musical_key", "mode", "danceability", "valence", "energy", F.length("caption").alias("caption_length"))
 
 
-def dossier(spark, d):
-    """A song's features, lyrics by section, and neighbours in feel, as one row."""
+def dossier(spark, d, song_id: str = "1"):
+    """A song's features, lyrics by section, and neighbours in feel, as one row. Lyrics are parsed of that song alone."""
     s = Star(spark, d)
+    own = F.col("song_id") == song_id
     f = s.audio_features()
-    lines = A.lyric_sections(A.parse_lrc(_lyrics(s)), _arcs(s)).where("song_id = '1'").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "section"))), lambda x: x.section), ",").alias("sections"))
-    near = A.feel_like(f, song_id="1", n=3).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("feel_score"), "song_id"))), lambda x: x.song_id), ",").alias("near"))
-    return f.where("song_id = '1'").select("song_id", "bpm", "musical_key").join(lines, F.lit(True)).join(near, F.lit(True))
+    lines = A.lyric_sections(A.parse_lrc(_lyrics(s).where(own)), _arcs(s).where(own)).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "section"))), lambda x: x.section), ",").alias("sections"))
+    near = A.feel_like(f, song_id=song_id, n=3).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct(-F.col("feel_score"), "song_id"))), lambda x: x.song_id), ",").alias("near"))
+    return f.where(own).select("song_id", "bpm", "musical_key").join(lines, F.lit(True)).join(near, F.lit(True))
 
 
 def intervals(spark, d):

@@ -16,6 +16,7 @@ from tessitura.operators import interactions as I
 from tessitura.operators import models as M
 from tessitura.operators import retrieval as R
 from tessitura.operators import serving as V
+from tessitura.operators import topk as K
 from tessitura.plans.frames import FRAME, frame_of, split_of
 from tessitura.operators.model_store import ModelStore, input_versions
 from tessitura.plans.retrieval import Retriever
@@ -81,6 +82,19 @@ def als_exact_topk(spark, d):
     return _top(M.score_pairs(_unseen(spark, d), users, items))
 
 
+def als_all_topk(spark, d):
+    """The exact top ten of all songs for every user, heard ones among them, by plain regularised factors."""
+    users, items = M.exact_als(frame_of(spark, d), materialize, rank=8, iterations=2)
+    return K.top_products(users, items, 10).rows.withColumn("score", F.round("score", 6))
+
+
+def max_product_topk(spark, d):
+    """The ten vectors with the greatest product with each vector whose id is divisible by 20, among all."""
+    e = Star(spark, d).raw("embeddings").select("vec_id", F.col("embedding").alias("vector"))
+    found = K.top_products(e.where("vec_id % 20 = 0").withColumnRenamed("vec_id", "user_id"), e.withColumnRenamed("vec_id", "song_id"), 10)
+    return found.rows.select(F.col("user_id").alias("seed"), "rank", F.col("song_id").alias("vec_id"), F.round("score", 6).alias("score"))
+
+
 def svd_biases(spark, d):
     mean, users, items = M.biases(frame_of(spark, d))
     return users.select(F.lit("user").alias("kind"), F.col("user_id").cast("string").alias("id"), F.round("b_user", 6).alias("bias")).unionByName(items.select(F.lit("item").alias("kind"), F.col("song_id").alias("id"), F.round("b_item", 6).alias("bias")))
@@ -284,7 +298,7 @@ def stream_online_users(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        als_topk, als_exact_topk, svd_biases, svd_topk, item2vec_nn, two_tower_topk, fm_topk, ncf_topk, sequence_markov, sequence_score, judged_pairs, blender_weights, mmr_topk, thompson_topk, recommend_all, rec_items,
+        als_topk, als_exact_topk, als_all_topk, max_product_topk, svd_biases, svd_topk, item2vec_nn, two_tower_topk, fm_topk, ncf_topk, sequence_markov, sequence_score, judged_pairs, blender_weights, mmr_topk, thompson_topk, recommend_all, rec_items,
         audio_features, audio_composites, bloom_slots, bloom_dedup, synthetic_songs, stream_bandit, stream_dislikes, stream_windows, stream_online_users,
     )
 }
@@ -299,6 +313,9 @@ _BLOOM = """hashed AS (SELECT song_id, list_reduce(list_prepend(1469598103934665
 bloom AS (SELECT song_id, list_transform([2, 3, 5, 7, 11, 13, 17], lambda p: ((h * p::UHUGEINT + (p * p)::UHUGEINT) % 2000003::UHUGEINT)::INT) AS slots FROM hashed)"""
 
 ORACLES = {
+    "max_product_topk": """WITH e AS (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL),
+p AS (SELECT a.vec_id AS seed, b.vec_id, round(list_dot_product(a.v, b.v), 9) AS s FROM e a, e b WHERE a.vec_id % 20 = 0)
+SELECT seed, row_number() OVER (PARTITION BY seed ORDER BY s DESC, vec_id) AS rank, vec_id, round(s, 6) AS score FROM p QUALIFY rank <= 10""",
     "svd_biases": with_views(*_V, then=f"""{FRAME}, m AS (SELECT avg(plan_reward) AS m FROM frame), r AS (SELECT *, plan_reward - m AS rest FROM frame, m), bi AS (SELECT song_id, sum(rest) / (count(*) + 5) AS b FROM r GROUP BY 1), bu AS (SELECT user_id, sum(rest - b) / (count(*) + 5) AS b FROM r JOIN bi USING (song_id) GROUP BY 1)
 SELECT 'user' AS kind, user_id::VARCHAR AS id, round(b, 6) AS bias FROM bu UNION ALL SELECT 'item', song_id, round(b, 6) FROM bi"""),
     "bloom_slots": with_views("songs", then=f"{_BLOOM}\nSELECT song_id, array_to_string(slots, ',') AS slots FROM bloom"),

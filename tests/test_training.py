@@ -1,5 +1,7 @@
 """Training runs, the registry, caches, jobs, the tool server and streams in several batches."""
 
+import json
+
 import pytest
 from pyspark.sql import Window
 from pyspark.sql import functions as F
@@ -101,6 +103,25 @@ def test_tool_server(spark):
     assert tools.answer({"method": "notifications/initialized"}, call) is None and tools.answer({"id": 6, "method": "ping"}, call)["result"] == {}
 
 
+def test_tools_take_arguments(spark, sf):
+    """One user's list is that user's part of everybody's; seeds and songs are those asked for."""
+    from tessitura.operators import affect
+    from tessitura.plans import learned
+    from tessitura.sources.star import Star
+
+    direct = tools.with_arguments(spark, sf)
+    ask = lambda name, **a: json.loads(tools.answer({"id": 1, "method": "tools/call", "params": {"name": name, "arguments": a}}, None, direct=direct)["result"]["content"][0]["text"])
+    user = learned._unseen(spark, sf).first()["user_id"]
+    everyone = {r["song_id"]: r["rank"] for r in learned.recommend(spark, sf, top_k=3)[0].where(f"user_id = {user}").collect()}
+    assert {r["song_id"]: r["rank"] for r in ask("recommend", user_id=user, top_k=3)} == everyone and len(everyone) == 3
+    f = Star(spark, sf).audio_features()
+    near = lambda **o: [r["song_id"] for r in affect.feel_like(f, n=4, **o).collect()]
+    assert [r["song_id"] for r in ask("feel_like", song_id="7", limit=4)] == near(song_id="7")
+    assert [r["song_id"] for r in ask("feel_like", bpm=90, valence=0.9, limit=4)] == near(seed=affect.feel_seed(bpm=90, valence=0.9))
+    assert [r["song_id"] for r in ask("dossier", song_id="8")] == ["8"] and ask("dossier", song_id="none") == []
+    assert tools.answer({"id": 1, "method": "tools/call", "params": {"name": "recommend", "arguments": {"user_id": "x"}}}, None, direct=direct)["error"]["code"] == -32602
+
+
 def test_stream_in_batches_equals_batch(spark, sf, tmp_path):
     """Events over several files and micro-batches give the posteriors of one batch."""
     e = spark.read.parquet(f"{sf}/events.parquet")
