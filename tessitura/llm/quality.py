@@ -118,9 +118,10 @@ def _quantiles(counts: dict[tuple[int, int], int], shares: np.ndarray) -> np.nda
 
 
 def _sums(codes: np.ndarray, half: np.ndarray, models: list[tuple[int | None, np.ndarray]]) -> np.ndarray:
-    """For each model (half that it sees, None: both; weights): rows, loss of "negative", gradient, curvature, in one array."""
+    """For each model (half that it sees, None: both; weights): rows, loss of "negative", gradient, and the upper half of the curvature, in one array."""
     size = len(STATS) * BINS + 1
-    out = np.zeros((len(models), 2 + size + size * size))
+    upper = np.triu_indices(size)
+    out = np.zeros((len(models), 2 + size + len(upper[0])))
     for at in range(0, len(codes), 4096):
         x = np.hstack([_one_hot(codes[at : at + 4096]), np.ones((len(codes[at : at + 4096]), 1), np.float32)])
         for k, (own, w) in enumerate(models):
@@ -130,7 +131,7 @@ def _sums(codes: np.ndarray, half: np.ndarray, models: list[tuple[int | None, np
             out[k, 0] += len(rows)
             out[k, 1] += np.logaddexp(0, z).sum()
             out[k, 2 : 2 + size] += rows.T @ p
-            out[k, 2 + size :] += (rows.T @ (rows * (p * (1 - p)).astype(np.float32)[:, None])).astype(float).ravel()
+            out[k, 2 + size :] += (rows.T @ (rows * (p * (1 - p)).astype(np.float32)[:, None]))[upper]
     return out
 
 
@@ -189,25 +190,25 @@ class Stored:
 
     def _total(self, f, models: list) -> np.ndarray:
         """f(codes, half, models) summed over all rows: a row a partition, then a row for each of a few tasks, then here."""
-        shape = f(np.zeros((0, len(STATS)), np.uint8), np.zeros(0, int), models).shape
+        empty = f(np.zeros((0, len(STATS)), np.uint8), np.zeros(0, int), models)
 
         def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(shape)
+            total = np.zeros(empty.shape)
             for batch in batches:
                 if batch.num_rows:
                     codes = np.frombuffer(b"".join(batch.column("codes").to_pylist()), np.uint8).reshape(-1, len(STATS))
                     total += f(codes, batch.column("half").to_numpy(), models)
-            yield pa.RecordBatch.from_arrays([pa.array([total.ravel().tolist()], pa.list_(pa.float64()))], ["total"])
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
         def added(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            total = np.zeros(int(np.prod(shape)))
+            total = np.zeros(empty.size)
             for batch in batches:
-                if batch.num_rows:
-                    total += _matrix(batch.column("total")).sum(0)
-            yield pa.RecordBatch.from_arrays([pa.array([total.tolist()], pa.list_(pa.float64()))], ["total"])
+                for part in batch.column("total"):
+                    total += np.frombuffer(part.as_buffer())
+            yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
 
-        parts = self.codes.mapInArrow(own, "total array<double>").repartition(8).mapInArrow(added, "total array<double>").collect()
-        return np.sum([r["total"] for r in parts], axis=0).reshape(shape)
+        parts = self.codes.mapInArrow(own, "total binary").repartition(8).mapInArrow(added, "total binary").collect()
+        return np.sum([np.frombuffer(r["total"]) for r in parts], axis=0).reshape(empty.shape)
 
     def sums(self, models: list) -> np.ndarray:
         return self._total(_sums, models)
@@ -264,7 +265,12 @@ def _newton(source, starts: list[np.ndarray], seen: list[int | None], objective,
 
 def _parts(source, models: list, size: int) -> list[tuple[float, float, np.ndarray, np.ndarray]]:
     """Of unlabelled rows, by model: loss of "negative", gradient and curvature, as means."""
-    return [(row[1] / n, row[2 : 2 + size] / n, row[2 + size :].reshape(size, size) / n) for row in source.sums(models) for n in [max(row[0], 1)]]
+    out = []
+    for row in source.sums(models):
+        n, h = max(row[0], 1), np.zeros((size, size))
+        h[np.triu_indices(size)] = row[2 + size :] / n
+        out.append((row[1] / n, row[2 : 2 + size] / n, h + np.triu(h, 1).T))
+    return out
 
 
 def _fit(positive: np.ndarray, source) -> Model:
