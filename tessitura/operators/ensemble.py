@@ -19,6 +19,8 @@ FEATURES = list(S.BLEND)
 RANK = 16
 #: What a mood adds to recency.
 MOOD_BOOST = {"gym": 0.1, "morning": 0.05}
+#: The genres that a mood asks for.
+MOOD_GENRES = {"morning": [6, 3, 9], "gym": [4, 2, 16], "4am": [0, 6, 18], "chill": [0, 6, 9], "sad": [6, 18, 5], "party": [3, 4, 12], "focus": [0, 10, 9]}
 DEFAULT_SLOTS = 3
 RETRIEVER_TABLES = ["frame", "fresh", "popular", "co", "knn"]
 
@@ -122,6 +124,16 @@ class Ensemble:
 
     def blender(self, valid: DataFrame, *, mood: str = "") -> DataFrame:
         """Weights for all users and for each with enough judged pairs; see ``models.blender``."""
+        return M.blender(self._judged(valid), S.BLEND, mood=mood)
+
+    def mood_blender(self, valid: DataFrame, weights: DataFrame) -> DataFrame:
+        """Weights by mood around those of ``blender``: a judged pair belongs to every mood that asks for its liked song's genre."""
+        moods = self.songs.sparkSession.createDataFrame([(m, g) for m, genres in MOOD_GENRES.items() for g in genres], "mood string, genre_code int")
+        of_song = self.songs.select(F.col("song_id").alias("pos"), "genre_code").join(F.broadcast(moods), "genre_code").select("pos", "mood")
+        return M.mood_blender(self._judged(valid).join(of_song, "pos"), weights, FEATURES)
+
+    def _judged(self, valid: DataFrame) -> DataFrame:
+        """Judged pairs (user_id, pos, neg) with the features of both sides (p_<f>, q_<f>)."""
         pairs = judged(self.frame, valid)
         wanted = pairs.select("user_id", F.col("pos").alias("song_id")).union(pairs.select("user_id", "neg"))
         scores = materialize(self.score(wanted), "judged-scores")
@@ -129,7 +141,7 @@ class Ensemble:
         for side, to in (("p", "pos"), ("q", "neg")):
             pairs = pairs.join(scores.select("user_id", F.col("song_id").alias(to), *[F.col(f"s_{c}").alias(f"{side}_{c}") for c in known]), ["user_id", to], "left")
             pairs = pairs.select("*", *[F.lit(0.0).alias(f"{side}_{c}") for c in FEATURES if c not in known])
-        return M.blender(pairs, S.BLEND, mood=mood)
+        return pairs
 
 
 def judged(train: DataFrame, valid: DataFrame) -> DataFrame:

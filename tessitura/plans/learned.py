@@ -157,11 +157,14 @@ def _ensemble(spark, d):
         train, valid = (parted.where(f"part = '{p}'").drop("part") for p in ("train", "valid"))
         train = materialize(train, "train")
         own = E.Ensemble(train, s.songs(), s.audio_features(), Retriever(spark, d, train))
-        return {**own.tables(), "blender": own.blender(valid), "pool": own.retriever.pool()}, own.values()
+        weights = materialize(own.blender(valid), "weights")
+        return {**own.tables(), "blender": weights, "moods": own.mood_blender(valid, weights), "pool": own.retriever.pool()}, own.values()
 
     # one version is opened once: its tables and values belong together, whatever becomes current meanwhile
     m = models(spark).get(_name(d, "ensemble"), fit, settings=SETTINGS["ensemble"], inputs=_inputs(spark, d))
-    return E.Ensemble.restored(m.tables, m.values, Star(spark, d).songs()), m.tables["blender"], m.tables["pool"]
+    own = E.Ensemble.restored(m.tables, m.values, Star(spark, d).songs())
+    own.moods = m.tables["moods"]
+    return own, m.tables["blender"], m.tables["pool"]
 
 
 def blender_weights(spark, d):
@@ -170,6 +173,12 @@ def blender_weights(spark, d):
     return w.select("user_id", "mood", "n_pairs", F.round("accuracy", 6).alias("accuracy"), F.array_join(F.transform("weights", lambda x: F.format_string("%.4f", x)), ",").alias("weights"))
 
 
+def mood_weights(spark, d):
+    """Weights of each user's moods and of all users' (-1), and how many held-out pairs they and the user's own order rightly."""
+    w = _ensemble(spark, d)[0].moods
+    return w.select("user_id", "mood", "n_pairs", "held_out", F.round("accuracy", 6).alias("accuracy"), F.round("user_accuracy", 6).alias("user_accuracy"), F.array_join(F.transform("weights", lambda x: F.format_string("%.4f", x)), ",").alias("weights"))
+
+
 def _vectors(s: Star):
     return s.raw("embeddings").select(F.col("vec_id").cast("string").alias("song_id"), F.col("embedding").alias("vector"))
 
@@ -219,7 +228,10 @@ def recommend(spark, d, *, users: list[int] | None = None, top_k: int = 10, slot
     """(served rows, cache rows) of all users, or of some: pool, scores of all models, blend, re-ranking, rules, reasons."""
     s, fitted = Star(spark, d), _ensemble(spark, d)
     scored = _features(spark, d, fitted, users, mood, cached)
-    return E.serve(scored, fitted[1], s.audio_features(), _vectors(s), s.songs(), _prefs(s), top_k=top_k, slots=slots, mood=mood)
+    weights = fitted[1]
+    if mood:
+        weights = weights.select("user_id", "mood", "weights").unionByName(fitted[0].moods.where(F.col("mood") == mood).select("user_id", "mood", "weights"))
+    return E.serve(scored, weights, s.audio_features(), _vectors(s), s.songs(), _prefs(s), top_k=top_k, slots=slots, mood=mood)
 
 
 def recommend_all(spark, d):
@@ -298,7 +310,7 @@ def stream_online_users(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (
-        als_topk, als_exact_topk, als_all_topk, max_product_topk, svd_biases, svd_topk, item2vec_nn, two_tower_topk, fm_topk, ncf_topk, sequence_markov, sequence_score, judged_pairs, blender_weights, mmr_topk, thompson_topk, recommend_all, rec_items,
+        als_topk, als_exact_topk, als_all_topk, max_product_topk, svd_biases, svd_topk, item2vec_nn, two_tower_topk, fm_topk, ncf_topk, sequence_markov, sequence_score, judged_pairs, blender_weights, mood_weights, mmr_topk, thompson_topk, recommend_all, rec_items,
         audio_features, audio_composites, bloom_slots, bloom_dedup, synthetic_songs, stream_bandit, stream_dislikes, stream_windows, stream_online_users,
     )
 }

@@ -328,6 +328,41 @@ def test_negatives_are_from_the_whole_catalog(spark):
     assert mean["popular"] > mean["uniform"]
 
 
+def test_weights_by_mood(spark):
+    """By plain loops; a mood of few pairs stays near its user, one of many that disagrees leaves it."""
+    import numpy as np
+
+    rng = np.random.default_rng(2)
+    rows = [(u, m, *(rng.normal(0, 1, 2) + (np.array([3.0, 0]) if m != "party" else np.array([0, 3.0]))).tolist(), 0.0, 0.0) for u, m, n in ((1, "party", 300), (1, "sad", 2), (2, "sad", 40), (3, "party", 1)) for _ in range(n)]
+    pairs = spark.createDataFrame(rows, "user_id long, mood string, p_a double, p_b double, q_a double, q_b double").repartition(5)
+    given = {-1: [0.2, 0.1], 1: [1.0, -0.5], 2: [0.9, 0.0]}
+    weights = spark.createDataFrame([(u, w) for u, w in given.items()], "user_id long, weights array<double>")
+    got = {(r["user_id"], r["mood"]): r for r in models.mood_blender(pairs, weights, ["a", "b"]).collect()}
+    assert {(u, m) for u, m in got if u != -1} <= {(1, "party"), (1, "sad"), (2, "sad"), (3, "party")} and (1, "party") in got and (-1, "party") in got
+    held = {(r["user_id"], tuple(r["d"])): r["h"] for r in pairs.unionByName(pairs.withColumn("user_id", F.lit(-1).cast("long"))).select("user_id", F.array("p_a", "p_b").alias("d"), (F.pmod(F.xxhash64("user_id", F.array(F.col("p_a") - 0.0, F.col("p_b") - 0.0)), F.lit(4)) == 0).alias("h")).collect()}
+    for (u, m), r in got.items():
+        own = [(x[2], x[3]) for x in rows if (u == -1 or x[0] == u) and x[1] == m]
+        w = given.get(u, given[-1])
+        g, h = [0.0, 0.0], [[2.0, 0.0], [0.0, 2.0]]
+        for d in own:
+            if not held[u, d]:
+                p = 1 / (1 + math.exp(-(d[0] * w[0] + d[1] * w[1])))
+                for i in range(2):
+                    g[i] += (1 - p) * d[i]
+                    for j in range(2):
+                        h[i][j] += p * (1 - p) * d[i] * d[j]
+        det = h[0][0] * h[1][1] - h[0][1] * h[1][0]
+        want = [w[0] + (h[1][1] * g[0] - h[0][1] * g[1]) / det, w[1] + (h[0][0] * g[1] - h[1][0] * g[0]) / det]
+        assert r["weights"] == pytest.approx(want, rel=1e-6) and r["n_pairs"] == sum(not held[u, d] for d in own) and r["held_out"] == len(own) - r["n_pairs"]
+        right = [d[0] * want[0] + d[1] * want[1] > 0 for d in own if held[u, d]]
+        assert r["accuracy"] == (pytest.approx(sum(right) / len(right)) if right else None)
+    party = got[1, "party"]
+    assert party["accuracy"] > party["user_accuracy"] + 0.2 and party["weights"][1] > 0.5
+    if (1, "sad") in got:
+        assert np.abs(np.array(got[1, "sad"]["weights"]) - given[1]).max() < 0.3
+    assert models.mood_blender(pairs.limit(0), weights, ["a", "b"]).count() == 0
+
+
 @pytest.mark.parametrize("rounds,tries", [(6, 4), (1, 1), (0, 1)])
 def test_negatives_are_complete(spark, rounds, tries):
     """Pairs get all they ask for, or all that their users leave of the catalog, however few draws succeed."""
