@@ -291,3 +291,25 @@ def test_quality_scores_by_plain_loops(spark, sf):
         for i, v in enumerate(x):
             z += m.weights[i * quality.BINS + sum(e < v for e in m.edges[i])]
         assert r["score"] == pytest.approx(1 / (1 + math.exp(-z)), abs=1e-6), r["doc_id"]
+
+
+def test_toxicity_scores_by_plain_loops(spark, sf):
+    """Every document's probabilities in the query's result, from the links' words and weights, one after another."""
+    import re
+
+    from tessitura.llm.queries import op3_toxicity
+
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text"), spark.read.parquet(f"{sf}/labels.parquet")
+    links = toxicity.fit(toxicity.sample_labelled(docs, labels))
+    texts = {r["doc_id"]: (r["text"] or "").encode().lower() for r in docs.collect()}
+    for r in op3_toxicity(spark, sf).collect():
+        found = set(re.findall(rb"[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", texts[r["doc_id"]]))
+        p = []
+        for link in links:
+            z = link.intercept + sum(a * b for a, b in zip(link.weights_before, p))
+            for f, v in link.words.items():
+                if f in found or f.endswith(b"/") and any(w.startswith(f[:-1]) and len(w) > len(f) - 1 for w in found):
+                    z += v
+            p.append(1 / (1 + math.exp(-max(-30, min(30, z)))))
+            assert r[f"p_{link.name}"] == pytest.approx(p[-1], abs=2e-6)
+        assert r["toxic"] == (p[-1] >= toxicity.THRESHOLD)
