@@ -471,29 +471,34 @@ def _meet(max_bits: int, group: int):
 def _unlinked(max_bits: int, group: int):
     """Of rows (g, hi, lo, node, label) sorted in that order: members (g, block, node, label, hi, lo) to be compared.
 
-    Of a key of up to ``group`` members those of ``_own``; of a larger one all.
+    Of a key of up to ``group`` members those of ``_own``; of a larger one all. Blocks with the wiped bit 0 have even
+    numbers, those with it 1 odd ones; under the first variant of a segment, where sides don't matter, all are even.
     """
     names = ["g", "block", "node", "label", "hi", "lo"]
 
-    def out(rows: np.ndarray, begin: int) -> pa.RecordBatch:
-        columns = [rows[:, 0], (begin + np.arange(len(rows))) // BLOCK, rows[:, 3], rows[:, 4], rows[:, 1], rows[:, 2]]
+    def out(rows: np.ndarray, begin: np.ndarray) -> pa.RecordBatch:
+        """begin: members of each side that went before; it is moved on."""
+        side = np.where((rows[:, 0] >> SEGMENT_BITS) % SEGMENT_BITS == 0, 0, _bit(rows).astype(np.int64))
+        number = np.where(side == 1, begin[1] + np.cumsum(side) - 1, begin[0] + np.cumsum(1 - side) - 1)
+        begin += [len(rows) - side.sum(), side.sum()]
+        columns = [rows[:, 0], 2 * (number // BLOCK) + side, rows[:, 3], rows[:, 4], rows[:, 1], rows[:, 2]]
         return pa.RecordBatch.from_arrays([pa.array(np.ascontiguousarray(c, np.int64)) for c in columns], names=names)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        carry, hot, passed = np.empty((0, 5), np.int64), None, 0  # rows of the last key, or a key that is passed on
+        carry, hot, passed = np.empty((0, 5), np.int64), None, np.zeros(2, np.int64)  # rows of the last key, or a key that is passed on
 
         def whole(rows: np.ndarray) -> Iterator[pa.RecordBatch]:
             if len(rows) > group:
-                yield out(rows, 0)
+                yield out(rows, np.zeros(2, np.int64))
             elif len(rows) > 1 and (own := _own(rows, rows[:, 4], max_bits)).any():
-                yield out(rows[own], 0)
+                yield out(rows[own], np.zeros(2, np.int64))
 
         for batch in batches:
             rows = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype(np.int64, copy=False)
             if hot is not None and len(rows):
                 n = int((rows[:, 0] == hot).sum())
                 yield out(rows[:n], passed)
-                passed, rows = passed + n, rows[n:]
+                rows = rows[n:]
                 if len(rows):
                     hot = None
             rows = np.concatenate([carry, rows])
@@ -504,8 +509,9 @@ def _unlinked(max_bits: int, group: int):
                 yield from whole(rows[i:j])
             carry = rows[cuts[-1] :]
             if len(carry) > group:
-                yield out(carry, 0)
-                hot, passed, carry = int(carry[0, 0]), len(carry), carry[:0]
+                passed = np.zeros(2, np.int64)
+                yield out(carry, passed)
+                hot, carry = int(carry[0, 0]), carry[:0]
         if len(carry):
             yield from whole(carry)
 
@@ -609,10 +615,14 @@ def _compare(max_bits: int, similarity: float):
 
 
 def _apart(members: DataFrame) -> DataFrame:
-    """Rows (g, x, y, node, label, hi, lo): members of each two blocks x <= y of a key that are not all linked yet."""
+    """Rows (g, x, y, node, label, hi, lo): members of each two blocks x <= y of a key that are not all linked yet.
+
+    Members with the wiped bit alike share the segment and are compared under its first variant; under the others only
+    blocks of unlike sides are.
+    """
     blocks = members.groupBy("g", "block").agg(F.min("label").alias("least"), F.max("label").alias("most"))
     x, y = (blocks.select("g", F.col("block").alias(c), F.col("least").alias(f"least_{c}"), F.col("most").alias(f"most_{c}")) for c in "xy")
-    pairs = x.join(y, "g").where("x <= y and least(least_x, least_y) <> greatest(most_x, most_y)").select("g", "x", "y")
+    pairs = x.join(y, "g").where(f"x <= y and (shiftright(g, {SEGMENT_BITS}) % {SEGMENT_BITS} = 0 or x % 2 <> y % 2) and least(least_x, least_y) <> greatest(most_x, most_y)").select("g", "x", "y")
     sides = pairs.withColumn("block", F.explode(F.array_distinct(F.array("x", "y"))))
     return members.join(sides, ["g", "block"]).select("g", "x", "y", "node", "label", "hi", "lo")
 
