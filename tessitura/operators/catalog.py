@@ -6,6 +6,8 @@ written as a new version.
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -157,24 +159,30 @@ def bloom_false_positives(n: Column, m: int = 2_000_003, k: int = 7) -> Column:
     return F.pow(1 - F.exp(F.lit(-float(k)) * n / float(m)), F.lit(float(k)))
 
 
-def fnv(key: Column) -> Column:
-    """FNV-1a, 64 bits, of the UTF-8 of a string, as decimal(20, 0): decimals, as products pass 64 bits."""
-    raw = F.coalesce(key, F.lit("")).cast("binary")
-    places = F.when(F.octet_length(raw) > 0, F.sequence(F.lit(1), F.octet_length(raw))).otherwise(F.array().cast("array<int>"))
-    octets = F.transform(places, lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("int"))
-    wide = lambda c: c.cast("decimal(20,0)")
-
-    def step(h: Column, b: Column) -> Column:
-        low = (h % wide(F.lit(256))).cast("int")
-        return wide((wide(h - low + low.bitwiseXOR(b)) * F.lit(0x100000001B3).cast("decimal(13,0)")) % F.expr("cast(18446744073709551616BD as decimal(20,0))"))
-
-    return F.aggregate(octets, F.expr("cast(14695981039346656037BD as decimal(20,0))"), step)
+def _fnv(keys: pa.Array) -> np.ndarray:
+    """FNV-1a, 64 bits, of the UTF-8 of strings (null: empty): one step for all keys a place, as unsigned numbers wrap."""
+    keys = keys.cast(pa.large_binary()).fill_null(b"")
+    ends = np.frombuffer(keys.buffers()[1], np.int64)[keys.offset : keys.offset + len(keys) + 1]
+    octets = np.frombuffer(keys.buffers()[2] or b"", np.uint8)
+    h, lengths = np.full(len(keys), 14695981039346656037, np.uint64), np.diff(ends)
+    live = np.argsort(-lengths, kind="stable")
+    for i in range(int(lengths.max(initial=0))):
+        live = live[: np.searchsorted(-lengths[live], -i, side="left")]  # the longer ones come first
+        h[live] = (h[live] ^ octets[ends[live] + i]) * np.uint64(0x100000001B3)
+    return h
 
 
 def bloom_slots(key: Column, m: int = 2_000_003, k: int = 7) -> Column:
     """Slots of a key: (h * p + p * p) mod m for the first k primes p, h its FNV-1a."""
-    h = fnv(key)
-    return F.transform(F.array(*[F.lit(p) for p in S.primes(30)[:k]]), lambda p: ((h * p.cast("decimal(5,0)") + (p * p).cast("decimal(8,0)")) % F.lit(m).cast("decimal(10,0)")).cast("int"))
+    primes = np.array(S.primes(30)[:k], np.int64)
+
+    @F.arrow_udf("array<int>")
+    def slots(keys: pa.Array) -> pa.Array:
+        rest = (_fnv(keys) % np.uint64(m)).astype(np.int64)
+        found = ((rest[:, None] * primes + primes * primes) % m).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, k, dtype=np.int32)), pa.array(found.ravel()))
+
+    return slots(key)
 
 
 def bloom_filter(keys: DataFrame, column: str = "song_id", m: int = 2_000_003) -> DataFrame:
@@ -197,7 +205,8 @@ def bloom_unseen(rows: DataFrame, bits: DataFrame, column: str = "song_id", m: i
     """
     is_unset = lambda slot: F.call_function("shiftrightunsigned", F.element_at("__bits", (F.floor(slot / 64) + 1).cast("int")), slot % 64).bitwiseAND(F.lit(1)) == 0
     one = bits.select(F.col("bits").alias("__bits"))
-    return rows.join(F.broadcast(one), F.exists(bloom_slots(F.col(column), m), is_unset), "left_semi")
+    slotted = rows.withColumn("__slots", bloom_slots(F.col(column), m))
+    return slotted.join(F.broadcast(one), F.exists("__slots", is_unset), "left_semi").drop("__slots")
 
 
 # Registry and jobs.

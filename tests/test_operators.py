@@ -539,3 +539,19 @@ def test_chunks_never_exceed(lines, size):
 def test_gradus_grows_with_factors(a, b):
     g = S.gradus(a, b)
     assert g >= 1 and S.gradus(2 * a, 2 * b) >= g
+
+
+def test_bloom_hash_of_any_key():
+    """Whole columns at once: empty, missing, long and non-ASCII keys, and a slice of an array."""
+    import pyarrow as pa
+
+    def plain_fnv(key):
+        h = 14695981039346656037
+        for b in (key or "").encode():
+            h = (h ^ b) * 0x100000001B3 % 2**64
+        return h
+
+    keys = ["", None, "a", "12345", "é" * 40, "x" * 1000, "ab", "7"]
+    assert catalog._fnv(pa.array(keys, pa.string())).tolist() == [plain_fnv(k) for k in keys]
+    assert catalog._fnv(pa.array(keys, pa.string()).slice(3, 3)).tolist() == [plain_fnv(k) for k in keys[3:6]]
+    assert catalog._fnv(pa.array([], pa.string())).tolist() == []
