@@ -6,8 +6,6 @@ written as a new version.
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -159,30 +157,31 @@ def bloom_false_positives(n: Column, m: int = 2_000_003, k: int = 7) -> Column:
     return F.pow(1 - F.exp(F.lit(-float(k)) * n / float(m)), F.lit(float(k)))
 
 
-def _fnv(keys: pa.Array) -> np.ndarray:
-    """FNV-1a, 64 bits, of the UTF-8 of strings (null: empty): one step for all keys a place, as unsigned numbers wrap."""
-    keys = keys.cast(pa.large_binary()).fill_null(b"")
-    ends = np.frombuffer(keys.buffers()[1], np.int64)[keys.offset : keys.offset + len(keys) + 1]
-    octets = np.frombuffer(keys.buffers()[2] or b"", np.uint8)
-    h, lengths = np.full(len(keys), 14695981039346656037, np.uint64), np.diff(ends)
-    live = np.argsort(-lengths, kind="stable")
-    for i in range(int(lengths.max(initial=0))):
-        live = live[: np.searchsorted(-lengths[live], -i, side="left")]  # the longer ones come first
-        h[live] = (h[live] ^ octets[ends[live] + i]) * np.uint64(0x100000001B3)
-    return h
+def _halves(key: Column) -> Column:
+    """FNV-1a, 64 bits, of the UTF-8 of a string, as its upper and lower 32 bits, so that no product passes a long.
 
+    The prime is 2^40 + 435: the lower half moves up by 8 bits, and both take 435 times their own.
+    """
+    octets = F.decode(F.coalesce(key, F.lit("")).cast("binary"), "ISO-8859-1")  # a character an octet
+    places = F.when(F.length(octets) > 0, F.sequence(F.lit(1), F.length(octets))).otherwise(F.array().cast("array<int>"))
+    half = lambda high, low: F.struct(high.cast("long").alias("high"), low.cast("long").alias("low"))
 
-def bloom_slots(key: Column, m: int = 2_000_003, k: int = 7) -> Column:
-    """Slots of a key: (h * p + p * p) mod m for the first k primes p, h its FNV-1a."""
-    primes = np.array(S.primes(30)[:k], np.int64)
+    def step(h: Column, i: Column) -> Column:
+        low = h["low"].bitwiseXOR(F.ascii(F.substring(octets, i, F.lit(1))).cast("long"))
+        up = h["high"] * 435 + F.shiftright(low * 435, 32) + F.shiftleft(low, 8)
+        return half(up.bitwiseAND(F.lit(0xFFFFFFFF)), (low * 435).bitwiseAND(F.lit(0xFFFFFFFF)))
+
+    return F.aggregate(places, half(F.lit(0xCBF29CE4), F.lit(0x84222325)), step)
 
-    @F.arrow_udf("array<int>")
-    def slots(keys: pa.Array) -> pa.Array:
-        rest = (_fnv(keys) % np.uint64(m)).astype(np.int64)
-        found = ((rest[:, None] * primes + primes * primes) % m).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(np.arange(0, found.size + 1, k, dtype=np.int32)), pa.array(found.ravel()))
 
-    return slots(key)
+def bloom_slots(key: Column, m: int = 2_000_003, k: int = 7) -> Column:
+    """Slots of a key: (h * p + p * p) mod m for the first k primes p, h its FNV-1a.
+
+    The hash is worked out once for all slots: it goes through an array of one element.
+    """
+    rest = lambda h: (h["high"] % m * ((1 << 32) % m) + h["low"]) % m
+    slots = lambda r: F.array(*[((r * p + p * p) % m).cast("int") for p in S.primes(30)[:k]])
+    return F.element_at(F.transform(F.transform(F.array(_halves(key)), rest), slots), 1)
 
 
 def bloom_filter(keys: DataFrame, column: str = "song_id", m: int = 2_000_003) -> DataFrame:
@@ -205,8 +204,7 @@ def bloom_unseen(rows: DataFrame, bits: DataFrame, column: str = "song_id", m: i
     """
     is_unset = lambda slot: F.call_function("shiftrightunsigned", F.element_at("__bits", (F.floor(slot / 64) + 1).cast("int")), slot % 64).bitwiseAND(F.lit(1)) == 0
     one = bits.select(F.col("bits").alias("__bits"))
-    slotted = rows.withColumn("__slots", bloom_slots(F.col(column), m))
-    return slotted.join(F.broadcast(one), F.exists("__slots", is_unset), "left_semi").drop("__slots")
+    return rows.join(F.broadcast(one), F.exists(bloom_slots(F.col(column), m), is_unset), "left_semi")
 
 
 # Registry and jobs.
