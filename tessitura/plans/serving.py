@@ -202,8 +202,11 @@ def best_titles(spark, d):
     s = Star(spark, d).songs()
     wanted = s.where("cast(song_id as int) % 20 = 0").select(F.col("song_id").alias("key"), F.col("title").alias("wanted_title"), F.col("channel").alias("wanted_artist"))
     got = s.where("cast(song_id as int) % 20 <> 0").select("title", F.col("channel").alias("artist")).distinct()
-    pairs = _by_token(wanted, "wanted_title").join(_by_token(got, "title"), "token").select("key", "wanted_title", "wanted_artist", "title", "artist").distinct()
-    return V.best_titles(pairs, ["key"]).where("place <= 3").select("key", "place", "ok", "artist_ok", "overlap")
+    # songs of one title and artist have the same candidates, which are met and ranked once for all of them
+    both = ["wanted_title", "wanted_artist"]
+    pairs = _by_token(wanted.select(*both).distinct(), "wanted_title").join(_by_token(got, "title"), "token").select(*both, "title", "artist").distinct()
+    best = V.best_titles(pairs, both).where("place <= 3").select(F.col("wanted_title").alias("__t"), F.col("wanted_artist").alias("__a"), "place", "ok", "artist_ok", "overlap")
+    return wanted.join(best, F.col("wanted_title").eqNullSafe(F.col("__t")) & F.col("wanted_artist").eqNullSafe(F.col("__a"))).select("key", "place", "ok", "artist_ok", "overlap")
 
 
 def sessions_written(spark, d):
