@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessitura.functions import scalars as S
@@ -38,26 +38,46 @@ def tfidf(songs: DataFrame, text: str = "title") -> DataFrame:
     return vectors(t, vocabulary(document_frequency(t), songs.count()))
 
 
+#: Listens of a task: it sorts and sums them by user, song and term.
+LISTENS = 100_000
+
+
 def profiles(listens: DataFrame, vecs: DataFrame, n: int = 200) -> DataFrame:
     """Normalised mean vector of each user's last n listens, weighted by completion (none counts .3, .1 at least).
 
-    Listens of a song are summed before they meet its terms.
+    Listens of a song are summed before they meet its terms. Users are dealt over as many tasks as there are LISTENS.
     """
     r = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("started_at"), F.desc("id")))
     w = F.greatest(S.falsy(F.col("completion_pct"), 0.3), F.lit(0.1))
-    h = listens.withColumn("r", r).where(F.col("r") <= n).groupBy("user_id", "song_id").agg(F.sum(w).alias("w"))
-    total = h.join(vecs.select("song_id").distinct(), "song_id", "left_semi").groupBy("user_id").agg(F.sum("w").alias("total"))
-    mean = h.join(vecs, "song_id").groupBy("user_id", "term").agg(F.sum(F.col("w") * F.col("weight")).alias("x")).join(total, "user_id").withColumn("x", F.col("x") / F.col("total"))
-    length = mean.groupBy("user_id").agg(F.sqrt(F.sum(F.col("x") * F.col("x"))).alias("l"))
-    return mean.join(length, "user_id").select("user_id", "term", F.round(F.col("x") / F.col("l"), 9).alias("weight"))
+    tasks = max(1, -(-listens.count() // LISTENS))
+    h = listens.repartition(tasks, "user_id").withColumn("r", r).where(F.col("r") <= n).groupBy("user_id", "song_id").agg(F.sum(w).alias("w"))
+    # a row of weight 1 without a term goes with each song: its sum is the weight of the listens that have a vector
+    each = h.join(_rows(vecs), "song_id").select("user_id", "w", F.explode(F.concat(F.array(_entry(F.lit(None).cast("string"), F.lit(1.0))), "v")).alias("e"))
+    sums = each.groupBy("user_id", F.col("e.term").alias("term")).agg(F.sum(F.col("w") * F.col("e.weight")).alias("x"))
+    of_user = sums.groupBy("user_id").agg(F.sum(F.when(F.col("term").isNull(), F.col("x"))).alias("total"), F.collect_list(F.when(F.col("term").isNotNull(), F.struct("term", "x"))).alias("v"))
+    mean = F.transform("v", lambda e: F.struct(e["term"].alias("term"), (e["x"] / F.col("total")).alias("x")))
+    of_user = of_user.select("user_id", mean.alias("v")).withColumn("l", F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, e: s + e["x"] * e["x"])))
+    return of_user.select("user_id", "l", F.explode("v").alias("e")).select("user_id", "e.term", F.round(F.col("e.x") / F.col("l"), 9).alias("weight"))
+
+
+def _entry(term: Column, weight: Column) -> Column:
+    return F.struct(term.alias("term"), weight.alias("weight"))
+
+
+def _rows(vecs: DataFrame, key: str = "song_id") -> DataFrame:
+    """(key, v): the terms of one song, or user, as one row."""
+    return vecs.groupBy(key).agg(F.collect_list(_entry(F.col("term"), F.col("weight"))).alias("v"))
 
 
 def content_score(candidates: DataFrame, profile: DataFrame, vecs: DataFrame) -> DataFrame:
-    """2 cos - 1 of each candidate; 0 where the song has no vector or the user no profile."""
-    dots = candidates.select("user_id", "song_id").join(vecs, "song_id").join(profile.withColumnRenamed("weight", "pw"), ["user_id", "term"]).groupBy("user_id", "song_id").agg(F.sum(F.col("weight") * F.col("pw")).alias("cos"))
-    has = candidates.join(profile.select("user_id").distinct().withColumn("u", F.lit(1)), "user_id", "left").join(vecs.select("song_id").distinct().withColumn("v", F.lit(1)), "song_id", "left")
-    known = F.col("u").isNotNull() & F.col("v").isNotNull()
-    return has.join(dots, ["user_id", "song_id"], "left").select(*candidates.columns, F.when(known, F.coalesce("cos", F.lit(0.0)) * 2 - 1).otherwise(0.0).alias("s_content"))
+    """2 cos - 1 of each candidate; 0 where the song has no vector or the user no profile.
+
+    A candidate meets its song's terms and its user's as one row each, so its rows don't grow by the number of terms.
+    """
+    of_user = profile.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("u"))
+    j = candidates.join(_rows(vecs), "song_id", "left").join(of_user, "user_id", "left")
+    cos = F.aggregate("v", F.lit(0.0), lambda s, e: s + e["weight"] * F.coalesce(F.try_element_at("u", e["term"]), F.lit(0.0)))
+    return j.select(*candidates.columns, F.when(F.col("u").isNotNull() & F.col("v").isNotNull(), cos * 2 - 1).otherwise(0.0).alias("s_content"))
 
 
 def posteriors(signals: DataFrame) -> DataFrame:
