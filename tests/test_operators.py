@@ -541,17 +541,91 @@ def test_gradus_grows_with_factors(a, b):
     assert g >= 1 and S.gradus(2 * a, 2 * b) >= g
 
 
-def test_bloom_hash_of_any_key():
-    """Whole columns at once: empty, missing, long and non-ASCII keys, and a slice of an array."""
-    import pyarrow as pa
+def test_bloom_hash_of_any_key(spark):
+    """Empty, missing, long and non-ASCII keys, without decimals: their products cost ten times as much."""
 
-    def plain_fnv(key):
+    def slots(key):
         h = 14695981039346656037
         for b in (key or "").encode():
             h = (h ^ b) * 0x100000001B3 % 2**64
-        return h
+        return [(h * p + p * p) % 1009 for p in (2, 3, 5)]
 
-    keys = ["", None, "a", "12345", "é" * 40, "x" * 1000, "ab", "7"]
-    assert catalog._fnv(pa.array(keys, pa.string())).tolist() == [plain_fnv(k) for k in keys]
-    assert catalog._fnv(pa.array(keys, pa.string()).slice(3, 3)).tolist() == [plain_fnv(k) for k in keys[3:6]]
-    assert catalog._fnv(pa.array([], pa.string())).tolist() == []
+    keys = ["", None, "a", "12345", "é" * 40, "x" * 1000, "日本", "\x00\x7f\x80"]
+    d = spark.createDataFrame(list(enumerate(keys)), "i int, song_id string").select("i", catalog.bloom_slots(F.col("song_id"), 1009, 3).alias("s"))
+    assert {r["i"]: r["s"] for r in d.collect()} == dict(enumerate(map(slots, keys)))
+    assert "decimal" not in d._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_ordered_fingerprint_of_blocks(spark, monkeypatch):
+    """Blocks of a few lines give the digests of the whole texts, for several values, with missing and non-ASCII ones."""
+    import hashlib
+
+    monkeypatch.setattr(interactions, "LINES", 7)
+    given = [(i % 5, None if i == 3 else f"sö{i % 4}", float(i % 5), f"2024-01-{1 + i * 7 % 28:02d} 00:00:00") for i in range(100)]
+    frame = spark.createDataFrame(given, "user_id long, song_id string, v double, at string").withColumn("timestamp", F.to_timestamp("at")).repartition(3)
+    order = sorted(given, key=lambda r: (r[3], r[0], r[1] or ""))
+    expected = [hashlib.sha256("".join("|".join(x for x in (str(r[0]), r[1], value(r)) if x is not None) for r in order).encode()).hexdigest()[:16] for value in (lambda r: f"{r[2]:.2f}", lambda r: str(int(r[2])))]
+    assert interactions.ordered_fingerprint(frame, F.format_string("%.2f", "v"), F.col("v").cast("long")) == expected
+
+
+def test_ordered_fingerprint_is_sent_compressed(spark):
+    """Repetitive texts reach the driver in a fraction of their length."""
+    frame = spark.range(200_000).selectExpr("id % 50 as user_id", "concat('a rather long song name ', id % 9) as song_id", "timestamp_seconds(id) as timestamp")
+    status = spark.sparkContext._jsc.sc().statusStore()
+    sent = lambda: sum(s.resultSize() for s in _stages(spark, status))
+    before = sent()
+    interactions.ordered_fingerprint(frame, F.lit("1.00"))
+    assert sent() - before < 1_500_000
+
+
+def _stages(spark, status):
+    jvm = spark._jvm
+    found = status.stageList(jvm.java.util.ArrayList(), False, False, spark.sparkContext._gateway.new_array(jvm.double, 0), jvm.java.util.ArrayList())
+    return [found.apply(i) for i in range(found.size())]
+
+
+def test_profiles_and_cosines_by_brute_force(spark, monkeypatch):
+    """Means of songs' vectors by weight, whatever the number of tasks; a song without a vector, a user without a profile."""
+    from tessitura.operators import content
+
+    monkeypatch.setattr(content, "LISTENS", 3)
+    vecs = {"a": {"x": 0.6, "y": 0.8}, "b": {"y": 1.0}}
+    listens = [(1, 1, "a", 0.5), (2, 1, "b", 1.0), (3, 1, "none", 0.9), (4, 2, "b", None), (5, 3, "none", 1.0), (6, 1, "a", 0.05)]
+    v = spark.createDataFrame([(s, t, w) for s, e in vecs.items() for t, w in e.items()], "song_id string, term string, weight double")
+    heard = spark.createDataFrame(listens, "id long, user_id long, song_id string, completion_pct double").withColumn("started_at", F.lit("2024-01-01").cast("timestamp"))
+    expected = {}
+    for u in (1, 2):
+        x = {}
+        for _, _, s, c in (r for r in listens if r[1] == u and r[2] in vecs):
+            for term, w in vecs[s].items():
+                x[term] = x.get(term, 0.0) + max(c or 0.3, 0.1) * w
+        length = sum(w * w for w in x.values()) ** 0.5
+        expected |= {(u, term): w / length for term, w in x.items()}
+    profile = content.profiles(heard, v)
+    got = {(r["user_id"], r["term"]): r["weight"] for r in profile.collect()}
+    assert got.keys() == expected.keys() and all(abs(got[k] - expected[k]) < 1e-8 for k in got)
+    assert str(profile._jdf.queryExecution().optimizedPlan()).count("Window [") == 1  # listens are sorted once, and not for each sum
+    pairs = spark.createDataFrame([(1, "a"), (2, "a"), (3, "a"), (1, "none"), (2, "b")], "user_id long, song_id string")
+    scores = {(r["user_id"], r["song_id"]): r["s_content"] for r in content.content_score(pairs, profile, v).collect()}
+    cos = lambda u, s: sum(w * expected.get((u, t), 0.0) for t, w in vecs[s].items()) * 2 - 1
+    assert scores[3, "a"] == scores[1, "none"] == 0.0 and all(abs(scores[u, s] - cos(u, s)) < 1e-8 for u, s in ((1, "a"), (2, "a"), (2, "b")))
+
+
+def test_best_titles_of_equal_songs_are_met_once(spark, sf, tmp_path):
+    """Copies of all songs add keys, not candidate pairs: what is shuffled stays nearly the same."""
+    import os
+
+    from tessitura.plans import registry
+
+    part = spark.read.parquet(f"{sf}/part.parquet")
+    n = part.count()
+    sent = lambda: sum(s.shuffleWriteRecords() for s in _stages(spark, spark.sparkContext._jsc.sc().statusStore()))
+    counts, found = [], []
+    for copies in (1, 4):
+        folder = str(tmp_path / str(copies))
+        os.makedirs(folder)
+        part.crossJoin(spark.range(copies)).withColumn("p_partkey", F.col("p_partkey") + F.col("id") * 20 * n).drop("id").write.parquet(f"{folder}/part.parquet")
+        before = sent()
+        found.append(registry()[0]["best_titles"](spark, folder).toPandas())
+        counts.append(sent() - before)
+    assert len(found[1]) == 4 * len(found[0]) and counts[1] < 2 * counts[0] + 4 * n
