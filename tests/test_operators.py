@@ -629,3 +629,17 @@ def test_best_titles_of_equal_songs_are_met_once(spark, sf, tmp_path):
         found.append(registry()[0]["best_titles"](spark, folder).toPandas())
         counts.append(sent() - before)
     assert len(found[1]) == 4 * len(found[0]) and counts[1] < 2 * counts[0] + 4 * n
+
+
+def test_negatives_draw_few_at_first(spark):
+    """Pairs that two draws each content don't cost eight: rows that are shuffled, without broadcasts, by pair."""
+    songs = spark.range(3000).selectExpr("cast(id as string) as song_id", "1000000L as view_count")
+    frame = spark.range(400).selectExpr("id % 80 as user_id", "cast(id as string) as song_id", "3.0D as plan_reward")
+    sent = lambda: sum(s.shuffleWriteRecords() for s in _stages(spark, spark.sparkContext._jsc.sc().statusStore()))
+    before, old = sent(), spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        assert interactions.negatives(frame, songs).count() == 1600
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    assert sent() - before < 24 * 400 + 4 * 3000
