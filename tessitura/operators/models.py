@@ -151,10 +151,10 @@ def dot(a: str | Column, b: str | Column, size: int | None = None) -> Column:
     return out
 
 
-def score_pairs(candidates: DataFrame, users: DataFrame, items: DataFrame) -> DataFrame:
-    """Dot products of candidates; 0 for unknown users or songs."""
+def score_pairs(candidates: DataFrame, users: DataFrame, items: DataFrame, size: int | None = None) -> DataFrame:
+    """Dot products of candidates; 0 for unknown users or songs. size: of the vectors, if known, which is faster."""
     j = candidates.join(users.withColumnRenamed("vector", "__x"), "user_id", "left").join(items.withColumnRenamed("vector", "__y"), "song_id", "left")
-    return j.select(*candidates.columns, F.coalesce(dot("__x", "__y"), F.lit(0.0)).alias("score"))
+    return j.select(*candidates.columns, F.coalesce(dot("__x", "__y", size), F.lit(0.0)).alias("score"))
 
 
 def with_hashed(items: DataFrame, songs: DataFrame, size: int, scale: float = 0.5) -> DataFrame:

@@ -74,12 +74,12 @@ def _top(scored):
 
 def als_topk(spark, d):
     users, items = M.als(frame_of(spark, d), rank=16, iterations=5)
-    return _top(M.score_pairs(_unseen(spark, d), users, items))
+    return _top(M.score_pairs(_unseen(spark, d), users, items, 16))
 
 
 def als_exact_topk(spark, d):
     users, items = M.exact_als(frame_of(spark, d), materialize, rank=8, iterations=2)
-    return _top(M.score_pairs(_unseen(spark, d), users, items))
+    return _top(M.score_pairs(_unseen(spark, d), users, items, 8))
 
 
 def als_all_topk(spark, d):
@@ -117,13 +117,13 @@ def _triples(spark, d):
 def two_tower_topk(spark, d):
     users, songs = M.pairwise_factors(_triples(spark, d), size=16, epochs=3, unit=True)
     pool = _unseen(spark, d)
-    return _top(M.score_pairs(pool, users, M.with_hashed(songs, pool, 16)))
+    return _top(M.score_pairs(pool, users, M.with_hashed(songs, pool, 16), 16))
 
 
 def fm_topk(spark, d):
     s = Star(spark, d)
     users, songs = M.pairwise_factors(_triples(spark, d), size=16, epochs=2, tokens=T.song_tokens(s.songs(), s.audio_features()))
-    return _top(M.score_pairs(_unseen(spark, d), users, songs))
+    return _top(M.score_pairs(_unseen(spark, d), users, songs, 16))
 
 
 def ncf_topk(spark, d):
