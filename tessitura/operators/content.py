@@ -8,6 +8,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessitura.functions import scalars as S
+from tessitura.sources.scratch import materialize
+
+#: Songs whose terms are sent to every task; more are joined.
+SENT = 20_000
 
 
 def terms(songs: DataFrame, text: str = "title") -> DataFrame:
@@ -73,9 +77,15 @@ def content_score(candidates: DataFrame, profile: DataFrame, vecs: DataFrame) ->
     """2 cos - 1 of each candidate; 0 where the song has no vector or the user no profile.
 
     A candidate meets its song's terms and its user's as one row each, so its rows don't grow by the number of terms.
+    Where the candidates' songs are few, their terms go to every task, and candidates are shuffled to their user without
+    any; where they are many, candidates meet their songs first.
     """
+    songs = materialize(_rows(vecs.join(candidates.select("song_id").distinct(), "song_id", "left_semi")), "candidate-terms")
     of_user = profile.groupBy("user_id").agg(F.map_from_entries(F.collect_list(F.struct("term", "weight"))).alias("u"))
-    j = candidates.join(_rows(vecs), "song_id", "left").join(of_user, "user_id", "left")
+    if songs.count() <= SENT:
+        j = candidates.join(of_user, "user_id", "left").join(F.broadcast(songs), "song_id", "left")
+    else:
+        j = candidates.join(songs, "song_id", "left").join(of_user, "user_id", "left")
     cos = F.aggregate("v", F.lit(0.0), lambda s, e: s + e["weight"] * F.coalesce(F.try_element_at("u", e["term"]), F.lit(0.0)))
     return j.select(*candidates.columns, F.when(F.col("u").isNotNull() & F.col("v").isNotNull(), cos * 2 - 1).otherwise(0.0).alias("s_content"))
 

@@ -100,23 +100,33 @@ class Ensemble:
     def score(self, candidates: DataFrame) -> DataFrame:
         """(user, song, s_als, s_two_tower, s_sequence, s_retriever and, unless light, s_feature_mf, s_svd, s_ncf).
 
-        Candidates meet one row a user and one a song, whatever the number of models.
+        Rows that are shuffled carry no vectors: pairs are joined first, then those with a song that a model knows meet
+        one row a user and one a song. A song that none knows has the same scores whatever the vectors.
         """
         raw = candidates.select(*PAIR).distinct()
-        j = raw.join(self.users, "user_id", "left").join(self.items, "song_id", "left").join(self.next.withColumnRenamed("p", "__p"), PAIR, "left")
+        ours = self.retriever.score(raw).select(*PAIR, F.col("score").alias("s_retriever"))
+        met = materialize(raw.join(self.next.withColumnRenamed("p", "__p"), PAIR, "left").join(ours, PAIR), "met")
+        names = self.items.select("song_id")
+        songs = self.items if self.light else self.items.join(T.metadata_vector(self.songs.join(names, "song_id", "left_semi")), "song_id", "left")
+        j = met.join(names, "song_id", "left_semi").join(self.users, "user_id", "left").join(materialize(songs, "known-songs"), "song_id")
         product = lambda n: F.coalesce(M.dot(f"u_{n}", f"s_{n}", RANK), F.lit(0.0))
-        unknown = F.when(F.col("u_two_tower").isNotNull() & F.col("s_two_tower").isNull(), I.unit(F.lit("tower"), F.col("user_id").cast("string"), "song_id") * 0.5 - 0.25).otherwise(0.0)
+        hashed = I.unit(F.lit("tower"), F.col("user_id").cast("string"), "song_id") * 0.5 - 0.25
+        unknown = lambda user: F.when(user, hashed).otherwise(0.0)
         out = [
-            product("als").alias("s_als"), F.coalesce(M.dot("u_two_tower", "s_two_tower", RANK), unknown).alias("s_two_tower"),
+            product("als").alias("s_als"), F.coalesce(M.dot("u_two_tower", "s_two_tower", RANK), unknown(F.col("u_two_tower").isNotNull() & F.col("s_two_tower").isNull())).alias("s_two_tower"),
             M.sequence_score(F.col("u_sequence"), F.col("s_sequence"), F.col("__p"), RANK).alias("s_sequence"),
         ]
+        # the scores of a song without vectors; of its user only whether they have one counts
+        rest = met.join(names, "song_id", "left_anti").join(self.users.select("user_id", F.col("u_two_tower").isNotNull().alias("__known")), "user_id", "left")
+        none = F.lit(None).cast("array<float>")
+        plain = [F.lit(0.0).alias("s_als"), unknown(F.coalesce("__known", F.lit(False))).alias("s_two_tower"), M.sequence_score(none, none, F.col("__p"), RANK).alias("s_sequence")]
         if self.light:
-            out += [F.lit(0.0).alias(f"s_{n}") for n in ("feature_mf", "svd", "ncf")]
+            zeros = [F.lit(0.0).alias(f"s_{n}") for n in ("feature_mf", "svd", "ncf")]
+            out, plain = out + zeros, plain + zeros
         else:
-            j = j.join(T.metadata_vector(self.songs), "song_id", "left")
             out += [product("feature_mf").alias("s_feature_mf"), M.svd_score(self.mean, "u_svd", "s_svd", RANK).alias("s_svd"), M.neural_score(self.weights)("u_ncf", "s_ncf", "features").alias("s_ncf")]
-        own = j.select(*PAIR, *out)
-        return own.join(self.retriever.score(raw).select(*PAIR, F.col("score").alias("s_retriever")), PAIR)
+            plain += [F.lit(0.0).alias("s_feature_mf"), F.lit(float(self.mean)).alias("s_svd"), F.lit(0.5).alias("s_ncf")]
+        return j.select(*PAIR, *out, "s_retriever").unionByName(rest.select(*PAIR, *plain, "s_retriever"))
 
     def mixture(self, candidates: DataFrame) -> DataFrame:
         """The fixed mixture that rankings are evaluated by."""
@@ -210,15 +220,17 @@ def serve(scored: DataFrame, weights: DataFrame | None, audio: DataFrame, vector
     by their exploration slots; block list, genre cap, anchor, cut.
     """
     measured = audio.select("song_id", "bpm", "key_strength", "danceability")
-    t = blended(scored, weights, mood).join(measured, "song_id", "left")
-    t = materialize(t.withColumn("score", V.final_score(F.col("blend"), music_bonus(), F.col("fresh"))), "blended")
+    bonus = materialize(songs.join(measured, "song_id", "left").select("song_id", music_bonus().alias("__bonus")), "bonus")
+    t = blended(scored, weights, mood).join(bonus, "song_id").withColumn("score", V.final_score(F.col("blend"), F.col("__bonus"), F.col("fresh")))
+    # titles come to the served rows alone
+    t = materialize(t.select(*PAIR, "fresh", "score", "genre_code", "s_svd", "s_ncf", "s_content", "p_bandit", "p_recency"), "blended")
     own = S.exploration_slots(F.round(S.falsy(F.col("adventurous"), 0.3) * 10)) if slots is None else F.lit(slots)
     lam = prefs.select("user_id", V.mmr_lambda(own).alias("lam"))
     ranked = t.select(*PAIR, "score", "genre_code").join(lam, "user_id", "left").withColumn("lam", F.coalesce("lam", V.mmr_lambda(F.lit(DEFAULT_SLOTS))))
     diverse = materialize(V.mmr(ranked, vectors, depth=max(3 * top_k, top_k + 5), lam=F.col("lam")), "diverse")
     final = V.hard_rules(diverse, songs, prefs, top_k)
-    why = t.select(*PAIR, "title", "fresh", *[S.norm(F.col(f"s_{n}")).alias(f"s_{n}") for n in ("svd", "ncf", "content")], F.col("p_bandit").alias("s_bandit"), F.col("p_recency").alias("s_recency"))
-    out = final.join(why, PAIR).withColumn("final_score", F.col("score"))
+    why = t.select(*PAIR, "fresh", *[S.norm(F.col(f"s_{n}")).alias(f"s_{n}") for n in ("svd", "ncf", "content")], F.col("p_bandit").alias("s_bandit"), F.col("p_recency").alias("s_recency"))
+    out = final.join(why, PAIR).join(songs.select("song_id", "title"), "song_id").withColumn("final_score", F.col("score"))
     out = out.select(*PAIR, "rank", "title", "fresh", "score", V.why().alias("why"), V.why_in_words(F.col("title")).alias("why_text"))
     place = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "song_id"))
     return out, t.select(*PAIR, "score").withColumn("rank", place).where(F.col("rank") <= 200)

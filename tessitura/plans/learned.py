@@ -209,10 +209,11 @@ def train(spark, d, history, mode: str = "light", **options):
 
 def features_of(spark, d, *, users: list[int] | None = None, mood: str = "", cached: DataFrame | None = None) -> DataFrame:
     """Candidates of all users, or of some, with all their scores."""
-    return _features(spark, d, _ensemble(spark, d), users, mood, cached)
+    return _features(spark, d, _ensemble(spark, d), users, mood, cached)[0]
 
 
-def _features(spark, d, fitted, users, mood, cached) -> DataFrame:
+def _features(spark, d, fitted, users, mood, cached) -> tuple[DataFrame, DataFrame]:
+    """(candidates with all their scores, the rows of their songs)."""
     s, (own, _, pool) = Star(spark, d), fitted
     if users is not None:
         pool, cached = pool.where(F.col("user_id").isin(users)), cached if cached is None else cached.where(F.col("user_id").isin(users))
@@ -221,17 +222,19 @@ def _features(spark, d, fitted, users, mood, cached) -> DataFrame:
     some = materialize(E.candidates(pool, _prefs(s), heard, V.recently_played(s.listens(), NIGHT), songs, cached=cached), "candidates")
     vecs = T.tfidf(songs)
     content = T.content_score(some.select("user_id", "song_id"), T.profiles(s.listens(), vecs), vecs)
-    return E.features(own, some, _arms(s), content, songs, NOW, mood=mood)
+    # stored, so its size is known: where the candidates' songs are few, their rows go to every task
+    wanted = materialize(songs.join(some.select("song_id").distinct(), "song_id", "left_semi"), "candidate-songs")
+    return E.features(own, some, _arms(s), content, wanted, NOW, mood=mood), wanted
 
 
 def recommend(spark, d, *, users: list[int] | None = None, top_k: int = 10, slots: int | None = None, mood: str = "", cached: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(served rows, cache rows) of all users, or of some: pool, scores of all models, blend, re-ranking, rules, reasons."""
     s, fitted = Star(spark, d), _ensemble(spark, d)
-    scored = _features(spark, d, fitted, users, mood, cached)
+    scored, wanted = _features(spark, d, fitted, users, mood, cached)
     weights = fitted[1]
     if mood:
         weights = weights.select("user_id", "mood", "weights").unionByName(fitted[0].moods.where(F.col("mood") == mood).select("user_id", "mood", "weights"))
-    return E.serve(scored, weights, s.audio_features(), _vectors(s), s.songs(), _prefs(s), top_k=top_k, slots=slots, mood=mood)
+    return E.serve(scored, weights, s.audio_features(), _vectors(s), wanted, _prefs(s), top_k=top_k, slots=slots, mood=mood)
 
 
 def recommend_all(spark, d):
