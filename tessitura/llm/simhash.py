@@ -19,7 +19,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessitura.llm._shared import ROW_KEY, arrow_limits, col, discard, join_hot, materialize, row_key, whole_row
@@ -546,16 +546,15 @@ def unlinked(nodes: DataFrame, *, max_bits: int = CANDIDATE_BITS, group: int = G
     A key's members are taken if they have an unlike label across the wiped bit or, under the first variant of a
     segment, on their own side: members with the whole segment in common need no other variant.
     """
-    keys = _keys(nodes, ["label"])
-    of = lambda f, bit: f(F.when(F.col("bit") == bit, F.col("label")))
-    sides = keys.groupBy(F.col("g").alias("__g")).agg(of(F.min, 0).alias("low0"), of(F.max, 0).alias("high0"), of(F.min, 1).alias("low1"), of(F.max, 1).alias("high1"))
+    keys, of_key = _keys(nodes, ["label"]).repartition("g"), Window.partitionBy("g")
+    of = lambda f, bit: f(F.when(F.col("bit") == bit, F.col("label"))).over(of_key)
+    sides = keys.select("*", of(F.min, 0).alias("low0"), of(F.max, 0).alias("high0"), of(F.min, 1).alias("low1"), of(F.max, 1).alias("high1"))
     sides = sides.where("least(low0, low1) < greatest(high0, high1)")
     label, zero = F.col("label"), F.col("bit") == 0
     differs = lambda low, high: F.coalesce((F.col(low) != label) | (F.col(high) != label), F.lit(False))
     across, along = F.when(zero, differs("low1", "high1")).otherwise(differs("low0", "high0")), F.when(zero, differs("low0", "high0")).otherwise(differs("low1", "high1"))
     first = F.shiftright("g", SEGMENT_BITS) % SEGMENT_BITS == 0
-    met = keys.join(sides, (F.col("g") == F.col("__g")) & (across | (first & along)), "left_semi")
-    # dealt after the join: what a join leaves together is the planner's choice, and a key must be in one place
+    met = sides.where(across | (first & along))
     dealt = met.select("g", "hi", "lo", "node", "label").repartition("g").sortWithinPartitions("g", "hi", "lo", "node")
     return dealt.mapInArrow(_unlinked(max_bits, group), "g long, block long, node long, label long, hi long, lo long")
 

@@ -48,3 +48,10 @@ def test_candidates_are_shuffled_without_vectors(spark):
         assert abs(r["s_als"] - (float(np.dot(users[user]["u_als"], items[song]["s_als"])) if song in items else 0.0)) < 1e-5
         assert song in items or -0.25 <= r["s_two_tower"] <= 0.25
     assert abs(got[1, "3"]["s_sequence"] - got[1, "77"]["s_sequence"]) > 1e-3
+
+
+def test_keys_of_unlike_labels_are_found_without_a_join(spark):
+    from tessitura.llm import simhash
+
+    nodes = spark.createDataFrame([(i, 5, i % 2, i % 3) for i in range(6)], "node long, hi long, lo long, label long")
+    assert "Join" not in simhash.unlinked(nodes)._jdf.queryExecution().optimizedPlan().toString()
