@@ -12,7 +12,7 @@ from tessitura.operators import interactions as I
 from tessitura.operators import models as M
 from tessitura.operators import retrieval as R
 from tessitura.operators import serving as V
-from tessitura.sources.scratch import materialize
+from tessitura.sources.scratch import discard, materialize
 
 PAIR = ["user_id", "song_id"]
 FEATURES = list(S.BLEND)
@@ -65,6 +65,8 @@ class Ensemble:
     """Every scorer fitted on a training frame. ``light`` leaves out side-feature factors, biased factors and the neural
     scorer, whose scores are then 0, as are those of a model that was given too few rows."""
 
+    _of_valid: tuple[DataFrame, DataFrame] | None = None  # a validation part and its judged pairs
+
     def __init__(self, frame: DataFrame, songs: DataFrame, audio: DataFrame, retriever: Retriever, *, light: bool = False):
         self.frame, self.songs, self.retriever, self.light = frame, songs, retriever, light
         users, items = {}, {}
@@ -107,8 +109,8 @@ class Ensemble:
         ours = self.retriever.score(raw).select(*PAIR, F.col("score").alias("s_retriever"))
         met = materialize(raw.join(self.next.withColumnRenamed("p", "__p"), PAIR, "left").join(ours, PAIR), "met")
         names = self.items.select("song_id")
-        songs = self.items if self.light else self.items.join(T.metadata_vector(self.songs.join(names, "song_id", "left_semi")), "song_id", "left")
-        j = met.join(names, "song_id", "left_semi").join(self.users, "user_id", "left").join(materialize(songs, "known-songs"), "song_id")
+        songs = self.items if self.light else self.items.join(T.metadata_vector(self.songs.join(names, "song_id", "left_semi")).hint("merge"), "song_id", "left")
+        j = met.join(names, "song_id", "left_semi").join(self.users.hint("merge"), "user_id", "left").join(materialize(songs, "known-songs"), "song_id")
         product = lambda n: F.coalesce(M.dot(f"u_{n}", f"s_{n}", RANK), F.lit(0.0))
         hashed = I.unit(F.lit("tower"), F.col("user_id").cast("string"), "song_id") * 0.5 - 0.25
         unknown = lambda user: F.when(user, hashed).otherwise(0.0)
@@ -139,19 +141,25 @@ class Ensemble:
     def mood_blender(self, valid: DataFrame, weights: DataFrame) -> DataFrame:
         """Weights by mood around those of ``blender``: a judged pair belongs to every mood that asks for its liked song's genre."""
         moods = self.songs.sparkSession.createDataFrame([(m, g) for m, genres in MOOD_GENRES.items() for g in genres], "mood string, genre_code int")
-        of_song = self.songs.select(F.col("song_id").alias("pos"), "genre_code").join(F.broadcast(moods), "genre_code").select("pos", "mood")
-        return M.mood_blender(self._judged(valid).join(of_song, "pos"), weights, FEATURES)
+        pairs = self._judged(valid)
+        liked = self.songs.select(F.col("song_id").alias("pos"), "genre_code").join(pairs.select("pos").distinct(), "pos", "left_semi")
+        of_song = materialize(liked.join(F.broadcast(moods), "genre_code").select("pos", "mood"), "liked-moods")
+        return M.mood_blender(pairs.join(of_song, "pos"), weights, FEATURES)
 
     def _judged(self, valid: DataFrame) -> DataFrame:
-        """Judged pairs (user_id, pos, neg) with the features of both sides (p_<f>, q_<f>)."""
-        pairs = judged(self.frame, valid)
-        wanted = pairs.select("user_id", F.col("pos").alias("song_id")).union(pairs.select("user_id", "neg"))
-        scores = materialize(self.score(wanted), "judged-scores")
-        known = [c for c in FEATURES if f"s_{c}" in scores.columns]
-        for side, to in (("p", "pos"), ("q", "neg")):
-            pairs = pairs.join(scores.select("user_id", F.col("song_id").alias(to), *[F.col(f"s_{c}").alias(f"{side}_{c}") for c in known]), ["user_id", to], "left")
-            pairs = pairs.select("*", *[F.lit(0.0).alias(f"{side}_{c}") for c in FEATURES if c not in known])
-        return pairs
+        """Judged pairs (user_id, pos, neg) with the features of both sides (p_<f>, q_<f>); stored, and once for all blenders of a validation part."""
+        if self._of_valid is None or self._of_valid[0] is not valid:
+            pairs = materialize(judged(self.frame, valid), "judged-pairs")
+            wanted = pairs.select("user_id", F.col("pos").alias("song_id")).union(pairs.select("user_id", "neg"))
+            scores = materialize(self.score(wanted), "judged-scores")
+            known = [c for c in FEATURES if f"s_{c}" in scores.columns]
+            for side, to in (("p", "pos"), ("q", "neg")):
+                # merged, as a table of all pairs must not pass through the driver
+                pairs = pairs.join(scores.select("user_id", F.col("song_id").alias(to), *[F.col(f"s_{c}").alias(f"{side}_{c}") for c in known]).hint("merge"), ["user_id", to], "left")
+            self._of_valid = valid, materialize(pairs, "judged-features")
+            discard(scores)
+        pairs = self._of_valid[1]
+        return pairs.select("*", *[F.lit(0.0).alias(f"{side}_{c}") for side in "pq" for c in FEATURES if f"{side}_{c}" not in pairs.columns])
 
 
 def judged(train: DataFrame, valid: DataFrame) -> DataFrame:

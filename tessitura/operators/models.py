@@ -487,6 +487,8 @@ def neural(frame: DataFrame, meta: DataFrame, *, epochs: int = 6, rate: float =
     meta: (song_id, features), twelve numbers a song; a song without them has zeros.
     """
     n = NeuralShape
+    # the whole catalog is small on disk and large as rows: only songs of the frame are sent to its tasks
+    meta = store(meta.join(frame.select("song_id").distinct(), "song_id", "left_semi"), "frame-metadata")
     rows = frame.select("user_id", "song_id", F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("plan_reward") + 1) / 2)).alias("y")).join(meta, "song_id", "left")
 
     def local(pdf: pd.DataFrame) -> Parts:
@@ -683,7 +685,7 @@ def blender(pairs: DataFrame, start: dict[str, float], *, rate: float = 0.05, ep
     got = averaged(rows, ["d"], local).select("vector").first()  # one row
     overall = first if got is None else np.array(got["vector"])
     sizes = rows.groupBy("user_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least)
-    dealt = rows.join(sizes, "user_id").withColumn("block", F.pmod(F.xxhash64("d"), F.ceil(F.col("n") / BLEND_BLOCK)))
+    dealt = rows.join(sizes.hint("merge"), "user_id").withColumn("block", F.pmod(F.xxhash64("d"), F.ceil(F.col("n") / BLEND_BLOCK)))
 
     def own(key: tuple, group: pa.Table) -> pa.Table:
         d = _rows(group.column("d").combine_chunks())
@@ -695,9 +697,9 @@ def blender(pairs: DataFrame, start: dict[str, float], *, rate: float = 0.05, ep
     everyone = rows.agg(F.lit(-1).cast("long").alias("user_id"), F.array(*map(F.lit, map(float, overall))).alias("weights"), F.count(F.lit(1)).alias("n_pairs"))
     fitted = store(everyone.select("user_id", "weights", "n_pairs").unionByName(mean.select("user_id", "weights", "n_pairs")), "blender")
     right = lambda w: F.when(dot(F.col("d"), w, len(features)) > 0, 1.0).otherwise(0.0)
-    of_users = rows.join(fitted, "user_id").groupBy("user_id").agg(F.avg(right(F.col("weights"))).alias("accuracy"))
+    of_users = rows.join(fitted.hint("merge"), "user_id").groupBy("user_id").agg(F.avg(right(F.col("weights"))).alias("accuracy"))
     of_all = rows.agg(F.lit(-1).cast("long").alias("user_id"), F.coalesce(F.avg(right(F.array(*map(F.lit, map(float, overall))))), F.lit(0.0)).alias("accuracy"))
-    return fitted.join(of_users.unionByName(of_all), "user_id").withColumn("mood", F.lit(mood)).select("user_id", "mood", "weights", "n_pairs", "accuracy")
+    return fitted.join(of_users.unionByName(of_all).hint("merge"), "user_id").withColumn("mood", F.lit(mood)).select("user_id", "mood", "weights", "n_pairs", "accuracy")
 
 
 #: Weight of what a mood's weights start from, in curvature; and the hash share of pairs that only measures.

@@ -50,6 +50,17 @@ def test_candidates_are_shuffled_without_vectors(spark):
     assert abs(got[1, "3"]["s_sequence"] - got[1, "77"]["s_sequence"]) > 1e-3
 
 
+def test_judged_pairs_are_scored_once(spark):
+    own, calls = _light(spark), []
+    score = own.score
+    own.score = lambda candidates: calls.append(1) or score(candidates)
+    own.songs = spark.createDataFrame([(str(i), 6) for i in range(10)], "song_id string, genre_code int")
+    valid = own.frame.where("user_id < 20")
+    weights = own.blender(valid)
+    own.mood_blender(valid, weights).count()
+    assert len(calls) == 1
+
+
 def test_keys_of_unlike_labels_are_found_without_a_join(spark):
     from tessitura.llm import simhash
 
