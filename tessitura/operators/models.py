@@ -433,7 +433,10 @@ def svd(frame: DataFrame, *, rank: int = 16, epochs: int = 12, rate: float = 0.1
 def svd_score(mean: float, x: str = "x", y: str = "y", rank: int = 16) -> Column:
     """Mean, both biases and the product; without the user (or the song) the mean and the song's bias, if it has one."""
     x, y = F.col(x), F.col(y)
-    known = x[0] + y[0] + dot(F.slice(x, 2, rank), F.slice(y, 2, rank), rank)
+    product = x[1].cast("double") * y[1].cast("double")
+    for i in range(2, rank + 1):  # a slice would be made anew for each of its numbers
+        product = product + x[i].cast("double") * y[i].cast("double")
+    known = x[0] + y[0] + product
     return F.lit(mean) + F.when(x.isNull() | y.isNull(), F.coalesce(y[0], F.lit(0.0))).otherwise(known)
 
 

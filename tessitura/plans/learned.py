@@ -101,7 +101,8 @@ def svd_biases(spark, d):
 
 
 def svd_topk(spark, d):
-    return _top(M.svd_predict(M.svd(frame_of(spark, d), rank=8), _unseen(spark, d), rank=8))
+    # the frame that the candidate sources stored: the fit reads it five times
+    return _top(M.svd_predict(M.svd(_retriever(spark, d).frame, rank=8), _unseen(spark, d), rank=8))
 
 
 def item2vec_nn(spark, d):

@@ -4,6 +4,7 @@ import numpy as np
 from pyspark.sql import functions as F
 
 from tessitura.operators import ensemble as E
+from tessitura.operators import models as M
 from tessitura.sources.scratch import materialize
 
 
@@ -61,6 +62,10 @@ def test_judged_pairs_are_scored_once(spark):
     assert len(calls) == 1
 
 
+def test_svd_score_makes_no_slices():
+    assert "slice" not in str(M.svd_score(0.5, "x", "y", 8))
+
+
 def test_keys_of_unlike_labels_are_found_without_a_join(spark):
     from tessitura.llm import simhash
 
