@@ -715,33 +715,43 @@ def mood_blender(pairs: DataFrame, weights: DataFrame, features: list[str], *, s
     pairs: (user_id, mood, p_<f>, q_<f>), a row for each mood that a judged pair belongs to; weights: (user_id, weights)
     of ``blender``. A mood's weights are the most likely ones around its user's (those of all, for a user without): one
     step of the loss's gradient by its curvature plus ``shrink``, both sums over the mood's pairs, so a mood of few pairs
-    stays near its user and one of many is its own. All sums come from one pass and are combined before they are
-    shuffled. A quarter of the pairs, by hash, only measures: accuracy on it of the mood's weights and of the user's.
+    stays near its user and one of many is its own. All sums, of users and of all users alike, come from one pass over
+    the pairs and are combined before they are shuffled. A quarter of the pairs, by hash, only measures: accuracy on it of the mood's weights and of the user's.
     """
     size = len(features)
     upper = np.triu_indices(size)
     diff = F.array(*[F.coalesce(f"p_{f}", F.lit(0.0)) - F.coalesce(f"q_{f}", F.lit(0.0)) for f in features])
     every = pairs.where(F.col("user_id").isNotNull() & F.col("mood").isNotNull()).select("user_id", "mood", diff.alias("d"))
-    both = every.unionByName(every.withColumn("user_id", F.lit(-1).cast("long")))
-    start = weights.where("user_id <> -1").select("user_id", "weights")
-    of_all = weights.where("user_id = -1").select(F.col("weights").alias("__all"))  # one row
-    rows = both.join(start, "user_id", "left").join(F.broadcast(of_all), F.lit(True)).select("user_id", "mood", "d", F.coalesce("weights", "__all").alias("w"))
-    rows = store(rows.withColumn("held", F.pmod(F.xxhash64("user_id", "d"), F.lit(HELD_OUT)) == 0), "mood-pairs")
+    everyone = weights.where("user_id = -1").select("weights").first()  # one row
+    overall = np.array(everyone["weights"], float) if everyone else np.zeros(size)
+    start = weights.where("user_id <> -1").select("user_id", F.col("weights").alias("w"))
+    of_all = F.array(*map(F.lit, overall.tolist()))
+    rows = every.where(F.lit(everyone is not None)).join(start.hint("merge"), "user_id", "left").select("user_id", "mood", "d", F.coalesce("w", of_all).alias("w"))
+    # drawn by rounded features, whose last digits depend on what was scored together
+    drawn = lambda user: F.pmod(F.xxhash64(user, F.transform("d", lambda x: F.round(x, 6))), F.lit(HELD_OUT)) == 0
+    rows = store(rows.withColumn("held", drawn("user_id")).withColumn("held_by_all", drawn(F.lit(-1).cast("long"))), "mood-pairs")
 
     def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each batch a row for each user's mood, and one for each mood of all users."""
         for batch in batches:
             if not batch.num_rows:
                 continue
-            d, w = _rows(batch.column("d")), _rows(batch.column("w"))
-            key, of = pd.factorize(pd.Series(list(zip(batch.column("user_id").to_pylist(), batch.column("mood").to_pylist()))))
-            p = _sigmoid((d * w).sum(axis=1))
-            each = np.hstack([np.ones((len(d), 1)), d * (1 - p)[:, None], (d[:, upper[0]] * d[:, upper[1]]) * (p * (1 - p))[:, None]])
-            total, first = np.zeros((len(of), each.shape[1])), np.unique(key, return_index=True)[1]
-            np.add.at(total, key, each)
-            yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in of], pa.int64()), pa.array([m for _, m in of], pa.string()), _lists(w[first]), _lists(total)], names=["user_id", "mood", "w", "s"])
+            d, own = _rows(batch.column("d")), _rows(batch.column("w"))
+            users, moods = np.array(batch.column("user_id").to_pylist(), np.int64), np.array(batch.column("mood").to_pylist(), object)
+            for ids, w, held in ((users, own, "held"), (np.full(len(d), -1), np.tile(overall, (len(d), 1)), "held_by_all")):
+                use = ~batch.column(held).to_numpy(zero_copy_only=False).astype(bool)
+                if not use.any():
+                    continue
+                x, v = d[use], w[use]
+                key, of = pd.factorize(pd.Series(list(zip(ids[use].tolist(), moods[use].tolist()))))
+                p = _sigmoid((x * v).sum(axis=1))
+                each = np.hstack([np.ones((len(x), 1)), x * (1 - p)[:, None], (x[:, upper[0]] * x[:, upper[1]]) * (p * (1 - p))[:, None]])
+                total, first = np.zeros((len(of), each.shape[1])), np.unique(key, return_index=True)[1]
+                np.add.at(total, key, each)
+                yield pa.RecordBatch.from_arrays([pa.array([u for u, _ in of], pa.int64()), pa.array([m for _, m in of], pa.string()), _lists(v[first]), _lists(total)], names=["user_id", "mood", "w", "s"])
 
     n = 1 + size + len(upper[0])
-    summed = rows.where("not held").mapInArrow(sums, "user_id long, mood string, w array<double>, s array<double>")
+    summed = rows.mapInArrow(sums, "user_id long, mood string, w array<double>, s array<double>")
     summed = summed.groupBy("user_id", "mood").agg(F.first("w").alias("w"), F.array(*[F.sum(F.col("s")[i]) for i in range(n)]).alias("s"))
 
     def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -755,8 +765,12 @@ def mood_blender(pairs: DataFrame, weights: DataFrame, features: list[str], *, s
 
     fitted = store(summed.mapInArrow(solved, "user_id long, mood string, weights array<double>, n_pairs long"), "mood-weights")
     right = lambda w: F.when(dot("d", w, size) > 0, 1.0).otherwise(0.0)
-    measured = rows.where("held").join(fitted, ["user_id", "mood"]).groupBy("user_id", "mood").agg(F.count(F.lit(1)).alias("held_out"), F.avg(right("weights")).alias("accuracy"), F.avg(right("w")).alias("user_accuracy"))
-    return fitted.join(measured, ["user_id", "mood"], "left").select("user_id", "mood", "weights", "n_pairs", F.coalesce("held_out", F.lit(0)).alias("held_out"), "accuracy", "user_accuracy")
+    accuracy = [F.count(F.lit(1)).alias("held_out"), F.avg(right("weights")).alias("accuracy"), F.avg(right("w")).alias("user_accuracy")]
+    own = rows.where("held").join(fitted.select("user_id", "mood", "weights").hint("merge"), ["user_id", "mood"]).groupBy("user_id", "mood").agg(*accuracy)
+    by_mood = fitted.where("user_id = -1").select("mood", "weights")  # a row a mood
+    of_moods = rows.where("held_by_all").select("mood", "d", of_all.alias("w")).join(F.broadcast(by_mood), "mood").groupBy("mood").agg(*accuracy)
+    measured = own.unionByName(of_moods.withColumn("user_id", F.lit(-1).cast("long")))
+    return fitted.join(measured.hint("merge"), ["user_id", "mood"], "left").select("user_id", "mood", "weights", "n_pairs", F.coalesce("held_out", F.lit(0)).alias("held_out"), "accuracy", "user_accuracy")
 
 
 def save(model: dict[str, DataFrame], path: str) -> None:
