@@ -65,11 +65,8 @@ def sparse_frame(spark, d):
 
 def flagship_topk_sparse(spark, d):
     """Item neighbours over the large purchase log: ten new parts for every customer."""
-    f = sparse_frame(spark, d)
-    knn = R.item_knn(f)
-    seen = R.positives(f).select("user_id", "song_id")
-    scored = R.expand(f, knn, "sim", fan=None).join(seen, ["user_id", "song_id"], "left_anti")
-    return scored.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("w"), "song_id"))).where("rank <= 10").select("user_id", "rank", "song_id", F.col("w").alias("score"))
+    f = materialize(sparse_frame(spark, d), "sparse-frame")  # read three times
+    return R.top_new(f).select("user_id", "rank", "song_id", F.col("w").alias("score"))
 
 
 def cooccurrence(spark, d):

@@ -1,10 +1,12 @@
 """What is shuffled or scored more than once: plans and counts, on small tables."""
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tessitura.operators import ensemble as E
 from tessitura.operators import models as M
+from tessitura.operators import retrieval as R
 from tessitura.sources.scratch import materialize
 
 
@@ -71,3 +73,33 @@ def test_keys_of_unlike_labels_are_found_without_a_join(spark):
 
     nodes = spark.createDataFrame([(i, 5, i % 2, i % 3) for i in range(6)], "node long, hi long, lo long, label long")
     assert "Join" not in simhash.unlinked(nodes)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_edges_reach_a_user_as_lists(spark, sf):
+    """No edge is a row of a shuffle or meets the user's songs in a join."""
+    from tessitura.plans import retrieval as P
+
+    plan = P.flagship_topk_sparse(spark, sf)._jdf.queryExecution().executedPlan()
+    assert "LeftAnti" not in plan.toString()
+    shuffled = _exchanges(plan, [])
+    assert {"user_id", "dsts", "ws"} in shuffled and not [names for names in shuffled if names & {"sim", "dst", "w", "sum"}]
+
+
+@pytest.mark.parametrize("name", ["cast(id % 37 as bigint)", "cast(id % 37 - 5 as bigint)", "cast(id % 37 as string)", "(id % 37) * 300000000"])
+def test_top_new_by_all_edges(spark, name):
+    """Whatever the ids, and with users of several lists: as by the rows of item_knn and expand."""
+    from pyspark.sql import Window
+
+    frame = materialize(spark.range(900).selectExpr("(id * id + id div 7) % 41 as user_id", f"{name} as song_id", "timestamp_seconds(id) as timestamp", "1.0D as plan_reward").groupBy("user_id", "song_id").agg(F.max("timestamp").alias("timestamp"), F.max("plan_reward").alias("plan_reward")), "frame")
+    knn = materialize(R.item_knn(frame, 9, long=4), "knn")
+    up = frame.select("user_id", "song_id")
+    degree = {r["song_id"]: r["count"] for r in up.groupBy("song_id").count().collect()}
+    both = up.join(up.withColumnRenamed("song_id", "other"), "user_id").where("song_id <> other").groupBy("song_id", "other").count().collect()
+    near = {}
+    for r in both:
+        near.setdefault(r["song_id"], []).append((-round(r["count"] / (degree[r["song_id"]] * degree[r["other"]]) ** 0.5, 9), r["other"]))
+    assert {(r["src"], r["r"], r["dst"], r["sim"]) for r in knn.collect()} == {(s, i + 1, d, -w) for s, found in near.items() for i, (w, d) in enumerate(sorted(found)[:9])}
+    left = R.expand(frame, knn, "sim", recent=3, fan=None).join(up, ["user_id", "song_id"], "left_anti")
+    want = left.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("w"), "song_id"))).where("rank <= 6").select("user_id", "song_id", "w", "rank")
+    got = R.top_new(frame, 6, k=9, recent=3, long=4)
+    assert got.count() > 0 and sorted(got.collect()) == sorted(want.collect())
