@@ -24,7 +24,7 @@ from tessitura.sources.scratch import discard, materialize
 #: Songs of a pass, and of a block within it that is tested and multiplied as one.
 PASS, BLOCK = 16_384, 1024
 #: Scores are rounded to so many places, so that ties are ties whatever the shape of a product; bounds allow for it.
-PLACES, SLACK = 9, 1e-8
+PLACES = 9
 
 
 @dataclass
@@ -46,8 +46,9 @@ def _merged(ids: np.ndarray, scores: np.ndarray, new_ids: np.ndarray, new_scores
     return ids[best], scores[best]
 
 
-def _pass(shipped, k: int, rest: float, id_type: pa.DataType):
+def _pass(shipped, k: int, rest: float, id_type: pa.DataType, places: int):
     """Users past one pass of songs; rest: the greatest length of the songs after it."""
+    slack = 10.0 ** (1 - places)
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names, matrix = shipped.value
@@ -61,10 +62,10 @@ def _pass(shipped, k: int, rest: float, id_type: pa.DataType):
             least = np.array([s[-1] if len(s) == k else -np.inf for _, s in held])
             computed = np.zeros(len(x), np.int64)
             for at in range(0, len(names), BLOCK):
-                near = np.flatnonzero(length * lengths[at] >= least - SLACK)  # the block's first is its longest
+                near = np.flatnonzero(length * lengths[at] >= least - slack)  # the block's first is its longest
                 if not len(near):
                     continue
-                products = np.round(x[near] @ matrix[at : at + BLOCK].T, PLACES)
+                products = np.round(x[near] @ matrix[at : at + BLOCK].T, places)
                 computed[near] += products.shape[1]
                 for r, row in zip(near.tolist(), products):
                     use = np.flatnonzero(row >= least[r])
@@ -73,14 +74,14 @@ def _pass(shipped, k: int, rest: float, id_type: pa.DataType):
                         if len(held[r][1]) == k:
                             least[r] = held[r][1][-1]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("user_id"), _lists(x), pa.array([i.tolist() for i, _ in held], pa.list_(id_type)), pa.array([s.tolist() for _, s in held], pa.list_(pa.float64())), pa.array(length * rest >= least - SLACK), pa.array(computed)],
+                [batch.column("user_id"), _lists(x), pa.array([i.tolist() for i, _ in held], pa.list_(id_type)), pa.array([s.tolist() for _, s in held], pa.list_(pa.float64())), pa.array(length * rest >= least - slack), pa.array(computed)],
                 ["user_id", "vector", "ids", "scores", "live", "computed"],
             )
 
     return run
 
 
-def top_products(users: DataFrame, songs: DataFrame, k: int = 10, *, songs_a_pass: int = PASS) -> Found:
+def top_products(users: DataFrame, songs: DataFrame, k: int = 10, *, songs_a_pass: int = PASS, places: int = PLACES) -> Found:
     """The k songs with the greatest products for each user, of (user_id, vector) and (song_id, vector): all pairs are
     covered, by a product or by a bound. Ties go to the smaller id. Rows without an id or vector are left out; there are
     fewer than k rows a user only if there are fewer songs.
@@ -103,7 +104,7 @@ def top_products(users: DataFrame, songs: DataFrame, k: int = 10, *, songs_a_pas
         after = ordered.where(F.col("i") == at + songs_a_pass).select("length").first()
         matrix = np.array([r["vector"] for r in own], float) if own else np.zeros((0, 0))
         shipped = spark.sparkContext.broadcast((np.array([r["song_id"] for r in own], object), matrix))
-        before, step = step, materialize(live.mapInArrow(_pass(shipped, k, after["length"] if after else -1.0, id_type), schema), "topk-users")
+        before, step = step, materialize(live.mapInArrow(_pass(shipped, k, after["length"] if after else -1.0, id_type, places), schema), "topk-users")
         shipped.destroy()
         n, pairs = step.agg(F.count(F.lit(1)), F.coalesce(F.sum("computed"), F.lit(0))).first()
         n_users = n if n_users is None else n_users
@@ -122,3 +123,13 @@ def top_products(users: DataFrame, songs: DataFrame, k: int = 10, *, songs_a_pas
         rows = rows.unionByName(more)
     out = rows.select("user_id", F.posexplode(F.arrays_zip("ids", "scores")).alias("rank", "x")).select("user_id", (F.col("rank") + 1).alias("rank"), F.col("x.ids").alias("song_id"), F.col("x.scores").alias("score"))
     return Found(out, computed, n_users * n_songs)
+
+
+def top_without(users: DataFrame, songs: DataFrame, without: DataFrame, k: int, most: int, *, places: int = PLACES) -> DataFrame:
+    """(user_id, rank, song_id, score): the k songs with the greatest products for each user but the user's own in
+    ``without`` (user_id, song_id). Those are ``most`` a user or fewer, so what is wanted is among the k + most greatest.
+    """
+    rows = top_products(users, songs, k + most, places=places).rows.withColumn("score", F.col("score") + 0.0)  # no zeros below zero
+    rest = rows.drop("rank").join(without.select("user_id", "song_id"), ["user_id", "song_id"], "left_anti")
+    rank = F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("score"), "song_id"))
+    return rest.withColumn("rank", rank).where(F.col("rank") <= k).select("user_id", "rank", "song_id", "score")

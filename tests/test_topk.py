@@ -3,7 +3,7 @@
 import numpy as np
 import pytest
 
-from tessitura.operators.topk import top_products
+from tessitura.operators.topk import top_products, top_without
 
 
 def tables(spark, users, songs):
@@ -64,3 +64,43 @@ def test_odd_tables(spark):
     assert top_products(u, s.limit(0), 4).rows.count() == 0 == top_products(u.limit(0), s, 4).rows.count()
     odd = s.unionByName(spark.createDataFrame([(None, [1.0] * 6), ("x", None)], "song_id string, vector array<double>"))
     assert rows(top_products(u, odd, 2)) == brute(users, songs, 2)
+
+
+def test_without_a_users_own(spark):
+    users, songs = made(7, n=80)
+    songs[20:40] = 0  # ties
+    own = {(u, f"s{i:04d}") for u in range(60) for i in range(u % 9, 80, 11)}
+    got = top_without(*tables(spark, users, songs), spark.createDataFrame(sorted(own), "user_id long, song_id string"), 30, 8, places=3)
+    want = set()
+    for u, x in enumerate(users):
+        scored = sorted((-round(float(x @ v), 3) + 0.0, f"s{i:04d}") for i, v in enumerate(songs) if (u, f"s{i:04d}") not in own)[:30]
+        want |= {(u, r + 1, s, -p + 0.0) for r, (p, s) in enumerate(scored)}
+    assert {(r["user_id"], r["rank"], r["song_id"], r["score"]) for r in got.collect()} == want
+
+
+def test_exact_factors_rank_all_songs(spark, sf, tmp_path):
+    """The query by brute force over more songs than the candidate sources give a user."""
+    from pyspark.sql import functions as F
+
+    from tessitura.operators import models as M
+    from tessitura.operators import retrieval as R
+    from tessitura.plans.frames import frame_of
+    from tessitura.plans.learned import als_exact_topk
+    from tessitura.sources.scratch import materialize
+
+    part = spark.read.parquet(f"{sf}/part.parquet").crossJoin(spark.range(8).withColumnRenamed("id", "__i"))
+    copies = part.withColumn("p_partkey", F.expr("cast(p_partkey + 200 * __i as bigint)")).withColumn("p_retailprice", F.col("p_partkey") * 1.0)
+    copies.drop("__i").write.parquet(d := str(tmp_path / "part.parquet"))
+    # users without a song in common, and songs that are neither much viewed nor in the newest feed
+    own = F.format_string('{"k": %d}', F.get_json_object("props", "$.k").cast("int") + 100 * F.col("user_id"))
+    spark.read.parquet(f"{sf}/events.parquet").where("user_id < 4").withColumn("props", own).write.parquet(str(tmp_path / "events.parquet"))
+    frame = materialize(frame_of(spark, str(tmp_path)), "frame")
+    users, items = ({r[0]: np.array(r["vector"]) for r in t.collect()} for t in M.exact_als(frame, materialize, rank=8, iterations=2))
+    heard = {(r["user_id"], r["song_id"]) for r in R.last(frame, 60).collect()}
+    songs = [str(r["p_partkey"]) for r in spark.read.parquet(d).select("p_partkey").collect()]
+    assert users and len(songs) == 1600
+    want = set()
+    for u, x in users.items():
+        scored = sorted((-round(float(x @ items[s]), 6) + 0.0 if s in items else 0.0, s) for s in songs if (u, s) not in heard)[:10]
+        want |= {(u, r + 1, s, -p + 0.0) for r, (p, s) in enumerate(scored)}
+    assert {tuple(r) for r in als_exact_topk(spark, str(tmp_path)).collect()} == want
