@@ -107,7 +107,8 @@ class Ensemble:
         """
         raw = candidates.select(*PAIR).distinct()
         ours = self.retriever.score(raw).select(*PAIR, F.col("score").alias("s_retriever"))
-        met = materialize(raw.join(self.next.withColumnRenamed("p", "__p"), PAIR, "left").join(ours, PAIR), "met")
+        # the retriever returns each pair once: pairs don't meet themselves again
+        met = materialize(ours.where("user_id is not null and song_id is not null").join(self.next.withColumnRenamed("p", "__p"), PAIR, "left"), "met")
         names = self.items.select("song_id")
         songs = self.items if self.light else self.items.join(T.metadata_vector(self.songs.join(names, "song_id", "left_semi")).hint("merge"), "song_id", "left")
         j = met.join(names, "song_id", "left_semi").join(self.users.hint("merge"), "user_id", "left").join(materialize(songs, "known-songs"), "song_id")

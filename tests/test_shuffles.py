@@ -103,3 +103,15 @@ def test_top_new_by_all_edges(spark, name):
     want = left.withColumn("rank", F.row_number().over(Window.partitionBy("user_id").orderBy(F.desc("w"), "song_id"))).where("rank <= 6").select("user_id", "song_id", "w", "rank")
     got = R.top_new(frame, 6, k=9, recent=3, long=4)
     assert got.count() > 0 and sorted(got.collect()) == sorted(want.collect())
+
+
+def test_pairs_do_not_meet_themselves(spark, monkeypatch):
+    """The retriever's scores of the pairs are met by the next songs alone; a pair without a user or song has no row."""
+    own, plans = _light(spark), []
+    own.retriever.score = lambda candidates: candidates.withColumn("score", F.col("user_id") / 1000)
+    pairs = spark.createDataFrame([(1, "3"), (1, "3"), (1, "77"), (2, "3"), (None, "3"), (1, None)], "user_id long, song_id string")
+    store = E.materialize
+    monkeypatch.setattr(E, "materialize", lambda df, label: (plans.append(df._jdf.queryExecution().analyzed().toString()) if label == "met" else None) or store(df, label))
+    got = sorted((r["user_id"], r["song_id"], r["s_retriever"]) for r in own.score(pairs).collect())
+    assert got == [(1, "3", 0.001), (1, "77", 0.001), (2, "3", 0.002)]
+    assert len(plans) == 1 and plans[0].count("Join ") == 1
